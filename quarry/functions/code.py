@@ -39,7 +39,9 @@ SPACING_RULES = [
     (_WS + "\\)" + _WS, ")"),                    # close parenthesis
 ]
 
-_EMPTY_STRINGS = F.array().cast("array<string>")
+
+def _empty_strings() -> Column:
+    return F.array().cast("array<string>")
 
 
 def _starts_with_any(s: Column, prefixes) -> Column:
@@ -73,7 +75,7 @@ def fix_block_ends(text) -> Column:
     """Drop ``end`` lines that close nothing; append one ``end`` per
     ``if``/``for``/``while`` block left open."""
     lines = split_newlines(text)
-    init = F.struct(F.lit(0).alias("d"), _EMPTY_STRINGS.alias("out"))
+    init = F.struct(F.lit(0).alias("d"), _empty_strings().alias("out"))
 
     def step(acc, line):
         s = py_strip(line)
@@ -106,7 +108,7 @@ def format_code(text) -> Column:
     clamped counter ``d`` is the whole state.
     """
     lines = splitlines(text)
-    init = F.struct(F.lit(0).alias("d"), _EMPTY_STRINGS.alias("out"))
+    init = F.struct(F.lit(0).alias("d"), _empty_strings().alias("out"))
 
     def step(acc, line):
         s = py_strip(line)

@@ -5,3 +5,4 @@ Importing this package registers every query module.
 
 from quarry.plans import queries_clean  # noqa: F401
 from quarry.plans import queries_eval  # noqa: F401
+from quarry.plans import queries_completions  # noqa: F401

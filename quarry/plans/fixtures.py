@@ -74,9 +74,13 @@ FX_PROMPTS_SQL = """fx_prompts AS (
 # fx_code: each document's lines replaced by code-like lines chosen from the
 # line's position and length; used by completion repair.
 
+# The code lines a document line is replaced by, chosen by
+# (doc_id*31 + pos*17 + length(line)) % len(lines).
 CODE_LINES = ["if x", "for i in xs", "  while ok", "end", "  end", "y = 1", "format(z)"]
 CODE_LINES_WITH_FUNCTION = ["if x", "function g(a)", "  while ok", "end", "  end", "y = 1",
                             "format(z)"]
+CODE_LINES_FORMAT = ["if x", "function g(a)", "  while ok", "end", "  else", "y = a+b",
+                     "if a; b; end", "  ", "format(z)"]
 
 
 def _code_line(choice, lines) -> F.Column:
@@ -86,21 +90,25 @@ def _code_line(choice, lines) -> F.Column:
     return expr
 
 
-def fx_code(spark: SparkSession, sf_dir: str, with_function: bool = False) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
-    lines = CODE_LINES_WITH_FUNCTION if with_function else CODE_LINES
-    code = F.array_join(F.transform(
+def code_column(lines: list[str] = CODE_LINES) -> F.Column:
+    """The code text of a ``documents`` row (per-row transform: no explode, no shuffle)."""
+    n = len(lines)
+    return F.array_join(F.transform(
         F.split(F.col("text"), "\n", -1),
-        lambda l, i: _code_line((F.col("doc_id") * 31 + i * 17 + F.length(l)) % 7, lines)),
+        lambda l, i: _code_line((F.col("doc_id") * 31 + i * 17 + F.length(l)) % n, lines)),
         "\n")
-    return docs.select(F.col("doc_id"), code.alias("code"))
 
 
-def fx_code_sql(with_function: bool = False, name: str = "fx_code") -> str:
-    lines = CODE_LINES_WITH_FUNCTION if with_function else CODE_LINES
+def fx_code(spark: SparkSession, sf_dir: str, lines: list[str] = CODE_LINES) -> DataFrame:
+    """One code text per document."""
+    return load(spark, sf_dir, "documents").select(F.col("doc_id"), code_column(lines).alias("code"))
+
+
+def fx_code_sql(lines: list[str] = CODE_LINES, name: str = "fx_code") -> str:
+    """CTEs ``{name}_lines(doc_id, pos, line)`` and ``{name}(doc_id, code)``."""
     cases = " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(lines[:-1]))
     return f"""{name}_lines AS (
-  SELECT doc_id, pos, CASE (doc_id * 31 + pos * 17 + length(line)) % 7 {cases}
+  SELECT doc_id, pos, CASE (doc_id * 31 + pos * 17 + length(line)) % {len(lines)} {cases}
                       ELSE '{lines[-1]}' END AS line
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
                unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS pos
