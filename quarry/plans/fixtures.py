@@ -182,3 +182,36 @@ FX_RESULTS_GAPS_SQL = FX_RESULTS_SQL + """,
 fx_results_gaps AS (
   SELECT r.model, r.problem, r.passed FROM fx_results r JOIN labels l ON r.problem = l.doc_id
   WHERE NOT (r.model = 'm17b' AND l.toxic = 1))"""
+
+
+# ------------------------------------------------------------------ sources
+# fx_source_files: one Julia file per document under a directory per source.
+
+
+def source_lines(d: F.Column, n_chars: F.Column) -> list[F.Column]:
+    """The lines of a document's file (null = line absent)."""
+    return [
+        (F.when(d % 4 == 0, F.concat(F.lit("# about "), d.cast("string")))
+         .when(d % 4 == 1, F.concat(F.lit('"doc '), d.cast("string"), F.lit('"')))
+         .when(d % 4 == 2, F.concat(F.lit("@doc "), d.cast("string")))),
+        F.concat(F.lit("function fn_"), d.cast("string"),
+                 F.when(d % 2 == 0, F.lit(" (x, y)")).otherwise(F.lit("(x, y)"))),
+        F.when(d % 3 == 0, F.lit("    # note")),
+        F.when(d % 5 == 0, F.lit("    @constraint(m, x)")),
+        F.lit("    if x"),
+        F.concat(F.lit("        y = "), n_chars.cast("string")),
+        F.lit("    end"),
+        F.when(d % 6 == 0, F.concat(F.lit("    function inner_"), d.cast("string"), F.lit("(z)"))),
+        F.when(d % 6 == 0, F.lit("    end")),
+        F.lit("end"),
+    ]
+
+
+def fx_source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    d = F.col("doc_id")
+    text = F.array_join(F.array(*source_lines(d, F.col("n_chars"))), "\n")
+    return docs.select(
+        F.col("source").alias("repo"),
+        F.concat(F.lit("repo_"), F.col("source"), F.lit("/doc_"), d.cast("string"), F.lit(".jl")).alias("path"),
+        text.alias("text"))
