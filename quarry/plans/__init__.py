@@ -7,3 +7,4 @@ from quarry.plans import queries_clean  # noqa: F401
 from quarry.plans import queries_eval  # noqa: F401
 from quarry.plans import queries_completions  # noqa: F401
 from quarry.plans import queries_extract  # noqa: F401
+from quarry.plans import queries_sources  # noqa: F401
