@@ -27,17 +27,22 @@ NORMALIZED_SQL = """normalized AS (
   FROM fx_functions)"""
 
 
-def _preprocess_sql(remove_no_docs: bool) -> str:
+def cleaned_ctes(remove_no_docs: bool = False, name: str = "cleaned") -> list[str]:
+    """CTEs ending in ``{name}``: the C8 output over fx_functions."""
     source = ("(SELECT * FROM fx_functions WHERE regexp_matches(doc_string, '[a-zA-Z]'))"
               if remove_no_docs else "fx_functions")
-    return with_ctes(
-        FX_FUNCTIONS_SQL, FX_PROMPTS_SQL, BENCH_NAMES_SQL,
-        NORMALIZED_SQL.replace("FROM fx_functions", "FROM " + source)) + f"""
-SELECT id, trim(doc_string, {WS}) AS doc_string, trim(function_header, {WS}) AS function_header,
-       trim(function_body, {WS}) AS function_body, has_internal_comments, has_constraints
-FROM normalized n
-WHERE NOT EXISTS (SELECT 1 FROM bench_names b
-                  WHERE b.name = {NAME_SQL.format(x='n.function_header')})"""
+    return [FX_FUNCTIONS_SQL, FX_PROMPTS_SQL, BENCH_NAMES_SQL,
+            NORMALIZED_SQL.replace("FROM fx_functions", "FROM " + source),
+            f"""{name} AS (
+  SELECT id, trim(doc_string, {WS}) AS doc_string, trim(function_header, {WS}) AS function_header,
+         trim(function_body, {WS}) AS function_body, has_internal_comments, has_constraints
+  FROM normalized n
+  WHERE NOT EXISTS (SELECT 1 FROM bench_names b
+                    WHERE b.name = {NAME_SQL.format(x='n.function_header')}))"""]
+
+
+def _preprocess_sql(remove_no_docs: bool) -> str:
+    return with_ctes(*cleaned_ctes(remove_no_docs)) + f"SELECT {RECORD} FROM cleaned"
 
 
 @register("c1_require_docs", with_ctes(FX_FUNCTIONS_SQL) + f"""
