@@ -9,3 +9,4 @@ from quarry.plans import queries_completions  # noqa: F401
 from quarry.plans import queries_extract  # noqa: F401
 from quarry.plans import queries_sources  # noqa: F401
 from quarry.plans import queries_corpus  # noqa: F401
+from quarry.plans import queries_conversations  # noqa: F401
