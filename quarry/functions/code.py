@@ -30,16 +30,29 @@ INLINE_BLOCK = "\\b(" + "|".join(INLINE_KEYWORDS) + ")\\b.*\\bend\\b"
 INCREASE_PREFIX = "^(" + "|".join(INCREASE_KEYWORDS) + ")"
 DECREASE_PREFIX = "^(" + "|".join(DECREASE_KEYWORDS) + ")"
 
-# Spacing rewrites applied to the whole formatted text, in this order.
-_WS = WS_CLASS + "*"
+# Spacing rewrites applied to the whole formatted text, in this order:
+# operators, commas, open and close parentheses.  Each pattern is
+# "whitespace* X whitespace*"; see _linear() for how it is run.
 SPACING_RULES = [
-    (_WS + "([=+\\-*/<>|&!])" + _WS, " $1 "),   # operators
-    (_WS + "," + _WS, ", "),                     # commas
-    (_WS + "\\(" + _WS, "("),                    # open parenthesis
-    (_WS + "\\)" + _WS, ")"),                    # close parenthesis
+    ("([=+\\-*/<>|&!])", " $1 "),
+    (",", ", "),
+    ("\\(", "("),
+    ("\\)", ")"),
 ]
 
 
+def _linear(core: str) -> str:
+    """``ws* core ws*`` in a form Java's regex engine runs in linear time.
+
+    A leftmost match of ``ws* core ws*`` starts either where the previous
+    match ended (``\\G``) or at a character not preceded by whitespace, so
+    restricting starts to those positions changes no match; the possessive
+    ``*+`` never gives back whitespace, which ``core`` cannot match anyway.
+    Without this, each start inside a long indentation run rescans the run.
+    """
+    return "(?:\\G|(?<!" + WS_CLASS + "))" + WS_CLASS + "*+" + core + WS_CLASS + "*+"
+
+
 def _empty_strings() -> Column:
     return F.array().cast("array<string>")
 
@@ -56,17 +69,18 @@ def clean_output(text) -> Column:
     """Keep lines up to the first one where the counts of lines opening
     with ``function`` and with ``end`` are equal and positive; then strip."""
     lines = splitlines(text)
+    # each regex runs once per line; the walk below only adds flags
+    flags = F.transform(lines, lambda l: F.struct(
+        l.rlike(FUNCTION_LINE).cast("int").alias("f"), l.rlike(END_LINE).cast("int").alias("e")))
     init = F.struct(F.lit(0).alias("f"), F.lit(0).alias("e"), F.lit(0).alias("i"),
                     F.lit(None).cast("int").alias("cut"))
 
-    def step(acc, line):
-        f = acc["f"] + line.rlike(FUNCTION_LINE).cast("int")
-        e = acc["e"] + line.rlike(END_LINE).cast("int")
-        i = acc["i"] + 1
+    def step(acc, x):
+        f, e, i = acc["f"] + x["f"], acc["e"] + x["e"], acc["i"] + 1
         cut = F.when(acc["cut"].isNull() & (f == e) & (f > 0), i).otherwise(acc["cut"])
         return F.struct(f.alias("f"), e.alias("e"), i.alias("i"), cut.alias("cut"))
 
-    cut = F.aggregate(lines, init, step)["cut"]
+    cut = F.aggregate(flags, init, step)["cut"]
     kept = F.slice(lines, 1, F.coalesce(cut, F.size(lines)))
     return py_strip(F.array_join(kept, "\n"))
 
@@ -75,23 +89,25 @@ def fix_block_ends(text) -> Column:
     """Drop ``end`` lines that close nothing; append one ``end`` per
     ``if``/``for``/``while`` block left open."""
     lines = split_newlines(text)
+    stripped = F.transform(lines, lambda l: F.struct(l.alias("line"), py_strip(l).alias("s")))
+    marked = F.transform(stripped, lambda x: F.struct(
+        x["line"].alias("line"),
+        _starts_with_any(x["s"], FIX_OPENERS).alias("opener"),
+        (x["s"] == "end").alias("is_end")))
     init = F.struct(F.lit(0).alias("d"), _empty_strings().alias("out"))
 
-    def step(acc, line):
-        s = py_strip(line)
-        opener = _starts_with_any(s, FIX_OPENERS)
-        is_end = s == "end"
-        d = (F.when(opener, acc["d"] + 1)
-             .when(is_end & (acc["d"] > 0), acc["d"] - 1)
+    def step(acc, x):
+        d = (F.when(x["opener"], acc["d"] + 1)
+             .when(x["is_end"] & (acc["d"] > 0), acc["d"] - 1)
              .otherwise(acc["d"]))
-        keep = opener | ~is_end | (acc["d"] > 0)
-        out = F.when(keep, F.concat(acc["out"], F.array(line))).otherwise(acc["out"])
+        keep = ~x["is_end"] | (acc["d"] > 0)
+        out = F.when(keep, F.concat(acc["out"], F.array(x["line"]))).otherwise(acc["out"])
         return F.struct(d.alias("d"), out.alias("out"))
 
     def finish(acc):
         return F.array_join(F.concat(acc["out"], F.array_repeat(F.lit("end"), acc["d"])), "\n")
 
-    return F.aggregate(lines, init, step, finish)
+    return F.aggregate(marked, init, step, finish)
 
 
 def close_first_completion(completions) -> Column:
@@ -108,19 +124,19 @@ def format_code(text) -> Column:
     clamped counter ``d`` is the whole state.
     """
     lines = splitlines(text)
+    stripped = F.transform(lines, py_strip)
+    marked = F.transform(stripped, lambda s: F.struct(
+        s.alias("s"), (s == "").alias("empty"), s.rlike(INLINE_BLOCK).alias("inline"),
+        s.rlike(DECREASE_PREFIX).alias("dec"), s.rlike(INCREASE_PREFIX).alias("inc")))
     init = F.struct(F.lit(0).alias("d"), _empty_strings().alias("out"))
 
-    def step(acc, line):
-        s = py_strip(line)
-        empty = s == ""
-        inline = s.rlike(INLINE_BLOCK)
-        dec = s.rlike(DECREASE_PREFIX)
-        inc = s.rlike(INCREASE_PREFIX)
-        d_before = F.when(dec, F.greatest(acc["d"] - 1, F.lit(0))).otherwise(acc["d"])
-        rendered = (F.when(empty, F.lit(""))
-                    .when(inline, F.concat(F.repeat(F.lit(" "), acc["d"] * INDENT_SIZE), s))
-                    .otherwise(F.concat(F.repeat(F.lit(" "), d_before * INDENT_SIZE), s)))
-        d = F.when(empty | inline, acc["d"]).otherwise(d_before + inc.cast("int"))
+    def step(acc, x):
+        same = x["empty"] | x["inline"]
+        d_before = F.when(same, acc["d"]).when(x["dec"], F.greatest(acc["d"] - 1, F.lit(0))) \
+            .otherwise(acc["d"])
+        rendered = F.when(x["empty"], F.lit("")).otherwise(
+            F.concat(F.repeat(F.lit(" "), d_before * INDENT_SIZE), x["s"]))
+        d = F.when(same, acc["d"]).otherwise(d_before + x["inc"].cast("int"))
         return F.struct(d.alias("d"), F.concat(acc["out"], F.array(rendered)).alias("out"))
 
     def finish(acc):
@@ -130,9 +146,9 @@ def format_code(text) -> Column:
             lambda _x, i: F.concat(F.repeat(F.lit(" "), (d - 1 - i) * INDENT_SIZE), F.lit("end")))
         return F.array_join(F.concat(acc["out"], closing), "\n")
 
-    out = F.aggregate(lines, init, step, finish)
-    for pattern, replacement in SPACING_RULES:
-        out = F.regexp_replace(out, pattern, replacement)
+    out = F.aggregate(marked, init, step, finish)
+    for core, replacement in SPACING_RULES:
+        out = F.regexp_replace(out, _linear(core), replacement)
     return out
 
 

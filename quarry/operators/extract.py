@@ -16,7 +16,9 @@ Supported subset (documented in the README):
   * docs: a line comment, a string literal (one line or triple-quoted),
     or a macro containing ``@doc`` directly before the header; any other
     macro gives an empty doc;
-  * a multi-line header (parameters over several lines) is not joined.
+  * a one-line ``function f(x) x end`` is a function with an empty body;
+  * a multi-line header (parameters over several lines) is not joined,
+    and the parameter list runs to the last ``)`` of the header line.
 """
 
 from __future__ import annotations
@@ -88,6 +90,7 @@ def classify_lines(lines: Column) -> Column:
             (r["opener"] & ~one_line).alias("open"),
             (r["closer"] & ~r["opener"]).alias("close"),
             (r["fn_start"] & ~one_line).alias("is_fn"),
+            (r["fn_start"] & one_line).alias("fn_one_line"),
             r["odd_q"].alias("odd_q"), (r["t"] == "").alias("blank"),
             (r["cmt_open"] & ~r["cmt_close"]).alias("cmt_open"), r["cmt_close"].alias("cmt_close"),
             (r["hash"] & ~r["cmt_open"]).alias("comment"), r["constraint"].alias("constraint"),
@@ -144,7 +147,13 @@ def find_functions(cls: Column) -> Column:
                  .otherwise(acc["stack"]))
         found = F.struct(top["hdr"].alias("hdr"), i.alias("end"), top["level"].alias("level"),
                          top["doc"].alias("doc"), top["header"].alias("header"))
-        fns = F.when(closes & top["is_fn"], F.concat(acc["fns"], F.array(found))).otherwise(acc["fns"])
+        one_liner = code & c["fn_one_line"]
+        single = F.struct(i.alias("hdr"), i.alias("end"), depth.alias("level"),
+                          _doc_for(acc["prev_kind"], acc["prev_text"]).alias("doc"),
+                          function_header(c["t"]).alias("header"))
+        fns = (F.when(closes & top["is_fn"], F.concat(acc["fns"], F.array(found)))
+               .when(one_liner, F.concat(acc["fns"], F.array(single)))
+               .otherwise(acc["fns"]))
 
         # strings and block comments spanning lines
         str_opens = code & c["odd_q"]
@@ -161,7 +170,7 @@ def find_functions(cls: Column) -> Column:
         prev_kind = (F.when(keep_prev, acc["prev_kind"])
                      .when(str_closes, acc["str_kind"])
                      .when(in_str | in_cmt | cmt_opens | str_opens, F.lit("other"))
-                     .when(opens | closes, F.lit("code"))
+                     .when(opens | closes | one_liner, F.lit("code"))
                      .otherwise(c["kind"]))
         prev_text = (F.when(keep_prev, acc["prev_text"])
                      .when(str_closes, joined)
@@ -195,8 +204,10 @@ def body_parts(body: Column, keep_comments: bool, keep_constraints: bool) -> Col
         delta = F.when(code & c["open"], 1).when(code & c["close"] & (d > 0), -1).otherwise(0)
         drop_macro = is_macro & F.lit(not keep_constraints)
         in_dropped = acc["pending"] > 0
-        pending = (F.when(drop_macro, F.greatest(delta + c["brackets"], F.lit(0)))
-                   .when(in_dropped, F.greatest(acc["pending"] + delta + c["brackets"], F.lit(0)))
+        # inside a dropped statement its own blocks and brackets are counted
+        own = F.when(code & c["open"], 1).when(code & c["close"], -1).otherwise(0) + c["brackets"]
+        pending = (F.when(drop_macro, F.greatest(own, F.lit(0)))
+                   .when(in_dropped, F.greatest(acc["pending"] + own, F.lit(0)))
                    .otherwise(F.lit(0)))
         keep = ~((is_comment & F.lit(not keep_comments)) | drop_macro | in_dropped)
         out = F.when(keep, F.concat(acc["out"], F.array(c["line"]))).otherwise(acc["out"])
@@ -225,7 +236,7 @@ def extract_functions(files: DataFrame, text_col: str = "text",
     with_fns = per_file.select(*keys, F.transform(find_functions(F.col("_cls")), lambda f: F.struct(
         f["hdr"].alias("line"), f["end"].alias("end_line"), f["level"].alias("level"),
         f["doc"].alias("doc_string"), f["header"].alias("function_header"),
-        body_parts(F.slice(F.col("_cls"), f["hdr"] + 1, f["end"] - f["hdr"] - 1),
+        body_parts(F.slice(F.col("_cls"), f["hdr"] + 1, F.greatest(f["end"] - f["hdr"] - 1, F.lit(0))),
                    keep_comments, keep_constraints).alias("parts"))).alias("_fns"))
     rows = with_fns.select(*keys, F.inline("_fns"))
     return rows.select(*keys, "line", "end_line", "level", "doc_string", "function_header",
