@@ -79,11 +79,14 @@ def f4_display_messages(spark, sf_dir):
 
 @register("f5_stream_history", HISTORY_SQL)
 def f5_stream_history(spark, sf_dir):
-    """Turn events arrive as 4 files; the stream appends them; the table is read back."""
+    """Turn events arrive in three waves (turns 0-1, 2-3, 4+), so a conversation's
+    history is spread over micro-batches and positions continue from stored state."""
     src, table, ckpt = (scratch_path(spark, n) for n in ("turn-events", "history", "history-ckpt"))
     turns = fx_turns(spark, sf_dir)
-    turns.repartition(4, (F.col("conv_id") % 4)).write.parquet(src)
-    q = sh.stream_history(spark, src, table, ckpt, files_per_batch=1)
+    wave = F.least((F.col("turn") / 2).cast("long"), F.lit(2))
+    for k in range(3):  # written one after another: the file source reads oldest first
+        turns.where(wave == k).write.mode("append").parquet(src)
+    q = sh.stream_history(spark, src, table, ckpt, files_per_batch=2)
     q.awaitTermination()
     return sh.read_history(spark, table)
 

@@ -1,19 +1,32 @@
 """conversation history maintained from a stream of submitted turns.
 
-Each micro-batch of turn events is filtered (F1) and appended to the
-history table under ``batch_id=<n>``; a replayed batch overwrites its own
-partition (dynamic partition overwrite), so the table is exactly-once
-with respect to the stream's checkpoint.  Reading the table gives the
-same history as the batch operator (F2).
+Turn events (files of ``conv_id, turn, role, text``) are read with a
+Structured Streaming file source.  Valid messages (F1) are grouped by
+conversation in each micro-batch; ``applyInPandasWithState`` keeps each
+conversation's message count in the state store and numbers the new
+messages after it, so every stored message carries its history position.
+Each micro-batch is written to its own ``batch_id=<n>`` partition with
+dynamic partition overwrite: a replayed batch rewrites only itself, so the
+table is exactly-once with respect to the stream's checkpoint.  Reading the
+table gives the same rows as the batch operator ``history_rows`` (F2) when
+each conversation's turns arrive in turn order.
+
+State per conversation is one counter; the rows of one conversation inside
+one micro-batch form one group, bounded by the micro-batch size
+(``files_per_batch``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
 
-from quarry.operators.conversations import DISPLAY_ROLES, history_rows, valid_user_turns
+from quarry.operators.conversations import DISPLAY_ROLES, valid_user_turns
 
 TURN_SCHEMA = T.StructType([
     T.StructField("conv_id", T.LongType()),
@@ -21,12 +34,32 @@ TURN_SCHEMA = T.StructType([
     T.StructField("role", T.StringType()),
     T.StructField("text", T.StringType()),
 ])
+HISTORY_SCHEMA = T.StructType([
+    T.StructField("conv_id", T.LongType()),
+    T.StructField("position", T.LongType()),
+    T.StructField("turn", T.LongType()),
+    T.StructField("role", T.StringType()),
+    T.StructField("content", T.StringType()),
+])
+STATE_SCHEMA = T.StructType([T.StructField("messages", T.LongType())])
+HISTORY_COLUMNS = [f.name for f in HISTORY_SCHEMA.fields]
+
+
+def _number_messages(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """Append this micro-batch's messages after those already stored."""
+    seen = state.get[0] if state.exists else 0
+    new = pd.concat(list(batches), ignore_index=True)
+    if new.empty:
+        return
+    new = new.sort_values("turn", kind="stable")
+    new["position"] = range(seen, seen + len(new))
+    state.update((seen + len(new),))
+    yield new[HISTORY_COLUMNS]
 
 
 def _append_batch(table_path: str):
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = valid_user_turns(batch).where(F.col("role").isin(DISPLAY_ROLES))
-        (rows.withColumn("batch_id", F.lit(batch_id).cast("long"))
+        (batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
          .write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id")
@@ -34,23 +67,31 @@ def _append_batch(table_path: str):
     return write
 
 
+def history_updates(events: DataFrame) -> DataFrame:
+    """Streaming ``conv_id, position, turn, role, content`` of newly stored messages."""
+    msgs = valid_user_turns(events).where(F.col("role").isin(DISPLAY_ROLES)) \
+        .select("conv_id", "turn", "role", F.col("text").alias("content"))
+    return msgs.groupBy("conv_id").applyInPandasWithState(
+        _number_messages, HISTORY_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+
+
 def stream_history(spark: SparkSession, source_dir: str, table_path: str, checkpoint: str,
                    files_per_batch: int = 1, fmt: str = "parquet",
                    available_now: bool = True):
     """Start the stream; returns the ``StreamingQuery``.
 
     ``available_now`` processes everything present, then stops (for batch
-    schedulers); otherwise it runs continuously.
+    schedulers); otherwise it runs continuously.  ``checkpoint`` and
+    ``table_path`` must be in a folder every executor and the driver share.
     """
     events = (spark.readStream.schema(TURN_SCHEMA).format(fmt)
               .option("maxFilesPerTrigger", files_per_batch).load(source_dir))
-    writer = (events.writeStream.foreachBatch(_append_batch(table_path))
+    writer = (history_updates(events).writeStream.foreachBatch(_append_batch(table_path))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start()
 
 
 def read_history(spark: SparkSession, table_path: str) -> DataFrame:
-    """The stored history in F2 long form (positions recomputed from the table)."""
-    stored = spark.read.parquet(table_path).drop("batch_id")
-    return history_rows(stored)
+    """The stored history in F2 long form."""
+    return spark.read.parquet(table_path).select(*HISTORY_COLUMNS)
