@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from quarry.functions.text import PY_WHITESPACE
 from quarry.operators import preprocess as pp
 from quarry.plans.fixtures import FX_FUNCTIONS_SQL, FX_PROMPTS_SQL, fx_functions, fx_prompts
@@ -129,6 +127,3 @@ def c10_select_corpus_baseline(spark, sf_dir):
 @register("c10_select_corpus_cleaned", _preprocess_sql(False))
 def c10_select_corpus_cleaned(spark, sf_dir):
     return pp.select_corpus("cleaned", fx_functions(spark, sf_dir), fx_prompts(spark, sf_dir))
-
-
-__all__ = ["F"]

@@ -1,7 +1,6 @@
 """Golden cases for completion repair and formatting (E3-E9), derived by hand."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import one
 from quarry.functions import code as C

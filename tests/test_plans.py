@@ -4,7 +4,6 @@ from conftest import SF001
 from quarry.functions import code as C
 from quarry.operators import extract as ex
 from quarry.plans import fixtures as fx
-from quarry.plans import queries_corpus as qc
 from quarry.plans.registry import QUERIES
 from quarry.sources import readers as rd
 

@@ -1,7 +1,6 @@
 """Statistics: check values and invariants."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import SF001
 from quarry.functions import stats

@@ -1,7 +1,6 @@
 """Text rules must follow Python's str.strip / str.splitlines / split exactly."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import one
 from quarry.functions import text as T
