@@ -53,7 +53,7 @@ def f2_build_history(spark, sf_dir):
 
 @register("f2_history_arrays", with_ctes(FX_TURNS_SQL, VALID_SQL) + """
 SELECT conv_id, CAST(count(*) AS INTEGER) AS messages,
-       to_json(list({'role': role, 'content': text} ORDER BY turn)) AS history
+       CAST(to_json(list({'role': role, 'content': text} ORDER BY turn)) AS VARCHAR) AS history
 FROM valid WHERE role IN ('user', 'assistant') GROUP BY conv_id""")
 def f2_history_arrays(spark, sf_dir):
     h = cv.build_history(fx_turns(spark, sf_dir))

@@ -11,6 +11,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as entry  # noqa: E402
 from conftest import SF001  # noqa: E402
 from oracle_check import TABLES, rows_key  # noqa: E402
+from type_check import SPARK_TO_DUCK  # noqa: E402
 
 ORACLES = entry.oracle_sql()
 
@@ -34,6 +35,10 @@ def test_query_matches_oracle(spark, con, name):
     df = entry.queries()[name](spark, SF001)
     cols = df.columns
     got = [tuple(r) for r in df.collect()]
+    rel = con.sql(ORACLES[name])
+    stypes = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+              for f in df.schema.fields}
+    assert stypes == {c: str(t) for c, t in zip(rel.columns, rel.types)}
     cur = con.execute(ORACLES[name])
     ocols = [d[0] for d in cur.description]
     assert sorted(cols) == sorted(ocols)
