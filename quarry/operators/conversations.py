@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.code import to_markdown
 from quarry.functions.text import col_, py_strip
+from quarry.operators.joins import maybe_broadcast
 from quarry.operators.ordering import with_global_index
 
 # Fixed values of the chat page.
@@ -21,6 +22,7 @@ APOLOGY = "I'm sorry, but I'm unable to assist with that request."
 ASSISTANT_NAME = "Philippe"          # default speaker name removed from displayed text
 USER_PREFIX = "You:"
 DISPLAY_ROLES = ["user", "assistant"]
+HISTORY_PAGE = 1000                  # messages per history row (build_history)
 
 
 def valid_user_turns(turns: DataFrame) -> DataFrame:
@@ -52,20 +54,24 @@ def history_rows(turns: DataFrame) -> DataFrame:
         .select("conv_id", "turn", "role", F.col("text").alias("content"))
     ranked = with_global_index(msgs, [F.col("conv_id"), F.col("turn")], name="_g")
     starts = ranked.groupBy("conv_id").agg(F.min("_g").alias("_start"))
-    return ranked.join(starts, "conv_id").select(
+    return ranked.join(maybe_broadcast(starts), "conv_id").select(
         "conv_id", (F.col("_g") - F.col("_start")).alias("position"), "turn", "role", "content")
 
 
-def build_history(turns: DataFrame) -> DataFrame:
-    """``conv_id, history`` with history = ordered ``array<struct<role, content>>``.
+def build_history(turns: DataFrame, page_size: int = HISTORY_PAGE) -> DataFrame:
+    """``conv_id, page, history``: the ordered ``array<struct<role, content>>``
+    of each conversation, cut into pages of at most ``page_size`` messages.
 
-    One row holds one whole conversation; use ``history_rows`` when a
-    conversation may be too large for one row.
+    Pages are grouped by ``(conv_id, position div page_size)``, so no group
+    holds more than ``page_size`` messages however long a conversation is;
+    concatenating a conversation's pages in ``page`` order gives its history.
     """
-    rows = valid_user_turns(turns).where(F.col("role").isin(DISPLAY_ROLES))
-    hist = rows.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("_h"))
-    return hist.select("conv_id", F.transform("_h", lambda m: F.struct(
+    if page_size < 1:
+        raise ValueError("page_size must be positive")
+    rows = history_rows(turns).withColumn("page", (F.col("position") / page_size).cast("long"))
+    hist = rows.groupBy("conv_id", "page").agg(
+        F.sort_array(F.collect_list(F.struct("position", "role", "content"))).alias("_h"))
+    return hist.select("conv_id", "page", F.transform("_h", lambda m: F.struct(
         m["role"].alias("role"), m["content"].alias("content"))).alias("history"))
 
 

@@ -51,13 +51,16 @@ def f2_build_history(spark, sf_dir):
     return cv.history_rows(fx_turns(spark, sf_dir))
 
 
-@register("f2_history_arrays", with_ctes(FX_TURNS_SQL, VALID_SQL) + """
-SELECT conv_id, CAST(count(*) AS INTEGER) AS messages,
-       CAST(to_json(list({'role': role, 'content': text} ORDER BY turn)) AS VARCHAR) AS history
-FROM valid WHERE role IN ('user', 'assistant') GROUP BY conv_id""")
+@register("f2_history_arrays", with_ctes(FX_TURNS_SQL, VALID_SQL) + f"""
+SELECT conv_id, CAST(position // {cv.HISTORY_PAGE} AS BIGINT) AS page, CAST(count(*) AS INTEGER) AS messages,
+       CAST(to_json(list({{'role': role, 'content': text}} ORDER BY turn)) AS VARCHAR) AS history
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position
+      FROM valid WHERE role IN ('user', 'assistant'))
+GROUP BY conv_id, position // {cv.HISTORY_PAGE}""")
 def f2_history_arrays(spark, sf_dir):
     h = cv.build_history(fx_turns(spark, sf_dir))
-    return h.select("conv_id", F.size("history").alias("messages"), F.to_json("history").alias("history"))
+    return h.select("conv_id", "page", F.size("history").alias("messages"),
+                    F.to_json("history").alias("history"))
 
 
 @register("f3_reply_or_fallback", with_ctes(FX_TURNS_SQL, VALID_SQL) + f"""

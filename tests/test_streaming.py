@@ -28,11 +28,14 @@ def test_stream_survives_restart(spark):
     assert got == want
 
 
-def test_history_arrays_match_rows(spark):
+def test_history_pages_match_rows(spark):
     turns = fx_turns(spark, SF001)
-    arrays = {r["conv_id"]: [(m["role"], m["content"]) for m in r["history"]]
-              for r in cv.build_history(turns).collect()}
     rows = {}
     for r in cv.history_rows(turns).orderBy("conv_id", "position").collect():
         rows.setdefault(r["conv_id"], []).append((r["role"], r["content"]))
-    assert arrays == rows
+    for size in (1000, 3):
+        pages = {}
+        for r in cv.build_history(turns, page_size=size).orderBy("conv_id", "page").collect():
+            assert len(r["history"]) <= size
+            pages.setdefault(r["conv_id"], []).extend((m["role"], m["content"]) for m in r["history"])
+        assert pages == rows
