@@ -41,7 +41,7 @@ def passed_status(status) -> Column:
 
 def result_rows(docs: DataFrame) -> DataFrame:
     """G1: nested result documents -> ``problem, prompt, prediction, passed``."""
-    first = F.element_at(F.col("results"), 1)
+    first = F.try_element_at(F.col("results"), F.lit(1))  # no result: null prediction
     extra = [c for c in ("model",) if c in docs.columns]
     return docs.select(
         *extra,

@@ -2,23 +2,27 @@
 
 Extraction is re-aimed from a syntax-tree library to line classification:
 each file row is walked once with a higher-order ``aggregate`` whose
-state is a small block stack, the previous sibling line (for docs) and
-the functions found so far.  Files are below 1 MiB (A4), so the walk is
-bounded per row, and the job is map-only: the corpus text is never
-shuffled.
+state is a small block stack, the bracket depth, the previous sibling
+line (for docs) and the functions found so far.  Files are below 1 MiB
+(A4), so the walk is bounded per row, and the job is map-only: the corpus
+text is never shuffled.
 
 Supported subset (documented in the README):
   * block openers at the start of a line (after optional ``@macro``
-    prefixes), after an assignment (``x = if``), and trailing ``do``/
-    ``begin``; a line that opens and also ends with ``end`` is one-line;
-  * ``end`` closes a block when it starts a line;
-  * triple-quoted strings and ``#= =#`` comments are skipped;
+    prefixes, also ``Mod.@macro``), after an assignment (``x = if``), a
+    ``do`` block, and a trailing ``begin``; a line that opens and also
+    ends with ``end`` is one-line; ``end`` closes a block when it starts a
+    line;
+  * inside open brackets, ``for``/``if`` at line start are comprehension
+    clauses, not blocks;
+  * strings are blanked and trailing comments removed before a line is
+    classified; triple-quoted strings and ``#= =#`` comments are skipped;
   * docs: a line comment, a string literal (one line or triple-quoted),
     or a macro containing ``@doc`` directly before the header; any other
     macro gives an empty doc;
-  * a one-line ``function f(x) x end`` is a function with an empty body;
-  * a multi-line header (parameters over several lines) is not joined,
-    and the parameter list runs to the last ``)`` of the header line.
+  * a header whose parameter list spans lines is joined with its
+    continuation lines; the body starts after the closing bracket;
+  * a one-line ``function f(x) x end`` is a function with an empty body.
 """
 
 from __future__ import annotations
@@ -29,18 +33,23 @@ from pyspark.sql import functions as F
 from quarry.functions.text import py_strip, split_newlines
 
 # The block keywords and the macros treated as constraints.
-BLOCK_START = (r"^(@[\w.]+\s+)*(function|if|for|while|begin|try|let|struct|mutable\s+struct|"
-               r"abstract\s+type|primitive\s+type|module|baremodule|macro|quote)\b")
-BLOCK_AFTER_ASSIGN = r"^[^#\"]*[^=!<>]=\s*(function|if|begin|let|try|quote)\b"
-BLOCK_TAIL = r"(\bdo\b[^#\"]*|\bbegin\s*)$"
+MACRO_PREFIX = r"^([\w.]*@[\w.!]+\s+)*"
+BLOCK_KEYWORDS = (r"function|if|for|while|begin|try|let|struct|mutable\s+struct|abstract\s+type|"
+                  r"primitive\s+type|module|baremodule|macro|quote")
+BLOCK_START = MACRO_PREFIX + "(" + BLOCK_KEYWORDS + r")\b"
+CLAUSE_START = MACRO_PREFIX + r"(for|if)\b"
+BLOCK_AFTER_ASSIGN = r"[^=!<>]=\s*(function|if|begin|let|try|quote)\b"
+BLOCK_TAIL = r"(\bdo\b|\bbegin$)"
 BLOCK_END = r"^end\b"
-ONE_LINE_END = r"\bend\W*$"
-FUNCTION_START = r"^(@[\w.]+\s+)*function\s"
+ONE_LINE_END = r"\bend[\s;,)]*$"
+FUNCTION_START = MACRO_PREFIX + r"function\s"
 CONSTRAINT_MACROS = ["@debug", "@info", "@variable", "@constraint", "@objective"]
 TRIPLE_QUOTE = '"""'
+STRING_LITERAL = r'"(?:[^"\\]|\\.)*"'
+CHAR_LITERAL = r"'(?:[^'\\]|\\.)'"
 
-_NODE = "struct<is_fn:boolean,hdr:int,level:int,doc:string,header:string>"
-_FN = "struct<hdr:int,end:int,level:int,doc:string,header:string>"
+_NODE = "struct<is_fn:boolean,hdr:int,level:int,doc:string,header:string,body_start:int>"
+_FN = "struct<hdr:int,end:int,level:int,doc:string,header:string,body_start:int>"
 
 
 def _count(s: Column, token: str) -> Column:
@@ -48,18 +57,28 @@ def _count(s: Column, token: str) -> Column:
     return ((F.length(s) - F.length(F.replace(s, F.lit(token), F.lit("")))) / len(token)).cast("int")
 
 
+def code_part(t: Column) -> Column:
+    """A stripped line with string and char literals blanked and the comment removed."""
+    blanked = F.regexp_replace(F.regexp_replace(t, STRING_LITERAL, '""'), CHAR_LITERAL, "''")
+    return py_strip(F.regexp_replace(blanked, "#.*$", ""))
+
+
 def _raw_flags(t: Column) -> Column:
     """Every regex test of a stripped line, each evaluated once."""
-    brackets = _count(t, "(") + _count(t, "[") - _count(t, ")") - _count(t, "]")
+    code = code_part(t)
+    brackets = (_count(code, "(") + _count(code, "[") + _count(code, "{")
+                - _count(code, ")") - _count(code, "]") - _count(code, "}"))
     macro = F.lit(False)
     for m in CONSTRAINT_MACROS:
         macro = macro | t.startswith(m)
     return F.struct(
         t.alias("t"),
-        (t.rlike(BLOCK_START) | t.rlike(BLOCK_AFTER_ASSIGN) | t.rlike(BLOCK_TAIL)).alias("opener"),
-        t.rlike(BLOCK_END).alias("closer"),
-        t.rlike(ONE_LINE_END).alias("ends_end"),
-        t.rlike(FUNCTION_START).alias("fn_start"),
+        code.rlike(BLOCK_START).alias("start"),
+        code.rlike(CLAUSE_START).alias("clause"),
+        (code.rlike(BLOCK_AFTER_ASSIGN) | code.rlike(BLOCK_TAIL)).alias("inner"),
+        code.rlike(BLOCK_END).alias("closer"),
+        code.rlike(ONE_LINE_END).alias("ends_end"),
+        code.rlike(FUNCTION_START).alias("fn_start"),
         ((_count(t, TRIPLE_QUOTE) % 2) == 1).alias("odd_q"),
         t.startswith("#").alias("hash"),
         t.startswith("#=").alias("cmt_open"),
@@ -73,19 +92,22 @@ def _raw_flags(t: Column) -> Column:
 def classify_lines(lines: Column) -> Column:
     """Per-line classification (one pass; the walks below only read fields).
 
-    ``open``/``close`` are the block effect of a line outside strings and
-    comments: a line that opens and also ends with ``end`` is one-line.
+    ``open`` is a block opened by the line unless it also ends with ``end``;
+    ``open_in_brackets`` is the same for a line that starts inside open
+    brackets, where ``for``/``if`` are comprehension clauses.
     """
     raw = F.transform(F.transform(lines, py_strip), _raw_flags)
 
     def derive(r, line):
-        one_line = r["opener"] & ~r["closer"] & r["ends_end"]
+        opener = r["start"] | r["inner"]
+        one_line = opener & ~r["closer"] & r["ends_end"]
         kind = (F.when(r["hash"], F.lit("comment")).when(r["quote"], F.lit("string"))
                 .when(r["at"], F.lit("macro")).otherwise(F.lit("code")))
         return F.struct(
             line.alias("line"), r["t"].alias("t"),
-            (r["opener"] & ~one_line).alias("open"),
-            (r["closer"] & ~r["opener"]).alias("close"),
+            (opener & ~one_line).alias("open"),
+            ((r["inner"] | (r["start"] & ~r["clause"])) & ~one_line).alias("open_in_brackets"),
+            (r["closer"] & ~opener).alias("close"),
             (r["fn_start"] & ~one_line).alias("is_fn"),
             (r["fn_start"] & one_line).alias("fn_one_line"),
             r["odd_q"].alias("odd_q"), (r["t"] == "").alias("blank"),
@@ -98,12 +120,18 @@ def classify_lines(lines: Column) -> Column:
 
 
 def function_header(t: Column) -> Column:
-    """B3: "function " + name + parameter list of a header line."""
-    rest = F.regexp_replace(t, r"^(@[\w.]+\s+)*function\s+", "")
+    """B3: "function " + name + parameter list of a header line.
+
+    With unclosed brackets the list runs to the end of the line (the
+    continuation lines are appended by the walk); otherwise to the last ``)``.
+    """
+    rest = F.regexp_replace(t, r"^([\w.]*@[\w.!]+\s+)*function\s+", "")
     name = py_strip(F.substring_index(rest, "(", 1))
-    has_params = F.instr(rest, "(") > 0
-    params = F.regexp_extract(rest, r"(\(.*\))", 1)
-    return F.concat(F.lit("function "), name, F.when(has_params, params).otherwise(F.lit("")))
+    at = F.instr(rest, "(")
+    unbalanced = _count(rest, "(") > _count(rest, ")")
+    params = F.when(unbalanced, F.rtrim(F.substring(rest, at, 1 << 30))) \
+        .otherwise(F.regexp_extract(rest, r"(\(.*\))", 1))
+    return F.concat(F.lit("function "), name, F.when(at > 0, params).otherwise(F.lit("")))
 
 
 def _doc_for(prev_kind: Column, prev_text: Column) -> Column:
@@ -114,10 +142,11 @@ def _doc_for(prev_kind: Column, prev_text: Column) -> Column:
 
 
 def find_functions(cls: Column) -> Column:
-    """B1 + B2 + B3: ``array<struct<hdr,end,level,doc,header>>`` for one file.
+    """B1 + B2 + B3: ``array<struct<hdr,end,level,doc,header,body_start>>`` for one file.
 
-    ``cls`` is ``classify_lines(lines)``.  ``hdr``/``end`` are 1-based line
-    numbers; ``level`` is the number of blocks open around the header.
+    ``cls`` is ``classify_lines(lines)``.  ``hdr``/``end``/``body_start``
+    are 1-based line numbers; ``level`` is the number of blocks open
+    around the header.
     """
     init = F.struct(
         F.lit(0).alias("i"),
@@ -125,6 +154,7 @@ def find_functions(cls: Column) -> Column:
         F.lit(False).alias("in_str"), F.lit(False).alias("in_cmt"),
         F.lit(0).alias("str_start"), F.lit("").alias("str_kind"),
         F.lit("none").alias("prev_kind"), F.lit("").alias("prev_text"),
+        F.lit(0).alias("br"), F.lit(False).alias("hdr_pending"), F.lit(0).alias("hdr_br"),
         F.array().cast(f"array<{_FN}>").alias("fns"))
 
     def step(acc, c):
@@ -133,24 +163,41 @@ def find_functions(cls: Column) -> Column:
         code = ~in_str & ~in_cmt
         depth = F.size(acc["stack"])
         top = F.try_element_at(acc["stack"], F.lit(-1))
-        opens = code & c["open"]
-        closes = code & c["close"] & (depth > 0)
+        br_after = F.when(code, F.greatest(acc["br"] + c["brackets"], F.lit(0))).otherwise(acc["br"])
+        cont = acc["hdr_pending"] & code
+        block_open = F.when(acc["br"] > 0, c["open_in_brackets"]).otherwise(c["open"])
+        opens = code & ~cont & block_open
+        closes = code & ~cont & c["close"] & (depth > 0)
+        is_fn = opens & c["is_fn"]
+        multi_hdr = is_fn & (br_after > acc["br"])
+        doc = _doc_for(acc["prev_kind"], acc["prev_text"])
         node = F.struct(
-            (opens & c["is_fn"]).alias("is_fn"), i.alias("hdr"), depth.alias("level"),
-            _doc_for(acc["prev_kind"], acc["prev_text"]).alias("doc"),
-            F.when(c["is_fn"], function_header(c["t"])).otherwise(F.lit("")).alias("header"))
-        stack = (F.when(opens, F.concat(acc["stack"], F.array(node)))
+            is_fn.alias("is_fn"), i.alias("hdr"), depth.alias("level"), doc.alias("doc"),
+            F.when(c["is_fn"], function_header(c["t"])).otherwise(F.lit("")).alias("header"),
+            (i + 1).alias("body_start"))
+        hdr_done = cont & (br_after <= acc["hdr_br"])
+        piece = F.when(hdr_done, F.regexp_extract(F.rtrim(c["line"]), r"^(.*\))", 1)) \
+            .otherwise(F.rtrim(c["line"]))
+        extended = F.struct(
+            top["is_fn"].alias("is_fn"), top["hdr"].alias("hdr"), top["level"].alias("level"),
+            top["doc"].alias("doc"), F.concat(top["header"], F.lit("\n"), piece).alias("header"),
+            (i + 1).alias("body_start"))
+        stack = (F.when(cont, F.concat(F.slice(acc["stack"], 1, depth - 1), F.array(extended)))
+                 .when(opens, F.concat(acc["stack"], F.array(node)))
                  .when(closes, F.slice(acc["stack"], 1, depth - 1))
                  .otherwise(acc["stack"]))
         found = F.struct(top["hdr"].alias("hdr"), i.alias("end"), top["level"].alias("level"),
-                         top["doc"].alias("doc"), top["header"].alias("header"))
-        one_liner = code & c["fn_one_line"]
-        single = F.struct(i.alias("hdr"), i.alias("end"), depth.alias("level"),
-                          _doc_for(acc["prev_kind"], acc["prev_text"]).alias("doc"),
-                          function_header(c["t"]).alias("header"))
+                         top["doc"].alias("doc"), top["header"].alias("header"),
+                         top["body_start"].alias("body_start"))
+        one_liner = code & ~cont & c["fn_one_line"]
+        single = F.struct(i.alias("hdr"), i.alias("end"), depth.alias("level"), doc.alias("doc"),
+                          function_header(c["t"]).alias("header"), (i + 1).alias("body_start"))
         fns = (F.when(closes & top["is_fn"], F.concat(acc["fns"], F.array(found)))
                .when(one_liner, F.concat(acc["fns"], F.array(single)))
                .otherwise(acc["fns"]))
+        hdr_pending = F.when(multi_hdr, F.lit(True)).when(hdr_done, F.lit(False)) \
+            .otherwise(acc["hdr_pending"])
+        hdr_br = F.when(multi_hdr, acc["br"]).otherwise(acc["hdr_br"])
 
         # strings and block comments spanning lines
         str_opens = code & c["odd_q"]
@@ -167,7 +214,7 @@ def find_functions(cls: Column) -> Column:
         prev_kind = (F.when(keep_prev, acc["prev_kind"])
                      .when(str_closes, acc["str_kind"])
                      .when(in_str | in_cmt | cmt_opens | str_opens, F.lit("other"))
-                     .when(opens | closes | one_liner, F.lit("code"))
+                     .when(opens | closes | one_liner | cont | (acc["br"] > 0), F.lit("code"))
                      .otherwise(c["kind"]))
         prev_text = (F.when(keep_prev, acc["prev_text"])
                      .when(str_closes, joined)
@@ -175,7 +222,8 @@ def find_functions(cls: Column) -> Column:
         return F.struct(i.alias("i"), stack.alias("stack"), new_in_str.alias("in_str"),
                         new_in_cmt.alias("in_cmt"), str_start.alias("str_start"),
                         str_kind.alias("str_kind"), prev_kind.alias("prev_kind"),
-                        prev_text.alias("prev_text"), fns.alias("fns"))
+                        prev_text.alias("prev_text"), br_after.alias("br"),
+                        hdr_pending.alias("hdr_pending"), hdr_br.alias("hdr_br"), fns.alias("fns"))
 
     return F.aggregate(cls, init, step, lambda acc: acc["fns"])
 
@@ -185,9 +233,10 @@ def body_parts(body: Column, keep_comments: bool, keep_constraints: bool) -> Col
 
     ``body`` is the slice of ``classify_lines`` between header and ``end``.
     Returns ``struct<body:string, has_internal_comments:boolean, has_constraints:boolean>``.
-    A dropped macro that opens blocks or brackets is dropped through its end.
+    A line is top level when no block or bracket of the body is open.  A
+    dropped macro that opens blocks or brackets is dropped through its end.
     """
-    init = F.struct(F.lit(0).alias("d"), F.lit(False).alias("in_str"),
+    init = F.struct(F.lit(0).alias("d"), F.lit(0).alias("br"), F.lit(False).alias("in_str"),
                     F.lit(0).alias("pending"), F.lit(False).alias("hc"), F.lit(False).alias("hk"),
                     F.array().cast("array<string>").alias("out"))
 
@@ -195,21 +244,24 @@ def body_parts(body: Column, keep_comments: bool, keep_constraints: bool) -> Col
         in_str = acc["in_str"]
         code = ~in_str
         d = acc["d"]
-        top = code & (d == 0) & (acc["pending"] == 0)
+        block_open = F.when(acc["br"] > 0, c["open_in_brackets"]).otherwise(c["open"])
+        top = code & (d == 0) & (acc["br"] == 0) & (acc["pending"] == 0)
         is_comment = top & c["comment"]
         is_macro = top & c["constraint"]
-        delta = F.when(code & c["open"], 1).when(code & c["close"] & (d > 0), -1).otherwise(0)
+        delta = F.when(code & block_open, 1).when(code & c["close"] & (d > 0), -1).otherwise(0)
         drop_macro = is_macro & F.lit(not keep_constraints)
         in_dropped = acc["pending"] > 0
         # inside a dropped statement its own blocks and brackets are counted
-        own = F.when(code & c["open"], 1).when(code & c["close"], -1).otherwise(0) + c["brackets"]
+        own = F.when(code & block_open, 1).when(code & c["close"], -1).otherwise(0) + c["brackets"]
         pending = (F.when(drop_macro, F.greatest(own, F.lit(0)))
                    .when(in_dropped, F.greatest(acc["pending"] + own, F.lit(0)))
                    .otherwise(F.lit(0)))
         keep = ~((is_comment & F.lit(not keep_comments)) | drop_macro | in_dropped)
         out = F.when(keep, F.concat(acc["out"], F.array(c["line"]))).otherwise(acc["out"])
+        skip = in_dropped | drop_macro | ~code
         return F.struct(
-            F.when(in_dropped | drop_macro, d).otherwise(d + delta).alias("d"),
+            F.when(skip, d).otherwise(d + delta).alias("d"),
+            F.when(skip, acc["br"]).otherwise(F.greatest(acc["br"] + c["brackets"], F.lit(0))).alias("br"),
             F.when(c["odd_q"], ~in_str).otherwise(in_str).alias("in_str"),
             pending.alias("pending"),
             (acc["hc"] | is_comment).alias("hc"), (acc["hk"] | is_macro).alias("hk"),
@@ -233,7 +285,8 @@ def extract_functions(files: DataFrame, text_col: str = "text",
     with_fns = per_file.select(*keys, F.transform(find_functions(F.col("_cls")), lambda f: F.struct(
         f["hdr"].alias("line"), f["end"].alias("end_line"), f["level"].alias("level"),
         f["doc"].alias("doc_string"), f["header"].alias("function_header"),
-        body_parts(F.slice(F.col("_cls"), f["hdr"] + 1, F.greatest(f["end"] - f["hdr"] - 1, F.lit(0))),
+        body_parts(F.slice(F.col("_cls"), f["body_start"],
+                           F.greatest(f["end"] - f["body_start"], F.lit(0))),
                    keep_comments, keep_constraints).alias("parts"))).alias("_fns"))
     rows = with_fns.select(*keys, F.inline("_fns"))
     return rows.select(*keys, "line", "end_line", "level", "doc_string", "function_header",

@@ -121,3 +121,56 @@ def test_unbalanced_end_is_ignored(spark):
     files = spark.createDataFrame([("a.jl", "end\nfunction a()\n  1\nend\nend")], "path string, text string")
     rows = ex.extract_functions(files).collect()
     assert [(r["function_header"], r["function_body"]) for r in rows] == [("function a()", "  1")]
+
+
+REAL = '''function squares(xs)
+    ys = [x^2
+          for x in xs
+          if x > 0]
+    if isempty(ys) ys = [0] end  # nothing left
+    return ys
+end
+
+function long_signature(a::Int,
+                        b::Vector{Float64};
+                        c = "(not a bracket",
+                        d = 2)::Float64
+    Threads.@threads for i in eachindex(b)
+        b[i] += a
+    end
+    first = b[begin]
+    s = "if this were code"
+    foo(map(b) do v
+        v + 1
+    end)
+    bar(a,
+        # inside the call, not a top-level comment
+        d)
+    return first
+end
+'''
+
+
+@pytest.fixture(scope="module")
+def real_functions(spark):
+    files = spark.createDataFrame([("r.jl", REAL)], "path string, text string")
+    rows = ex.extract_functions(files, keep_comments=False).collect()
+    return {r["function_header"].split("(")[0]: r for r in rows}
+
+
+def test_comprehension_and_trailing_comment(real_functions):
+    sq = real_functions["function squares"]
+    assert (sq["line"], sq["end_line"]) == (1, 7)
+    assert sq["function_body"].endswith("    return ys")
+
+
+def test_multi_line_signature(real_functions):
+    f = real_functions["function long_signature"]
+    assert f["function_header"] == (
+        'function long_signature(a::Int,\n                        b::Vector{Float64};\n'
+        '                        c = "(not a bracket",\n                        d = 2)')
+    assert (f["line"], f["end_line"]) == (9, 25)
+    assert f["function_body"].startswith("    Threads.@threads for i in eachindex(b)")
+    assert "# inside the call" in f["function_body"]     # not top level: never stripped
+    assert not f["has_internal_comments"]
+    assert set(real_functions) == {"function squares", "function long_signature"}
