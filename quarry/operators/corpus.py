@@ -65,7 +65,10 @@ def build_vocab(texts: DataFrame, size: int, text_col: str = "text") -> DataFram
     corpus costs one row per partition in the shuffle.  The top-k keeps
     ``size`` rows per task; ids come from a window over those ``size`` rows.
     """
-    counts = (texts.select(F.explode(tokenize(text_col)).alias("token"))
+    # explode_outer: a plain explode would infer a size(tokens) > 0 filter that
+    # tokenizes every text a second time
+    counts = (texts.select(F.explode_outer(tokenize(text_col)).alias("token"))
+              .where(F.col("token").isNotNull())
               .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
     top = counts.orderBy(F.col("count").desc(), F.col("token")).limit(size)
     from pyspark.sql import Window
@@ -129,7 +132,8 @@ def preview_tokens(corpus: DataFrame, vocab: DataFrame, n: int | None = None,
                    id_col: str = "id", sep: str = " ") -> DataFrame:
     """Decode ids back to tokens (pads included) for inspection; ``n`` rows if given."""
     rows = corpus.orderBy(id_col).limit(n) if n is not None else corpus
-    exploded = rows.select(id_col, F.posexplode("input_ids").alias("_pos", "_tid"))
+    exploded = rows.select(id_col, F.posexplode_outer("input_ids").alias("_pos", "_tid")) \
+        .where(F.col("_pos").isNotNull())
     named = exploded.join(F.broadcast(vocab.select(F.col("id").alias("_tid"), "token")), "_tid", "left")
     return (named.groupBy(id_col)
             .agg(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("token", F.lit(UNK_TOKEN)).alias("t"))))

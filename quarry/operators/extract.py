@@ -288,7 +288,9 @@ def extract_functions(files: DataFrame, text_col: str = "text",
         body_parts(F.slice(F.col("_cls"), f["body_start"],
                            F.greatest(f["end"] - f["body_start"], F.lit(0))),
                    keep_comments, keep_constraints).alias("parts"))).alias("_fns"))
-    rows = with_fns.select(*keys, F.inline("_fns"))
+    # inline_outer: a plain inline makes the optimizer infer a size(_fns) > 0
+    # filter below this projection, evaluating the whole walk a second time
+    rows = with_fns.select(*keys, F.inline_outer("_fns")).where(F.col("line").isNotNull())
     return rows.select(*keys, "line", "end_line", "level", "doc_string", "function_header",
                        F.col("parts.body").alias("function_body"),
                        F.col("parts.has_internal_comments").alias("has_internal_comments"),

@@ -79,7 +79,7 @@ SELECT 'repo_' || source || '/doc_' || CAST(doc_id AS VARCHAR) || '.jl' AS path,
 FROM documents WHERE doc_id % 6 = 0""")
 def b3_function_header(spark, sf_dir):
     files = fx_source_files(spark, sf_dir)
-    lines = files.select("path", F.posexplode(split_newlines("text")).alias("pos", "line"))
+    lines = files.select("path", F.posexplode_outer(split_newlines("text")).alias("pos", "line"))
     headers = lines.where(F.col("line").rlike(r"^\s*function\s"))
     return headers.select("path", ex.function_header(F.trim("line")).alias("function_header"))
 
