@@ -77,13 +77,19 @@ def history_updates(events: DataFrame) -> DataFrame:
 
 def stream_history(spark: SparkSession, source_dir: str, table_path: str, checkpoint: str,
                    files_per_batch: int = 1, fmt: str = "parquet",
-                   available_now: bool = True):
+                   available_now: bool = True, state_partitions: int | None = None):
     """Start the stream; returns the ``StreamingQuery``.
 
     ``available_now`` processes everything present, then stops (for batch
     schedulers); otherwise it runs continuously.  ``checkpoint`` and
     ``table_path`` must be in a folder every executor and the driver share.
+    ``state_partitions`` fixes the number of state-store partitions when
+    the stream is first started (default: the session's shuffle partitions);
+    a restarted stream keeps the number recorded in its checkpoint.
     """
+    if state_partitions is not None:
+        spark = spark.newSession()
+        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
     events = (spark.readStream.schema(TURN_SCHEMA).format(fmt)
               .option("maxFilesPerTrigger", files_per_batch).load(source_dir))
     writer = (history_updates(events).writeStream.foreachBatch(_append_batch(table_path))

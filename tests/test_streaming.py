@@ -17,7 +17,7 @@ def test_stream_survives_restart(spark):
     first, second = turns.where(F.col("turn") < 3), turns.where(F.col("turn") >= 3)
 
     first.write.parquet(src)
-    sh.stream_history(spark, src, table, ckpt, files_per_batch=3).awaitTermination()
+    sh.stream_history(spark, src, table, ckpt, files_per_batch=3, state_partitions=4).awaitTermination()
     partial = sh.read_history(spark, table).count()
 
     second.write.mode("append").parquet(src)      # new events; same checkpoint
