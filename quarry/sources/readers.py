@@ -80,9 +80,7 @@ def corpus_files(spark: SparkSession, root: str, repos: DataFrame | None = None,
              .option("recursiveFileLookup", "true")
              .load(root)
              .where(F.col("length") < limit))
-    prefix = _root_uri(root) + "/"
-    rel = F.when(F.col("path").startswith(prefix),
-                 F.substring(F.col("path"), len(prefix) + 1, 1 << 30)).otherwise(F.col("path"))
+    rel = relative_path(F.col("path"), root)
     cols = [F.substring_index(rel, "/", 1).alias("repo_dir"), rel.alias("path"), F.col("length")]
     if with_content:
         cols.append(F.col("content"))
@@ -145,5 +143,19 @@ def read_completion_docs(spark: SparkSession, root: str, schema: T.StructType) -
             .option("recursiveFileLookup", "true")
             .option("pathGlobFilter", "*.gz")
             .json(root)
-            .withColumn("file_name", F.col("_metadata.file_name")))
+            .withColumn("file_name", F.col("_metadata.file_name"))
+            .withColumn("rel_path", relative_path(F.col("_metadata.file_path"), root)))
     return docs.where(~F.col("file_name").contains(".results"))
+
+
+def relative_path(path, root: str) -> Column:
+    """A file path relative to ``root`` (the path itself when outside it)."""
+    prefix = _root_uri(root) + "/"
+    # Spark writes local paths as file:/x; accept the file:///x spelling too
+    prefixes = [prefix] + ([prefix.replace("file:/", "file:///", 1)]
+                           if prefix.startswith("file:/") and not prefix.startswith("file://") else [])
+    p = col_(path)
+    out = p
+    for pre in reversed(prefixes):
+        out = F.when(p.startswith(pre), F.substring(p, len(pre) + 1, 1 << 30)).otherwise(out)
+    return out

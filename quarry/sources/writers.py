@@ -118,13 +118,13 @@ def rewrite_completions(spark: SparkSession, in_dir: str, out_dir: str,
 
     Reads every ``*.gz`` below ``in_dir`` whose name lacks ``.results``
     and writes gzip JSON to ``out_dir`` (never in place).  With
-    ``one_file_per_doc`` each document keeps its file name.
+    ``one_file_per_doc`` each document keeps its path relative to ``in_dir``.
     """
     docs = read_completion_docs(spark, in_dir, schema)
     fixed = docs.withColumn("completions", code.close_first_completion("completions"))
     fields = [f.name for f in schema.fields]
     if one_file_per_doc:
-        payload = fixed.select(F.col("file_name").alias("path"),
+        payload = fixed.select(F.col("rel_path").alias("path"),
                                F.encode(F.to_json(F.struct(*fields)), "UTF-8").alias("content"))
         write_file_tree(payload, out_dir, compress="gzip")
     else:

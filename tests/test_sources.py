@@ -55,7 +55,7 @@ def test_result_docs_and_completion_rewrite(spark):
     assert [(r["problem"], r["prediction"], r["passed"]) for r in rows] == [("HumanEval_7_x", "body", True)]
     out = tempfile.mkdtemp(prefix="quarry-out-", dir="/tmp")
     wr.rewrite_completions(spark, root, out)
-    with gzip.open(os.path.join(out, "HumanEval_7_x.json.gz")) as fh:
+    with gzip.open(os.path.join(out, "m", "HumanEval_7_x.json.gz")) as fh:
         written = json.load(fh)
     assert written["completions"] == ["if a\nx\nend\nend", "keep"]
     # the input is left untouched
