@@ -305,3 +305,19 @@ def extract_corpus(files: DataFrame, keep_comments: bool = True, keep_constraint
                    text_col: str = "text") -> DataFrame:
     """Function records of all files in one table (``repo``/``path`` kept)."""
     return extract_functions(files, text_col, keep_comments, keep_constraints)
+
+
+def extract_corpus_from_tree(spark, root: str, repo_list_path: str, deny: DataFrame | None = None,
+                             keep_comments: bool = True, keep_constraints: bool = True,
+                             suffix: str = ".jl", limit: int = 1024 * 1024) -> DataFrame:
+    """B7 end to end: A1 repo list -> A3 exclusion -> A4 files -> A5 text -> B1-B6.
+
+    One plan over all repositories: the listing is filtered by size at the
+    file index, repositories are a semi join, and extraction is map-only.
+    """
+    from quarry.operators.repos import exclude_repos
+    from quarry.sources.readers import read_source_texts, repo_list
+
+    repos = exclude_repos(repo_list(spark, repo_list_path), deny)
+    texts = read_source_texts(spark, root, repos, suffix=suffix, limit=limit)
+    return extract_functions(texts, "text", keep_comments, keep_constraints)

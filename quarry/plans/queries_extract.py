@@ -107,3 +107,33 @@ def b7_extract_corpus(spark, sf_dir):
     out = ex.extract_corpus(fx_source_files(spark, sf_dir), keep_comments=False,
                             keep_constraints=False)
     return out.select(*ex.FUNCTION_RECORD, "repo")
+
+
+def _tree_and_list(spark, sf_dir):
+    """Write the source files as a tree and the repository list as page files."""
+    from quarry.session import scratch_path
+    from quarry.sources.writers import write_file_tree
+    base = scratch_path(spark, "source-tree").replace("file:", "", 1)
+    files = fx_source_files(spark, sf_dir)
+    write_file_tree(files.select("path", F.encode("text", "UTF-8").alias("content")), base + "/tree")
+    listed = (files.select(F.concat(F.lit("repo/"), F.col("repo")).alias("name")).distinct()
+              .where(F.substring_index("name", "src", -1).cast("int") % 4 != 3))
+    page_no = (F.substring_index("name", "src", -1).cast("long") / 100).cast("long")
+    pages = listed.groupBy(page_no.alias("page")).agg(
+        F.to_json(F.struct(F.collect_list(F.struct("name")).alias("items"))).alias("j"))
+    write_file_tree(pages.select(F.concat(F.lit("repos_"), F.col("page").cast("string"), F.lit(".json")).alias("path"),
+                                 F.encode("j", "UTF-8").alias("content")), base + "/list")
+    return base + "/tree", base + "/list"
+
+
+@register("b7_extract_corpus_tree", f"""
+SELECT 'repo_' || repo AS repo_dir, path, line, end_line, level, doc_string, function_header, function_body,
+       has_internal_comments, has_constraints
+FROM ({expected_functions_sql(False, False)})
+WHERE CAST(split_part(repo, 'src', 2) AS INTEGER) % 4 <> 3 AND repo <> 'src5'""")
+def b7_extract_corpus_tree(spark, sf_dir):
+    """Repository list pages of at most 100 names; one deny-listed repository."""
+    from quarry.operators.repos import EXCLUDED_REPOS
+    tree, lst = _tree_and_list(spark, sf_dir)
+    deny = spark.createDataFrame([(n,) for n in EXCLUDED_REPOS + ["repo/src5"]], "name string")
+    return ex.extract_corpus_from_tree(spark, tree, lst, deny, keep_comments=False, keep_constraints=False)
