@@ -15,6 +15,9 @@ from quarry.functions import code
 BASE_MODELS = ["360m", "135m", "1.7b"]
 GENERATION_BATCH = 8
 
+# Loaded generators per Python worker process, keyed by (loader, model).
+_LOADED_MODELS: dict[tuple, object] = {}
+
 
 def generation_requests(prompts: DataFrame, models: list[str] = BASE_MODELS) -> DataFrame:
     """Every prompt for every model.
@@ -36,18 +39,22 @@ def batch_generate(requests: DataFrame, load_model: Callable[[str], Callable[[li
     failing the job.
     """
     schema = T.StructType(requests.schema.fields + [T.StructField(out_col, T.StringType())])
-    cache: dict[str, object] = {}
+    loader_key = (getattr(load_model, "__module__", ""), getattr(load_model, "__qualname__", repr(load_model)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # module-level cache: lives as long as the (reused) Python worker, across tasks
+        from quarry.operators import completions as this
+        cache = this._LOADED_MODELS
         for pdf in batches:
             out = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
             for model, idx in pdf.groupby(model_col).groups.items():
-                if model not in cache:
+                key = loader_key + (model,)
+                gen = cache.get(key)
+                if gen is None:
                     try:
-                        cache[model] = load_model(model)
-                    except Exception as e:  # noqa: BLE001 - the error becomes the row's text
-                        cache[model] = e
-                gen = cache[model]
+                        gen = cache[key] = load_model(model)
+                    except Exception as e:  # noqa: BLE001 - the error becomes the rows' text
+                        gen = e             # not cached: the next batch tries again
                 prompts = pdf.loc[idx, prompt_col].tolist()
                 if isinstance(gen, Exception):
                     out.loc[idx] = [f"Error loading model: {gen}"] * len(prompts)
