@@ -266,3 +266,32 @@ def a13_present_only(spark, sf_dir):
     expected = spark.createDataFrame([("copilot",), ("m135",), ("m1b5",)], "model string")
     kept, _missing = rp.present_only(fx_results(spark, sf_dir), expected)
     return kept
+
+
+@register("a8_read_model_results", with_ctes(RESULT_ROWS_SQL) + """
+SELECT model, problem, prompt, prediction, passed FROM result_rows""")
+def a8_read_model_results(spark, sf_dir):
+    """Per-model result files ``<model>_results_jl.json``, in chunk folders of <= 100 rows."""
+    rows = _result_rows(spark, sf_dir)
+    chunk = (F.col("problem").cast("long") / 100).cast("long")
+    arrays = rows.groupBy("model", chunk.alias("chunk")).agg(
+        F.to_json(F.collect_list(F.struct("problem", "prompt", "prediction", "passed"))).alias("value"))
+    root = _scratch(spark, "model-results")
+    wr.write_file_tree(arrays.select(
+        F.concat(F.lit("chunk_"), F.col("chunk").cast("string"), F.lit("/"), F.col("model"),
+                 F.lit("_results_jl.json")).alias("path"),
+        F.encode("value", "UTF-8").alias("content")), root)
+    return rd.read_model_results(spark, root).select("model", "problem", "prompt", "prediction", "passed")
+
+
+@register("a6_read_prompts", """
+SELECT 'HumanEval_' || item_id AS name, 'bench_' || item_id AS function_name FROM benchmark""")
+def a6_read_prompts(spark, sf_dir):
+    """Benchmark prompts written as JSON Lines, read back, names taken from the header line."""
+    from quarry.operators.preprocess import prompt_function_names
+    from quarry.plans.fixtures import fx_prompts
+    path = scratch_path(spark, "prompts")
+    (fx_prompts(spark, sf_dir)
+     .select(F.concat(F.lit("HumanEval_"), F.col("id").cast("string")).alias("name"), "prompt")
+     .write.json(path))
+    return prompt_function_names(rd.read_prompts(spark, path)).select("name", "function_name")

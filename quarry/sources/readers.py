@@ -159,3 +159,40 @@ def relative_path(path, root: str) -> Column:
     for pre in reversed(prefixes):
         out = F.when(p.startswith(pre), F.substring(p, len(pre) + 1, 1 << 30)).otherwise(out)
     return out
+
+
+PROMPT = T.StructType([T.StructField("name", T.StringType()), T.StructField("prompt", T.StringType())])
+
+# Fixed value: per-model result files are named "<model>_results_<language>.json".
+RESULT_FILE_PATTERN = r"^(.*)_results_[A-Za-z0-9]+\.json$"
+
+
+def read_prompts(spark: SparkSession, path: str) -> DataFrame:
+    """Benchmark prompts (JSON Lines with a ``prompt`` field; ``name`` when present)."""
+    return spark.read.schema(PROMPT).json(path)
+
+
+def read_model_results(spark: SparkSession, path: str) -> DataFrame:
+    """A8 for per-model files: ``<model>_results_<lang>.json`` JSON arrays -> rows with ``model``.
+
+    Each file is one JSON array (parsed by one task); many files are read
+    in parallel.
+    """
+    rows = (spark.read.schema(RESULT_ROW).option("multiLine", True)
+            .option("recursiveFileLookup", "true").option("pathGlobFilter", "*_results_*.json")
+            .json(path))
+    return rows.withColumn("model", F.regexp_extract(F.col("_metadata.file_name"), RESULT_FILE_PATTERN, 1))
+
+
+def list_checkpoints(spark: SparkSession, models_root: str) -> DataFrame:
+    """D11 input: ``model, path`` of every ``checkpoint-N`` folder below ``models_root``.
+
+    Uses the binary-file listing without reading file contents; the model
+    is the folder directly below ``models_root``.
+    """
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .load(models_root).select("path"))
+    rel = relative_path(F.col("path"), models_root)
+    ckpt = F.regexp_extract(rel, r"^(.*?checkpoint-\d+)/", 1)
+    return (files.select(F.substring_index(rel, "/", 1).alias("model"), ckpt.alias("path"))
+            .where(F.col("path") != "").distinct())

@@ -79,3 +79,28 @@ def test_results_array_writer(spark):
     back = rd.read_results_array(spark, path)
     assert back.count() == 25
     assert back.where(F.col("passed")).count() == 13
+
+
+def test_prompts_model_results_and_checkpoints(spark):
+    rows = [{"problem": "p1", "prompt": "x", "prediction": "y", "passed": True},
+            {"problem": "p2", "prompt": "x", "prediction": "y", "passed": False}]
+    root = _tree({
+        "prompts.jsonl": b'{"name": "HumanEval_0", "prompt": "a\\nfunction f(x)\\n"}\n{"prompt": "b"}\n',
+        "res/135m_results_jl.json": json.dumps(rows).encode(),
+        "res/copilot_results_jl.json": json.dumps(rows[:1]).encode(),
+        "res/notes.json": b"[]",
+        "models/135m/checkpoint-9/model.bin": b"x",
+        "models/135m/checkpoint-10/model.bin": b"x",
+        "models/135m/tokenizer.json": b"{}",
+        "models/1-7B/checkpoint-3/config.json": b"{}",
+    })
+    prompts = rd.read_prompts(spark, root + "/prompts.jsonl").collect()
+    assert [p["prompt"] for p in prompts] == ["a\nfunction f(x)\n", "b"]
+    got = sorted((r["model"], r["problem"], r["passed"]) for r in rd.read_model_results(spark, root + "/res").collect())
+    assert got == [("135m", "p1", True), ("135m", "p2", False), ("copilot", "p1", True)]
+    ckpts = rd.list_checkpoints(spark, root + "/models")
+    assert sorted(tuple(r) for r in ckpts.collect()) == [
+        ("1-7B", "1-7B/checkpoint-3"), ("135m", "135m/checkpoint-10"), ("135m", "135m/checkpoint-9")]
+    from quarry.operators.corpus import latest_checkpoint
+    latest = {r["model"]: r["checkpoint"] for r in latest_checkpoint(ckpts).collect()}
+    assert latest == {"135m": "135m/checkpoint-10", "1-7B": "1-7B/checkpoint-3"}
