@@ -1,6 +1,9 @@
 """Physical plans: broadcast only bounded sides, no shuffle where none is needed."""
 
+import pytest
+
 from conftest import SF001
+from quarry.plans import registry
 from quarry.functions import code as C
 from quarry.operators import extract as ex
 from quarry.plans import fixtures as fx
@@ -12,6 +15,12 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.fixture(autouse=True)
+def no_input_spread(monkeypatch):
+    """Plan shapes are about the operators: read the tables without the loader's spread."""
+    monkeypatch.setattr(registry, "SPREAD_MIN_BYTES", 1 << 62)
+
+
 def test_decontaminate_is_a_broadcast_anti_join(spark):
     p = plan(QUERIES["c8_preprocess"](spark, SF001))
     assert "BroadcastHashJoin" in p and "LeftAnti" in p
