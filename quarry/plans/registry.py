@@ -7,7 +7,6 @@ The oracle is an independent SQL formulation over the same tables.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,51 +26,15 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-# Tables smaller than this are left as they are (splitting them costs more than it saves).
-SPREAD_MIN_BYTES = 1 << 20
-
-
-def _bytes(spark: SparkSession, key: str, default: int) -> int:
-    raw = str(spark.conf.get(key, str(default))).strip().lower()
-    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
-    for suffix in sorted(units, key=len, reverse=True):
-        if raw.endswith(suffix):
-            try:
-                return int(float(raw[:-len(suffix)]) * units[suffix])
-            except ValueError:
-                return default
-    try:
-        return int(raw)
-    except ValueError:
-        return default
-
-
-def _local_size(path: str) -> int | None:
-    local = path[len("file:"):] if path.startswith("file:") else path
-    if "://" in local or not os.path.exists(local):
-        return None
-    if os.path.isfile(local):
-        return os.path.getsize(local)
-    return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(local) for f in fs)
-
-
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """Read one driver table.
+    """Read one driver table (see ``quarry.sources.readers.read_table``)."""
+    from quarry.sources import readers
+    return readers.read_table(spark, f"{sf_dir.rstrip('/')}/{table}.parquet",
+                              spread_min_bytes=SPREAD_MIN_BYTES)
 
-    A mid-sized table (over ``SPREAD_MIN_BYTES`` but below one split per
-    core) may be a single parquet row group, i.e. one scan task; it is
-    spread round-robin over the session's parallelism so per-row work uses
-    every core.  Large tables keep their scan splits (no extra shuffle),
-    and tiny ones are read as they are.
-    """
-    path = f"{sf_dir.rstrip('/')}/{table}.parquet"
-    df = spark.read.parquet(path)
-    size = _local_size(path)
-    cores = spark.sparkContext.defaultParallelism
-    split = _bytes(spark, "spark.sql.files.maxPartitionBytes", 128 << 20)
-    if size is not None and SPREAD_MIN_BYTES <= size < cores * split and cores > 1:
-        df = df.repartition(cores)
-    return df
+
+# Tables smaller than this are read as they are (splitting costs more than it saves).
+SPREAD_MIN_BYTES = 1 << 20
 
 
 def sql_chars(chars: str) -> str:

@@ -5,6 +5,8 @@ Every reader takes an explicit schema (no inference pass, no type guessing).
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -196,3 +198,46 @@ def list_checkpoints(spark: SparkSession, models_root: str) -> DataFrame:
     ckpt = F.regexp_extract(rel, r"^(.*?checkpoint-\d+)/", 1)
     return (files.select(F.substring_index(rel, "/", 1).alias("model"), ckpt.alias("path"))
             .where(F.col("path") != "").distinct())
+
+
+def _conf_bytes(spark: SparkSession, key: str, default: int) -> int:
+    raw = str(spark.conf.get(key, str(default))).strip().lower()
+    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+    for suffix in sorted(units, key=len, reverse=True):
+        if raw.endswith(suffix):
+            try:
+                return int(float(raw[:-len(suffix)]) * units[suffix])
+            except ValueError:
+                return default
+    try:
+        return int(raw)
+    except ValueError:
+        return default
+
+
+def _local_size(path: str) -> int | None:
+    local = path[len("file:"):] if path.startswith("file:") else path
+    if "://" in local or not os.path.exists(local):
+        return None
+    if os.path.isfile(local):
+        return os.path.getsize(local)
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(local) for f in fs)
+
+
+def read_table(spark: SparkSession, path: str, spread_min_bytes: int = 1 << 20) -> DataFrame:
+    """Read a parquet table; spread a mid-sized one over the session's cores.
+
+    A table above ``spread_min_bytes`` but below one split per core may be
+    a single parquet row group, i.e. one scan task, which would leave the
+    per-row work (extraction, repair, tokenizing) on one core.  Such a table
+    is repartitioned round-robin to the session's parallelism.  Large
+    tables keep their scan splits (no extra shuffle), tiny ones are read as
+    they are, and sizes are only checked on local or mounted paths.
+    """
+    df = spark.read.parquet(path)
+    size = _local_size(path)
+    cores = spark.sparkContext.defaultParallelism
+    split = _conf_bytes(spark, "spark.sql.files.maxPartitionBytes", 128 << 20)
+    if size is not None and cores > 1 and spread_min_bytes <= size < cores * split:
+        df = df.repartition(cores)
+    return df
