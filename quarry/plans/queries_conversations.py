@@ -89,7 +89,7 @@ def f5_stream_history(spark, sf_dir):
     wave = F.least((F.col("turn") / 2).cast("long"), F.lit(2))
     for k in range(3):  # written one after another: the file source reads oldest first
         turns.where(wave == k).write.mode("append").parquet(src)
-    q = sh.stream_history(spark, src, table, ckpt, files_per_batch=2)
+    q = sh.stream_history(spark, src, table, ckpt, files_per_batch=8)
     q.awaitTermination()
     return sh.read_history(spark, table)
 
