@@ -22,7 +22,8 @@ Supported subset (documented in the README):
     macro gives an empty doc;
   * a header whose parameter list spans lines is joined with its
     continuation lines; the body starts after the closing bracket;
-  * a one-line ``function f(x) x end`` is a function with an empty body.
+  * a one-line ``function f(x) x end`` is a function with an empty body;
+  * ``@doc "text" function f(x)`` on one line documents ``f`` with that string.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import py_strip, split_newlines
 
 # The block keywords and the macros treated as constraints.
-MACRO_PREFIX = r"^([\w.]*@[\w.!]+\s+)*"
+MACRO_PREFIX = r'^([\w.]*@[\w.!]+\s+(\w*""\s+)?)*'    # on the code part: strings are blanked
 BLOCK_KEYWORDS = (r"function|if|for|while|begin|try|let|struct|mutable\s+struct|abstract\s+type|"
                   r"primitive\s+type|module|baremodule|macro|quote")
 BLOCK_START = MACRO_PREFIX + "(" + BLOCK_KEYWORDS + r")\b"
@@ -44,6 +45,11 @@ BLOCK_END = r"^end\b"
 ONE_LINE_END = r"\bend[\s;,)]*$"
 FUNCTION_START = MACRO_PREFIX + r"function\s"
 CONSTRAINT_MACROS = ["@debug", "@info", "@variable", "@constraint", "@objective"]
+# the same prefix on the raw line, where a macro may take one string argument
+MACRO_PREFIX_RAW = r'^([\w.]*@[\w.!]+\s+(\w*"(?:[^"\\]|\\.)*"\s+)?)*'
+# "@doc "text" function ..." documents the function on its own line
+INLINE_DOC = r'^@doc\s+(\w*"(?:[^"\\]|\\.)*")\s+function\s'
+
 TRIPLE_QUOTE = '"""'
 STRING_LITERAL = r'"(?:[^"\\]|\\.)*"'
 CHAR_LITERAL = r"'(?:[^'\\]|\\.)'"
@@ -125,7 +131,7 @@ def function_header(t: Column) -> Column:
     With unclosed brackets the list runs to the end of the line (the
     continuation lines are appended by the walk); otherwise to the last ``)``.
     """
-    rest = F.regexp_replace(t, r"^([\w.]*@[\w.!]+\s+)*function\s+", "")
+    rest = F.regexp_replace(t, MACRO_PREFIX_RAW + r"function\s+", "")
     name = py_strip(F.substring_index(rest, "(", 1))
     at = F.instr(rest, "(")
     unbalanced = _count(rest, "(") > _count(rest, ")")
@@ -170,7 +176,9 @@ def find_functions(cls: Column) -> Column:
         closes = code & ~cont & c["close"] & (depth > 0)
         is_fn = opens & c["is_fn"]
         multi_hdr = is_fn & (br_after > acc["br"])
-        doc = _doc_for(acc["prev_kind"], acc["prev_text"])
+        inline_doc = F.regexp_extract(c["t"], INLINE_DOC, 1)
+        doc = F.when(c["is_fn"] | c["fn_one_line"], F.when(inline_doc != "", inline_doc)
+                     .otherwise(_doc_for(acc["prev_kind"], acc["prev_text"]))).otherwise(F.lit(""))
         node = F.struct(
             is_fn.alias("is_fn"), i.alias("hdr"), depth.alias("level"), doc.alias("doc"),
             F.when(c["is_fn"], function_header(c["t"])).otherwise(F.lit("")).alias("header"),

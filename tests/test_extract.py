@@ -174,3 +174,17 @@ def test_multi_line_signature(real_functions):
     assert "# inside the call" in f["function_body"]     # not top level: never stripped
     assert not f["has_internal_comments"]
     assert set(real_functions) == {"function squares", "function long_signature"}
+
+
+def test_doc_macro_on_the_header_line(spark):
+    src = ('@doc "Adds two numbers." function add(a, b)\n    a + b\nend\n\n'
+           '# plain\n@doc raw"\\\\ raw" function sub(a, b) a - b end\n'
+           '@inline function mul(a, b)\n    a * b\nend')
+    files = spark.createDataFrame([("d.jl", src)], "path string, text string")
+    got = {r["function_header"]: (r["doc_string"], r["function_body"], r["line"], r["end_line"])
+           for r in ex.extract_functions(files).collect()}
+    assert got == {
+        "function add(a, b)": ('"Adds two numbers."', "    a + b", 1, 3),
+        "function sub(a, b)": ('raw"\\\\ raw"', "", 6, 6),
+        "function mul(a, b)": ("", "    a * b", 7, 9),
+    }
