@@ -23,7 +23,8 @@ Supported subset (documented in the README):
   * a header whose parameter list spans lines is joined with its
     continuation lines; the body starts after the closing bracket;
   * a one-line ``function f(x) x end`` is a function with an empty body;
-  * ``@doc "text" function f(x)`` on one line documents ``f`` with that string.
+  * ``@doc "text" function f(x)`` on one line documents ``f`` with that string;
+  * ``#= =#`` block comments are neither line comments nor code, in bodies too.
 """
 
 from __future__ import annotations
@@ -245,16 +246,18 @@ def body_parts(body: Column, keep_comments: bool, keep_constraints: bool) -> Col
     dropped macro that opens blocks or brackets is dropped through its end.
     """
     init = F.struct(F.lit(0).alias("d"), F.lit(0).alias("br"), F.lit(False).alias("in_str"),
+                    F.lit(False).alias("in_cmt"),
                     F.lit(0).alias("pending"), F.lit(False).alias("hc"), F.lit(False).alias("hk"),
                     F.array().cast("array<string>").alias("out"))
 
     def step(acc, c):
-        in_str = acc["in_str"]
-        code = ~in_str
+        in_str, in_cmt = acc["in_str"], acc["in_cmt"]
+        code = ~in_str & ~in_cmt
+        cmt_opens = code & c["cmt_open"]
         d = acc["d"]
         block_open = F.when(acc["br"] > 0, c["open_in_brackets"]).otherwise(c["open"])
         top = code & (d == 0) & (acc["br"] == 0) & (acc["pending"] == 0)
-        is_comment = top & c["comment"]
+        is_comment = top & c["comment"] & ~cmt_opens
         is_macro = top & c["constraint"]
         delta = F.when(code & block_open, 1).when(code & c["close"] & (d > 0), -1).otherwise(0)
         drop_macro = is_macro & F.lit(not keep_constraints)
@@ -266,11 +269,13 @@ def body_parts(body: Column, keep_comments: bool, keep_constraints: bool) -> Col
                    .otherwise(F.lit(0)))
         keep = ~((is_comment & F.lit(not keep_comments)) | drop_macro | in_dropped)
         out = F.when(keep, F.concat(acc["out"], F.array(c["line"]))).otherwise(acc["out"])
-        skip = in_dropped | drop_macro | ~code
+        skip = in_dropped | drop_macro | ~code | cmt_opens
         return F.struct(
             F.when(skip, d).otherwise(d + delta).alias("d"),
             F.when(skip, acc["br"]).otherwise(F.greatest(acc["br"] + c["brackets"], F.lit(0))).alias("br"),
-            F.when(c["odd_q"], ~in_str).otherwise(in_str).alias("in_str"),
+            F.when(~in_cmt & c["odd_q"], ~in_str).otherwise(in_str).alias("in_str"),
+            F.when(cmt_opens, F.lit(True)).when(in_cmt & c["cmt_close"], F.lit(False))
+            .otherwise(in_cmt).alias("in_cmt"),
             pending.alias("pending"),
             (acc["hc"] | is_comment).alias("hc"), (acc["hk"] | is_macro).alias("hk"),
             out.alias("out"))

@@ -188,3 +188,11 @@ def test_doc_macro_on_the_header_line(spark):
         "function sub(a, b)": ('raw"\\\\ raw"', "", 6, 6),
         "function mul(a, b)": ("", "    a * b", 7, 9),
     }
+
+
+def test_block_comment_in_body(spark):
+    src = "function f(x)\n    #=\n    if this were code\n    =#\n    # top\n    x\nend"
+    files = spark.createDataFrame([("c.jl", src)], "path string, text string")
+    r = ex.extract_functions(files, keep_comments=False).collect()[0]
+    assert r["has_internal_comments"]
+    assert r["function_body"] == "    #=\n    if this were code\n    =#\n    x"
