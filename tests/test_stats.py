@@ -80,3 +80,37 @@ def test_odds_ratio_undefined_is_null(spark):
     df = spark.createDataFrame([(3, 0, 2, 2), (3, 1, 0, 2), (2, 2, 1, 3)], "a long, b long, c long, d long")
     got = [r["o"] for r in df.select(stats.odds_ratio("a", "b", "c", "d").alias("o")).collect()]
     assert got[0] is None and got[1] is None and got[2] == pytest.approx(3.0)
+
+
+def test_mcnemar_against_exact_binomial(spark):
+    import random
+    from fractions import Fraction
+    from math import comb
+    rnd = random.Random(3)
+    pairs = [(rnd.randint(0, 300), rnd.randint(0, 300)) for _ in range(200)] + [(0, 1), (1, 0), (2000, 2100)]
+    df = spark.createDataFrame(pairs, "n10 long, n01 long")
+    stat, pv = stats.mcnemar_exact("n10", "n01")
+    got = [r["p"] for r in df.select(pv.alias("p")).collect()]
+    for (a, b), p in zip(pairs, got):
+        n, k = a + b, min(a, b)
+        exact = min(Fraction(1), 2 * Fraction(sum(comb(n, i) for i in range(k + 1)), 2 ** n))
+        assert p == pytest.approx(float(exact), abs=1e-9, rel=1e-9)
+
+
+def test_pass_at_k_against_exact(spark):
+    import random
+    from fractions import Fraction
+    from math import comb
+    rnd = random.Random(5)
+    rows = []
+    for _ in range(300):
+        n = rnd.randint(1, 40)
+        rows.append((n, rnd.randint(0, n), rnd.randint(1, 10)))
+    df = spark.createDataFrame(rows, "n long, c long, k long")
+    for k in sorted({r[2] for r in rows}):
+        sub = [r for r in rows if r[2] == k]
+        got = [r["v"] for r in spark.createDataFrame(sub, "n long, c long, k long")
+               .select(stats.pass_at_k("n", "c", k).alias("v")).collect()]
+        for (n, c, _), v in zip(sub, got):
+            exact = 1.0 if n - c < k else float(1 - Fraction(comb(n - c, k), comb(n, k)))
+            assert v == pytest.approx(exact, abs=1e-12)
