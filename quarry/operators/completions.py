@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions import code
+from quarry.session import ship_package
 
 # The base models prompts are sent to.
 BASE_MODELS = ["360m", "135m", "1.7b"]
@@ -38,6 +39,7 @@ def batch_generate(requests: DataFrame, load_model: Callable[[str], Callable[[li
     model that fails to load yields an error text in its rows instead of
     failing the job.
     """
+    ship_package(requests.sparkSession)
     schema = T.StructType(requests.schema.fields + [T.StructField(out_col, T.StringType())])
     loader_key = (getattr(load_model, "__module__", ""), getattr(load_model, "__qualname__", repr(load_model)))
 

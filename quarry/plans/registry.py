@@ -28,7 +28,9 @@ def register(name: str, sql: str | None = None):
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """Read one driver table (see ``quarry.sources.readers.read_table``)."""
+    from quarry.session import ship_package
     from quarry.sources import readers
+    ship_package(spark)
     return readers.read_table(spark, f"{sf_dir.rstrip('/')}/{table}.parquet",
                               spread_min_bytes=SPREAD_MIN_BYTES)
 

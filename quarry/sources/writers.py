@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions import code
+from quarry.session import ship_package
 from quarry.sources.readers import read_completion_docs
 
 
@@ -32,6 +33,7 @@ def write_results(df: DataFrame, path: str, order_col: str = "rank", as_array: b
     if not as_array:
         ordered.write.mode(mode).json(path)
         return
+    ship_package(df.sparkSession)
     rows = ordered.select(F.to_json(F.struct(*[c for c in df.columns])).alias("j"))
 
     def to_arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,6 +74,7 @@ def write_file_tree(df: DataFrame, root: str, path_col: str = "path",
     ``root`` must be a folder every executor can reach: a shared mount or
     a URI pyarrow can open (``s3://``, ``hdfs://``, ``gs://``).
     """
+    ship_package(df.sparkSession)
     remote = "://" in root and not root.startswith("file://")
     local_root = root.replace("file://", "").replace("file:", "")
 

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from quarry.operators.conversations import DISPLAY_ROLES, valid_user_turns
+from quarry.session import ship_package
 
 TURN_SCHEMA = T.StructType([
     T.StructField("conv_id", T.LongType()),
@@ -69,6 +70,7 @@ def _append_batch(table_path: str):
 
 def history_updates(events: DataFrame) -> DataFrame:
     """Streaming ``conv_id, position, turn, role, content`` of newly stored messages."""
+    ship_package(events.sparkSession)
     msgs = valid_user_turns(events).where(F.col("role").isin(DISPLAY_ROLES)) \
         .select("conv_id", "turn", "role", F.col("text").alias("content"))
     return msgs.groupBy("conv_id").applyInPandasWithState(
