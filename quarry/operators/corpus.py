@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import col_, py_strip
+from quarry.operators.joins import maybe_broadcast
 from quarry.operators.ordering import with_global_index
 
 # Fixed values of the training setup.
@@ -25,6 +26,8 @@ BASE_MODELS = ["360m", "135m", "1.7b"]
 VARIANT_SUFFIXES = ["", "_signature", "_baseline"]
 # rows above this count are sampled through a global ranking instead of a top-k
 TOP_K_MAX = 100_000
+# a vocabulary (short strings) is broadcast up to this many entries, else joined by shuffle
+VOCAB_BROADCAST_MAX_ROWS = 1_000_000
 
 
 def compose_text(df: DataFrame, just_signature: bool = False, out: str = "text") -> DataFrame:
@@ -85,15 +88,16 @@ def encode(df: DataFrame, vocab: DataFrame, text_col: str = "text", id_col: str
     """Token ids of each text (unknown tokens -> ``<unk>``), first ``max_tokens`` only.
 
     Truncation happens before the join, so each row regroups at most
-    ``max_tokens`` ids.  The vocabulary is bounded by its ``size`` and
-    broadcast.
+    ``max_tokens`` ids.  The vocabulary is broadcast after a size check
+    (``build_vocab`` bounds it by its ``size``).
     """
     toks = tokenize(text_col)
     if max_tokens is not None:
         toks = F.slice(toks, 1, max_tokens)
     # posexplode_outer keeps texts without tokens; collect_list drops their null entry
     exploded = df.select(F.col(id_col).alias("_row"), F.posexplode_outer(toks).alias("_pos", "token"))
-    joined = exploded.join(F.broadcast(vocab.select("token", F.col("id").alias("_tid"))), "token", "left")
+    lookup = maybe_broadcast(vocab.select("token", F.col("id").alias("_tid")), VOCAB_BROADCAST_MAX_ROWS)
+    joined = exploded.join(lookup, "token", "left")
     entry = F.when(F.col("_pos").isNotNull(),
                    F.struct("_pos", F.coalesce("_tid", F.lit(UNK_ID)).alias("t")))
     return (joined.groupBy("_row")
@@ -134,7 +138,8 @@ def preview_tokens(corpus: DataFrame, vocab: DataFrame, n: int | None = None,
     rows = corpus.orderBy(id_col).limit(n) if n is not None else corpus
     exploded = rows.select(id_col, F.posexplode_outer("input_ids").alias("_pos", "_tid")) \
         .where(F.col("_pos").isNotNull())
-    named = exploded.join(F.broadcast(vocab.select(F.col("id").alias("_tid"), "token")), "_tid", "left")
+    names = maybe_broadcast(vocab.select(F.col("id").alias("_tid"), "token"), VOCAB_BROADCAST_MAX_ROWS)
+    named = exploded.join(names, "_tid", "left")
     return (named.groupBy(id_col)
             .agg(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("token", F.lit(UNK_TOKEN)).alias("t"))))
                  .alias("_pairs"))
