@@ -196,3 +196,18 @@ FROM (SELECT model, path, try_cast(regexp_extract(path, 'checkpoint-(\\d+)', 1)
 WHERE v IS NOT NULL GROUP BY model""")
 def d11_latest_checkpoint(spark, sf_dir):
     return cp.latest_checkpoint(fx_checkpoint_paths(spark, sf_dir))
+
+
+SIGNATURE_CORPUS_CTES = [*cleaned_ctes(), TEXTS_SQL, VOCAB_SQL, SAMPLE_SQL,
+                         f"sig_texts AS (SELECT id, {_text_sql(True)} AS text FROM sampled)",
+                         encode_sql("sig_texts", "sig")]
+
+
+@register("d7_create_corpus_signature", with_ctes(*SIGNATURE_CORPUS_CTES) + f"""
+SELECT id, {_IN} AS input_ids, {_MASK} AS attention_mask FROM sig""")
+def d7_create_corpus_signature(spark, sf_dir):
+    """Signature-only training rows (header and body, no doc) with the corpus vocabulary."""
+    corpus = cp.create_corpus(cleaned(spark, sf_dir), vocab(spark, sf_dir), just_signature=True,
+                              sample=SAMPLE, seed=SEED)
+    return corpus.select("id", _csv("input_ids").alias("input_ids"),
+                         _csv("attention_mask").alias("attention_mask"))
