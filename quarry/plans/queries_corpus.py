@@ -211,3 +211,21 @@ def d7_create_corpus_signature(spark, sf_dir):
                               sample=SAMPLE, seed=SEED)
     return corpus.select("id", _csv("input_ids").alias("input_ids"),
                          _csv("attention_mask").alias("attention_mask"))
+
+
+BASELINE_CORPUS_CTES = [*cleaned_ctes(), TEXTS_SQL, VOCAB_SQL, f"""baseline AS (
+  SELECT id, lower(trim(doc_string, {WS})) AS doc_string, trim(function_header, {WS}) AS function_header,
+         trim(function_body, {WS}) AS function_body FROM fx_functions)""",
+                        f"base_sampled AS (SELECT * FROM baseline ORDER BY md5('{SEED}:' || CAST(id AS VARCHAR)), id LIMIT {SAMPLE})",
+                        f"base_texts AS (SELECT id, {_text_sql()} AS text FROM base_sampled)",
+                        encode_sql("base_texts", "base")]
+
+
+@register("d7_create_corpus_baseline", with_ctes(*BASELINE_CORPUS_CTES) + f"""
+SELECT id, {_IN} AS input_ids, {_MASK} AS attention_mask FROM base""")
+def d7_create_corpus_baseline(spark, sf_dir):
+    """Training rows of the baseline corpus (C9 on the raw records, C10 'baseline')."""
+    raw = pp.select_corpus("baseline", fx_functions(spark, sf_dir))
+    corpus = cp.create_corpus(raw, vocab(spark, sf_dir), sample=SAMPLE, seed=SEED)
+    return corpus.select("id", _csv("input_ids").alias("input_ids"),
+                         _csv("attention_mask").alias("attention_mask"))
