@@ -31,16 +31,20 @@ def generation_requests(prompts: DataFrame, models: list[str] = BASE_MODELS) ->
 
 def batch_generate(requests: DataFrame, load_model: Callable[[str], Callable[[list[str]], list[str]]],
                    prompt_col: str = "prompt", model_col: str = "model",
-                   out_col: str = "completion", batch_size: int = GENERATION_BATCH) -> DataFrame:
+                   out_col: str = "completion", batch_size: int = GENERATION_BATCH,
+                   error_col: str | None = None) -> DataFrame:
     """Run a caller-supplied generator over Arrow batches of requests.
 
     ``load_model(name)`` returns a function mapping a list of prompts to a
     list of completions.  Models are loaded once per Python worker.  A
     model that fails to load yields an error text in its rows instead of
-    failing the job.
+    failing the job; ``error_col`` (optional) flags those rows.
     """
     ship_package(requests.sparkSession)
-    schema = T.StructType(requests.schema.fields + [T.StructField(out_col, T.StringType())])
+    extra = [T.StructField(out_col, T.StringType())]
+    if error_col:
+        extra.append(T.StructField(error_col, T.BooleanType()))
+    schema = T.StructType(requests.schema.fields + extra)
     loader_key = (getattr(load_model, "__module__", ""), getattr(load_model, "__qualname__", repr(load_model)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,6 +53,7 @@ def batch_generate(requests: DataFrame, load_model: Callable[[str], Callable[[li
         cache = this._LOADED_MODELS
         for pdf in batches:
             out = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
+            failed = pd.Series([False] * len(pdf), index=pdf.index, dtype=bool)
             for model, idx in pdf.groupby(model_col).groups.items():
                 key = loader_key + (model,)
                 gen = cache.get(key)
@@ -60,12 +65,14 @@ def batch_generate(requests: DataFrame, load_model: Callable[[str], Callable[[li
                 prompts = pdf.loc[idx, prompt_col].tolist()
                 if isinstance(gen, Exception):
                     out.loc[idx] = [f"Error loading model: {gen}"] * len(prompts)
+                    failed.loc[idx] = True
                     continue
                 texts: list[str] = []
                 for i in range(0, len(prompts), batch_size):
                     texts.extend(gen(prompts[i:i + batch_size]))
                 out.loc[idx] = texts
-            yield pdf.assign(**{out_col: out})
+            cols = {out_col: out, **({error_col: failed} if error_col else {})}
+            yield pdf.assign(**cols)
 
     return requests.mapInPandas(run, schema)
 
@@ -84,3 +91,17 @@ def postprocess(df: DataFrame, col: str = "prediction", original_output: bool =
                 out: str | None = None) -> DataFrame:
     """Clean (E4) then format (E5) unless the original output is wanted."""
     return df.withColumn(out or col, code.postprocess_prediction(col, original_output))
+
+
+def predict_all(prompts: DataFrame, load_model, models: list[str] = BASE_MODELS,
+                original_output: bool = False, prompt_col: str = "prompt") -> DataFrame:
+    """E1 -> E2 -> E8: every prompt with every model, post-processed.
+
+    A model that fails to load gives its error text as is (no post-processing).
+    """
+    requests = generation_requests(prompts, models)
+    generated = batch_generate(requests, load_model, prompt_col=prompt_col, error_col="_load_error")
+    processed = code.postprocess_prediction("completion", original_output)
+    return generated.withColumn(
+        "prediction", F.when(F.col("_load_error"), F.col("completion")).otherwise(processed)
+    ).drop("_load_error", "completion")

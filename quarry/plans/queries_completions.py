@@ -214,3 +214,13 @@ SELECT doc_id, '```julia' || chr(10) || cleaned || chr(10) || '```' AS reply FRO
 def e9_to_markdown(spark, sf_dir):
     code = fx_code(spark, sf_dir, CODE_LINES_WITH_FUNCTION)
     return code.select("doc_id", C.to_markdown(C.clean_output("code")).alias("reply"))
+
+
+@register("e8_predict_all", with_ctes(FX_PROMPTS_SQL) + f"""
+SELECT p.id, p.prompt, m.model,
+  CASE WHEN m.model LIKE '%.7b' THEN 'Error loading model: model ' || m.model || ' is not trained'
+       ELSE 'function bench_' || p.id || '(x, y)return ' || m.model || chr(10) || 'end' END AS prediction
+FROM fx_prompts p, (SELECT * FROM (VALUES {", ".join(f"('{m}')" for m in comp.BASE_MODELS)}) AS v(model)) m""")
+def e8_predict_all(spark, sf_dir):
+    """Every benchmark prompt with every base model, cleaned and formatted (E1 -> E2 -> E8)."""
+    return comp.predict_all(fx_prompts(spark, sf_dir), header_echo_model)
