@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from quarry.functions.text import split_newlines
 from quarry.operators import extract as ex
 from quarry.plans.fixtures import fx_source_files
-from quarry.plans.registry import register
+from quarry.functions.text import PY_WHITESPACE
+from quarry.plans.registry import register, sql_chars
+
+_WS_SQL = sql_chars(PY_WHITESPACE)
 
 
 def _body_sql(keep_comments: bool, keep_constraints: bool) -> str:
@@ -137,3 +140,34 @@ def b7_extract_corpus_tree(spark, sf_dir):
     tree, lst = _tree_and_list(spark, sf_dir)
     deny = spark.createDataFrame([(n,) for n in EXCLUDED_REPOS + ["repo/src5"]], "name string")
     return ex.extract_corpus_from_tree(spark, tree, lst, deny, keep_comments=False, keep_constraints=False)
+
+
+@register("c8_preprocess_extracted_tree", f"""
+WITH f AS (SELECT * FROM ({expected_functions_sql(False, False)})
+           WHERE CAST(split_part(repo, 'src', 2) AS INTEGER) % 4 <> 3 AND repo <> 'src5')
+SELECT path, line,
+       trim(doc_string, {_WS_SQL}) AS doc_string, trim(replace(function_header, ' (', '('), {_WS_SQL}) AS function_header,
+       trim(CASE WHEN doc_string = '' AND NOT has_internal_comments AND NOT has_constraints THEN ''
+                 ELSE function_body END, {_WS_SQL}) AS function_body,
+       has_internal_comments, has_constraints
+FROM f""")
+def c8_preprocess_extracted_tree(spark, sf_dir):
+    """The corpus build in one plan: repo list -> files -> text -> functions -> cleaned
+    records (C8 against the benchmark prompts) -> JSON Lines -> read back."""
+    from quarry.operators.preprocess import preprocess
+    from quarry.operators.repos import EXCLUDED_REPOS
+    from quarry.plans.fixtures import fx_prompts
+    from quarry.session import scratch_path
+    from quarry.sources.readers import FUNCTION_RECORD
+    from quarry.sources.writers import write_function_records
+    from pyspark.sql import types as T
+    tree, lst = _tree_and_list(spark, sf_dir)
+    deny = spark.createDataFrame([(n,) for n in EXCLUDED_REPOS + ["repo/src5"]], "name string")
+    functions = ex.extract_corpus_from_tree(spark, tree, lst, deny, keep_comments=False,
+                                            keep_constraints=False)
+    cleaned = preprocess(functions.select("path", "line", *ex.FUNCTION_RECORD), fx_prompts(spark, sf_dir))
+    out = scratch_path(spark, "cleaned-records")
+    write_function_records(cleaned, out)
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("line", T.IntegerType())]
+                          + FUNCTION_RECORD.fields)
+    return spark.read.schema(schema).json(out)
