@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import col_, py_strip
 from quarry.operators.joins import maybe_broadcast
 from quarry.operators.ordering import with_global_index
+from quarry.session import checkpoint_dir
 
 # Fixed values of the training setup.
 MAX_LENGTH = 1024
@@ -61,12 +62,15 @@ def tokenize(text) -> Column:
     return F.regexp_extract_all(col_(text), F.lit(TOKEN_PATTERN), 0)
 
 
-def build_vocab(texts: DataFrame, size: int, text_col: str = "text") -> DataFrame:
+def build_vocab(texts: DataFrame, size: int, text_col: str = "text",
+                materialize: bool = True) -> DataFrame:
     """``token, id, count``: special tokens, then the ``size`` most frequent tokens.
 
     Counting combines map-side, so a token that makes up a third of the
     corpus costs one row per partition in the shuffle.  The top-k keeps
     ``size`` rows per task; ids come from a window over those ``size`` rows.
+    The result is checkpointed (``materialize``), so later size checks and
+    lookups read ``size + 2`` rows instead of recomputing the counts.
     """
     # explode_outer: a plain explode would infer a size(tokens) > 0 filter that
     # tokenizes every text a second time
@@ -80,7 +84,13 @@ def build_vocab(texts: DataFrame, size: int, text_col: str = "text") -> DataFram
                          + 1).cast("int").alias("id"))
     specials = texts.sparkSession.createDataFrame(
         [(PAD_TOKEN, PAD_ID, 0), (UNK_TOKEN, UNK_ID, 0)], "token string, id int, count long")
-    return specials.unionByName(ranked.select("token", "id", "count"))
+    vocab = specials.unionByName(ranked.select("token", "id", "count"))
+    if not materialize:
+        return vocab
+    # A vocabulary is a small artifact used by every encode and preview: write it once to
+    # the shared checkpoint folder instead of re-tokenizing the corpus at each use.
+    checkpoint_dir(texts.sparkSession)
+    return vocab.checkpoint(eager=True)
 
 
 def encode(df: DataFrame, vocab: DataFrame, text_col: str = "text", id_col: str = "id",
