@@ -38,10 +38,6 @@ def py_strip(c) -> Column:
     return F.btrim(col_(c), F.lit(PY_WHITESPACE))
 
 
-def py_lower(c) -> Column:
-    return F.lower(col_(c))
-
-
 def split_newlines(c) -> Column:
     """Python ``s.split("\\n")``: keeps empty pieces, "" -> [""]."""
     return F.split(col_(c), "\n", -1)

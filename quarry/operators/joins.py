@@ -17,8 +17,3 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
 def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """``broadcast(df)`` when df is proven small, else df (shuffle join + AQE)."""
     return F.broadcast(df) if is_small(df, max_rows) else df
-
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    return big.join(maybe_broadcast(small, max_rows), on, how)

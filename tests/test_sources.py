@@ -104,3 +104,15 @@ def test_prompts_model_results_and_checkpoints(spark):
     from quarry.operators.corpus import latest_checkpoint
     latest = {r["model"]: r["checkpoint"] for r in latest_checkpoint(ckpts).collect()}
     assert latest == {"135m": "135m/checkpoint-10", "1-7B": "1-7B/checkpoint-3"}
+
+
+def test_require_inputs(spark):
+    import pytest
+    from quarry.operators import repos as rp
+    expected = spark.createDataFrame([("a",), ("b",), ("c",)], "model string")
+    present = spark.createDataFrame([("a", 1), ("b", 0)], "model string, problem int")
+    with pytest.raises(FileNotFoundError, match="missing inputs for model: c"):
+        rp.require_inputs(expected, present)
+    rp.require_inputs(expected.where("model <> 'c'"), present)
+    kept, missing = rp.present_only(present, expected)
+    assert kept.count() == 2 and [r["model"] for r in missing.collect()] == ["c"]
