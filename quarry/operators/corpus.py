@@ -213,8 +213,9 @@ def checkpoint_version(path) -> Column:
 def latest_checkpoint(paths: DataFrame, model_col: str = "model", path_col: str = "path") -> DataFrame:
     """Newest ``checkpoint-N`` directory per model (numeric version order)."""
     versioned = paths.withColumn("_v", checkpoint_version(path_col)).where(F.col("_v").isNotNull())
+    # ties on the version (two folders with the same N) go to the larger path: deterministic
     return versioned.groupBy(model_col).agg(
-        F.max_by(path_col, "_v").alias("checkpoint"), F.max("_v").alias("version"))
+        F.max_by(path_col, F.struct("_v", path_col)).alias("checkpoint"), F.max("_v").alias("version"))
 
 
 def models_without_checkpoint(paths: DataFrame, models: DataFrame, model_col: str = "model") -> DataFrame:

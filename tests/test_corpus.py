@@ -67,3 +67,9 @@ def test_latest_checkpoint_version_order(spark):
     assert got == {"a": "m/checkpoint-10"}
     models = spark.createDataFrame([("a",), ("b",)], "model string")
     assert [r["model"] for r in cp.models_without_checkpoint(paths, models).collect()] == ["b"]
+
+
+def test_latest_checkpoint_ties_are_deterministic(spark):
+    paths = spark.createDataFrame([("a", "x/checkpoint-5"), ("a", "y/checkpoint-5"), ("a", "w/checkpoint-4")],
+                                  "model string, path string")
+    assert cp.latest_checkpoint(paths.repartition(3)).collect()[0]["checkpoint"] == "y/checkpoint-5"
