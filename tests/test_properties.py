@@ -65,3 +65,17 @@ def test_clean_output_random(spark, texts, duck):
 def test_format_code_random(spark, texts, duck):
     want = dict(duck.execute(with_ctes(format_sql("doc_splitlines", "e5")) + "SELECT doc_id, formatted FROM e5").fetchall())
     assert _spark(spark, texts, C.format_code) == want
+
+
+def test_tokenizer_matches_oracle_on_unicode(spark):
+    from quarry.operators.corpus import TOKEN_PATTERN, tokenize
+    rnd = random.Random(11)
+    alphabet = list("ab_Z09 \n\t.,()=+-") + ["é", "ß", "ü", "中", "文", "😀", " ", " ", "𝔸", "''"]
+    texts = [(i, "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60)))) for i in range(300)]
+    got = dict(spark.createDataFrame(texts, "doc_id long, text string")
+               .select("doc_id", tokenize("text").alias("t")).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", texts)
+    want = dict(con.execute(f"SELECT doc_id, regexp_extract_all(text, '{TOKEN_PATTERN}') FROM t").fetchall())
+    assert got == want
