@@ -114,3 +114,33 @@ def test_pass_at_k_against_exact(spark):
         for (n, c, _), v in zip(sub, got):
             exact = 1.0 if n - c < k else float(1 - Fraction(comb(n - c, k), comb(n, k)))
             assert v == pytest.approx(exact, abs=1e-12)
+
+
+def test_pair_statistics_brute_force_with_gaps(spark):
+    import random
+    from fractions import Fraction
+    from itertools import combinations
+    from math import comb
+    rnd = random.Random(9)
+    models = ["m0", "m1", "m2", "m3", "m4"]
+    rows = [(m, p, rnd.random() < 0.3 + 0.1 * i) for i, m in enumerate(models)
+            for p in range(400) if rnd.random() > 0.1]
+    res = spark.createDataFrame(rows, "model string, problem long, passed boolean")
+    got = {(r["model_1"], r["model_2"]): r for r in ev.compare_all_pairs(res, models).collect()}
+    by = {m: {p: ok for mm, p, ok in rows if mm == m} for m in models}
+    assert len(got) == 10
+    for a, b in combinations(models, 2):
+        common = set(by[a]) & set(by[b])
+        n11 = sum(by[a][p] and by[b][p] for p in common)
+        n10 = sum(by[a][p] and not by[b][p] for p in common)
+        n01 = sum(not by[a][p] and by[b][p] for p in common)
+        n00 = len(common) - n11 - n10 - n01
+        r = got[(a, b)]
+        assert (r["n11"], r["n10"], r["n01"], r["n00"]) == (n11, n10, n01, n00)
+        n, k = n10 + n01, min(n10, n01)
+        p = min(Fraction(1), 2 * Fraction(sum(comb(n, i) for i in range(k + 1)), 2 ** n))
+        assert r["p_value"] == pytest.approx(float(p), abs=1e-9)
+        pa, pb = sum(by[a].values()), sum(by[b].values())
+        fa, fb = len(by[a]) - pa, len(by[b]) - pb
+        assert (r["passed_1"], r["total_1"], r["passed_2"], r["total_2"]) == (pa, len(by[a]), pb, len(by[b]))
+        assert r["odds_ratio"] == pytest.approx((pa / fa) / (pb / fb))
