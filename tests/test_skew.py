@@ -36,3 +36,19 @@ def test_hot_problem_pair_statistics(spark):
         ((F.col("id") % 3) == 0).alias("passed"))
     stats = ev.compare_all_pairs(res, ["a", "b"]).collect()[0]
     assert stats["n11"] + stats["n10"] + stats["n01"] + stats["n00"] == 10000
+
+
+def test_global_index_matches_python_sort(spark):
+    import random
+    from quarry.operators.ordering import with_global_index
+    rnd = random.Random(4)
+    rows = [(i, "hot" if rnd.random() < 0.4 else f"k{rnd.randint(0, 50)}", rnd.randint(0, 3)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "id long, key string, sub int").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["id"]: r["idx"] for r in
+               with_global_index(df, [F.col("key"), F.col("sub").desc(), F.col("id")], name="idx").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = {r[0]: i for i, r in enumerate(sorted(rows, key=lambda r: (r[1], -r[2], r[0])))}
+    assert got == want
