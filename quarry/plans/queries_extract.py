@@ -13,7 +13,7 @@ from quarry.functions.text import split_newlines
 from quarry.operators import extract as ex
 from quarry.plans.fixtures import fx_source_files
 from quarry.functions.text import PY_WHITESPACE
-from quarry.plans.registry import register, sql_chars
+from quarry.plans.registry import register, sql_chars, written_once
 
 _WS_SQL = sql_chars(PY_WHITESPACE)
 
@@ -113,6 +113,10 @@ def b7_extract_corpus(spark, sf_dir):
 
 
 def _tree_and_list(spark, sf_dir):
+    return written_once(spark, sf_dir, "source-tree", lambda: _write_tree_and_list(spark, sf_dir))
+
+
+def _write_tree_and_list(spark, sf_dir):
     """Write the source files as a tree and the repository list as page files."""
     from quarry.session import scratch_path
     from quarry.sources.writers import write_file_tree

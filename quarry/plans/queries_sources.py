@@ -18,7 +18,7 @@ from quarry.plans.fixtures import (FX_FUNCTIONS_SQL, FX_RESULTS_SQL, CODE_LINES,
                                    _code_line, fx_code_sql, fx_functions, fx_results)
 from quarry.plans.queries_completions import fix_sql
 from quarry.plans.queries_eval import fx_result_docs
-from quarry.plans.registry import load, register, with_ctes
+from quarry.plans.registry import load, register, with_ctes, written_once
 from quarry.session import scratch_path
 from quarry.sources import readers as rd
 from quarry.sources import writers as wr
@@ -79,6 +79,10 @@ def a3_exclude_repos(spark, sf_dir):
 # ------------------------------------------------------------- file trees
 
 def _corpus_tree(spark: SparkSession, sf_dir: str) -> str:
+    return written_once(spark, sf_dir, "corpus-tree", lambda: _write_corpus_tree(spark, sf_dir))
+
+
+def _write_corpus_tree(spark: SparkSession, sf_dir: str) -> str:
     """One file per document: Latin-1, CRLF or UTF-8 bytes; every 7th is not ``.jl``."""
     docs = load(spark, sf_dir, "documents")
     d, text = F.col("doc_id"), F.col("text")
@@ -178,6 +182,10 @@ def a8_read_results_array(spark, sf_dir):
 
 
 def _result_doc_tree(spark, sf_dir) -> str:
+    return written_once(spark, sf_dir, "result-docs", lambda: _write_result_doc_tree(spark, sf_dir))
+
+
+def _write_result_doc_tree(spark, sf_dir) -> str:
     """Per problem: ``<name>.results.json.gz`` and a sibling completion ``<name>.json.gz``."""
     docs = fx_result_docs(spark, sf_dir)
     b = load(spark, sf_dir, "benchmark")

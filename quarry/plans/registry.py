@@ -46,3 +46,18 @@ def sql_chars(chars: str) -> str:
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+_WRITTEN: dict[tuple, object] = {}
+
+
+def written_once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[], object]):
+    """Run ``write`` (which writes a derived fixture and returns its paths) once per
+    application and table folder; later queries reuse the written files while they exist."""
+    import os
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    paths = _WRITTEN.get(key)
+    listed = paths if isinstance(paths, (tuple, list)) else [paths]
+    if paths is None or not all(os.path.exists(str(p).replace("file:", "", 1)) for p in listed):
+        paths = _WRITTEN[key] = write()
+    return paths
