@@ -100,6 +100,16 @@ def stream_history(spark: SparkSession, source_dir: str, table_path: str, checkp
     return writer.start()
 
 
-def read_history(spark: SparkSession, table_path: str) -> DataFrame:
-    """The stored history in F2 long form."""
-    return spark.read.parquet(table_path).select(*HISTORY_COLUMNS)
+def read_history(spark: SparkSession, table_path: str, recompute_positions: bool = False) -> DataFrame:
+    """The stored history in F2 long form.
+
+    Stored positions follow arrival order.  When turns of a conversation may
+    arrive out of turn order, ``recompute_positions`` re-ranks the stored
+    messages by turn (the batch operator's global ranking).
+    """
+    stored = spark.read.parquet(table_path).select(*HISTORY_COLUMNS)
+    if not recompute_positions:
+        return stored
+    from quarry.operators.conversations import history_rows
+    turns = stored.select("conv_id", "turn", "role", F.col("content").alias("text"))
+    return history_rows(turns).select(*HISTORY_COLUMNS)

@@ -39,3 +39,18 @@ def test_history_pages_match_rows(spark):
             assert len(r["history"]) <= size
             pages.setdefault(r["conv_id"], []).extend((m["role"], m["content"]) for m in r["history"])
         assert pages == rows
+
+
+def test_out_of_order_arrival(spark):
+    base = tempfile.mkdtemp(prefix="quarry-stream-", dir="/tmp")
+    src, table, ckpt = base + "/events", base + "/history", base + "/ckpt"
+    turns = fx_turns(spark, SF001)
+    turns.where(F.col("turn") >= 2).write.parquet(src)           # later turns first
+    sh.stream_history(spark, src, table, ckpt, files_per_batch=8).awaitTermination()
+    turns.where(F.col("turn") < 2).write.mode("append").parquet(src)
+    sh.stream_history(spark, src, table, ckpt, files_per_batch=8).awaitTermination()
+    want = sorted(tuple(r) for r in cv.history_rows(turns).select(*sh.HISTORY_COLUMNS).collect())
+    arrival = sorted(tuple(r) for r in sh.read_history(spark, table).collect())
+    exact = sorted(tuple(r) for r in sh.read_history(spark, table, recompute_positions=True).collect())
+    assert exact == want
+    assert arrival != want and len(arrival) == len(want)
