@@ -97,15 +97,18 @@ def encode(df: DataFrame, vocab: DataFrame, text_col: str = "text", id_col: str
            max_tokens: int | None = MAX_LENGTH, out: str = "ids") -> DataFrame:
     """Token ids of each text (unknown tokens -> ``<unk>``), first ``max_tokens`` only.
 
-    Truncation happens before the join, so each row regroups at most
-    ``max_tokens`` ids.  The vocabulary is broadcast after a size check
-    (``build_vocab`` bounds it by its ``size``).
+    Each text is tokenized and truncated where it is read; the truncated
+    token arrays (one row per text, at most ``max_tokens`` tokens) are the
+    only thing shuffled, hash-partitioned by row id.  Exploding, the
+    broadcast vocabulary lookup and the regroup by id then stay in that
+    partitioning: token rows never cross the network.
     """
     toks = tokenize(text_col)
     if max_tokens is not None:
         toks = F.slice(toks, 1, max_tokens)
+    keyed = df.select(F.col(id_col).alias("_row"), toks.alias("_toks")).repartition(F.col("_row"))
     # posexplode_outer keeps texts without tokens; collect_list drops their null entry
-    exploded = df.select(F.col(id_col).alias("_row"), F.posexplode_outer(toks).alias("_pos", "token"))
+    exploded = keyed.select("_row", F.posexplode_outer("_toks").alias("_pos", "token"))
     lookup = maybe_broadcast(vocab.select("token", F.col("id").alias("_tid")), VOCAB_BROADCAST_MAX_ROWS)
     joined = exploded.join(lookup, "token", "left")
     entry = F.when(F.col("_pos").isNotNull(),
