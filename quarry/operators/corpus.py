@@ -149,7 +149,9 @@ def preview_tokens(corpus: DataFrame, vocab: DataFrame, n: int | None = None,
                    id_col: str = "id", sep: str = " ") -> DataFrame:
     """Decode ids back to tokens (pads included) for inspection; ``n`` rows if given."""
     rows = corpus.orderBy(id_col).limit(n) if n is not None else corpus
-    exploded = rows.select(id_col, F.posexplode_outer("input_ids").alias("_pos", "_tid")) \
+    # shuffle whole rows by id once; explode, lookup and regroup stay in that partitioning
+    keyed = rows.select(id_col, "input_ids").repartition(F.col(id_col))
+    exploded = keyed.select(id_col, F.posexplode_outer("input_ids").alias("_pos", "_tid")) \
         .where(F.col("_pos").isNotNull())
     names = maybe_broadcast(vocab.select(F.col("id").alias("_tid"), "token"), VOCAB_BROADCAST_MAX_ROWS)
     named = exploded.join(names, "_tid", "left")
