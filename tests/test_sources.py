@@ -116,3 +116,22 @@ def test_require_inputs(spark):
     rp.require_inputs(expected.where("model <> 'c'"), present)
     kept, missing = rp.present_only(present, expected)
     assert kept.count() == 2 and [r["model"] for r in missing.collect()] == ["c"]
+
+
+def test_write_results_is_ordered_across_part_files(spark):
+    import glob
+    from quarry.operators import evaluation as ev
+    rows = [(f"HumanEval_{i}_x", "p", "x", i % 2 == 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "problem string, prompt string, prediction string, passed boolean")
+    ranked = ev.order_by_problem_number(df.repartition(5))
+    path = tempfile.mkdtemp(prefix="quarry-ordered-", dir="/tmp") + "/out"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        wr.write_results(ranked, path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    seen = []
+    for f in sorted(glob.glob(path + "/part-*.json")):
+        seen += [json.loads(line)["problem"] for line in open(f)]
+    assert seen == [f"HumanEval_{i}_x" for i in range(300)]
+    assert len(glob.glob(path + "/part-*.json")) > 1
