@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from quarry.llm import dedup_exact, mixing, tokens, url_rules
+from quarry.llm import dedup_exact, mixing, token_counts, tokens, url_rules
 from quarry.llm.common import ORACLES, QUERIES, register, table  # noqa: F401
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
+WORD_VOCABULARY = "word_bpe_49k.json"
+TOKEN_LIMIT = 2048
 
 SQL_WORDS = r"[^\x20\x09-\x0D]+"
 SQL_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -27,6 +29,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+@register("op2_token_counts")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counts = token_counts.count_tokens(docs, public_tokenizers.path(WORD_VOCABULARY))
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 OP3_SQL = f"""
 WITH cut AS (
   SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0
