@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from quarry.llm import dedup_exact, mixing, token_counts, tokens, url_rules
+from quarry.llm import dedup_exact, mixing, quality, token_counts, tokens, url_rules
 from quarry.llm.common import ORACLES, QUERIES, register, table  # noqa: F401
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -110,3 +110,10 @@ FROM placed
 @register("op7_source_mix", OP7_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+@register("op5_quality_rules")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, rules).drop("text")
