@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from quarry.llm import chat, dedup_exact, mixing, quality, token_counts, tokens, url_rules
+from quarry.llm import chat, dedup_exact, mixing, pii, quality, token_counts, tokens, url_rules
 from quarry.llm.common import ORACLES, QUERIES, register, table  # noqa: F401
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -147,3 +147,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", F.size("messages").cast("long").alias("n_turns"), digest(turns).alias("turns_sha256"),
                        F.length(loss).cast("long").alias("loss_chars"), digest(loss).alias("loss_sha256"),
                        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@register("op9_personal_data")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = pii.KINDS[:4]
+    return found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in base],
+                        F.sha2(F.encode(pii.listed(base), "UTF-8"), 256).alias("base_sha256"),
+                        pii.listed(pii.KINDS).alias("spans"))
