@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from quarry.llm import chat, dedup_exact, mixing, pii, quality, token_counts, tokens, url_rules
+from quarry.llm import chat, dedup_exact, jaccard, mixing, pii, quality, token_counts, tokens, url_rules
 from quarry.llm.common import ORACLES, QUERIES, register, table  # noqa: F401
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -156,3 +156,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in base],
                         F.sha2(F.encode(pii.listed(base), "UTF-8"), 256).alias("base_sha256"),
                         pii.listed(pii.KINDS).alias("spans"))
+
+
+OP8_WIDTH, OP8_THRESHOLD = 4, 85
+
+
+@register("op8_jaccard_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.jaccard_join(docs, width=OP8_WIDTH, threshold=OP8_THRESHOLD)
