@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from quarry.llm import chat, dedup_exact, jaccard, mixing, pii, quality, token_counts, tokens, url_rules
+from quarry.llm import chat, dedup_exact, jaccard, mixing, pii, quality, suffix_dedup, token_counts, tokens, url_rules
 from quarry.llm.common import ORACLES, QUERIES, register, table  # noqa: F401
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -165,3 +165,8 @@ OP8_WIDTH, OP8_THRESHOLD = 4, 85
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard.jaccard_join(docs, width=OP8_WIDTH, threshold=OP8_THRESHOLD)
+
+
+@register("op10_suffix_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
