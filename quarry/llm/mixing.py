@@ -14,6 +14,7 @@ exact budget.  A budget above the source's size takes whole epochs first.
 Defined results: null text has size 0; documents of size 0 take 0; a null
 source is a source of its own, ranked last; rows that repeat are separate rows;
 an empty table gives an empty result.  Columns other than the three named are ignored.
+``text_hash`` (64 bits) tells rows of one id with different texts apart.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD, materialise
+from quarry.llm.common import SPACE, WORD, materialise
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -63,14 +64,14 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """Decide how many words the mix takes of every document.
 
-    Returns ``id_col``, size, source_size, target and taken; the takes of a source add up to its
+    Returns ``id_col``, size, source_size, target, taken and text_hash; the takes of a source add up to its
     target rounded down.  The order is a function of the id and the seed alone, so reruns agree.
     """
     key = F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 16)
     sized = materialise(docs.select(
         F.col(id_col).alias("id"), F.col(source_col).isNull().cast("int").alias("no_source"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source_key"),
-        word_count(F.col(text_col)).alias("size"), key.alias("key")), "mix-sizes")
+        word_count(F.col(text_col)).alias("size"), key.alias("key"), F.xxhash64(text_col).alias("text_hash")), "mix-sizes")
     order = ["no_source", "source_key", "key", "id", "size"]
     # the partition number is written with the rows: both uses below must see the same one
     sliced = materialise(sized.repartitionByRange(*order).withColumn("slice", F.spark_partition_id()), "mix-slices")
@@ -88,23 +89,24 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     whole, rest = F.floor(budget / epoch).cast("long"), budget % epoch
     cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
     return placed.select(F.col("id").alias(id_col), "size", "source_size", "target",
-                         (whole * F.col("size") + cut).cast("long").alias("taken"))
+                         (whole * F.col("size") + cut).cast("long").alias("taken"), "text_hash")
 
 
 def repeat_taken(docs: DataFrame, decisions: DataFrame, *, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
-    """The mixed corpus: ``docs`` (unique ids) with each document as often as it was taken.
+    """The mixed corpus: ``docs`` (no two rows of the same id and text) with each document as often
+    as it was taken.
 
-    Whole epochs repeat the row; a part of a document keeps its first words (the words joined by
-    single blanks).  Documents of which nothing was taken do not appear.
+    Whole epochs repeat the row; a part of a document keeps its first words, joined by single
+    blanks.  Documents of which nothing was taken do not appear.
     """
-    took = decisions.filter(F.col("taken") > 0).select(F.col(id_col).alias("_id"), F.col("size").alias("_size"),
-                                                      F.col("taken").alias("_taken"))
-    joined = docs.join(took, docs[id_col] == took["_id"])
-    copies = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
-    rows = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
+    took = decisions.filter("taken > 0").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"),
+                                                F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    same = docs[id_col].eqNullSafe(took["_id"]) & (F.xxhash64(docs[text_col]) == took["_hash"])
+    rows = docs.join(took, same).withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
     part = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
-    words = F.array_remove(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), "")
+    words = F.array_remove(F.split(F.col(text_col), SPACE), "")
     cut = F.concat_ws(" ", F.slice(words, F.lit(1), part.cast("int")))
-    return rows.withColumn(text_col, F.when(part < F.col("_size"), cut).otherwise(F.col(text_col))) \
-        .select(*docs.columns)
+    text = F.when(part < F.col("_size"), cut).otherwise(F.col(text_col))
+    return rows.withColumn(text_col, text).select(*docs.columns)

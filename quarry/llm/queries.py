@@ -109,7 +109,7 @@ FROM placed
 
 @register("op7_source_mix", OP7_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text_hash")
 
 
 @register("op5_quality_rules")
