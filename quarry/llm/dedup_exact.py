@@ -150,8 +150,8 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without copies: of equal texts the row with the largest id stays."""
     stay = exact_dedup(docs, id_col=id_col, text_col=text_col).filter("kept").select(
-        F.col(id_col).alias("_id"), F.col("text_sha256").alias("_digest"))
+        F.col(id_col).alias("__copy_id"), F.col("text_sha256").alias("__copy_digest"))
     own = F.sha2(F.encode(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), "UTF-8"), 256)
     # the digest tells texts of one id apart; rows equal in both are one
-    joined = docs.join(stay, docs[id_col].eqNullSafe(stay["_id"])).filter(own == F.col("_digest"))
-    return joined.dropDuplicates(["_id", "_digest"]).select(*docs.columns)
+    joined = docs.join(stay, docs[id_col].eqNullSafe(stay["__copy_id"])).filter(own == F.col("__copy_digest"))
+    return joined.dropDuplicates(["__copy_id", "__copy_digest"]).select(*docs.columns)

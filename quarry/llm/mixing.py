@@ -100,13 +100,13 @@ def repeat_taken(docs: DataFrame, decisions: DataFrame, *, id_col: str = "doc_id
     Whole epochs repeat the row; a part of a document keeps its first words, joined by single
     blanks.  Documents of which nothing was taken do not appear.
     """
-    took = decisions.filter("taken > 0").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"),
-                                                F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    same = docs[id_col].eqNullSafe(took["_id"]) & (F.xxhash64(docs[text_col]) == took["_hash"])
+    took = decisions.filter("taken > 0").select(F.col(id_col).alias("__mix_id"), F.col("text_hash").alias("__mix_hash"),
+                                                F.col("size").alias("__mix_size"), F.col("taken").alias("__mix_taken"))
+    same = docs[id_col].eqNullSafe(took["__mix_id"]) & (F.xxhash64(docs[text_col]) == took["__mix_hash"])
     rows = docs.join(took, same).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
-    part = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
+        "__mix_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__mix_taken") / F.col("__mix_size")).cast("int"))))
+    part = F.col("__mix_taken") - (F.col("__mix_copy") - 1) * F.col("__mix_size")
     words = F.array_remove(F.split(F.col(text_col), SPACE), "")
     cut = F.concat_ws(" ", F.slice(words, F.lit(1), part.cast("int")))
-    text = F.when(part < F.col("_size"), cut).otherwise(F.col(text_col))
+    text = F.when(part < F.col("__mix_size"), cut).otherwise(F.col(text_col))
     return rows.withColumn(text_col, text).select(*docs.columns)

@@ -63,14 +63,14 @@ OWN = (text_rule("block", "login", r"/(?i:login|signin)(?:[/.]|\z)", "login"),
 
 
 def with_parts(pages: DataFrame, url_col: str = "url") -> DataFrame:
-    """``pages`` with host, path and the distinct literal tokens of both (``_tokens``)."""
+    """``pages`` with host, path and the distinct literal tokens of both (``__url_tokens``)."""
     url = F.coalesce(F.col(url_col), F.lit(""))
     at = F.instr(url, "://")
     rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
     host = ascii_lower(F.regexp_extract(rest, r"\A[^/?#]*", 0))
     path = F.regexp_extract(rest, r"(?s)\A[^/?#]*([^?#]*)", 1)
     tokens = F.array_distinct(F.array_remove(F.split(ascii_lower(F.concat(host, path)), "[^a-z0-9]+"), ""))
-    return pages.withColumns({"host": host, "path": path}).withColumn("_tokens", tokens)
+    return pages.withColumns({"host": host, "path": path}).withColumn("__url_tokens", tokens)
 
 
 def rarest_tokens(parts: DataFrame, rules: Sequence[Rule]) -> dict[str, list[Rule]]:
@@ -80,7 +80,7 @@ def rarest_tokens(parts: DataFrame, rules: Sequence[Rule]) -> dict[str, list[Rul
     if any(not r.tokens for r in rules):
         raise ValueError("every rule needs a literal token")
     wanted = sorted({t for r in rules for t in r.tokens})
-    seen = F.array_intersect("_tokens", F.array(*map(F.lit, wanted)))
+    seen = F.array_intersect("__url_tokens", F.array(*map(F.lit, wanted)))
     counts = {r["token"]: r["n"] for r in parts.select(F.explode(seen).alias("token")).groupBy("token")
               .agg(F.count("*").alias("n")).collect()}  # at most one row for each of the rules' tokens
     index = defaultdict(list)
@@ -108,16 +108,16 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = LISTED + OWN, *, url_col: st
     pairs = [x for token, found in sorted(index.items())
              for x in (F.lit(token), F.array(*[_rule_struct(r) for r in found]))]
     if not pairs:
-        return parts.drop("_tokens").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default),
+        return parts.drop("__url_tokens").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default),
                                                   "own_rule": F.lit(None).cast("string")})
     by_token = F.create_map(*pairs)
     keys = F.array(*[F.lit(t) for t in sorted(index)])
-    fetched = F.flatten(F.transform(F.array_intersect("_tokens", keys), lambda t: by_token[t]))
+    fetched = F.flatten(F.transform(F.array_intersect("__url_tokens", keys), lambda t: by_token[t]))
     where = F.concat("host", "path")
     fitting = F.filter(fetched, lambda r: F.regexp_like(where, r["pattern"]))
     best = F.array_max(fitting)  # struct order: listed, size, name
-    judged = parts.withColumn("_best", best)
-    listed = F.col("_best.listed")
-    return judged.select(*out, "host", "path", F.when(listed, F.col("_best.name")).alias("rule"),
-                         F.coalesce(F.col("_best.verdict"), F.lit(default)).alias("verdict"),
-                         F.when(~listed, F.col("_best.name")).alias("own_rule"))
+    judged = parts.withColumn("__url_best", best)
+    listed = F.col("__url_best.listed")
+    return judged.select(*out, "host", "path", F.when(listed, F.col("__url_best.name")).alias("rule"),
+                         F.coalesce(F.col("__url_best.verdict"), F.lit(default)).alias("verdict"),
+                         F.when(~listed, F.col("__url_best.name")).alias("own_rule"))
