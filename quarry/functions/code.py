@@ -2,8 +2,8 @@
 
 Each rule walks the lines of one text with a small state (block depth,
 function/end counters).  The walk is a higher-order ``aggregate`` over
-the line array, so it runs inside the task that read the row: no
-explode, no shuffle, and the whole text is processed however long it is.
+slices of the line array (see ``walk.py``), so it runs inside the task
+that read the row: no explode, no shuffle, and time linear in the lines.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarry.functions.text import WS_CLASS, col_, py_strip, split_newlines, splitlines
+from quarry.functions.walk import sliced_walk
 
 # Keyword lists of the block rules.
 # clean_output: a line opens a function / closes a block when it matches
@@ -94,20 +95,17 @@ def fix_block_ends(text) -> Column:
         x["line"].alias("line"),
         _starts_with_any(x["s"], FIX_OPENERS).alias("opener"),
         (x["s"] == "end").alias("is_end")))
-    init = F.struct(F.lit(0).alias("d"), _empty_strings().alias("out"))
-
     def step(acc, x):
         d = (F.when(x["opener"], acc["d"] + 1)
              .when(x["is_end"] & (acc["d"] > 0), acc["d"] - 1)
              .otherwise(acc["d"]))
         keep = ~x["is_end"] | (acc["d"] > 0)
-        out = F.when(keep, F.concat(acc["out"], F.array(x["line"]))).otherwise(acc["out"])
-        return F.struct(d.alias("d"), out.alias("out"))
+        return F.struct(d.alias("d")), F.when(keep, F.array(x["line"])).otherwise(_empty_strings())
 
-    def finish(acc):
-        return F.array_join(F.concat(acc["out"], F.array_repeat(F.lit("end"), acc["d"])), "\n")
+    def finish(acc, out):
+        return F.array_join(F.concat(out, F.array_repeat(F.lit("end"), acc["d"])), "\n")
 
-    return F.aggregate(marked, init, step, finish)
+    return sliced_walk(marked, F.struct(F.lit(0).alias("d")), step, "string", finish)
 
 
 def close_first_completion(completions) -> Column:
@@ -128,8 +126,6 @@ def format_code(text) -> Column:
     marked = F.transform(stripped, lambda s: F.struct(
         s.alias("s"), (s == "").alias("empty"), s.rlike(INLINE_BLOCK).alias("inline"),
         s.rlike(DECREASE_PREFIX).alias("dec"), s.rlike(INCREASE_PREFIX).alias("inc")))
-    init = F.struct(F.lit(0).alias("d"), _empty_strings().alias("out"))
-
     def step(acc, x):
         same = x["empty"] | x["inline"]
         d_before = F.when(same, acc["d"]).when(x["dec"], F.greatest(acc["d"] - 1, F.lit(0))) \
@@ -137,16 +133,16 @@ def format_code(text) -> Column:
         rendered = F.when(x["empty"], F.lit("")).otherwise(
             F.concat(F.repeat(F.lit(" "), d_before * INDENT_SIZE), x["s"]))
         d = F.when(same, acc["d"]).otherwise(d_before + x["inc"].cast("int"))
-        return F.struct(d.alias("d"), F.concat(acc["out"], F.array(rendered)).alias("out"))
+        return F.struct(d.alias("d")), F.array(rendered)
 
-    def finish(acc):
+    def finish(acc, out):
         d = acc["d"]
         closing = F.transform(
             F.array_repeat(F.lit(0), d),
             lambda _x, i: F.concat(F.repeat(F.lit(" "), (d - 1 - i) * INDENT_SIZE), F.lit("end")))
-        return F.array_join(F.concat(acc["out"], closing), "\n")
+        return F.array_join(F.concat(out, closing), "\n")
 
-    out = F.aggregate(marked, init, step, finish)
+    out = sliced_walk(marked, F.struct(F.lit(0).alias("d")), step, "string", finish)
     for core, replacement in SPACING_RULES:
         out = F.regexp_replace(out, _linear(core), replacement)
     return out

@@ -57,12 +57,14 @@ def odds_ratio(passed_1, failed_1, passed_2, failed_2) -> Column:
 def pass_at_k(n, c, k: int) -> Column:
     """Unbiased pass@k for one problem with n samples, c correct.
 
-    1 - prod_{i=n-c+1..n} (1 - k/i); 1 when n-c < k; 0 when c = 0.
+    1 - prod_{i=n-c+1..n} (1 - k/i); null when there are fewer than k
+    samples, which cannot tell; 0 when c = 0; 1 when n-c < k.
     """
     n, c = col_(n).cast("long"), col_(c).cast("long")
     prod = F.aggregate(
         F.sequence(n - c + 1, n), F.lit(1.0),
         lambda acc, i: acc * (1.0 - F.lit(float(k)) / i.cast("double")))
-    return (F.when(n - c < k, F.lit(1.0))
+    return (F.when(n < k, F.lit(None).cast("double"))
             .when(c == 0, F.lit(0.0))
+            .when(n - c < k, F.lit(1.0))
             .otherwise(1.0 - prod))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,8 +18,9 @@ from quarry.session import ship_package
 BASE_MODELS = ["360m", "135m", "1.7b"]
 GENERATION_BATCH = 8
 
-# Loaded generators per Python worker process, keyed by (loader, model).
-_LOADED_MODELS: dict[tuple, object] = {}
+# Generators a Python worker holds, keyed by (call, model), the latest last.
+_LOADED_MODELS: OrderedDict[tuple, object] = OrderedDict()
+HELD_MODELS = 2
 
 
 def generation_requests(prompts: DataFrame, models: list[str] = BASE_MODELS) -> DataFrame:
@@ -32,49 +35,55 @@ def generation_requests(prompts: DataFrame, models: list[str] = BASE_MODELS) ->
 def batch_generate(requests: DataFrame, load_model: Callable[[str], Callable[[list[str]], list[str]]],
                    prompt_col: str = "prompt", model_col: str = "model",
                    out_col: str = "completion", batch_size: int = GENERATION_BATCH,
-                   error_col: str | None = None) -> DataFrame:
+                   error_col: str | None = None, splits: int | None = None) -> DataFrame:
     """Run a caller-supplied generator over Arrow batches of requests.
 
     ``load_model(name)`` returns a function mapping a list of prompts to a
-    list of completions.  Models are loaded once per Python worker.  A
-    model that fails to load yields an error text in its rows instead of
-    failing the job; ``error_col`` (optional) flags those rows.
+    list of completions.  Requests are dealt by model and one of ``splits``
+    shares (default: the session's parallelism) and come model after model,
+    so a worker loads few models and holds HELD_MODELS.  A model that fails
+    to load yields an error text in its rows instead of failing the job
+    (it is tried once per task); ``error_col`` (optional) flags those rows.
     """
-    ship_package(requests.sparkSession)
+    spark = requests.sparkSession
+    ship_package(spark)
     extra = [T.StructField(out_col, T.StringType())]
     if error_col:
         extra.append(T.StructField(error_col, T.BooleanType()))
     schema = T.StructType(requests.schema.fields + extra)
-    loader_key = (getattr(load_model, "__module__", ""), getattr(load_model, "__qualname__", repr(load_model)))
+    call = uuid.uuid4().hex  # loaders of one factory look alike: a call's models are its own
+    share = F.pmod(F.xxhash64(prompt_col), F.lit(splits or spark.sparkContext.defaultParallelism))
+    dealt = requests.repartition(F.col(model_col), share).sortWithinPartitions(model_col)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # module-level cache: lives as long as the (reused) Python worker, across tasks
+        # module-level: lives as long as the (reused) Python worker, across tasks
         from quarry.operators import completions as this
-        cache = this._LOADED_MODELS
+        held, broken = this._LOADED_MODELS, {}
         for pdf in batches:
             out = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
             failed = pd.Series([False] * len(pdf), index=pdf.index, dtype=bool)
-            for model, idx in pdf.groupby(model_col).groups.items():
-                key = loader_key + (model,)
-                gen = cache.get(key)
-                if gen is None:
+            for model, idx in pdf.groupby(model_col, dropna=False).groups.items():
+                key = (call, model)
+                if key not in held and model not in broken:
                     try:
-                        gen = cache[key] = load_model(model)
+                        held[key] = load_model(model)
+                        while len(held) > this.HELD_MODELS:
+                            held.popitem(last=False)
                     except Exception as e:  # noqa: BLE001 - the error becomes the rows' text
-                        gen = e             # not cached: the next batch tries again
+                        broken[model] = e
                 prompts = pdf.loc[idx, prompt_col].tolist()
-                if isinstance(gen, Exception):
-                    out.loc[idx] = [f"Error loading model: {gen}"] * len(prompts)
+                if model in broken:
+                    out.loc[idx] = [f"Error loading model: {broken[model]}"] * len(prompts)
                     failed.loc[idx] = True
                     continue
                 texts: list[str] = []
                 for i in range(0, len(prompts), batch_size):
-                    texts.extend(gen(prompts[i:i + batch_size]))
+                    texts.extend(held[key](prompts[i:i + batch_size]))
                 out.loc[idx] = texts
             cols = {out_col: out, **({error_col: failed} if error_col else {})}
             yield pdf.assign(**cols)
 
-    return requests.mapInPandas(run, schema)
+    return dealt.mapInPandas(run, schema)
 
 
 def drop_log_lines(df: DataFrame, col: str = "text", out: str | None = None) -> DataFrame:

@@ -2,19 +2,22 @@
 
 The reference tokenizes with a pretrained subword tokenizer; here the
 vocabulary is learned from the corpus (D4): tokens are counted with a
-map-side-combined aggregation, the ``size`` most frequent become ids,
-and encoding is a broadcast join against that bounded table.
+map-side-combined aggregation, and the ``size`` most frequent become ids.
+Encoding and decoding look tokens up where the text is read, in the
+broadcast vocabulary, whose size is checked.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import col_, py_strip
-from quarry.operators.joins import maybe_broadcast
 from quarry.operators.ordering import with_global_index
-from quarry.session import checkpoint_dir
+from quarry.session import checkpoint_dir, ship_package
 
 # Fixed values of the training setup.
 MAX_LENGTH = 1024
@@ -24,11 +27,11 @@ TOKEN_PATTERN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_ ]"
 # (batch per device, gradient accumulation) per base model
 BATCHING = {"360m": (4, 2), "135m": (4, 2), "1.7b": (2, 4)}
 BASE_MODELS = ["360m", "135m", "1.7b"]
-VARIANT_SUFFIXES = ["", "_signature", "_baseline"]
-# rows above this count are sampled through a global ranking instead of a top-k
-TOP_K_MAX = 100_000
-# a vocabulary (short strings) is broadcast up to this many entries, else joined by shuffle
-VOCAB_BROADCAST_MAX_ROWS = 1_000_000
+# what a variant's suffix says: (only signatures, baseline corpus)
+VARIANT_KINDS = {"": (False, False), "_signature": (True, False), "_baseline": (False, True)}
+DIRECTORY_NAMES = {"1.7b": "1-7B"}
+# the driver and every worker hold a vocabulary up to this many bytes of tokens
+VOCAB_MAX_BYTES = 256 << 20
 
 
 def compose_text(df: DataFrame, just_signature: bool = False, out: str = "text") -> DataFrame:
@@ -41,20 +44,30 @@ def compose_text(df: DataFrame, just_signature: bool = False, out: str = "text")
 def sample_exact(df: DataFrame, n: int | None, seed: int = 0, id_col: str = "id") -> DataFrame:
     """D3: exactly ``min(n, count)`` rows without replacement, reproducible by seed.
 
-    Rows are ranked by ``md5(seed:id)``.  Up to ``TOP_K_MAX`` rows a
-    distributed top-k is used; beyond it, a global ranking (range sort +
-    partition offsets) so no single task holds the sample.
+    Rows are ordered by ``md5(seed:id)``; the sample is every row up to the
+    n-th key.  That key is found on keys and ids alone: a hash threshold
+    from the row count thins them to little more than n, a global ranking
+    (range sort + partition offsets) numbers the rest.  The rows themselves
+    are then filtered where they are read, so no task gathers the sample.
+    Ids must be unique: rows that share an id stay or go together.
     """
     if n is None:
         return df
     if n < 1:
         raise ValueError("sample size must be greater than 0")
+    total = df.count()
+    if n >= total:
+        return df
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
-    keyed = df.withColumn("_sample_key", key)
-    if n <= TOP_K_MAX:
-        return keyed.orderBy("_sample_key", id_col).limit(n).drop("_sample_key")
-    ranked = with_global_index(keyed, [F.col("_sample_key"), F.col(id_col)], name="_rank")
-    return ranked.where(F.col("_rank") < n).drop("_sample_key", "_rank")
+    keys = df.select(key.alias("_key"), F.col(id_col).alias("_id"))
+    # the n-th key is below this share of the hash range but for a chance of one in a billion
+    share = (n + 6 * n ** 0.5 + 20) / total
+    for bound in ([f"{int(share * 16 ** 8):08x}"] if share < 1 else []) + [None]:
+        thinned = keys if bound is None else keys.where(F.substring("_key", 1, 8) < bound)
+        last = with_global_index(thinned, [F.col("_key"), F.col("_id")], name="_rank").where(F.col("_rank") == n - 1).first()
+        if last is not None:
+            break
+    return df.where((key < last["_key"]) | ((key == last["_key"]) & (F.col(id_col) <= F.lit(last["_id"]))))
 
 
 def tokenize(text) -> Column:
@@ -62,60 +75,82 @@ def tokenize(text) -> Column:
     return F.regexp_extract_all(col_(text), F.lit(TOKEN_PATTERN), 0)
 
 
-def build_vocab(texts: DataFrame, size: int, text_col: str = "text",
-                materialize: bool = True) -> DataFrame:
+def build_vocab(texts: DataFrame, size: int, text_col: str = "text") -> DataFrame:
     """``token, id, count``: special tokens, then the ``size`` most frequent tokens.
 
     Counting combines map-side, so a token that makes up a third of the
-    corpus costs one row per partition in the shuffle.  The top-k keeps
-    ``size`` rows per task; ids come from a window over those ``size`` rows.
-    The result is checkpointed (``materialize``), so later size checks and
-    lookups read ``size + 2`` rows instead of recomputing the counts.
+    corpus costs one row per partition in the shuffle.  The counts are
+    written once; a histogram of their magnitudes (at most 64 rows) tells
+    from which count on there are ``size`` tokens, and only those are
+    ranked, by a range sort with partition offsets.
     """
+    spark = texts.sparkSession
+    checkpoint_dir(spark)
     # explode_outer: a plain explode would infer a size(tokens) > 0 filter that
     # tokenizes every text a second time
     counts = (texts.select(F.explode_outer(tokenize(text_col)).alias("token"))
               .where(F.col("token").isNotNull())
-              .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
-    top = counts.orderBy(F.col("count").desc(), F.col("token")).limit(size)
-    from pyspark.sql import Window
-    ranked = top.select("token", "count",
-                        (F.row_number().over(Window.orderBy(F.col("count").desc(), F.col("token")))
-                         + 1).cast("int").alias("id"))
-    specials = texts.sparkSession.createDataFrame(
+              .groupBy("token").agg(F.count(F.lit(1)).alias("count"))).checkpoint(eager=True)
+    magnitudes = counts.groupBy(F.floor(F.log2("count")).alias("m")).agg(F.count(F.lit(1)).alias("n")) \
+        .orderBy(F.desc("m")).collect()
+    least, found = 1, 0
+    for row in magnitudes:
+        found += row["n"]
+        if found >= size:
+            least = 1 << int(row["m"])
+            break
+    ranked = with_global_index(counts.where(F.col("count") >= least), [F.col("count").desc(), F.col("token")], name="_rank")
+    specials = spark.createDataFrame(
         [(PAD_TOKEN, PAD_ID, 0), (UNK_TOKEN, UNK_ID, 0)], "token string, id int, count long")
-    vocab = specials.unionByName(ranked.select("token", "id", "count"))
-    if not materialize:
-        return vocab
-    # A vocabulary is a small artifact used by every encode and preview: write it once to
-    # the shared checkpoint folder instead of re-tokenizing the corpus at each use.
-    checkpoint_dir(texts.sparkSession)
-    return vocab.checkpoint(eager=True)
+    top = ranked.where(F.col("_rank") < size).select("token", (F.col("_rank") + 2).cast("int").alias("id"), "count")
+    return specials.unionByName(top).checkpoint(eager=True)
+
+
+def _collected_vocab(vocab: DataFrame) -> list[tuple[str, int]]:
+    """(token, id) on the driver, once its size is known to be within VOCAB_MAX_BYTES."""
+    held = vocab.agg(F.coalesce(F.sum(F.octet_length("token") + 64), F.lit(0))).first()[0]
+    if held > VOCAB_MAX_BYTES:
+        raise ValueError(f"the vocabulary takes {held} bytes; the limit is VOCAB_MAX_BYTES")
+    return [(r["token"], r["id"]) for r in vocab.select("token", "id").collect()]
 
 
-def encode(df: DataFrame, vocab: DataFrame, text_col: str = "text", id_col: str = "id",
+def encode(df: DataFrame, vocab: DataFrame, text_col: str = "text",
            max_tokens: int | None = MAX_LENGTH, out: str = "ids") -> DataFrame:
-    """Token ids of each text (unknown tokens -> ``<unk>``), first ``max_tokens`` only.
+    """``df`` with the token ids of each text (unknown tokens -> ``<unk>``), the first ``max_tokens``.
 
-    Each text is tokenized and truncated where it is read; the truncated
-    token arrays (one row per text, at most ``max_tokens`` tokens) are the
-    only thing shuffled, hash-partitioned by row id.  Exploding, the
-    broadcast vocabulary lookup and the regroup by id then stay in that
-    partitioning: token rows never cross the network.
+    Map-only: tokens are cut in the JVM and looked up in the broadcast
+    vocabulary, batch by batch; no row id is needed and rows that repeat
+    stay apart.
     """
+    spark = df.sparkSession
+    ship_package(spark)
+    known = spark.sparkContext.broadcast(dict(_collected_vocab(vocab)))
     toks = tokenize(text_col)
     if max_tokens is not None:
         toks = F.slice(toks, 1, max_tokens)
-    keyed = df.select(F.col(id_col).alias("_row"), toks.alias("_toks")).repartition(F.col("_row"))
-    # posexplode_outer keeps texts without tokens; collect_list drops their null entry
-    exploded = keyed.select("_row", F.posexplode_outer("_toks").alias("_pos", "token"))
-    lookup = maybe_broadcast(vocab.select("token", F.col("id").alias("_tid")), VOCAB_BROADCAST_MAX_ROWS)
-    joined = exploded.join(lookup, "token", "left")
-    entry = F.when(F.col("_pos").isNotNull(),
-                   F.struct("_pos", F.coalesce("_tid", F.lit(UNK_ID)).alias("t")))
-    return (joined.groupBy("_row")
-            .agg(F.sort_array(F.collect_list(entry)).alias("_pairs"))
-            .select(F.col("_row").alias(id_col), F.transform("_pairs", lambda p: p["t"]).alias(out)))
+    rest = [c for c in df.columns if c != out]
+    cut = df.select(*rest, F.coalesce(toks, F.array().cast("array<string>")).alias(out))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = known.value.get
+        for batch in batches:
+            tokens = batch.column(out)
+            ids = pa.array([get(t, UNK_ID) for t in tokens.flatten().to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _lists_like(tokens, ids)], batch.schema.names)
+
+    return cut.mapInArrow(look_up, _with_column(df.select(*rest), out, "array<int>"))
+
+
+def _lists_like(lists: pa.ListArray, values: pa.Array) -> pa.ListArray:
+    """The list array ``lists`` with other values (a slice's offsets need not start at 0)."""
+    first = lists.offsets[0].as_py() if len(lists) else 0
+    offsets = [o - first for o in lists.offsets.to_pylist()] if len(lists) else [0]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def _with_column(df: DataFrame, name: str, kind: str):
+    from pyspark.sql import types as T
+    return T.StructType([*df.schema.fields, T.StructField(name, T.DataType.fromDDL(kind))])
 
 
 def pad_truncate(ids, max_length: int = MAX_LENGTH, pad: int = PAD_ID) -> tuple[Column, Column]:
@@ -140,58 +175,42 @@ def create_corpus(df: DataFrame, vocab: DataFrame, just_signature: bool = False,
     """D3 -> D1/D2 -> D4 -> D5; keeps ``id, input_ids, attention_mask``."""
     rows = sample_exact(df, sample, seed, id_col)
     texts = compose_text(rows, just_signature).select(id_col, "text")
-    ids = encode(texts, vocab, id_col=id_col, max_tokens=max_length)
+    ids = encode(texts, vocab, max_tokens=max_length)
     input_ids, mask = pad_truncate("ids", max_length)
     return ids.select(id_col, input_ids.alias("input_ids"), mask.alias("attention_mask"))
 
 
 def preview_tokens(corpus: DataFrame, vocab: DataFrame, n: int | None = None,
                    id_col: str = "id", sep: str = " ") -> DataFrame:
-    """Decode ids back to tokens (pads included) for inspection; ``n`` rows if given."""
+    """Decode ids back to tokens (pads included) for inspection; ``n`` rows if given.
+
+    Map-only, like :func:`encode`.
+    """
+    spark = corpus.sparkSession
+    ship_package(spark)
+    names = spark.sparkContext.broadcast({i: t for t, i in _collected_vocab(vocab)})
     rows = corpus.orderBy(id_col).limit(n) if n is not None else corpus
-    # shuffle whole rows by id once; explode, lookup and regroup stay in that partitioning
-    keyed = rows.select(id_col, "input_ids").repartition(F.col(id_col))
-    exploded = keyed.select(id_col, F.posexplode_outer("input_ids").alias("_pos", "_tid")) \
-        .where(F.col("_pos").isNotNull())
-    names = maybe_broadcast(vocab.select(F.col("id").alias("_tid"), "token"), VOCAB_BROADCAST_MAX_ROWS)
-    named = exploded.join(names, "_tid", "left")
-    return (named.groupBy(id_col)
-            .agg(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("token", F.lit(UNK_TOKEN)).alias("t"))))
-                 .alias("_pairs"))
-            .select(id_col, F.array_join(F.transform("_pairs", lambda p: p["t"]), sep).alias("decoded")))
+    rows = rows.select(id_col, "input_ids")
 
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = names.value.get
+        for batch in batches:
+            texts = [sep.join([get(i, UNK_TOKEN) for i in ids or ()]) for ids in batch.column("input_ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "decoded"])
 
-def model_variant_name(base: str, signature: bool = False, baseline: bool = False) -> str:
-    """Name of a trained variant; signature and baseline together are rejected."""
-    if signature and baseline:
-        raise ValueError("Cannot have both signature and baseline enabled.")
-    return base + ("_baseline" if baseline else "_signature" if signature else "")
+    return rows.mapInArrow(look_up, _with_column(rows.select(id_col), "decoded", "string"))
 
 
-def model_directory(name: str) -> str:
-    """Output directory of a variant ("1.7b" is stored as "1-7B")."""
-    return name.replace("1.7b", "1-7B")
+def variant_table() -> list[tuple[str, str, bool, bool, str]]:
+    """Every trained variant: (model, base, signature, baseline, directory)."""
+    return [(base + suffix, base, signature, baseline, DIRECTORY_NAMES.get(base, base) + suffix)
+            for base in BASE_MODELS for suffix, (signature, baseline) in VARIANT_KINDS.items()]
 
 
 def model_variants(spark) -> DataFrame:
     """Base models x {plain, signature, baseline} with their directories."""
-    rows = []
-    for base in BASE_MODELS:
-        for suffix in VARIANT_SUFFIXES:
-            name = model_variant_name(base, suffix == "_signature", suffix == "_baseline")
-            rows.append((name, base, suffix == "_signature", suffix == "_baseline",
-                         model_directory(name)))
     return spark.createDataFrame(
-        rows, "model string, base string, signature boolean, baseline boolean, directory string")
-
-
-def variant_columns(model) -> dict[str, Column]:
-    """D9 as expressions on a model-name column (for tables of requests)."""
-    m = col_(model)
-    return {"base": F.substring_index(m, "_", 1),
-            "signature": m.endswith("_signature"),
-            "baseline": m.endswith("_baseline"),
-            "directory": F.replace(m, F.lit("1.7b"), F.lit("1-7B"))}
+        variant_table(), "model string, base string, signature boolean, baseline boolean, directory string")
 
 
 def training_batches(df: DataFrame, model: str, order_by: list | None = None,
@@ -202,7 +221,7 @@ def training_batches(df: DataFrame, model: str, order_by: list | None = None,
     no single-partition window).  Every step is 8 rows on one device.
     """
     if model not in BATCHING:
-        raise ValueError(f"Invalid model name: {model}")
+        raise ValueError(f"no batch size is set for {model!r}; known are {sorted(BATCHING)}")
     batch, accum = BATCHING[model]
     indexed = with_global_index(df, order_by or [F.col(id_col)], name="row_index")
     return indexed.withColumns({

@@ -10,6 +10,7 @@ or model holding a large share of rows does not load one task.
 
 from __future__ import annotations
 
+import warnings
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,15 @@ OK_STATUS = "OK"
 PAIRS_PER_PASS = 400
 
 
+class IncomparableResults(ValueError):
+    """Result sets that cannot be paired; ``table`` lists what is wrong (see ``result_faults``)."""
+
+    def __init__(self, message: str, table: DataFrame):
+        super().__init__(message)
+        self.table = table
+
+
+
 # ------------------------------------------------------------- G1 - G4
 
 def prediction_slice(program, prompt, tests) -> Column:
@@ -60,24 +70,30 @@ def problem_number(problem) -> Column:
 def order_by_problem_number(df: DataFrame, rank: str = "rank",
                             tiebreak: list[str] | None = None) -> DataFrame:
     """Number rows by the first digit run of ``problem`` (ties by name,
-    then by ``tiebreak`` columns; names without digits go last).
+    then by ``tiebreak`` columns, by default ``model`` where there is one;
+    names without digits go last).
 
     Adds a global 0-based ``rank``; write with ``orderBy(rank)``.
     """
     keys = [problem_number("problem").asc_nulls_last(), F.col("problem").asc()]
-    keys += [F.col(c).asc() for c in (tiebreak or [])]
+    if tiebreak is None:
+        tiebreak = [c for c in ("model",) if c in df.columns]
+    keys += [F.col(c).asc() for c in tiebreak]
     return with_global_index(df, keys, name=rank)
 
 
 # ------------------------------------------------------------- G5 - G8
 
 def pass_at_k_by_model(samples: DataFrame, k: int) -> DataFrame:
-    """Mean unbiased pass@k per model from (model, problem, passed) samples."""
+    """Mean unbiased pass@k per model from (model, problem, passed) samples.
+
+    Problems with fewer than ``k`` samples have no score; ``scored`` counts the others.
+    """
     per_problem = samples.groupBy("model", "problem").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("passed")).alias("c"))
     scored = per_problem.withColumn("score", pass_at_k("n", "c", k))
     return scored.groupBy("model").agg(
-        F.avg("score").alias(f"pass_at_{k}"), F.count(F.lit(1)).alias("problems"))
+        F.avg("score").alias(f"pass_at_{k}"), F.count(F.lit(1)).alias("problems"), F.count("score").alias("scored"))
 
 
 def pass_rates(results: DataFrame) -> DataFrame:
@@ -158,6 +174,40 @@ def with_odds_ratio(df: DataFrame, p1="passed_1", f1="failed_1", p2="passed_2",
 
 # ------------------------------------------------------------- G13 - G15
 
+def result_faults(results: DataFrame, models: list[str]) -> DataFrame:
+    """``model, fault, problem, times``: what keeps the models' results from being paired.
+
+    ``absent`` models have no result at all; a ``gap`` is a problem that another
+    of the models has; a ``duplicate`` is a problem with several results.
+    """
+    spark = results.sparkSession
+    own = results.where(F.col("model").isin(models))
+    counts = own.groupBy("problem").agg(*[F.count_if(F.col("model") == m).alias(f"_n{i}") for i, m in enumerate(models)])
+    per = counts.select("problem", F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"_n{i}").alias("times"))
+                                                      for i, m in enumerate(models)])))
+    wanted = spark.createDataFrame([(m,) for m in models], "model string")
+    absent = wanted.join(own.select("model").distinct(), "model", "left_anti")
+    fault = F.when(F.col("times") == 0, F.lit("gap")).otherwise(F.lit("duplicate"))
+    unequal = per.where("times <> 1").join(absent, "model", "left_anti").select("model", fault.alias("fault"), "problem", "times")
+    return absent.select("model", F.lit("absent").alias("fault"), F.lit(None).cast(results.schema["problem"].dataType).alias("problem"),
+                         F.lit(0).cast("long").alias("times")).unionByName(unequal)
+
+
+def absent_models(results: DataFrame, models: list[str]) -> list[str]:
+    """Those of ``models`` without any result, in their order."""
+    present = {r["model"] for r in results.where(F.col("model").isin(models)).select("model").distinct().collect()}
+    return [m for m in models if m not in present]
+
+
+def check_comparable(results: DataFrame, models: list[str]) -> None:
+    """Raise :class:`IncomparableResults` unless every model has one result for the same problems."""
+    faults = result_faults(results, models)
+    found = faults.groupBy("model", "fault").agg(F.count(F.lit(1)).alias("n")).orderBy("model", "fault").collect()
+    if found:
+        said = ", ".join(f"{r['model']}: " + ("absent" if r["fault"] == "absent" else f"{r['n']} {r['fault']}s") for r in found)
+        raise IncomparableResults(f"the results cannot be compared ({said})", faults)
+
+
 def _models_wide(results: DataFrame, models: list[str]) -> DataFrame:
     """One row per problem, one outcome column per model (null when absent)."""
     cols = [F.max(F.when(F.col("model") == m, F.col("passed").cast("int"))).alias(f"_m{i}")
@@ -166,14 +216,17 @@ def _models_wide(results: DataFrame, models: list[str]) -> DataFrame:
 
 
 def pair_statistics(results: DataFrame, models: list[str],
-                    pairs: list[tuple[str, str]]) -> DataFrame:
+                    pairs: list[tuple[str, str]], strict: bool = True) -> DataFrame:
     """Contingency, McNemar and odds ratio for each (model_1, model_2) pair.
 
-    Counts use only problems both models answered; each model's passed and
-    total count all of its own problems.
+    With ``strict`` the models must have one result each for the same
+    problems.  Without, pairs are counted over the problems both have, and
+    each model's passed and total over all of its own.
     """
     if not pairs:
         raise ValueError("no model pairs to compare")
+    if strict:
+        check_comparable(results, models)
     idx = {m: i for i, m in enumerate(models)}
     wide = _models_wide(results, models)
     totals = [F.count_if(F.col(f"_m{i}") == 1).alias(f"_p{i}") for i in range(len(models))] + \
@@ -203,19 +256,24 @@ def pair_statistics(results: DataFrame, models: list[str],
     return with_odds_ratio(out).drop("failed_1", "failed_2")
 
 
-def compare_all_pairs(results: DataFrame, order: list[str]) -> DataFrame:
+def compare_all_pairs(results: DataFrame, order: list[str], strict: bool = True) -> DataFrame:
     """Every unordered model pair (earlier model in ``order`` first)."""
-    return pair_statistics(results, list(order), list(combinations(order, 2)))
+    return pair_statistics(results, list(order), list(combinations(order, 2)), strict)
 
 
-def compare_to_baseline(results: DataFrame, baseline: str, models: list[str]) -> DataFrame:
+def compare_to_baseline(results: DataFrame, baseline: str, models: list[str], strict: bool = True) -> DataFrame:
     """Each model against one baseline.
 
-    The table is oriented (model, baseline); the odds ratio is the
-    baseline's odds over the model's, as in the comparison it re-aims.
+    A model without results is reported (a warning) and left out; the
+    baseline must be there.  The table is oriented (model, baseline); the
+    odds ratio is the baseline's odds over the model's, as in the
+    comparison it re-aims.
     """
     others = [m for m in models if m != baseline]
-    stats = pair_statistics(results, [baseline] + others, [(m, baseline) for m in others])
+    if strict and (absent := absent_models(results, others)):
+        warnings.warn(f"no results for {', '.join(absent)}; not compared to {baseline}", stacklevel=2)
+        others = [m for m in others if m not in absent]
+    stats = pair_statistics(results, [baseline] + others, [(m, baseline) for m in others], strict)
     base_or = odds_ratio(F.col("passed_2"), F.col("total_2") - F.col("passed_2"),
                          F.col("passed_1"), F.col("total_1") - F.col("passed_1"))
     return stats.select(
@@ -227,13 +285,17 @@ def compare_to_baseline(results: DataFrame, baseline: str, models: list[str]) ->
 
 
 def evaluation_report(results: DataFrame, baseline: str, order: list[str]) -> dict[str, DataFrame]:
-    """Pass rates, outcome counts, all pairs and the baseline comparison."""
+    """Pass rates, outcome counts, all pairs and the baseline comparison of the models that
+    have results, and ``absent``, the models that have none."""
+    absent = absent_models(results, list(order))
+    order = [m for m in order if m not in absent]
     results = results.where(F.col("model").isin(list(set(order) | {baseline})))
     return {
         "pass_rates": pass_rates(results),
         "outcomes": outcome_counts(results),
         "pairs": compare_all_pairs(results, order),
         "vs_baseline": compare_to_baseline(results, baseline, [baseline] + list(order)),
+        "absent": results.sparkSession.createDataFrame([(m,) for m in absent], "model string"),
     }
 
 

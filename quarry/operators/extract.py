@@ -1,28 +1,27 @@
 """Function extraction from Julia source files.
 
-Extraction is re-aimed from a syntax-tree library to line classification:
-each file row is walked once with a higher-order ``aggregate`` whose
-state is a small block stack, the bracket depth, the previous sibling
-line (for docs) and the functions found so far.  Files are below 1 MiB
-(A4), so the walk is bounded per row, and the job is map-only: the corpus
-text is never shuffled.
+Extraction is re-aimed from a syntax-tree library to a walk over block
+tokens: every line is blanked (strings, comments), its block keywords and
+brackets are listed, and one walk over the lines keeps a stack of what is
+open, the previous sibling line (for docs) and a header that spans lines.
+The walk runs inside the task that read the file and takes time linear in
+its lines; the corpus text is never shuffled.
 
 Supported subset (documented in the README):
-  * block openers at the start of a line (after optional ``@macro``
-    prefixes, also ``Mod.@macro``), after an assignment (``x = if``), a
-    ``do`` block, and a trailing ``begin``; a line that opens and also
-    ends with ``end`` is one-line; ``end`` closes a block when it starts a
-    line;
-  * inside open brackets, ``for``/``if`` at line start are comprehension
-    clauses, not blocks;
+  * a block opens with its keyword anywhere in a line's code (``x = if``,
+    ``return function (y)``, ``map(function (x)``, ``a && try``, ``do``) and
+    closes with ``end``; symbols (``:end``) and fields (``x.end``) are names;
+  * directly inside brackets, ``for`` and ``if`` are clauses, ``end`` is an
+    index, and inside ``[`` so is ``begin``;
   * strings are blanked and trailing comments removed before a line is
-    classified; triple-quoted strings and ``#= =#`` comments are skipped;
+    read; triple-quoted strings and ``#= =#`` comments are skipped;
   * docs: a line comment, a string literal (one line or triple-quoted),
     or a macro containing ``@doc`` directly before the header; any other
-    macro gives an empty doc;
+    macro gives an empty doc, and so does a function inside a line;
   * a header whose parameter list spans lines is joined with its
     continuation lines; the body starts after the closing bracket;
-  * a one-line ``function f(x) x end`` is a function with an empty body;
+  * a body is the lines between header and ``end``; a function that ends on
+    its header line has an empty body;
   * ``@doc "text" function f(x)`` on one line documents ``f`` with that string;
   * ``#= =#`` block comments are neither line comments nor code, in bodies too.
 """
@@ -33,30 +32,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import py_strip, split_newlines
+from quarry.functions.walk import let, sliced_walk
 
+# A quoted string; possessive, so the regex engine keeps no way back for each character.
+QUOTED = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 # The block keywords and the macros treated as constraints.
 MACRO_PREFIX = r'^([\w.]*@[\w.!]+\s+(\w*""\s+)?)*'    # on the code part: strings are blanked
-BLOCK_KEYWORDS = (r"function|if|for|while|begin|try|let|struct|mutable\s+struct|abstract\s+type|"
-                  r"primitive\s+type|module|baremodule|macro|quote")
-BLOCK_START = MACRO_PREFIX + "(" + BLOCK_KEYWORDS + r")\b"
-CLAUSE_START = MACRO_PREFIX + r"(for|if)\b"
-BLOCK_AFTER_ASSIGN = r"[^=!<>]=\s*(function|if|begin|let|try|quote)\b"
-BLOCK_TAIL = r"(\bdo\b|\bbegin$)"
-BLOCK_END = r"^end\b"
-ONE_LINE_END = r"\bend[\s;,)]*$"
-FUNCTION_START = MACRO_PREFIX + r"function\s"
+OPENERS = ("function|if|for|while|begin|try|let|struct|module|baremodule|macro|quote|do|"
+           r"(?:abstract|primitive)\s+type")
+BLOCK_TOKENS = rf"[\[\](){{}}]|(?<![\w.:@!])(?:{OPENERS}|end)\b(?![!\w])"
+FUNCTION_START = MACRO_PREFIX + r"function\b"
 CONSTRAINT_MACROS = ["@debug", "@info", "@variable", "@constraint", "@objective"]
 # the same prefix on the raw line, where a macro may take one string argument
-MACRO_PREFIX_RAW = r'^([\w.]*@[\w.!]+\s+(\w*"(?:[^"\\]|\\.)*"\s+)?)*'
+MACRO_PREFIX_RAW = rf"^([\w.]*@[\w.!]+\s+(\w*{QUOTED}\s+)?)*"
 # "@doc "text" function ..." documents the function on its own line
-INLINE_DOC = r'^@doc\s+(\w*"(?:[^"\\]|\\.)*")\s+function\s'
+INLINE_DOC = rf"^@doc\s+(\w*{QUOTED})\s+function\s"
 
 TRIPLE_QUOTE = '"""'
-STRING_LITERAL = r'"(?:[^"\\]|\\.)*"'
 CHAR_LITERAL = r"'(?:[^'\\]|\\.)'"
 
-_NODE = "struct<is_fn:boolean,hdr:int,level:int,doc:string,header:string,body_start:int>"
-_FN = "struct<hdr:int,end:int,level:int,doc:string,header:string,body_start:int>"
+# What is open, outermost first: a bracket as itself, b a block, f a function.
+BRACKETS = {"(": ")", "[": "]", "{": "}"}
+_OPENED = "struct<level:int,line:int,token:int,doc:string,header:string,body_start:int,end:int>"
 
 
 def _count(s: Column, token: str) -> Column:
@@ -66,86 +63,117 @@ def _count(s: Column, token: str) -> Column:
 
 def code_part(t: Column) -> Column:
     """A stripped line with string and char literals blanked and the comment removed."""
-    blanked = F.regexp_replace(F.regexp_replace(t, STRING_LITERAL, '""'), CHAR_LITERAL, "''")
+    blanked = F.regexp_replace(F.regexp_replace(t, QUOTED, '""'), CHAR_LITERAL, "''")
     return py_strip(F.regexp_replace(blanked, "#.*$", ""))
 
 
-def _raw_flags(t: Column) -> Column:
-    """Every regex test of a stripped line, each evaluated once."""
-    code = code_part(t)
-    brackets = (_count(code, "(") + _count(code, "[") + _count(code, "{")
-                - _count(code, ")") - _count(code, "]") - _count(code, "}"))
-    macro = F.lit(False)
-    for m in CONSTRAINT_MACROS:
-        macro = macro | t.startswith(m)
-    return F.struct(
-        t.alias("t"),
-        code.rlike(BLOCK_START).alias("start"),
-        code.rlike(CLAUSE_START).alias("clause"),
-        (code.rlike(BLOCK_AFTER_ASSIGN) | code.rlike(BLOCK_TAIL)).alias("inner"),
-        code.rlike(BLOCK_END).alias("closer"),
-        code.rlike(ONE_LINE_END).alias("ends_end"),
-        code.rlike(FUNCTION_START).alias("fn_start"),
-        ((_count(t, TRIPLE_QUOTE) % 2) == 1).alias("odd_q"),
-        t.startswith("#").alias("hash"),
-        t.startswith("#=").alias("cmt_open"),
-        t.contains("=#").alias("cmt_close"),
-        t.startswith('"').alias("quote"),
-        t.startswith("@").alias("at"),
-        macro.alias("constraint"),
-        brackets.alias("brackets"))
-
-
 def classify_lines(lines: Column) -> Column:
-    """Per-line classification (one pass; the walks below only read fields).
+    """Per line: its text, block tokens, and every flag the walks read."""
+    def classify(line: Column) -> Column:
+        def flags(x: Column) -> Column:
+            t, code = x["t"], x["code"]
+            macro = F.lit(False)
+            for m in CONSTRAINT_MACROS:
+                macro = macro | t.startswith(m)
+            comment_open = t.startswith("#=") & ~t.contains("=#")
+            kind = (F.when(t.startswith("#"), F.lit("comment")).when(t.startswith('"'), F.lit("string"))
+                    .when(t.startswith("@"), F.lit("macro")).otherwise(F.lit("code")))
+            return F.struct(
+                line.alias("line"), t.alias("t"), code.alias("code"),
+                F.regexp_extract_all(code, F.lit(BLOCK_TOKENS), F.lit(0)).alias("tokens"),
+                code.rlike(FUNCTION_START).alias("starts_function"),
+                ((_count(t, TRIPLE_QUOTE) % 2) == 1).alias("odd_q"), (t == "").alias("blank"),
+                comment_open.alias("cmt_open"), t.contains("=#").alias("cmt_close"),
+                (t.startswith("#") & ~t.startswith("#=")).alias("comment"), macro.alias("constraint"), kind.alias("kind"))
+
+        return let(py_strip(line), lambda t: let(F.struct(t.alias("t"), code_part(t).alias("code")), flags))
+
+    return F.transform(lines, classify)
+
+
+def _after_token(stack: Column, token: Column) -> Column:
+    """The stack after one block token."""
+    top = F.right(stack, F.lit(1))
+    in_brackets = top.isin(*BRACKETS)
+    popped = F.left(stack, F.length(stack) - 1)
+    name = (token == "for") | (token == "if")
+    return (F.when(token.isin(*BRACKETS), F.concat(stack, token))
+            .when(token.isin(*BRACKETS.values()), F.when(in_brackets, popped).otherwise(stack))
+            .when(token == "end", F.when(top.isin("b", "f"), popped).otherwise(stack))
+            .when((name & in_brackets) | ((token == "begin") & (top == "[")), stack)
+            .otherwise(F.concat(stack, F.when(token == "function", F.lit("f")).otherwise(F.lit("b")))))
+
+
+def _after_line(stack: Column, tokens: Column) -> Column:
+    return F.when(F.size(tokens) == 0, stack).otherwise(F.aggregate(tokens, stack, _after_token))
+
+
+def _blocks(stack: Column) -> Column:
+    """How many blocks (not brackets) are open."""
+    return F.length(F.translate(stack, "([{", ""))
+
+
+def _parameters(rest: Column) -> Column:
+    """The parameter list at the first bracket of ``rest``: up to the bracket that closes it, or to
+    the end where none does.  Brackets in strings do not count."""
+    def step(acc: Column, c: Column) -> Column:
+        code = ~acc["quoted"]
+        depth = acc["depth"] + F.when(code & (c == "("), 1).when(code & (c == ")"), -1).otherwise(0)
+        return F.struct((acc["i"] + 1).alias("i"), depth.alias("depth"),
+                        F.when(c == '"', code).otherwise(acc["quoted"]).alias("quoted"),
+                        F.when(acc["end"].isNull() & code & (c == ")") & (depth == 0), acc["i"] + 1).otherwise(acc["end"]).alias("end"))
+
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(None).cast("int").alias("end"))
+    def cut(open_part: Column) -> Column:
+        end = F.aggregate(F.split(open_part, ""), start, step)["end"]
+        return let(end, lambda e: F.when(e.isNull(), F.rtrim(open_part)).otherwise(F.left(open_part, e)))
 
-    ``open`` is a block opened by the line unless it also ends with ``end``;
-    ``open_in_brackets`` is the same for a line that starts inside open
-    brackets, where ``for``/``if`` are comprehension clauses.
-    """
-    raw = F.transform(F.transform(lines, py_strip), _raw_flags)
-
-    def derive(r, line):
-        opener = r["start"] | r["inner"]
-        one_line = opener & ~r["closer"] & r["ends_end"]
-        kind = (F.when(r["hash"], F.lit("comment")).when(r["quote"], F.lit("string"))
-                .when(r["at"], F.lit("macro")).otherwise(F.lit("code")))
-        return F.struct(
-            line.alias("line"), r["t"].alias("t"),
-            (opener & ~one_line).alias("open"),
-            ((r["inner"] | (r["start"] & ~r["clause"])) & ~one_line).alias("open_in_brackets"),
-            (r["closer"] & ~opener).alias("close"),
-            (r["fn_start"] & ~one_line).alias("is_fn"),
-            (r["fn_start"] & one_line).alias("fn_one_line"),
-            r["odd_q"].alias("odd_q"), (r["t"] == "").alias("blank"),
-            (r["cmt_open"] & ~r["cmt_close"]).alias("cmt_open"), r["cmt_close"].alias("cmt_close"),
-            (r["hash"] & ~r["cmt_open"]).alias("comment"), r["constraint"].alias("constraint"),
-            kind.alias("kind"), r["brackets"].alias("brackets"))
-
-    return F.transform(F.arrays_zip(raw.alias("r"), lines.alias("l")),
-                       lambda z: derive(z["r"], z["l"]))
+    at = F.instr(rest, "(")
+    return F.when(at > 0, let(F.substring(rest, at, 1 << 30), cut)).otherwise(F.lit(""))
 
 
 def function_header(t: Column) -> Column:
-    """B3: "function " + name + parameter list of a header line.
+    """B3: "function " + name + parameter list of a line that starts with a function.
 
     With unclosed brackets the list runs to the end of the line (the
-    continuation lines are appended by the walk); otherwise to the last ``)``.
+    continuation lines are appended by the walk).
     """
-    rest = F.regexp_replace(t, MACRO_PREFIX_RAW + r"function\s+", "")
-    name = py_strip(F.substring_index(rest, "(", 1))
-    at = F.instr(rest, "(")
-    unbalanced = _count(rest, "(") > _count(rest, ")")
-    params = F.when(unbalanced, F.rtrim(F.substring(rest, at, 1 << 30))) \
-        .otherwise(F.regexp_extract(rest, r"(\(.*\))", 1))
-    return F.concat(F.lit("function "), name, F.when(at > 0, params).otherwise(F.lit("")))
+    return let(F.regexp_replace(t, MACRO_PREFIX_RAW + r"function\b", ""), _header_of)
 
 
-def _doc_for(prev_kind: Column, prev_text: Column) -> Column:
-    """B2: the doc of a function from its previous sibling line."""
-    return (F.when(prev_kind.isin("comment", "string"), prev_text)
-            .when((prev_kind == "macro") & prev_text.contains("@doc"), prev_text)
-            .otherwise(F.lit("")))
+def _header_of(rest: Column) -> Column:
+    """The header from what follows the keyword."""
+    return F.concat(F.lit("function "), py_strip(F.substring_index(rest, "(", 1)), _parameters(rest))
+
+
+def _inner_header(c: Column, number: Column) -> Column:
+    """The header of the ``number``-th function keyword of a line (1-based), inside the line.
+
+    Taken from the raw line where the keyword occurs in it once, else from the blanked code.
+    """
+    word = r"(?<![\w.:@!])function\b"
+    raw, code = F.split(c["t"], word), F.split(c["code"], word)
+    return let(F.when(F.size(raw) == 2, raw[1]).otherwise(F.array_join(F.slice(code, number + 1, F.size(code)), "function")), _header_of)
+
+
+def _line_events(c: Column, line: Column, before: Column, doc: Column) -> Column:
+    """Functions that open (end null) or close (header null) on a line, from its tokens in order."""
+    def step(acc: Column, token: Column) -> Column:
+        after = _after_token(acc["stack"], token)
+        opens = token == "function"
+        closes = (token == "end") & (F.right(acc["stack"], F.lit(1)) == "f")
+        number = acc["number"] + opens.cast("int")
+        first = c["starts_function"] & (number == 1)
+        event = F.struct(
+            _blocks(F.when(closes, after).otherwise(acc["stack"])).alias("level"), line.alias("line"), acc["k"].alias("token"),
+            F.when(opens, F.when(first, doc).otherwise(F.lit(""))).alias("doc"),
+            F.when(opens, F.when(first, function_header(c["t"])).otherwise(_inner_header(c, number))).alias("header"),
+            F.when(opens, line + 1).alias("body_start"), F.when(closes, line).alias("end"))
+        return F.struct(after.alias("stack"), (acc["k"] + 1).alias("k"), number.alias("number"),
+                        F.when(opens | closes, F.concat(acc["events"], F.array(event))).otherwise(acc["events"]).alias("events"))
+
+    start = F.struct(before.alias("stack"), F.lit(0).alias("k"), F.lit(0).alias("number"), F.array().cast(f"array<{_OPENED}>").alias("events"))
+    return F.aggregate(c["tokens"], start, step, lambda acc: acc["events"])
 
 
 def find_functions(cls: Column) -> Column:
@@ -153,88 +181,86 @@ def find_functions(cls: Column) -> Column:
 
     ``cls`` is ``classify_lines(lines)``.  ``hdr``/``end``/``body_start``
     are 1-based line numbers; ``level`` is the number of blocks open
-    around the header.
+    around the header.  The walk emits an event where a function opens and
+    one where it closes; in the order of (level, place) each opening is
+    followed by its own closing, so no function is kept in the state.
     """
+    nothing = F.array().cast(f"array<{_OPENED}>")
+    no_event = F.lit(None).cast(_OPENED)
     init = F.struct(
-        F.lit(0).alias("i"),
-        F.array().cast(f"array<{_NODE}>").alias("stack"),
+        F.lit(0).alias("i"), F.lit("").alias("stack"),
         F.lit(False).alias("in_str"), F.lit(False).alias("in_cmt"),
         F.lit(0).alias("str_start"), F.lit("").alias("str_kind"),
         F.lit("none").alias("prev_kind"), F.lit("").alias("prev_text"),
-        F.lit(0).alias("br"), F.lit(False).alias("hdr_pending"), F.lit(0).alias("hdr_br"),
-        F.array().cast(f"array<{_FN}>").alias("fns"))
+        no_event.alias("pending"), F.lit(0).alias("height"))
 
     def step(acc, c):
         i = acc["i"] + 1
         in_str, in_cmt = acc["in_str"], acc["in_cmt"]
         code = ~in_str & ~in_cmt
-        depth = F.size(acc["stack"])
-        top = F.try_element_at(acc["stack"], F.lit(-1))
-        br_after = F.when(code, F.greatest(acc["br"] + c["brackets"], F.lit(0))).otherwise(acc["br"])
-        cont = acc["hdr_pending"] & code
-        block_open = F.when(acc["br"] > 0, c["open_in_brackets"]).otherwise(c["open"])
-        opens = code & ~cont & block_open
-        closes = code & ~cont & c["close"] & (depth > 0)
-        is_fn = opens & c["is_fn"]
-        multi_hdr = is_fn & (br_after > acc["br"])
+        before = acc["stack"]
+        after = F.when(code, _after_line(before, c["tokens"])).otherwise(before)
         inline_doc = F.regexp_extract(c["t"], INLINE_DOC, 1)
-        doc = F.when(c["is_fn"] | c["fn_one_line"], F.when(inline_doc != "", inline_doc)
-                     .otherwise(_doc_for(acc["prev_kind"], acc["prev_text"]))).otherwise(F.lit(""))
-        node = F.struct(
-            is_fn.alias("is_fn"), i.alias("hdr"), depth.alias("level"), doc.alias("doc"),
-            F.when(c["is_fn"], function_header(c["t"])).otherwise(F.lit("")).alias("header"),
-            (i + 1).alias("body_start"))
-        hdr_done = cont & (br_after <= acc["hdr_br"])
-        piece = F.when(hdr_done, F.regexp_extract(F.rtrim(c["line"]), r"^(.*\))", 1)) \
-            .otherwise(F.rtrim(c["line"]))
-        extended = F.struct(
-            top["is_fn"].alias("is_fn"), top["hdr"].alias("hdr"), top["level"].alias("level"),
-            top["doc"].alias("doc"), F.concat(top["header"], F.lit("\n"), piece).alias("header"),
-            (i + 1).alias("body_start"))
-        stack = (F.when(cont, F.concat(F.slice(acc["stack"], 1, depth - 1), F.array(extended)))
-                 .when(opens, F.concat(acc["stack"], F.array(node)))
-                 .when(closes, F.slice(acc["stack"], 1, depth - 1))
-                 .otherwise(acc["stack"]))
-        found = F.struct(top["hdr"].alias("hdr"), i.alias("end"), top["level"].alias("level"),
-                         top["doc"].alias("doc"), top["header"].alias("header"),
-                         top["body_start"].alias("body_start"))
-        one_liner = code & ~cont & c["fn_one_line"]
-        single = F.struct(i.alias("hdr"), i.alias("end"), depth.alias("level"), doc.alias("doc"),
-                          function_header(c["t"]).alias("header"), (i + 1).alias("body_start"))
-        fns = (F.when(closes & top["is_fn"], F.concat(acc["fns"], F.array(found)))
-               .when(one_liner, F.concat(acc["fns"], F.array(single)))
-               .otherwise(acc["fns"]))
-        hdr_pending = F.when(multi_hdr, F.lit(True)).when(hdr_done, F.lit(False)) \
-            .otherwise(acc["hdr_pending"])
-        hdr_br = F.when(multi_hdr, acc["br"]).otherwise(acc["hdr_br"])
-
-        # strings and block comments spanning lines
-        str_opens = code & c["odd_q"]
-        str_closes = in_str & c["odd_q"]
-        cmt_opens = code & c["cmt_open"]
-        cmt_closes = in_cmt & c["cmt_close"]
-        new_in_str = F.when(str_opens, F.lit(True)).when(str_closes, F.lit(False)).otherwise(in_str)
-        new_in_cmt = F.when(cmt_opens, F.lit(True)).when(cmt_closes, F.lit(False)).otherwise(in_cmt)
-        str_kind = F.when(str_opens, c["kind"]).otherwise(acc["str_kind"])
-        str_start = F.when(str_opens, i).otherwise(acc["str_start"])
-        joined = py_strip(F.array_join(F.transform(
-            F.slice(cls, acc["str_start"], i - acc["str_start"] + 1), lambda x: x["line"]), "\n"))
-        keep_prev = c["blank"] & code
-        prev_kind = (F.when(keep_prev, acc["prev_kind"])
-                     .when(str_closes, acc["str_kind"])
-                     .when(in_str | in_cmt | cmt_opens | str_opens, F.lit("other"))
-                     .when(opens | closes | one_liner | cont | (acc["br"] > 0), F.lit("code"))
-                     .otherwise(c["kind"]))
-        prev_text = (F.when(keep_prev, acc["prev_text"])
-                     .when(str_closes, joined)
-                     .otherwise(c["t"]))
-        return F.struct(i.alias("i"), stack.alias("stack"), new_in_str.alias("in_str"),
-                        new_in_cmt.alias("in_cmt"), str_start.alias("str_start"),
-                        str_kind.alias("str_kind"), prev_kind.alias("prev_kind"),
-                        prev_text.alias("prev_text"), br_after.alias("br"),
-                        hdr_pending.alias("hdr_pending"), hdr_br.alias("hdr_br"), fns.alias("fns"))
-
-    return F.aggregate(cls, init, step, lambda acc: acc["fns"])
+        doc = F.when(inline_doc != "", inline_doc).otherwise(
+            F.when(acc["prev_kind"].isin("comment", "string"), acc["prev_text"])
+            .when((acc["prev_kind"] == "macro") & acc["prev_text"].contains("@doc"), acc["prev_text"])
+            .otherwise(F.lit("")))
+        has_function = code & (F.exists(c["tokens"], lambda x: x == "function") | ((F.size(c["tokens"]) > 0) & before.contains("f")))
+        events = F.when(has_function, _line_events(c, i, before, doc)).otherwise(nothing)
+
+        def go_on(x):
+            after, events = x["after"], x["events"]
+            # a header whose first bracket is still open at the end of its line waits for the rest
+            last = F.try_element_at(events, F.lit(-1))
+            at = F.length(after) - F.length(F.regexp_extract(after, r"f\([^bf]*$", 0))  # place of that f
+            waits = acc["pending"].isNull() & last["end"].isNull() & after.rlike(r"f\([^bf]*$") & (_blocks(F.left(after, at)) == last["level"])
+            continued = acc["pending"].isNotNull() & code
+            done = continued & (F.length(after) <= acc["height"])
+            piece = F.when(done, F.regexp_extract(F.rtrim(c["line"]), r"^(.*\))", 1)).otherwise(F.rtrim(c["line"]))
+            grown = acc["pending"].withField("header", F.concat(acc["pending"]["header"], F.lit("\n"), piece)) \
+                .withField("body_start", i + 1)
+            pending = F.when(waits, last).when(done, no_event).when(continued, grown).otherwise(acc["pending"])
+            out = F.concat(F.when(done, F.array(grown)).otherwise(nothing),
+                           F.when(waits, F.slice(events, F.lit(1), F.size(events) - 1)).otherwise(events))
+
+            # strings and block comments spanning lines
+            str_opens, str_closes = code & c["odd_q"], in_str & c["odd_q"]
+            cmt_opens, cmt_closes = code & c["cmt_open"], in_cmt & c["cmt_close"]
+            str_start = F.when(str_opens, i).otherwise(acc["str_start"])
+            joined = py_strip(F.array_join(F.transform(
+                F.slice(cls, acc["str_start"], i - acc["str_start"] + 1), lambda x: x["line"]), "\n"))
+            keep_prev = c["blank"] & code
+            inside = F.right(before, F.lit(1)).isin(*BRACKETS)
+            prev_kind = (F.when(keep_prev, acc["prev_kind"])
+                         .when(str_closes, acc["str_kind"])
+                         .when(in_str | in_cmt | cmt_opens | str_opens, F.lit("other"))
+                         .when((after != before) | (F.size(events) > 0) | continued | inside, F.lit("code"))
+                         .otherwise(c["kind"]))
+            prev_text = F.when(keep_prev, acc["prev_text"]).when(str_closes, joined).otherwise(c["t"])
+            state = F.struct(
+                i.alias("i"), after.alias("stack"),
+                F.when(str_opens, F.lit(True)).when(str_closes, F.lit(False)).otherwise(in_str).alias("in_str"),
+                F.when(cmt_opens, F.lit(True)).when(cmt_closes, F.lit(False)).otherwise(in_cmt).alias("in_cmt"),
+                str_start.alias("str_start"), F.when(str_opens, c["kind"]).otherwise(acc["str_kind"]).alias("str_kind"),
+                prev_kind.alias("prev_kind"), prev_text.alias("prev_text"), pending.alias("pending"),
+                F.when(waits, at + 1).otherwise(acc["height"]).alias("height"))
+            return F.struct(state.alias("state"), out.alias("out"))
+
+        both = let(F.struct(after.alias("after"), events.alias("events")), go_on)
+        return both["state"], both["out"]
+
+    def pair(events):
+        """Openings with the closing that follows them in the order of (level, line, token)."""
+        def found(ordered):
+            matched = F.transform(ordered, lambda e, j: F.struct(
+                e["line"].alias("hdr"), F.get(ordered, j + 1)["end"].alias("end"), e["level"].alias("level"), e["doc"].alias("doc"),
+                e["header"].alias("header"), e["body_start"].alias("body_start"),
+                (F.get(ordered, j + 1)["level"] == e["level"]).alias("same")))
+            return F.filter(matched, lambda f: f["header"].isNotNull() & f["end"].isNotNull() & f["same"])
+
+        return let(F.sort_array(events), found)
+
+    return sliced_walk(cls, init, step, _OPENED, lambda _state, events: pair(events))
 
 
 def body_parts(body: Column, keep_comments: bool, keep_constraints: bool) -> Column:
@@ -245,43 +271,30 @@ def body_parts(body: Column, keep_comments: bool, keep_constraints: bool) -> Col
     A line is top level when no block or bracket of the body is open.  A
     dropped macro that opens blocks or brackets is dropped through its end.
     """
-    init = F.struct(F.lit(0).alias("d"), F.lit(0).alias("br"), F.lit(False).alias("in_str"),
-                    F.lit(False).alias("in_cmt"),
-                    F.lit(0).alias("pending"), F.lit(False).alias("hc"), F.lit(False).alias("hk"),
-                    F.array().cast("array<string>").alias("out"))
+    init = F.struct(F.lit("").alias("stack"), F.lit(False).alias("in_str"), F.lit(False).alias("in_cmt"),
+                    F.lit(False).alias("dropping"), F.lit(False).alias("hc"), F.lit(False).alias("hk"))
 
     def step(acc, c):
         in_str, in_cmt = acc["in_str"], acc["in_cmt"]
         code = ~in_str & ~in_cmt
         cmt_opens = code & c["cmt_open"]
-        d = acc["d"]
-        block_open = F.when(acc["br"] > 0, c["open_in_brackets"]).otherwise(c["open"])
-        top = code & (d == 0) & (acc["br"] == 0) & (acc["pending"] == 0)
+        top = code & (acc["stack"] == "")
         is_comment = top & c["comment"] & ~cmt_opens
         is_macro = top & c["constraint"]
-        delta = F.when(code & block_open, 1).when(code & c["close"] & (d > 0), -1).otherwise(0)
-        drop_macro = is_macro & F.lit(not keep_constraints)
-        in_dropped = acc["pending"] > 0
-        # inside a dropped statement its own blocks and brackets are counted
-        own = F.when(code & block_open, 1).when(code & c["close"], -1).otherwise(0) + c["brackets"]
-        pending = (F.when(drop_macro, F.greatest(own, F.lit(0)))
-                   .when(in_dropped, F.greatest(acc["pending"] + own, F.lit(0)))
-                   .otherwise(F.lit(0)))
-        keep = ~((is_comment & F.lit(not keep_comments)) | drop_macro | in_dropped)
-        out = F.when(keep, F.concat(acc["out"], F.array(c["line"]))).otherwise(acc["out"])
-        skip = in_dropped | drop_macro | ~code | cmt_opens
-        return F.struct(
-            F.when(skip, d).otherwise(d + delta).alias("d"),
-            F.when(skip, acc["br"]).otherwise(F.greatest(acc["br"] + c["brackets"], F.lit(0))).alias("br"),
+        drops = acc["dropping"] | (is_macro & F.lit(not keep_constraints))
+        keep = ~((is_comment & F.lit(not keep_comments)) | drops)
+        stack = F.when(code & ~cmt_opens, _after_line(acc["stack"], c["tokens"])).otherwise(acc["stack"])
+        state = let(stack, lambda after: F.struct(
+            after.alias("stack"),
             F.when(~in_cmt & c["odd_q"], ~in_str).otherwise(in_str).alias("in_str"),
             F.when(cmt_opens, F.lit(True)).when(in_cmt & c["cmt_close"], F.lit(False))
             .otherwise(in_cmt).alias("in_cmt"),
-            pending.alias("pending"),
-            (acc["hc"] | is_comment).alias("hc"), (acc["hk"] | is_macro).alias("hk"),
-            out.alias("out"))
+            (drops & (after != "")).alias("dropping"),
+            (acc["hc"] | is_comment).alias("hc"), (acc["hk"] | is_macro).alias("hk")))
+        return state, F.when(keep, F.array(c["line"])).otherwise(F.array().cast("array<string>"))
 
-    return F.aggregate(body, init, step, lambda acc: F.struct(
-        F.array_join(acc["out"], "\n").alias("body"),
+    return sliced_walk(body, init, step, "string", lambda acc, out: F.struct(
+        F.array_join(out, "\n").alias("body"),
         acc["hc"].alias("has_internal_comments"), acc["hk"].alias("has_constraints")))
 
 

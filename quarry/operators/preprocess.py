@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import function_name, has_ascii_letter, py_strip
-from quarry.operators.joins import maybe_broadcast
+from quarry.operators.joins import broadcast_if_small
 
 TEXT_COLUMNS = ["doc_string", "function_header", "function_body"]
 
@@ -54,7 +54,7 @@ def decontaminate(df: DataFrame, names: DataFrame, name_col: str = "function_nam
     keys = (names.select(F.col(name_col).alias("_bench_name"))
             .where(F.col("_bench_name").isNotNull()).distinct())
     tagged = df.withColumn("_fn_name", function_name(F.col("function_header")))
-    kept = tagged.join(maybe_broadcast(keys), F.col("_fn_name") == F.col("_bench_name"),
+    kept = tagged.join(broadcast_if_small(keys), F.col("_fn_name") == F.col("_bench_name"),
                        "left_anti")
     return kept.drop("_fn_name")
 

@@ -157,10 +157,10 @@ fx_results AS (
 
 
 def fx_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five samples per (model, problem) for pass@k."""
+    """One to five samples per (model, problem) for pass@k (some problems have fewer than k)."""
     labels = load(spark, sf_dir, "labels")
     rows = _with_models(labels).withColumn(
-        "sample", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES_PER_PROBLEM - 1))))
+        "sample", F.explode(F.sequence(F.lit(0).cast("long"), F.col("doc_id") % SAMPLES_PER_PROBLEM)))
     passed = (F.col("doc_id") * F.col("a") + F.col("sample") * F.col("b")) % 10 < F.col("t")
     return rows.select("model", F.col("doc_id").alias("problem"), "sample", passed.alias("passed"))
 
@@ -168,7 +168,8 @@ def fx_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 FX_SAMPLES_SQL = f"""fx_models AS (SELECT * FROM (VALUES {_models_values_sql()}) AS v(model, a, b, t)),
 fx_samples AS (
   SELECT m.model, l.doc_id AS problem, s.sample, (l.doc_id * m.a + s.sample * m.b) % 10 < m.t AS passed
-  FROM labels l, fx_models m, (SELECT range AS sample FROM range({SAMPLES_PER_PROBLEM})) s)"""
+  FROM labels l, fx_models m, (SELECT range AS sample FROM range({SAMPLES_PER_PROBLEM})) s
+  WHERE s.sample <= l.doc_id % {SAMPLES_PER_PROBLEM})"""
 
 
 def fx_results_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,11 +186,15 @@ fx_results_gaps AS (
 
 
 # ------------------------------------------------------------------ sources
-# fx_source_files: one Julia file per document under a directory per source.
+# fx_source_files: Julia files of up to 500 consecutive documents of a source.
 
+DOCS_PER_FILE = 500  # keeps every file below the size limit of A4
 
-def source_lines(d: F.Column, n_chars: F.Column) -> list[F.Column]:
-    """The lines of a document's file (null = line absent)."""
+
+def source_lines(d: F.Column, n_chars: F.Column, text: F.Column) -> list[F.Column]:
+    """The lines a document adds to its file (null = line absent)."""
+    as_string = F.translate(text, "\n\"\\", " '/")
+    inner, mapped, returned = d % 6 == 0, d % 4 == 1, d % 4 == 2
     return [
         (F.when(d % 4 == 0, F.concat(F.lit("# about "), d.cast("string")))
          .when(d % 4 == 1, F.concat(F.lit('"doc '), d.cast("string"), F.lit('"')))
@@ -198,11 +203,19 @@ def source_lines(d: F.Column, n_chars: F.Column) -> list[F.Column]:
                  F.when(d % 2 == 0, F.lit(" (x, y)")).otherwise(F.lit("(x, y)"))),
         F.when(d % 3 == 0, F.lit("    # note")),
         F.when(d % 5 == 0, F.lit("    @constraint(m, x)")),
+        F.when(d % 2 == 1, F.concat(F.lit('    s = "'), as_string, F.lit('"'))),
+        F.when(d % 7 == 0, F.concat(F.lit("    # "), F.split(text, "\n", -1)[0])),
         F.lit("    if x"),
         F.concat(F.lit("        y = "), n_chars.cast("string")),
         F.lit("    end"),
-        F.when(d % 6 == 0, F.concat(F.lit("    function inner_"), d.cast("string"), F.lit("(z)"))),
-        F.when(d % 6 == 0, F.lit("    end")),
+        F.when(inner, F.concat(F.lit("    function inner_"), d.cast("string"), F.lit("(z)"))),
+        F.when(inner, F.lit("    end")),
+        F.when(mapped, F.lit("    g = map(function (z)")),
+        F.when(mapped, F.lit("        z + 1")),
+        F.when(mapped, F.lit("    end, xs)")),
+        F.when(returned, F.lit("    return function (w)")),
+        F.when(returned, F.lit("        w[end]")),
+        F.when(returned, F.lit("    end")),
         F.lit("end"),
     ]
 
@@ -210,8 +223,11 @@ def source_lines(d: F.Column, n_chars: F.Column) -> list[F.Column]:
 def fx_source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     d = F.col("doc_id")
-    text = F.array_join(F.array(*source_lines(d, F.col("n_chars"))), "\n")
-    return docs.select(
+    lines = F.array_join(F.array(*source_lines(d, F.col("n_chars"), F.col("text"))), "\n")
+    part = (d / DOCS_PER_FILE).cast("long")
+    files = docs.groupBy("source", part.alias("part")).agg(
+        F.sort_array(F.collect_list(F.struct("doc_id", lines.alias("lines")))).alias("docs"))
+    return files.select(
         F.col("source").alias("repo"),
-        F.concat(F.lit("repo_"), F.col("source"), F.lit("/doc_"), d.cast("string"), F.lit(".jl")).alias("path"),
-        text.alias("text"))
+        F.concat(F.lit("repo_"), F.col("source"), F.lit("/part_"), F.col("part").cast("string"), F.lit(".jl")).alias("path"),
+        F.array_join(F.col("docs.lines"), "\n").alias("text"))

@@ -24,6 +24,7 @@ W = "(PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURR
 
 def _spacing_sql(expr: str) -> str:
     ws = WS_CLASS + "*"
+    # The spacing rules (operators, commas, parentheses).
     rules = [(ws + "([=+\\-*/<>|&!])" + ws, " \\1 "), (ws + "," + ws, ", "),
              (ws + "\\(" + ws, "("), (ws + "\\)" + ws, ")")]
     for pattern, repl in rules:
@@ -48,9 +49,10 @@ def clean_sql(lines: str, name: str) -> str:
 
 def format_sql(lines: str, name: str) -> str:
     """E5 over ``lines(doc_id, pos, line)``."""
-    inline = "\\b(" + "|".join(C.INLINE_KEYWORDS) + ")\\b.*\\bend\\b"
-    inc = "^(" + "|".join(C.INCREASE_KEYWORDS) + ")"
-    dec = "^(" + "|".join(C.DECREASE_KEYWORDS) + ")"
+    # Fixed values, written out here so that the oracle does not follow the implementation's lists.
+    inline = "\\b(if|for|while|function|try|let|struct)\\b.*\\bend\\b"
+    inc = "^(function|if|for|while|begin|try|let|struct|mutable struct)"
+    dec = "^(end|else|elseif|catch|finally)"
     return f"""{name}_s AS (
   SELECT doc_id, pos, trim(line, {WS}) AS s FROM {lines}),
 {name}_k AS (

@@ -126,19 +126,13 @@ def d6_pad_mask(spark, sf_dir):
     return enc.select("id", _csv(cp.pad_mask(input_ids)).alias("mask"))
 
 
-CORPUS_SQL_CTES = [*cleaned_ctes(), TEXTS_SQL, VOCAB_SQL, SAMPLE_SQL,
-                   f"sampled_texts AS (SELECT id, {_text_sql()} AS text FROM sampled)",
-                   encode_sql("sampled_texts", "senc")]
-
-
-def _corpus(spark, sf_dir):
-    return cp.create_corpus(cleaned(spark, sf_dir), vocab(spark, sf_dir), sample=SAMPLE, seed=SEED)
+CORPUS_SQL_CTES = [*cleaned_ctes(), TEXTS_SQL, VOCAB_SQL, encode_sql("texts", "senc")]
 
 
 @register("d7_create_corpus", with_ctes(*CORPUS_SQL_CTES) + f"""
 SELECT id, {_IN} AS input_ids, {_MASK} AS attention_mask FROM senc""")
 def d7_create_corpus(spark, sf_dir):
-    corpus = _corpus(spark, sf_dir)
+    corpus = cp.create_corpus(cleaned(spark, sf_dir), vocab(spark, sf_dir))
     return corpus.select("id", _csv("input_ids").alias("input_ids"),
                          _csv("attention_mask").alias("attention_mask"))
 
@@ -149,11 +143,11 @@ def d7_create_corpus(spark, sf_dir):
 SELECT d.id, string_agg(coalesce(v.token, '{cp.UNK_TOKEN}'), ' ' ORDER BY d.pos) AS decoded
 FROM dec d LEFT JOIN vocab v ON v.id = d.tid GROUP BY d.id""")
 def d8_preview_tokens(spark, sf_dir):
-    return cp.preview_tokens(_corpus(spark, sf_dir), vocab(spark, sf_dir))
+    words = vocab(spark, sf_dir)
+    return cp.preview_tokens(cp.create_corpus(cleaned(spark, sf_dir), words), words)
 
 
-VARIANTS = [cp.model_variant_name(b, s == "_signature", s == "_baseline")
-            for b in cp.BASE_MODELS for s in cp.VARIANT_SUFFIXES]
+VARIANTS = [v[0] for v in cp.variant_table()]
 
 
 @register("d9_model_variants", with_ctes(FX_PROMPTS_SQL) + f"""
@@ -162,7 +156,8 @@ SELECT p.id, v.model, split_part(v.model, '_', 1) AS base, ends_with(v.model, '_
 FROM fx_prompts p, (SELECT * FROM (VALUES {", ".join(f"('{m}')" for m in VARIANTS)}) AS t(model)) v""")
 def d9_model_variants(spark, sf_dir):
     reqs = comp.generation_requests(fx_prompts(spark, sf_dir), VARIANTS)
-    return reqs.select("id", "model").withColumns(cp.variant_columns("model"))
+    return reqs.select("id", "model").join(F.broadcast(cp.model_variants(spark)), "model") \
+        .select("id", "model", "base", "signature", "baseline", "directory")
 
 
 @register("d10_training_batches", with_ctes(*cleaned_ctes()) + """
@@ -198,8 +193,8 @@ def d11_latest_checkpoint(spark, sf_dir):
     return cp.latest_checkpoint(fx_checkpoint_paths(spark, sf_dir))
 
 
-SIGNATURE_CORPUS_CTES = [*cleaned_ctes(), TEXTS_SQL, VOCAB_SQL, SAMPLE_SQL,
-                         f"sig_texts AS (SELECT id, {_text_sql(True)} AS text FROM sampled)",
+SIGNATURE_CORPUS_CTES = [*cleaned_ctes(), TEXTS_SQL, VOCAB_SQL,
+                         f"sig_texts AS (SELECT id, {_text_sql(True)} AS text FROM cleaned)",
                          encode_sql("sig_texts", "sig")]
 
 
@@ -207,8 +202,7 @@ SIGNATURE_CORPUS_CTES = [*cleaned_ctes(), TEXTS_SQL, VOCAB_SQL, SAMPLE_SQL,
 SELECT id, {_IN} AS input_ids, {_MASK} AS attention_mask FROM sig""")
 def d7_create_corpus_signature(spark, sf_dir):
     """Signature-only training rows (header and body, no doc) with the corpus vocabulary."""
-    corpus = cp.create_corpus(cleaned(spark, sf_dir), vocab(spark, sf_dir), just_signature=True,
-                              sample=SAMPLE, seed=SEED)
+    corpus = cp.create_corpus(cleaned(spark, sf_dir), vocab(spark, sf_dir), just_signature=True)
     return corpus.select("id", _csv("input_ids").alias("input_ids"),
                          _csv("attention_mask").alias("attention_mask"))
 
@@ -216,8 +210,7 @@ def d7_create_corpus_signature(spark, sf_dir):
 BASELINE_CORPUS_CTES = [*cleaned_ctes(), TEXTS_SQL, VOCAB_SQL, f"""baseline AS (
   SELECT id, lower(trim(doc_string, {WS})) AS doc_string, trim(function_header, {WS}) AS function_header,
          trim(function_body, {WS}) AS function_body FROM fx_functions)""",
-                        f"base_sampled AS (SELECT * FROM baseline ORDER BY md5('{SEED}:' || CAST(id AS VARCHAR)), id LIMIT {SAMPLE})",
-                        f"base_texts AS (SELECT id, {_text_sql()} AS text FROM base_sampled)",
+                        f"base_texts AS (SELECT id, {_text_sql()} AS text FROM baseline)",
                         encode_sql("base_texts", "base")]
 
 
@@ -226,6 +219,6 @@ SELECT id, {_IN} AS input_ids, {_MASK} AS attention_mask FROM base""")
 def d7_create_corpus_baseline(spark, sf_dir):
     """Training rows of the baseline corpus (C9 on the raw records, C10 'baseline')."""
     raw = pp.select_corpus("baseline", fx_functions(spark, sf_dir))
-    corpus = cp.create_corpus(raw, vocab(spark, sf_dir), sample=SAMPLE, seed=SEED)
+    corpus = cp.create_corpus(raw, vocab(spark, sf_dir))
     return corpus.select("id", _csv("input_ids").alias("input_ids"),
                          _csv("attention_mask").alias("attention_mask"))

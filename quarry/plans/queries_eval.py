@@ -97,11 +97,12 @@ def g4_order_by_problem_number(spark, sf_dir):
 
 
 def _pass_at_k_sql(k: int) -> str:
+    """The share of k-subsets with a correct sample, 1 - C(n-c, k) / C(n, k); no answer below k samples."""
     return f"""
-SELECT model, CAST({k} AS INTEGER) AS k, round(avg(score), 9) AS pass_at_k, CAST(count(*) AS BIGINT) AS problems
-FROM (SELECT model, CASE WHEN n - c < {k} THEN 1.0 WHEN c = 0 THEN 0.0
-                    ELSE 1.0 - exp(list_sum(list_transform(range(n - c + 1, n + 1),
-                                                          lambda i: ln(1.0 - {k}.0 / i)))) END AS score
+SELECT model, CAST({k} AS INTEGER) AS k, round(avg(score), 9) AS pass_at_k, CAST(count(*) AS BIGINT) AS problems,
+       CAST(count(score) AS BIGINT) AS scored
+FROM (SELECT model, CASE WHEN n >= {k} THEN 1.0 - list_product(list_transform(range(0, {k}),
+                                          lambda j: greatest(n - c - j, 0) / (n - j))) END AS score
       FROM (SELECT model, problem, CAST(count(*) AS BIGINT) AS n, CAST(count_if(passed) AS BIGINT) AS c
             FROM fx_samples GROUP BY model, problem))
 GROUP BY model"""
@@ -111,7 +112,7 @@ def _pass_at_k_query(k: int):
     def q(spark, sf_dir):
         out = ev.pass_at_k_by_model(fx_samples(spark, sf_dir), k)
         return round_doubles(out.select("model", F.lit(k).alias("k"),
-                                        F.col(f"pass_at_{k}").alias("pass_at_k"), "problems"))
+                                        F.col(f"pass_at_{k}").alias("pass_at_k"), "problems", "scored"))
     return q
 
 

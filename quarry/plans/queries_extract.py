@@ -1,15 +1,15 @@
 """Registered queries: function extraction.
 
-The source files are derived from ``documents`` (one file per document,
-one directory per source).  The expected functions follow from the ids,
-so the oracle computes them directly, without reading any code.
+The source files are derived from ``documents`` (one directory per source,
+up to 500 documents a file, whole texts inside as string literals).  The
+expected functions follow from the ids, so the oracle computes them
+directly, without reading any code.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions.text import split_newlines
 from quarry.operators import extract as ex
 from quarry.plans.fixtures import fx_source_files
 from quarry.functions.text import PY_WHITESPACE
@@ -24,35 +24,46 @@ def _body_sql(keep_comments: bool, keep_constraints: bool) -> str:
         items.append("CASE WHEN doc_id % 3 = 0 THEN '    # note' END")
     if keep_constraints:
         items.append("CASE WHEN doc_id % 5 = 0 THEN '    @constraint(m, x)' END")
-    items += ["'    if x'", "'        y = ' || CAST(n_chars AS VARCHAR)", "'    end'",
-              "CASE WHEN doc_id % 6 = 0 THEN '    function inner_' || CAST(doc_id AS VARCHAR) || '(z)' END",
-              "CASE WHEN doc_id % 6 = 0 THEN '    end' END"]
+    items.append("CASE WHEN doc_id % 2 = 1 THEN '    s = \"' || translate(text, chr(10) || '\"' || chr(92), ' ''/') || '\"' END")
+    if keep_comments:
+        items.append("CASE WHEN doc_id % 7 = 0 THEN '    # ' || string_split(text, chr(10))[1] END")
+    items += ["'    if x'", "'        y = ' || CAST(n_chars AS VARCHAR)", "'    end'"]
+    items += [f"CASE WHEN doc_id % 6 = 0 THEN {x} END" for x in
+              ("'    function inner_' || CAST(doc_id AS VARCHAR) || '(z)'", "'    end'")]
+    items += [f"CASE WHEN doc_id % 4 = 1 THEN '{x}' END" for x in ("    g = map(function (z)", "        z + 1", "    end, xs)")]
+    items += [f"CASE WHEN doc_id % 4 = 2 THEN '{x}' END" for x in ("    return function (w)", "        w[end]", "    end")]
     return ("array_to_string(list_filter([" + ", ".join(items) + "], lambda x: x IS NOT NULL), chr(10))")
 
 
 def expected_functions_sql(keep_comments: bool = True, keep_constraints: bool = True) -> str:
+    inner = """SELECT source AS repo, path, CAST({line} AS INTEGER) AS line, CAST({line} + {more} AS INTEGER) AS end_line, 1 AS level,
+       '' AS doc_string, {header} AS function_header, '{body}' AS function_body,
+       false AS has_internal_comments, false AS has_constraints
+FROM base WHERE {when}"""
     return f"""
-WITH base AS (
-  SELECT doc_id, source, n_chars,
-         'repo_' || source || '/doc_' || CAST(doc_id AS VARCHAR) || '.jl' AS path,
-         CAST(CASE WHEN doc_id % 4 = 3 THEN 1 ELSE 2 END AS INTEGER) AS hdr,
-         CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END
-              + 3 + CASE WHEN doc_id % 6 = 0 THEN 2 ELSE 0 END AS INTEGER) AS n_body
-  FROM documents)
-SELECT source AS repo, path, hdr AS line, CAST(hdr + n_body + 1 AS INTEGER) AS end_line, 0 AS level,
+WITH sizes AS (
+  SELECT doc_id, source, n_chars, text, doc_id // 500 AS part,
+         CASE WHEN doc_id % 4 = 3 THEN 0 ELSE 1 END AS doc_line,
+         (doc_id % 3 = 0)::INT + (doc_id % 5 = 0)::INT + (doc_id % 2)::INT + (doc_id % 7 = 0)::INT + 3 AS plain,
+         2 * (doc_id % 6 = 0)::INT AS inner_lines, 3 * (doc_id % 4 = 1)::INT AS mapped_lines, 3 * (doc_id % 4 = 2)::INT AS returned_lines
+  FROM documents),
+base AS (
+  SELECT *, 'repo_' || source || '/part_' || CAST(part AS VARCHAR) || '.jl' AS path,
+         plain + inner_lines + mapped_lines + returned_lines AS n_body,
+         coalesce(sum(doc_line + 2 + plain + inner_lines + mapped_lines + returned_lines) OVER (
+           PARTITION BY source, part ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + doc_line + 1 AS hdr
+  FROM sizes)
+SELECT source AS repo, path, CAST(hdr AS INTEGER) AS line, CAST(hdr + n_body + 1 AS INTEGER) AS end_line, 0 AS level,
        CASE doc_id % 4 WHEN 0 THEN '# about ' || CAST(doc_id AS VARCHAR)
                        WHEN 1 THEN '"doc ' || CAST(doc_id AS VARCHAR) || '"'
                        WHEN 2 THEN '@doc ' || CAST(doc_id AS VARCHAR) ELSE '' END AS doc_string,
        'function fn_' || CAST(doc_id AS VARCHAR) || '(x, y)' AS function_header,
        {_body_sql(keep_comments, keep_constraints)} AS function_body,
-       doc_id % 3 = 0 AS has_internal_comments, doc_id % 5 = 0 AS has_constraints
+       doc_id % 3 = 0 OR doc_id % 7 = 0 AS has_internal_comments, doc_id % 5 = 0 AS has_constraints
 FROM base
-UNION ALL
-SELECT source AS repo, path,
-       CAST(hdr + n_body - 1 AS INTEGER) AS line, CAST(hdr + n_body AS INTEGER) AS end_line, 1 AS level,
-       '' AS doc_string, 'function inner_' || CAST(doc_id AS VARCHAR) || '(z)' AS function_header,
-       '' AS function_body, false AS has_internal_comments, false AS has_constraints
-FROM base WHERE doc_id % 6 = 0"""
+UNION ALL {inner.format(line="hdr + plain + 1", more=1, header="'function inner_' || CAST(doc_id AS VARCHAR) || '(z)'", body="", when="inner_lines > 0")}
+UNION ALL {inner.format(line="hdr + plain + inner_lines + 1", more=2, header="'function (z)'", body="        z + 1", when="mapped_lines > 0")}
+UNION ALL {inner.format(line="hdr + plain + inner_lines + mapped_lines + 1", more=2, header="'function (w)'", body="        w[end]", when="returned_lines > 0")}"""
 
 
 @register("b1_extract_functions", expected_functions_sql())
@@ -60,31 +71,17 @@ def b1_extract_functions(spark, sf_dir):
     return ex.extract_functions(fx_source_files(spark, sf_dir))
 
 
-@register("b2_attach_docs", """
-SELECT 'repo_' || source || '/doc_' || CAST(doc_id AS VARCHAR) || '.jl' AS path,
-       'function fn_' || CAST(doc_id AS VARCHAR) || '(x, y)' AS function_header,
-       CASE doc_id % 4 WHEN 0 THEN '# about ' || CAST(doc_id AS VARCHAR)
-                       WHEN 1 THEN '"doc ' || CAST(doc_id AS VARCHAR) || '"'
-                       WHEN 2 THEN '@doc ' || CAST(doc_id AS VARCHAR) ELSE '' END AS doc_string
-FROM documents""")
+@register("b2_attach_docs", f"""
+SELECT path, function_header, doc_string FROM ({expected_functions_sql()}) WHERE level = 0""")
 def b2_attach_docs(spark, sf_dir):
     out = ex.extract_functions(fx_source_files(spark, sf_dir))
     return out.where(F.col("level") == 0).select("path", "function_header", "doc_string")
 
 
-@register("b3_function_header", """
-SELECT 'repo_' || source || '/doc_' || CAST(doc_id AS VARCHAR) || '.jl' AS path,
-       'function fn_' || CAST(doc_id AS VARCHAR) || '(x, y)' AS function_header
-FROM documents
-UNION ALL
-SELECT 'repo_' || source || '/doc_' || CAST(doc_id AS VARCHAR) || '.jl' AS path,
-       'function inner_' || CAST(doc_id AS VARCHAR) || '(z)' AS function_header
-FROM documents WHERE doc_id % 6 = 0""")
+@register("b3_function_header", f"""
+SELECT path, line, function_header FROM ({expected_functions_sql()})""")
 def b3_function_header(spark, sf_dir):
-    files = fx_source_files(spark, sf_dir)
-    lines = files.select("path", F.posexplode_outer(split_newlines("text")).alias("pos", "line"))
-    headers = lines.where(F.col("line").rlike(r"^\s*function\s"))
-    return headers.select("path", ex.function_header(F.trim("line")).alias("function_header"))
+    return ex.extract_functions(fx_source_files(spark, sf_dir)).select("path", "line", "function_header")
 
 
 @register("b4_strip_line_comments", expected_functions_sql(keep_comments=False))
@@ -148,7 +145,8 @@ def b7_extract_corpus_tree(spark, sf_dir):
 
 @register("c8_preprocess_extracted_tree", f"""
 WITH f AS (SELECT * FROM ({expected_functions_sql(False, False)})
-           WHERE CAST(split_part(repo, 'src', 2) AS INTEGER) % 4 <> 3 AND repo <> 'src5')
+           WHERE CAST(split_part(repo, 'src', 2) AS INTEGER) % 4 <> 3 AND repo <> 'src5'
+           AND function_header NOT IN (SELECT 'function fn_' || item_id || '(x, y)' FROM benchmark))
 SELECT path, line,
        trim(doc_string, {_WS_SQL}) AS doc_string, trim(replace(function_header, ' (', '('), {_WS_SQL}) AS function_header,
        trim(CASE WHEN doc_string = '' AND NOT has_internal_comments AND NOT has_constraints THEN ''
@@ -169,7 +167,9 @@ def c8_preprocess_extracted_tree(spark, sf_dir):
     deny = spark.createDataFrame([(n,) for n in EXCLUDED_REPOS + ["repo/src5"]], "name string")
     functions = ex.extract_corpus_from_tree(spark, tree, lst, deny, keep_comments=False,
                                             keep_constraints=False)
-    cleaned = preprocess(functions.select("path", "line", *ex.FUNCTION_RECORD), fx_prompts(spark, sf_dir))
+    # benchmark functions of the tree's names, so that some of its functions leak
+    prompts = fx_prompts(spark, sf_dir).withColumn("prompt", F.replace("prompt", F.lit("function bench_"), F.lit("function fn_")))
+    cleaned = preprocess(functions.select("path", "line", *ex.FUNCTION_RECORD), prompts)
     out = scratch_path(spark, "cleaned-records")
     write_function_records(cleaned, out)
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("line", T.IntegerType())]

@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from quarry.operators import evaluation as ev
 from quarry.operators import repos as rp
-from quarry.plans.fixtures import (FX_FUNCTIONS_SQL, FX_RESULTS_SQL, CODE_LINES, MODEL_ORDER,
-                                   _code_line, fx_code_sql, fx_functions, fx_results)
+from quarry.plans.fixtures import (FX_FUNCTIONS_SQL, FX_RESULTS_SQL, CODE_LINES,
+                                   _code_line, fx_code_sql, fx_functions, fx_results, fx_results_with_gaps)
 from quarry.plans.queries_completions import fix_sql
 from quarry.plans.queries_eval import fx_result_docs
 from quarry.plans.registry import load, register, with_ctes, written_once
@@ -191,12 +191,16 @@ def _write_result_doc_tree(spark, sf_dir) -> str:
     b = load(spark, sf_dir, "benchmark")
     comp = b.select(F.concat(F.lit("HumanEval_"), F.col("item_id").cast("string"), F.lit("_x")).alias("name"),
                     F.col("text").alias("prompt"),
-                    F.array(_bench_code(), F.col("text")).alias("completions"))
+                    F.array(_bench_code(), F.col("text")).alias("completions"),
+                    F.lit("jl").alias("language"), (F.col("item_id") % 10 / 10).alias("temperature"),
+                    F.concat(F.lit("@test f("), F.col("item_id").cast("string"), F.lit(")")).alias("tests"),
+                    F.array(F.lit("\nfunction"), F.lit("\nend")).alias("stop_tokens"),
+                    F.struct(F.col("item_id").alias("seed"), F.lit(None).cast("string").alias("note")).alias("meta"))
     root = _scratch(spark, "result-docs")
     payload = docs.select(F.concat(F.lit("m/"), F.col("name"), F.lit(".results.json.gz")).alias("path"),
                           F.encode(F.to_json(F.struct(*docs.columns)), "UTF-8").alias("content")).unionByName(
         comp.select(F.concat(F.lit("m/"), F.col("name"), F.lit(".json.gz")).alias("path"),
-                    F.encode(F.to_json(F.struct("name", "prompt", "completions")), "UTF-8").alias("content")))
+                    F.encode(F.to_json(F.struct(*comp.columns), {"ignoreNullFields": "false"}), "UTF-8").alias("content")))
     wr.write_file_tree(payload, root, compress="gzip")
     return root
 
@@ -237,15 +241,22 @@ BENCH_CODE_SQL = fx_code_sql(CODE_LINES, "bench_code").replace(
 
 @register("a11_rewrite_completions", with_ctes(BENCH_CODE_SQL, fix_sql("bench_code_lines", "e6")) + """
 SELECT 'HumanEval_' || e6.doc_id || '_x' AS name, e6.fixed || chr(10) || 'end' AS completion_0,
-       b.text AS completion_1
+       b.text AS completion_1, b.text AS prompt, 'jl' AS language, b.item_id % 10 / 10 AS temperature,
+       '@test f(' || b.item_id || ')' AS tests, chr(10) || 'function|' || chr(10) || 'end' AS stop_tokens,
+       b.item_id AS seed, true AS note_is_null
 FROM e6 JOIN benchmark b ON b.item_id = e6.doc_id""")
 def a11_rewrite_completions(spark, sf_dir):
+    """Only completion 0 changes; every other field is there as it was, nulls and nested ones too."""
     root = _result_doc_tree(spark, sf_dir)
     out = _scratch(spark, "rewritten")
     wr.rewrite_completions(spark, root, out)
-    back = rd.read_completion_docs(spark, out, wr.COMPLETION_DOC)
-    return back.select("name", F.element_at("completions", 1).alias("completion_0"),
-                       F.element_at("completions", 2).alias("completion_1"))
+    back = rd.read_completion_texts(spark, out).select("document", F.from_json("document", """name string, prompt string,
+        completions array<string>, language string, temperature double, tests string, stop_tokens array<string>,
+        meta struct<seed:bigint,note:string>""").alias("d"))
+    return back.select("d.name", F.element_at("d.completions", 1).alias("completion_0"),
+                       F.element_at("d.completions", 2).alias("completion_1"), "d.prompt", "d.language", "d.temperature",
+                       "d.tests", F.array_join("d.stop_tokens", "|").alias("stop_tokens"), "d.meta.seed",
+                       F.contains("document", F.lit('"note": null')).alias("note_is_null"))
 
 
 @register("a12_jsonl_to_csv", with_ctes(FX_FUNCTIONS_SQL) + """
@@ -257,15 +268,13 @@ def a12_jsonl_to_csv(spark, sf_dir):
     return wr.read_csv(spark, dst, RECORD_WITH_ID)
 
 
-EXPECTED_MODELS = MODEL_ORDER + ["m1b5"]
-
-
-@register("a13_missing_inputs", with_ctes(FX_RESULTS_SQL) + f"""
-SELECT model FROM (VALUES {", ".join(f"('{m}')" for m in EXPECTED_MODELS)}) AS v(model)
-WHERE model NOT IN (SELECT DISTINCT model FROM fx_results)""")
+@register("a13_missing_inputs", """
+SELECT doc_id AS problem FROM labels WHERE toxic = 1""")
 def a13_missing_inputs(spark, sf_dir):
-    expected = spark.createDataFrame([(m,) for m in EXPECTED_MODELS], "model string")
-    return rp.missing_inputs(expected, fx_results(spark, sf_dir))
+    """Labelled problems for which model m17b has no result."""
+    expected = load(spark, sf_dir, "labels").select(F.col("doc_id").alias("problem"))
+    present = fx_results_with_gaps(spark, sf_dir).where(F.col("model") == "m17b")
+    return rp.missing_inputs(expected, present, key="problem")
 
 
 @register("a13_present_only", with_ctes(FX_RESULTS_SQL) + """

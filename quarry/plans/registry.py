@@ -27,16 +27,10 @@ def register(name: str, sql: str | None = None):
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """Read one driver table (see ``quarry.sources.readers.read_table``)."""
+    """Read one driver table as Spark splits it."""
     from quarry.session import ship_package
-    from quarry.sources import readers
     ship_package(spark)
-    return readers.read_table(spark, f"{sf_dir.rstrip('/')}/{table}.parquet",
-                              spread_min_bytes=SPREAD_MIN_BYTES)
-
-
-# Tables smaller than this are read as they are (splitting costs more than it saves).
-SPREAD_MIN_BYTES = 1 << 20
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
 def sql_chars(chars: str) -> str:
@@ -54,10 +48,15 @@ _WRITTEN: dict[tuple, object] = {}
 def written_once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[], object]):
     """Run ``write`` (which writes a derived fixture and returns its paths) once per
     application and table folder; later queries reuse the written files while they exist."""
-    import os
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
     paths = _WRITTEN.get(key)
     listed = paths if isinstance(paths, (tuple, list)) else [paths]
-    if paths is None or not all(os.path.exists(str(p).replace("file:", "", 1)) for p in listed):
+    if paths is None or not all(_exists(spark, str(p)) for p in listed):
         paths = _WRITTEN[key] = write()
     return paths
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store Spark reads it from."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

@@ -49,7 +49,11 @@ def get_session(master: str | None = None, app_name: str = "quarry",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
+    """Return the shared checkpoint folder.
+
+    Where none is set, a local run gets a fresh folder of its own; on a
+    cluster that would be a folder only one machine sees, so it is an error.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -57,6 +61,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or \
         sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="quarry-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -90,8 +96,5 @@ def ship_package(spark: SparkSession) -> None:
                 if name.endswith(".py"):
                     full = os.path.join(root, name)
                     zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
-    try:
-        sc.addPyFile(target)
-    except Exception:  # noqa: BLE001 - already registered by another session of this app
-        pass
+    sc.addPyFile(target)
     _SHIPPED.add(sc.applicationId)

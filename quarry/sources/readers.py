@@ -65,6 +65,22 @@ def _root_uri(root: str) -> str:
     return root if ":" in root.split("/")[0] else "file:" + root
 
 
+BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def _listed_folders(spark: SparkSession, root: str, repos: DataFrame) -> list[str]:
+    """The folders directly below ``root`` that belong to listed repositories.
+
+    The list of repositories is metadata (names, one page file per 100), so
+    it is collected; the file system lists one level.
+    """
+    wanted = {r["d"] for r in repos.select(repo_dir_name("name").alias("d")).distinct().collect()}
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = base.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(base)
+    names = [f.getPath().getName() for f in found if f.isDirectory()]
+    return [f"{root.rstrip('/')}/{n}" for n in sorted(names) if n in wanted]
+
+
 def corpus_files(spark: SparkSession, root: str, repos: DataFrame | None = None,
                  suffix: str = SOURCE_SUFFIX, limit: int = FILE_SIZE_LIMIT,
                  with_content: bool = True) -> DataFrame:
@@ -73,29 +89,24 @@ def corpus_files(spark: SparkSession, root: str, repos: DataFrame | None = None,
     Output: ``repo_dir``, ``path`` (relative to root), ``length`` and
     ``content`` (bytes).  ``length < limit`` is pushed into the file
     listing, so large files are never read.  When ``repos`` (column
-    ``name``) is given, only files of listed repositories are kept
-    (semi join on the directory name).  Like every Spark file source,
-    names starting with ``.`` or ``_`` are skipped.
+    ``name``) is given, only the folders of listed repositories are listed
+    and read.  Like every Spark file source, names starting with ``.`` or
+    ``_`` are skipped.
     """
-    files = (spark.read.format("binaryFile")
-             .option("pathGlobFilter", "*" + suffix)
-             .option("recursiveFileLookup", "true")
-             .load(root)
-             .where(F.col("length") < limit))
+    folders = [root] if repos is None else _listed_folders(spark, root, repos)
+    if folders:
+        files = (spark.read.format("binaryFile")
+                 .option("pathGlobFilter", "*" + suffix)
+                 .option("recursiveFileLookup", "true")
+                 .load(folders)
+                 .where(F.col("length") < limit))
+    else:
+        files = spark.createDataFrame([], BINARY_FILE)
     rel = relative_path(F.col("path"), root)
     cols = [F.substring_index(rel, "/", 1).alias("repo_dir"), rel.alias("path"), F.col("length")]
     if with_content:
         cols.append(F.col("content"))
-    out = files.select(*cols)
-    if repos is not None:
-        wanted = repos.select(repo_dir_name("name").alias("repo_dir")).distinct()
-        out = out.join(F.broadcast(wanted) if _small(wanted) else wanted, "repo_dir", "left_semi")
-    return out
-
-
-def _small(df: DataFrame) -> bool:
-    from quarry.operators.joins import is_small
-    return is_small(df)
+    return files.select(*cols)
 
 
 def decode_text(content) -> Column:
@@ -150,6 +161,15 @@ def read_completion_docs(spark: SparkSession, root: str, schema: T.StructType) -
     return docs.where(~F.col("file_name").contains(".results"))
 
 
+def read_completion_texts(spark: SparkSession, root: str) -> DataFrame:
+    """``rel_path, document``: the whole JSON text of every completion document (see above)."""
+    docs = (spark.read.option("wholetext", True).option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", "*.gz").text(root)
+            .select(relative_path(F.col("_metadata.file_path"), root).alias("rel_path"),
+                    F.col("_metadata.file_name").alias("name"), F.col("value").alias("document")))
+    return docs.where(~F.col("name").contains(".results")).drop("name")
+
+
 def relative_path(path, root: str) -> Column:
     """A file path relative to ``root`` (the path itself when outside it)."""
     prefix = _root_uri(root) + "/"
@@ -198,46 +218,3 @@ def list_checkpoints(spark: SparkSession, models_root: str) -> DataFrame:
     ckpt = F.regexp_extract(rel, r"^(.*?checkpoint-\d+)/", 1)
     return (files.select(F.substring_index(rel, "/", 1).alias("model"), ckpt.alias("path"))
             .where(F.col("path") != "").distinct())
-
-
-def _conf_bytes(spark: SparkSession, key: str, default: int) -> int:
-    raw = str(spark.conf.get(key, str(default))).strip().lower()
-    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
-    for suffix in sorted(units, key=len, reverse=True):
-        if raw.endswith(suffix):
-            try:
-                return int(float(raw[:-len(suffix)]) * units[suffix])
-            except ValueError:
-                return default
-    try:
-        return int(raw)
-    except ValueError:
-        return default
-
-
-def _local_size(path: str) -> int | None:
-    local = path[len("file:"):] if path.startswith("file:") else path
-    if "://" in local or not os.path.exists(local):
-        return None
-    if os.path.isfile(local):
-        return os.path.getsize(local)
-    return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(local) for f in fs)
-
-
-def read_table(spark: SparkSession, path: str, spread_min_bytes: int = 1 << 20) -> DataFrame:
-    """Read a parquet table; spread a mid-sized one over the session's cores.
-
-    A table above ``spread_min_bytes`` but below one split per core may be
-    a single parquet row group, i.e. one scan task, which would leave the
-    per-row work (extraction, repair, tokenizing) on one core.  Such a table
-    is repartitioned round-robin to the session's parallelism.  Large
-    tables keep their scan splits (no extra shuffle), tiny ones are read as
-    they are, and sizes are only checked on local or mounted paths.
-    """
-    df = spark.read.parquet(path)
-    size = _local_size(path)
-    cores = spark.sparkContext.defaultParallelism
-    split = _conf_bytes(spark, "spark.sql.files.maxPartitionBytes", 128 << 20)
-    if size is not None and cores > 1 and spread_min_bytes <= size < cores * split:
-        df = df.repartition(cores)
-    return df

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import json
 import os
 from collections.abc import Iterator
 
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from quarry.functions import code
 from quarry.session import ship_package
-from quarry.sources.readers import read_completion_docs
+from quarry.sources.readers import read_completion_texts
 
 
 def write_function_records(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -108,28 +109,35 @@ def write_file_tree(df: DataFrame, root: str, path_col: str = "path",
     return int(out.agg(F.sum("n")).collect()[0][0] or 0)
 
 
-COMPLETION_DOC = T.StructType([
-    T.StructField("name", T.StringType()),
-    T.StructField("prompt", T.StringType()),
-    T.StructField("completions", T.ArrayType(T.StringType())),
-])
-
-
-def rewrite_completions(spark: SparkSession, in_dir: str, out_dir: str,
-                        schema: T.StructType = COMPLETION_DOC, one_file_per_doc: bool = True) -> DataFrame:
+def rewrite_completions(spark: SparkSession, in_dir: str, out_dir: str) -> DataFrame:
     """Repair completion 0 of every completion document (E6 + E7).
 
-    Reads every ``*.gz`` below ``in_dir`` whose name lacks ``.results``
-    and writes gzip JSON to ``out_dir`` (never in place).  With
-    ``one_file_per_doc`` each document keeps its path relative to ``in_dir``.
+    Reads every ``*.gz`` below ``in_dir`` whose name lacks ``.results`` and
+    writes gzip JSON to the same relative path below ``out_dir`` (never in
+    place).  A document is kept as the object it is: only the elements of
+    ``completions`` are replaced, all other fields, nested values, nulls
+    and their order stay.  The repair runs in the JVM; Python only takes
+    the document apart and puts it together again, one small file a row.
     """
-    docs = read_completion_docs(spark, in_dir, schema)
-    fixed = docs.withColumn("completions", code.close_first_completion("completions"))
-    fields = [f.name for f in schema.fields]
-    if one_file_per_doc:
-        payload = fixed.select(F.col("rel_path").alias("path"),
-                               F.encode(F.to_json(F.struct(*fields)), "UTF-8").alias("content"))
-        write_file_tree(payload, out_dir, compress="gzip")
-    else:
-        fixed.select(*fields).write.mode("overwrite").option("compression", "gzip").json(out_dir)
-    return fixed
+    ship_package(spark)
+    docs = read_completion_texts(spark, in_dir)
+
+    def take_apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [json.loads(t).get("completions") for t in pdf["document"]]
+            yield pdf.assign(completions=[c if isinstance(c, list) else None for c in found])
+
+    def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for text, completions in zip(pdf["document"], pdf["completions"]):
+                doc = json.loads(text)
+                if completions is not None:
+                    doc["completions"] = list(completions)
+                out.append(json.dumps(doc, ensure_ascii=False).encode())
+            yield pd.DataFrame({"path": pdf["rel_path"], "content": out})
+
+    parsed = docs.mapInPandas(take_apart, "rel_path string, document string, completions array<string>")
+    fixed = parsed.withColumn("completions", code.close_first_completion("completions"))
+    write_file_tree(fixed.mapInPandas(put_together, "path string, content binary"), out_dir, compress="gzip")
+    return fixed.drop("document")

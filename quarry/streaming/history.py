@@ -1,33 +1,21 @@
 """conversation history maintained from a stream of submitted turns.
 
 Turn events (files of ``conv_id, turn, role, text``) are read with a
-Structured Streaming file source.  Valid messages (F1) are grouped by
-conversation in each micro-batch; ``applyInPandasWithState`` keeps each
-conversation's message count in the state store and numbers the new
-messages after it, so every stored message carries its history position.
-Each micro-batch is written to its own ``batch_id=<n>`` partition with
-dynamic partition overwrite: a replayed batch rewrites only itself, so the
-table is exactly-once with respect to the stream's checkpoint.  Reading the
-table gives the same rows as the batch operator ``history_rows`` (F2) when
-each conversation's turns arrive in turn order.
-
-State per conversation is one counter; the rows of one conversation inside
-one micro-batch form one group, bounded by the micro-batch size
-(``files_per_batch``).
+Structured Streaming file source and appended, as they are, to the history
+table.  Each micro-batch is written to its own ``batch_id=<n>`` partition
+with dynamic partition overwrite: a replayed batch rewrites only itself, so
+the table is exactly-once with respect to the stream's checkpoint.
+Positions are given on reading, by the batch operator (F2), so they do not
+depend on the order of arrival, and no conversation's rows meet in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from quarry.operators.conversations import DISPLAY_ROLES, valid_user_turns
-from quarry.session import ship_package
+from quarry.operators.conversations import DISPLAY_ROLES, history_rows
 
 TURN_SCHEMA = T.StructType([
     T.StructField("conv_id", T.LongType()),
@@ -35,27 +23,7 @@ TURN_SCHEMA = T.StructType([
     T.StructField("role", T.StringType()),
     T.StructField("text", T.StringType()),
 ])
-HISTORY_SCHEMA = T.StructType([
-    T.StructField("conv_id", T.LongType()),
-    T.StructField("position", T.LongType()),
-    T.StructField("turn", T.LongType()),
-    T.StructField("role", T.StringType()),
-    T.StructField("content", T.StringType()),
-])
-STATE_SCHEMA = T.StructType([T.StructField("messages", T.LongType())])
-HISTORY_COLUMNS = [f.name for f in HISTORY_SCHEMA.fields]
-
-
-def _number_messages(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Append this micro-batch's messages after those already stored."""
-    seen = state.get[0] if state.exists else 0
-    new = pd.concat(list(batches), ignore_index=True)
-    if new.empty:
-        return
-    new = new.sort_values("turn", kind="stable")
-    new["position"] = range(seen, seen + len(new))
-    state.update((seen + len(new),))
-    yield new[HISTORY_COLUMNS]
+TURN_COLUMNS = TURN_SCHEMA.fieldNames()
 
 
 def _append_batch(table_path: str):
@@ -69,29 +37,22 @@ def _append_batch(table_path: str):
 
 
 def history_updates(events: DataFrame) -> DataFrame:
-    """Streaming ``conv_id, position, turn, role, content`` of newly stored messages."""
-    ship_package(events.sparkSession)
-    msgs = valid_user_turns(events).where(F.col("role").isin(DISPLAY_ROLES)) \
-        .select("conv_id", "turn", "role", F.col("text").alias("content"))
-    return msgs.groupBy("conv_id").applyInPandasWithState(
-        _number_messages, HISTORY_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    """Streaming ``conv_id, turn, role, text`` of the messages the history is made of.
+
+    Blank inputs are kept here: reading needs them to leave out their replies.
+    """
+    return events.where(F.col("role").isin(DISPLAY_ROLES)).select(*TURN_COLUMNS)
 
 
 def stream_history(spark: SparkSession, source_dir: str, table_path: str, checkpoint: str,
                    files_per_batch: int = 1, fmt: str = "parquet",
-                   available_now: bool = True, state_partitions: int | None = None):
+                   available_now: bool = True):
     """Start the stream; returns the ``StreamingQuery``.
 
     ``available_now`` processes everything present, then stops (for batch
     schedulers); otherwise it runs continuously.  ``checkpoint`` and
     ``table_path`` must be in a folder every executor and the driver share.
-    ``state_partitions`` fixes the number of state-store partitions when
-    the stream is first started (default: the session's shuffle partitions);
-    a restarted stream keeps the number recorded in its checkpoint.
     """
-    if state_partitions is not None:
-        spark = spark.newSession()
-        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
     events = (spark.readStream.schema(TURN_SCHEMA).format(fmt)
               .option("maxFilesPerTrigger", files_per_batch).load(source_dir))
     writer = (history_updates(events).writeStream.foreachBatch(_append_batch(table_path))
@@ -100,16 +61,6 @@ def stream_history(spark: SparkSession, source_dir: str, table_path: str, checkp
     return writer.start()
 
 
-def read_history(spark: SparkSession, table_path: str, recompute_positions: bool = False) -> DataFrame:
-    """The stored history in F2 long form.
-
-    Stored positions follow arrival order.  When turns of a conversation may
-    arrive out of turn order, ``recompute_positions`` re-ranks the stored
-    messages by turn (the batch operator's global ranking).
-    """
-    stored = spark.read.parquet(table_path).select(*HISTORY_COLUMNS)
-    if not recompute_positions:
-        return stored
-    from quarry.operators.conversations import history_rows
-    turns = stored.select("conv_id", "turn", "role", F.col("content").alias("text"))
-    return history_rows(turns).select(*HISTORY_COLUMNS)
+def read_history(spark: SparkSession, table_path: str) -> DataFrame:
+    """The stored history in F2 long form, whatever order the turns arrived in."""
+    return history_rows(spark.read.parquet(table_path).select(*TURN_COLUMNS))

@@ -35,12 +35,30 @@ def test_sample_exact_size_and_reproducible(spark):
         cp.sample_exact(rows, 0)
 
 
-def test_sample_exact_large_path_matches_top_k(spark, monkeypatch):
+def test_sample_exact_is_the_smallest_keys(spark):
+    import hashlib
     rows = qc.cleaned(spark, SF001)
-    small = sorted(r["id"] for r in cp.sample_exact(rows, 300, seed=5).collect())
-    monkeypatch.setattr(cp, "TOP_K_MAX", 10)
-    ranked = sorted(r["id"] for r in cp.sample_exact(rows, 300, seed=5).collect())
-    assert small == ranked
+    ids = [r["id"] for r in rows.select("id").collect()]
+    wanted = sorted(ids, key=lambda i: (hashlib.md5(f"5:{i}".encode()).hexdigest(), i))[:300]
+    assert sorted(r["id"] for r in cp.sample_exact(rows, 300, seed=5).collect()) == sorted(wanted)
+
+
+def test_encode_keeps_rows_that_share_an_id(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "b b zz"), (2, None), (3, "")], "id long, text string")
+    vocab = cp.build_vocab(df, 2)
+    out = cp.encode(df, vocab)
+    b, a = (vocab.where(F.col("token") == t).first()["id"] for t in "ba")
+    assert sorted((r["id"], r["ids"]) for r in out.collect()) == sorted([(1, [a, b]), (1, [b, b, cp.UNK_ID]), (2, []), (3, [])])
+    names = cp.preview_tokens(out.withColumnRenamed("ids", "input_ids"), vocab)
+    assert sorted(r["decoded"] for r in names.collect()) == ["", "", "a b", "b b <unk>"]
+
+
+def test_vocabulary_beyond_its_bound_is_an_error(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a b")], "id long, text string")
+    vocab = cp.build_vocab(df, 2)
+    monkeypatch.setattr(cp, "VOCAB_MAX_BYTES", 10)
+    with pytest.raises(ValueError):
+        cp.encode(df, vocab)
 
 
 def test_training_batches(spark):
@@ -56,8 +74,7 @@ def test_model_variants(spark):
     rows = {r["model"]: r for r in cp.model_variants(spark).collect()}
     assert len(rows) == 9
     assert rows["1.7b_signature"]["directory"] == "1-7B_signature"
-    with pytest.raises(ValueError):
-        cp.model_variant_name("135m", signature=True, baseline=True)
+    assert not any(r["signature"] and r["baseline"] for r in rows.values())
 
 
 def test_latest_checkpoint_version_order(spark):

@@ -196,3 +196,59 @@ def test_block_comment_in_body(spark):
     r = ex.extract_functions(files, keep_comments=False).collect()[0]
     assert r["has_internal_comments"]
     assert r["function_body"] == "    #=\n    if this were code\n    =#\n    x"
+
+
+def test_functions_inside_lines(spark):
+    src = '\n'.join([
+        "function outer(xs, k = \"a)\")",
+        "    g = map(function (x)",
+        "        x[end] + 1",
+        "    end, xs)",
+        "    ok && try",
+        "        f()",
+        "    catch",
+        "    end",
+        "    y = return_if(xs[begin:end], :end, xs.end)",
+        "    return if k",
+        "        function (y) y end",
+        "    else",
+        "        [function (z) z end for z in xs if z > 0]",
+        "    end",
+        "end",
+        "after(function named(a, (b, c)) a end, function (d) d end)",
+        "function last() end"])
+    rows = ex.extract_functions(spark.createDataFrame([("i.jl", src)], "path string, text string")).collect()
+    assert sorted((r["line"], r["end_line"], r["level"], r["function_header"]) for r in rows) == sorted([
+        (1, 15, 0, 'function outer(xs, k = "a)")'), (2, 4, 1, "function (x)"), (11, 11, 2, "function (y)"),
+        (13, 13, 2, "function (z)"), (16, 16, 0, "function named(a, (b, c))"), (16, 16, 0, "function (d)"), (17, 17, 0, "function last()")])
+    body = {r["line"]: r["function_body"] for r in rows}
+    assert body[2] == "        x[end] + 1" and body[1].count("\n") == 12 and body[11] == ""
+
+
+def test_long_literals_do_not_exhaust_the_stack(spark):
+    quoted = "x" * 500_000, "\\\"" * 200_000
+    src = "\n".join(f'function f{i}()\n    s = "{q}"\nend' for i, q in enumerate(quoted))
+    rows = ex.extract_functions(spark.createDataFrame([("l.jl", src)], "path string, text string")).collect()
+    assert sorted((r["line"], r["end_line"]) for r in rows) == [(1, 3), (4, 6)]
+
+
+def _timed(spark, df):
+    import time
+    start = time.perf_counter()
+    df.write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - start
+
+
+def test_time_follows_the_lines(spark):
+    """Four times the lines, no more than about four times the time (a quadratic walk takes sixteen)."""
+    from quarry.functions import code
+    from pyspark.sql import functions as F
+    block = "function f(x)\n    if x\n        y = 1\n    end\nend\n"
+
+    def files(n):
+        return spark.createDataFrame([("t.jl", block * (n // 5))], "path string, text string")
+
+    for run in (ex.extract_functions, lambda d: d.select(code.fix_block_ends("text")), lambda d: d.select(code.format_code("text"))):
+        _timed(spark, run(files(5000)))
+        small, large = (min(_timed(spark, run(files(n))) for _ in range(2)) for n in (12_500, 50_000))
+        assert large < 8 * small + 1

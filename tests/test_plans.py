@@ -1,9 +1,6 @@
 """Physical plans: broadcast only bounded sides, no shuffle where none is needed."""
 
-import pytest
-
 from conftest import SF001
-from quarry.plans import registry
 from quarry.functions import code as C
 from quarry.operators import extract as ex
 from quarry.plans import fixtures as fx
@@ -15,12 +12,6 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.fixture(autouse=True)
-def no_input_spread(monkeypatch):
-    """Plan shapes are about the operators: read the tables without the loader's spread."""
-    monkeypatch.setattr(registry, "SPREAD_MIN_BYTES", 1 << 62)
-
-
 def test_decontaminate_is_a_broadcast_anti_join(spark):
     p = plan(QUERIES["c8_preprocess"](spark, SF001))
     assert "BroadcastHashJoin" in p and "LeftAnti" in p
@@ -47,9 +38,20 @@ def test_pair_statistics_have_no_self_join(spark):
     assert "Join" not in p
 
 
-def test_encode_broadcasts_only_the_vocabulary(spark):
-    p = plan(QUERIES["d5_pad_truncate"](spark, SF001))
-    assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
+def test_encoding_and_preview_are_map_only(spark):
+    from quarry.operators import corpus as cp
+    texts = spark.read.parquet(f"{SF001}/documents.parquet").selectExpr("doc_id as id", "text")
+    vocab = cp.build_vocab(texts, 500)
+    ids = cp.encode(texts, vocab)
+    for df in (ids, cp.preview_tokens(ids.withColumnRenamed("ids", "input_ids"), vocab)):
+        assert "Exchange" not in plan(df) and "Generate" not in plan(df)
+
+
+def test_samples_and_vocabularies_gather_no_rows_in_one_task(spark):
+    from quarry.operators import corpus as cp
+    texts = spark.read.parquet(f"{SF001}/documents.parquet").selectExpr("doc_id as id", "text")
+    for df in (cp.sample_exact(texts, 100), cp.build_vocab(texts, 100)):
+        assert "TakeOrdered" not in plan(df) and "Limit" not in plan(df)
 
 
 def test_file_listing_filter_is_pushed(spark, tmp_path):

@@ -47,7 +47,8 @@ def test_decode_text_fallback_and_newlines(spark):
 def test_result_docs_and_completion_rewrite(spark):
     doc = {"name": "HumanEval_7_x", "prompt": "P", "tests": "T",
            "results": [{"program": "PbodyT", "status": "OK"}]}
-    comp = {"name": "HumanEval_7_x", "prompt": "P", "completions": ["if a\nx\nend\nend", "keep"]}
+    comp = {"name": "HumanEval_7_x", "prompt": "P", "temperature": 0.2, "tests": "T\n", "stop_tokens": ["\nend", None],
+            "completions": ["if a\nx\nend\nend", "keep"], "meta": {"é": None, "n": [1, {"x": 2}]}, "note": None}
     root = _tree({"m/HumanEval_7_x.results.json.gz": gzip.compress(json.dumps(doc).encode()),
                   "m/HumanEval_7_x.json.gz": gzip.compress(json.dumps(comp).encode())})
     from quarry.operators.evaluation import result_rows
@@ -57,7 +58,8 @@ def test_result_docs_and_completion_rewrite(spark):
     wr.rewrite_completions(spark, root, out)
     with gzip.open(os.path.join(out, "m", "HumanEval_7_x.json.gz")) as fh:
         written = json.load(fh)
-    assert written["completions"] == ["if a\nx\nend\nend", "keep"]
+    assert written.pop("completions") == ["if a\nx\nend\nend", "keep"]
+    assert list(written.items()) == [(k, v) for k, v in comp.items() if k != "completions"]
     # the input is left untouched
     with gzip.open(os.path.join(root, "m/HumanEval_7_x.json.gz")) as fh:
         assert json.load(fh) == comp
@@ -111,8 +113,12 @@ def test_require_inputs(spark):
     from quarry.operators import repos as rp
     expected = spark.createDataFrame([("a",), ("b",), ("c",)], "model string")
     present = spark.createDataFrame([("a", 1), ("b", 0)], "model string, problem int")
-    with pytest.raises(FileNotFoundError, match="missing inputs for model: c"):
+    with pytest.raises(FileNotFoundError, match="1 missing inputs for model: c"):
         rp.require_inputs(expected, present)
+    many = spark.range(500).selectExpr("cast(id as string) as model")
+    with pytest.raises(rp.MissingInputs) as error:
+        rp.require_inputs(many, present)
+    assert error.value.count == 500 and error.value.table.count() == 500
     rp.require_inputs(expected.where("model <> 'c'"), present)
     kept, missing = rp.present_only(present, expected)
     assert kept.count() == 2 and [r["model"] for r in missing.collect()] == ["c"]
@@ -135,3 +141,31 @@ def test_write_results_is_ordered_across_part_files(spark):
         seen += [json.loads(line)["problem"] for line in open(f)]
     assert seen == [f"HumanEval_{i}_x" for i in range(300)]
     assert len(glob.glob(path + "/part-*.json")) > 1
+
+
+def test_only_listed_repositories_are_read(spark):
+    root = _tree({"o_a/x.jl": b"1", "o_a/sub/y.jl": b"2", "o_b/z.jl": b"3"})
+    repos = spark.createDataFrame([("o/a",), ("o/missing",)], "name string")
+    files = rd.corpus_files(spark, root, repos)
+    assert sorted(r["path"] for r in files.collect()) == ["o_a/sub/y.jl", "o_a/x.jl"]
+    assert all("/o_a/" in f for f in files.inputFiles()) and len(files.inputFiles()) == 2
+    assert rd.corpus_files(spark, root, repos.where("name = 'o/missing'")).count() == 0
+
+
+def test_generators_of_one_factory_are_told_apart(spark):
+    from quarry.operators.completions import batch_generate
+
+    def factory(answer):
+        def load(model):
+            if model == "bad":
+                raise RuntimeError("no such model")
+            return lambda prompts: [answer + p for p in prompts]
+        return load
+
+    requests = spark.createDataFrame([(f"p{i}", m) for i in range(20) for m in ("m1", "m2", "m3", "bad")], "prompt string, model string")
+    for answer in ("A", "B", "A"):
+        rows = batch_generate(requests, factory(answer), error_col="failed", splits=2).collect()
+        assert len(rows) == 80
+        for r in rows:
+            assert r["failed"] == (r["model"] == "bad")
+            assert r["completion"] == ("Error loading model: no such model" if r["failed"] else answer + r["prompt"])

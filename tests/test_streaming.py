@@ -17,13 +17,13 @@ def test_stream_survives_restart(spark):
     first, second = turns.where(F.col("turn") < 3), turns.where(F.col("turn") >= 3)
 
     first.write.parquet(src)
-    sh.stream_history(spark, src, table, ckpt, files_per_batch=3, state_partitions=4).awaitTermination()
+    sh.stream_history(spark, src, table, ckpt, files_per_batch=3).awaitTermination()
     partial = sh.read_history(spark, table).count()
 
     second.write.mode("append").parquet(src)      # new events; same checkpoint
     sh.stream_history(spark, src, table, ckpt, files_per_batch=3).awaitTermination()
     got = sorted(tuple(r) for r in sh.read_history(spark, table).collect())
-    want = sorted(tuple(r) for r in cv.history_rows(turns).select(*sh.HISTORY_COLUMNS).collect())
+    want = sorted(tuple(r) for r in cv.history_rows(turns).collect())
     assert 0 < partial < len(want)
     assert got == want
 
@@ -49,8 +49,21 @@ def test_out_of_order_arrival(spark):
     sh.stream_history(spark, src, table, ckpt, files_per_batch=8).awaitTermination()
     turns.where(F.col("turn") < 2).write.mode("append").parquet(src)
     sh.stream_history(spark, src, table, ckpt, files_per_batch=8).awaitTermination()
-    want = sorted(tuple(r) for r in cv.history_rows(turns).select(*sh.HISTORY_COLUMNS).collect())
-    arrival = sorted(tuple(r) for r in sh.read_history(spark, table).collect())
-    exact = sorted(tuple(r) for r in sh.read_history(spark, table, recompute_positions=True).collect())
-    assert exact == want
-    assert arrival != want and len(arrival) == len(want)
+    want = sorted(tuple(r) for r in cv.history_rows(turns).collect())
+    assert sorted(tuple(r) for r in sh.read_history(spark, table).collect()) == want
+
+
+def test_gaps_blank_inputs_and_a_hot_conversation(spark):
+    rows = [(1, 0, "user", "q"), (1, 2, "assistant", "a"), (1, 5, "system", "s"), (1, 9, "user", " "), (1, 11, "assistant", "orphan"),
+            (1, 12, "user", "q2"), (1, 13, "user", "q3"), (1, 20, "assistant", "a3"), (1, 20, "assistant", "a3"), (2, 0, "assistant", "hello"),
+            (2, 1, "user", None), (None, 1, "user", "x"), (None, 2, "assistant", "y")]
+    rows += [(3, 3 * i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(2000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    history = {(r["conv_id"], r["position"]): r["content"] for r in cv.history_rows(turns).collect()}
+    assert [history[1, i] for i in range(5)] == ["q", "a", "q2", "q3", "a3"] and (1, 5) not in history
+    assert history[2, 0] == "hello" and (2, 1) not in history and history[None, 1] == "y"
+    assert all(history[3, i] == f"t{i}" for i in range(2000))
+    replies = {(r["conv_id"], r["user_text"]): r["reply"] for r in cv.reply_or_fallback(turns).collect()}
+    fence = lambda t: "```julia\n" + t + "\n```"
+    assert replies[1, "q"] == fence("a") and replies[1, "q2"] == cv.APOLOGY and replies[1, "q3"] == fence("a3")
+    assert replies[None, "x"] == fence("y") and replies[3, "t1998"] == fence("t1999") and (1, " ") not in replies
