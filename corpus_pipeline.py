@@ -44,9 +44,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text (packed), their number, and the digest of what they decode to."""
     path = public_tokenizers.path(VOCABULARY)
-    encoded = tokens.encode(docs, path).drop("text")
-    decoded = tokens.decode(encoded, path)
-    return decoded.withColumn("n_tokens", F.floor(F.octet_length("ids") / 4).cast("long")) \
+    return tokens.encode(docs, path, decoded_col="decoded").drop("text").withColumn("n_tokens", F.floor(F.octet_length("ids") / 4).cast("long")) \
         .withColumn("decoded_sha256", F.sha2(F.encode("decoded", "UTF-8"), 256)).drop("decoded")
 
 

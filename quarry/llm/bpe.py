@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import struct
 from collections.abc import Iterable
 
 import numpy as np
@@ -18,9 +19,11 @@ from pyspark import SparkFiles
 
 #: The pattern with which byte-level vocabularies split text.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-NEVER = np.int64(1) << np.int64(40)
-CACHED_WORDS = 400_000   # a worker's memory of encoded pre-tokens, emptied when full
-CACHED_PAIRS = 2_000_000
+NEVER = 1 << 60
+MAX_IDS = 1 << 24        # more than any vocabulary has
+SHORT_WORD = 24          # bytes up to which a list of ranks is faster than a heap
+CACHED_WORDS = 150_000   # a worker remembers this many pre-tokens, twice: newer and older ones
+CACHED_PAIRS = 1_000_000
 CACHED_CHARS = 48        # longer pre-tokens are encoded but not remembered
 
 
@@ -31,6 +34,11 @@ def byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
+def pack(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class ByteBpe:
     """A byte-level vocabulary: its merges, and what the compatibility checks need of them."""
 
@@ -50,18 +58,19 @@ class ByteBpe:
         # rank[t]: when t is made; single bytes exist from the start
         self.rank = np.full(size, -1, dtype=np.int64)
         self.left, self.right = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
-        self.merges: dict[int, tuple[int, int]] = {}
+        self.merges: dict[int, int] = {}  # pair -> rank and merged token in one number
         self.size = size
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             a_id, b_id, c_id = model["vocab"][a], model["vocab"][b], model["vocab"][a + b]
             if self.left[c_id] < 0:
                 self.left[c_id], self.right[c_id], self.rank[c_id] = a_id, b_id, rank
-            self.merges.setdefault(a_id * size + b_id, (rank, c_id))
+            self.merges.setdefault(a_id * size + b_id, rank * MAX_IDS + c_id)
         codes = np.array(sorted(self.merges), dtype=np.int64)
-        self._codes, self._ranks = codes, np.array([self.merges[c][0] for c in codes.tolist()], dtype=np.int64)
+        self._codes, self._ranks = codes, np.array([self.merges[c] // MAX_IDS for c in codes.tolist()], dtype=np.int64)
         self._pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.by_bytes = self._proposable({raw[t]: i for t, i in model["vocab"].items()})
 
     def _proposable(self, by_bytes: dict[bytes, int]) -> dict[bytes, int]:
@@ -119,24 +128,40 @@ class ByteBpe:
         return found
 
     def merge(self, word: bytes) -> list[int]:
-        """The exact encoding: a heap of (rank, place) over a linked list of pieces."""
+        """The exact encoding: merges of the lowest rank first, of equal ranks the leftmost."""
         piece = [self.byte_token[b] for b in word]
+        if len(piece) > SHORT_WORD:
+            return self._merge_long(piece)
+        size, get = self.size, self.merges.get
+        found = [get(a * size + b, NEVER) for a, b in zip(piece, piece[1:])]
+        while found and (best := min(found)) < NEVER:
+            i = found.index(best)
+            piece[i] = best % MAX_IDS
+            del piece[i + 1], found[i]
+            if i:
+                found[i - 1] = get(piece[i - 1] * size + piece[i], NEVER)
+            if i < len(found):
+                found[i] = get(piece[i] * size + piece[i + 1], NEVER)
+        return piece
+
+    def _merge_long(self, piece: list[int]) -> list[int]:
+        """The same with a heap of (merge, place) over a linked list of pieces."""
         n, size, merges = len(piece), self.size, self.merges
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m[0], i) for i in range(n - 1) if (m := merges.get(piece[i] * size + piece[i + 1]))]
+        heap = [(m, i) for i in range(n - 1) if (m := merges.get(piece[i] * size + piece[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            rank, i = heapq.heappop(heap)
+            merge, i = heapq.heappop(heap)
             j = after[i] if piece[i] >= 0 else n
-            if j >= n or (m := merges.get(piece[i] * size + piece[j])) is None or m[0] != rank:
+            if j >= n or merges.get(piece[i] * size + piece[j]) != merge:
                 continue  # one of the two has changed since
-            piece[i], piece[j] = m[1], -1
+            piece[i], piece[j] = merge % MAX_IDS, -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
             for p, q in ((before[i], i), (i, after[i])):
-                if p >= 0 and q < n and (m := merges.get(piece[p] * size + piece[q])):
-                    heapq.heappush(heap, (m[0], p))
+                if p >= 0 and q < n and (m := merges.get(piece[p] * size + piece[q])) is not None:
+                    heapq.heappush(heap, (m, p))
         return [t for t in piece if t >= 0]
 
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
@@ -154,7 +179,7 @@ class ByteBpe:
             bad = set(word_of[inside][~self._compatible(codes)[back]].tolist())
         out = {}
         for i, word in enumerate(words):
-            out[word] = np.array(self.merge(raw[i]) if i in bad else proposed[i], dtype="<u4").tobytes()
+            out[word] = pack(self.merge(raw[i]) if i in bad else proposed[i])
         return out
 
     def _compatible(self, codes: np.ndarray) -> np.ndarray:
@@ -166,35 +191,33 @@ class ByteBpe:
             known.update(zip(new.tolist(), self._no_merge_across(new // self.size, new % self.size).tolist()))
         return np.array([known[c] for c in codes.tolist()], dtype=bool)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of whole texts; special strings inside a text become their token."""
+    def _parts(self, text: str) -> list[list[str]]:
+        """The pre-tokens of a text, as lists; a special string stands in a list by itself."""
         if not hasattr(self, "_split"):
             self._split = regex.compile(SPLIT)
             names = sorted(self.special, key=len, reverse=True)
             self._special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
-        find, cache, out = self._split.findall, self.words, []
-        for text in texts:
-            parts = [text]
-            if self._special and any(s in text for s in self.special):
-                parts = self._special.split(text)
-            packed = []
-            for part in parts:
-                if part in self.special:
-                    packed.append(int(self.special[part]).to_bytes(4, "little"))
-                    continue
-                words = find(part)
-                more = {w for w in words if w not in cache}
-                own = {}
-                if more:
-                    encoded = self.encode_words(more)
-                    own = {w: b for w, b in encoded.items() if len(w) > CACHED_CHARS}
-                    if len(cache) > CACHED_WORDS:
-                        cache.clear()
-                        encoded |= self.encode_words({w for w in words if w not in encoded})
-                    cache.update((w, b) for w, b in encoded.items() if len(w) <= CACHED_CHARS)
-                packed.append(b"".join([cache[w] if w in cache else own[w] for w in words] if own else [cache[w] for w in words]))
-            out.append(b"".join(packed))
-        return out
+        if self._special is None or not any(s in text for s in self.special):
+            return [self._split.findall(text)]
+        return [[part] if part in self.special else self._split.findall(part) for part in self._special.split(text)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of whole texts; special strings inside a text become their token."""
+        cut = [self._parts(t) for t in texts]
+        different = {w for parts in cut for words in parts for w in words}
+        if len(self.words) > CACHED_WORDS:  # words that come again move from the older memory to the newer
+            self.older, self.words = self.words, {}
+        cache, older = self.words, self.older
+        new = different - cache.keys()
+        cache.update({w: older[w] for w in new & older.keys()})
+        known = self.encode_words(new - older.keys() - self.special.keys())
+        cache.update(known)
+        cache.update({s: int(i).to_bytes(4, "little") for s, i in self.special.items()})
+        packed = [b"".join([cache[w] for words in parts for w in words]) for parts in cut]
+        for w in known:
+            if len(w) > CACHED_CHARS:
+                del cache[w]
+        return packed
 
     def decode(self, packed: bytes) -> str:
         """The text of packed ids; bytes that are not UTF-8 become replacement characters."""

@@ -22,9 +22,7 @@ SQL_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuv
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_VOCABULARY)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = tokens.encode(docs, path).select("doc_id", "ids")
-    decoded = tokens.decode(encoded, path)
-    return decoded.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+    return tokens.encode(docs, path, decoded_col="decoded").select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                           F.sha2(F.col("ids"), 256).alias("ids_sha256"),
                           F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 

@@ -14,9 +14,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from quarry.llm import bpe
 
+SLICE = 500  # documents encoded together inside a batch
+
 
 def ship_vocabulary(spark: SparkSession, path: str) -> str:
     """Send the vocabulary file to the workers; returns the name to load it by."""
@@ -24,37 +27,42 @@ def ship_vocabulary(spark: SparkSession, path: str) -> str:
     return os.path.basename(path)
 
 
-def encode(docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with ``ids_col``: the token ids, packed as little-endian unsigned 32-bit integers."""
-    name = ship_vocabulary(docs.sparkSession, path)
-    keep = [c for c in docs.columns if c != ids_col]
-    docs = docs.select(*keep)
+def _run(df: DataFrame, make, columns: list[tuple[str, object]]) -> DataFrame:
+    """``df`` with ``columns`` (name, Spark type), which ``make`` gives as Arrow arrays of a slice."""
+    names = [n for n, _ in columns]
+    df = df.select(*[c for c in df.columns if c not in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = bpe.loaded(name)
         for batch in batches:
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            ids = pa.array(model.encode(texts), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, ids_col])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                yield pa.RecordBatch.from_arrays([*part.columns, *make(part)], [*part.schema.names, *names])
 
-    return docs.mapInArrow(run, _with(docs, ids_col, "binary"))
+    return df.mapInArrow(run, StructType([*df.schema.fields, *[StructField(n, t) for n, t in columns]]))
 
 
-def decode(rows: DataFrame, path: str, *, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """``rows`` with ``text_col``: the text of the packed ids, special tokens included."""
-    name = ship_vocabulary(rows.sparkSession, path)
-    rows = rows.select(*[c for c in rows.columns if c != text_col])
+def encode(docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str = "ids",
+           decoded_col: str | None = None) -> DataFrame:
+    """``docs`` with ``ids_col``: the token ids, packed as little-endian unsigned 32-bit integers.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    With ``decoded_col`` also what the ids decode to (a round trip in one pass).
+    """
+    name = ship_vocabulary(docs.sparkSession, path)
+
+    def make(part: pa.RecordBatch) -> list[pa.Array]:
         model = bpe.loaded(name)
-        for batch in batches:
-            texts = pa.array([model.decode(b or b"") for b in batch.column(ids_col).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, text_col])
+        ids = model.encode([t or "" for t in part.column(text_col).to_pylist()])
+        return [pa.array(ids, pa.binary()), *([pa.array(map(model.decode, ids), pa.string())] if decoded_col else [])]
 
-    return rows.mapInArrow(run, _with(rows, text_col, "string"))
+    return _run(docs, make, [(ids_col, BinaryType()), *([(decoded_col, StringType())] if decoded_col else [])])
 
 
-def _with(df: DataFrame, name: str, kind: str):
-    from pyspark.sql.types import BinaryType, StringType, StructField, StructType
+def decode(rows: DataFrame, path: str, *, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
+    """``rows`` with ``text_col``: the text of the packed ids, special tokens included."""
+    name = ship_vocabulary(rows.sparkSession, path)
+
+    def make(part: pa.RecordBatch) -> list[pa.Array]:
+        model = bpe.loaded(name)
+        return [pa.array([model.decode(b or b"") for b in part.column(ids_col).to_pylist()], pa.string())]
 
-    return StructType([*df.schema.fields, StructField(name, BinaryType() if kind == "binary" else StringType())])
+    return _run(rows, make, [(text_col, StringType())])
