@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from quarry.functions.stats import mcnemar_exact, odds_ratio, pass_at_k
 from quarry.functions.text import col_
 from quarry.operators.ordering import with_global_index
+from quarry.session import checkpoint_dir
 
 OK_STATUS = "OK"
 # Pairs per aggregation pass; more pairs are counted in further passes.
@@ -232,6 +233,9 @@ def pair_statistics(results: DataFrame, models: list[str],
     totals = [F.count_if(F.col(f"_m{i}") == 1).alias(f"_p{i}") for i in range(len(models))] + \
              [F.count(F.col(f"_m{i}")).alias(f"_t{i}") for i in range(len(models))]
     chunks = [pairs[i:i + PAIRS_PER_PASS] for i in range(0, len(pairs), PAIRS_PER_PASS)]
+    if len(chunks) > 1:  # the pivot is then read by every pass
+        checkpoint_dir(results.sparkSession)
+        wide = wide.checkpoint()
     out = None
     for chunk in chunks:
         aggs = list(totals)

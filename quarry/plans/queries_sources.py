@@ -143,7 +143,7 @@ SELECT id, doc_string, function_header, function_body, has_internal_comments, ha
 def a6_read_function_records(spark, sf_dir):
     path = scratch_path(spark, "records")
     wr.write_function_records(fx_functions(spark, sf_dir), path)
-    return spark.read.schema(RECORD_WITH_ID).json(path)
+    return rd.read_function_records(spark, path, [T.StructField("id", T.LongType())])
 
 
 @register("a7_write_function_records", with_ctes(FX_FUNCTIONS_SQL) + """
@@ -235,6 +235,18 @@ def a10_write_results(spark, sf_dir):
     return spark.read.schema(schema).json(path)
 
 
+@register("a10_write_results_array", """
+SELECT 'HumanEval_' || item_id || '_x' AS problem, text AS prompt,
+       CASE WHEN item_id % 9 = 0 THEN '' ELSE 'body_' || item_id END AS prediction, item_id % 3 <> 0 AS passed
+FROM benchmark""")
+def a10_write_results_array(spark, sf_dir):
+    """The same export as JSON arrays, one a part file, read back by A8."""
+    rows = ev.order_by_problem_number(ev.result_rows(fx_result_docs(spark, sf_dir)))
+    path = scratch_path(spark, "results-arrays-out")
+    wr.write_results(rows, path, as_array=True)
+    return rd.read_results_array(spark, path)
+
+
 BENCH_CODE_SQL = fx_code_sql(CODE_LINES, "bench_code").replace(
     "FROM documents)", "FROM (SELECT item_id AS doc_id, text FROM benchmark))")
 

@@ -124,9 +124,9 @@ def read_source_texts(spark: SparkSession, root: str, repos: DataFrame | None =
     return files.select("repo_dir", "path", decode_text("content").alias("text"))
 
 
-def read_function_records(spark: SparkSession, path: str) -> DataFrame:
-    """JSON Lines of function records, explicit schema."""
-    return spark.read.schema(FUNCTION_RECORD).json(path)
+def read_function_records(spark: SparkSession, path: str, more: list[T.StructField] = ()) -> DataFrame:
+    """JSON Lines of function records, explicit schema; ``more`` fields come first."""
+    return spark.read.schema(T.StructType([*more, *FUNCTION_RECORD.fields])).json(path)
 
 
 def read_results_array(spark: SparkSession, path: str) -> DataFrame:

@@ -38,9 +38,16 @@ def write_results(df: DataFrame, path: str, order_col: str = "rank", as_array: b
     rows = ordered.select(F.to_json(F.struct(*[c for c in df.columns])).alias("j"))
 
     def to_arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b["j"] for b in batches]
-        body = ",\n".join(s for p in parts for s in p.tolist())
-        yield pd.DataFrame({"value": ["[" + body + "]"]})
+        # line by line as batches come; the last row so far waits to know whether a comma follows
+        waiting = None
+        for batch in batches:
+            lines = batch["j"].tolist()
+            if not lines:
+                continue
+            out = ["[" if waiting is None else waiting + ",", *[x + "," for x in lines[:-1]]]
+            waiting = lines[-1]
+            yield pd.DataFrame({"value": out})
+        yield pd.DataFrame({"value": ["[]"] if waiting is None else [waiting, "]"]})
 
     rows.mapInPandas(to_arrays, "value string").write.mode(mode).text(path)
 
