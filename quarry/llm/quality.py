@@ -193,19 +193,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     chosen = given.filter(place < int(share * (1 << 30))).orderBy(place, "_id").limit(max_labelled)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     # max_labelled rows of two numbers: a proven bound for the broadcast
-    stats = texts.join(F.broadcast(chosen), "_id") \
-        .select("_id", "_label", statistics(F.col("_text")).alias("s")).filter(~base_failed(F.col("s")))
+    stats = texts.join(F.broadcast(chosen), "_id").select("_id", "_label", statistics(F.col("_text")).alias("s"))
     named = features(F.col("s"))
+    # what the base rule rejects is set aside here: as a filter in the plan it would be pushed below
+    # the join and computed for every document
     rows = stats.select((F.col("_label") == 0).cast("int").alias("bad"), F.pmod(F.xxhash64(F.lit("part"), "_id"), F.lit(3)).alias("part"),
-                        *[c.alias(n) for n, c in named.items()]).orderBy("_id").limit(2 * max_labelled).collect()
-    return learn([r.asDict() for r in rows], list(named))
+                        base_failed(F.col("s")).alias("base"), *[c.alias(n) for n, c in named.items()]) \
+        .orderBy("_id").limit(2 * max_labelled).collect()
+    return learn([r.asDict() for r in rows if not r["base"]], list(named))
 
 
 def judge(docs: DataFrame, rules: Sequence[Rule], *, text_col: str = "text") -> DataFrame:
     """``docs`` with the BASE statistics, base_failed, rule (the first that covers the text) and kept."""
     out = [c for c in docs.columns if c not in (*BASE, "base_failed", "rule", "kept")]
-    judged = docs.select(*out, statistics(F.col(text_col)).alias("_stats"))
-    stats = F.col("_stats")
+    judged = docs.select(*out, statistics(F.col(text_col)).alias("__stats"))
+    stats = F.col("__stats")
     named, verdict = features(stats), F.lit(None).cast("string")
     for rule in reversed(rules):  # ordered: the first rule is the outermost condition
         test = rule[0].column(named)
