@@ -5,7 +5,6 @@ Every reader takes an explicit schema (no inference pass, no type guessing).
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
