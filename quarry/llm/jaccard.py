@@ -15,11 +15,13 @@ emits the keys of the classes its partners may have.
 The frequent class only steers the work, whatever it holds the index is complete.  It has a
 bounded size (``MAX_FREQUENT`` values), which is broadcast.
 
-Candidates.  A key links its classes like a star: the least class with all others, so a key of any
-size gives a linear number of pairs.  Pairs of unfit sizes fall out, the rest are verified on the
-sets.  Keys whose classes are then all in one component are done.  In others, pairs of classes of
-different components are still open: large keys go on star by star, small ones (``SMALL_KEY``) pair
-off what is left.  No link between different components is lost, and none inside one is needed.
+Candidates.  A key links its classes like a star: one class (of near copies the least edited) with
+all others, so a key of any size gives a linear number of pairs.  Pairs fall out whose sizes, or
+whose counts of shingles in cells of values (an upper bound of what is common), allow no link; the
+rest are verified on the sets.  Keys whose classes are then all in one component are done.  In
+others, pairs of classes of different components are still open: small keys (``SMALL_KEY``) pair
+off what is left.  Large keys with one main component are one group, whose classes outside the
+component are compared, in blocks, with all of the group.  No link between different components is lost, and none inside one is needed.
 
 Scale.  Rare keys travel packed, in buckets of key values; keys of combinations, which may be hot,
 are spread without regard to the key and are counted by Spark's aggregates with map-side combine.
@@ -46,8 +48,9 @@ from quarry.llm.shingles import mix, set_name, shingle_set
 FREQUENT = 32             # copies of a shingle in different sets, from which it counts as frequent
 MAX_FREQUENT = 1 << 20
 SMALL_KEY = 48
-LEADERS = 16              # stars that a large key sends out in a further round
+BLOCK = 128               # classes that are compared at once
 SLICE = 2000              # documents handled together inside a batch
+CELLS = 256
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
@@ -69,8 +72,14 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
+def sketch(tokens: np.ndarray) -> bytes | None:
+    """How many shingles fall into each of CELLS cells of values, a byte each; None if a cell has more."""
+    counts = np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=CELLS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
 def describe(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """Written: (id, n, a, b) a document (a, b name its set), and (shingle, times) of shingles that
+    """Written: (id, n, a, b, sketch) a document (a, b name its set), and (shingle, times) of shingles that
     occur in two or more different sets of one slice of documents."""
     id_type = docs.schema["id"].dataType.simpleString()
 
@@ -83,13 +92,14 @@ def describe(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
             often = times >= 2
             rows = pa.StructArray.from_arrays(
                 [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in names], pa.int64()),
-                 pa.array([b for _, b in names], pa.int64())], ["id", "n", "a", "b"])
+                 pa.array([b for _, b in names], pa.int64()), pa.array(map(sketch, sets), pa.binary())],
+                ["id", "n", "a", "b", "sketch"])
             shared = pa.StructArray.from_arrays([_signed(joined[starts[often]]), pa.array(times[often], pa.int64())],
                                                 ["shingle", "times"])
             lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (rows, shared)]
             yield pa.RecordBatch.from_arrays(lists, ["rows", "shared"])
 
-    schema = f"rows array<struct<id:{id_type},n:bigint,a:bigint,b:bigint>>, shared array<struct<shingle:bigint,times:bigint>>"
+    schema = f"rows array<struct<id:{id_type},n:bigint,a:bigint,b:bigint,sketch:binary>>, shared array<struct<shingle:bigint,times:bigint>>"
     written = materialise(docs.mapInArrow(run, schema), "jaccard-sets")
     return written.select(F.inline("rows")), written.select(F.inline("shared"))
 
@@ -124,11 +134,12 @@ def _blocks(size_class: int, threshold: int) -> int:
     return max(1, least_n * (100 - threshold) // 100)
 
 
-def index_keys(tokens: np.ndarray, frequent: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of one set: rare shingles, and combinations of two frequent ones."""
+def index_keys(tokens: np.ndarray, frequent: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The keys of one set, rare shingles and combinations of two frequent ones; and how many of
+    its shingles are rare."""
     n = len(tokens)
     if n < 2:  # a partner of a single shingle is the same set
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), n
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
         often = frequent[at] == tokens
@@ -138,7 +149,7 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray, threshold: int) -> tupl
     least = _common_least(n, threshold)
     prefix = n - least + 1
     if prefix <= len(rare):
-        return rare[:prefix], np.empty(0, np.uint64)
+        return rare[:prefix], np.empty(0, np.uint64), len(rare)
     combined = []
     for size_class in range(_size_class(least), _size_class(n) + 1):
         blocks = _blocks(size_class, threshold)
@@ -151,24 +162,27 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray, threshold: int) -> tupl
             first = np.flatnonzero(block[step:] == block[:-step])
             combined.append(mix(reach[first] * np.uint64(0x9E3779B97F4A7C15) + mix(reach[first + step])
                                 + np.uint64(size_class)))
-    return rare, np.concatenate(combined) if combined else np.empty(0, np.uint64)
+    return rare, np.concatenate(combined) if combined else np.empty(0, np.uint64), len(rare)
 
 
-ENTRY = np.dtype([("key", "<u8"), ("a", "<i8"), ("b", "<i8")])
+ENTRY = np.dtype([("key", "<u8"), ("a", "<i8"), ("b", "<i8"), ("n", "<i4"), ("rare", "<i4")])
 
 
-def _entries(keys: list[np.ndarray], names: list[tuple[int, int]]) -> np.ndarray:
+def _entries(keys: list[np.ndarray], names: list[tuple[int, int]], counts: list[int],
+             rare: list[int]) -> np.ndarray:
     out = np.empty(sum(map(len, keys)), dtype=ENTRY)
     if len(out):
         out["key"] = np.concatenate(keys)
         sizes = [len(k) for k in keys]
         out["a"] = np.repeat(np.array([a for a, _ in names], dtype=np.int64), sizes)
         out["b"] = np.repeat(np.array([b for _, b in names], dtype=np.int64), sizes)
+        out["n"] = np.repeat(np.array(counts, dtype=np.int32), sizes)
+        out["rare"] = np.repeat(np.array(rare, dtype=np.int32), sizes)
     return out
 
 
 def shared_keys(docs: DataFrame, frequent: np.ndarray, width: int, threshold: int) -> DataFrame:
-    """Written (key, a, b): the index entries of keys that two or more classes have."""
+    """Written (key, y: struct of rare, class and n): the index entries of keys that two or more classes have."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = spark.sparkContext.broadcast(frequent)  # at most MAX_FREQUENT values
@@ -177,8 +191,8 @@ def shared_keys(docs: DataFrame, frequent: np.ndarray, width: int, threshold: in
         for _, sets in _sets(batches, width):
             different = {set_name(s): s for s in sets if len(s)}
             both = [index_keys(s, sent.value, threshold) for s in different.values()]
-            names = list(different)
-            rare, combined = _entries([r for r, _ in both], names), _entries([c for _, c in both], names)
+            about = list(different), list(map(len, different.values())), [n for _, _, n in both]
+            rare, combined = _entries([r for r, _, _ in both], *about), _entries([c for _, c, _ in both], *about)
             bucket = (rare["key"] % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             rare, bucket = rare[order], bucket[order]
@@ -200,22 +214,22 @@ def shared_keys(docs: DataFrame, frequent: np.ndarray, width: int, threshold: in
         combined = np.frombuffer(b"".join(b[1:] for b in blobs if len(b) % ENTRY.itemsize == 1), dtype=ENTRY)
         found = np.concatenate([live, combined])
         return pa.table({"key": _signed(found["key"].astype(np.uint64)), "a": pa.array(found["a"].astype(np.int64)),
-                         "b": pa.array(found["b"].astype(np.int64))})
+                         "b": pa.array(found["b"].astype(np.int64)), "n": pa.array(found["n"].astype(np.int64)),
+                         "rare": pa.array(found["rare"].astype(np.int64))})
 
     packed = docs.mapInArrow(cut, "bucket int, entries binary")
-    rows = packed.groupBy("bucket").applyInArrow(meet, "key long, a long, b long")
-    return materialise(rows.distinct().select("key", F.struct("a", "b").alias("class")), "jaccard-keys")
+    rows = packed.groupBy("bucket").applyInArrow(meet, "key long, a long, b long, n long, rare long")
+    return materialise(rows.distinct().select("key", F.struct("rare", F.struct("a", "b").alias("class"), "n").alias("y")), "jaccard-keys")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Written links (u, v) among the candidate ``pairs`` (u, v) of classes."""
-    sized = classes.select("class", "n")
-    fit = pairs.join(sized.toDF("u", "u_n"), "u").join(sized.toDF("v", "v_n"), "v") \
-        .filter(100 * F.least("u_n", "v_n") >= threshold * F.greatest("u_n", "v_n")).select("u", "v")
-    fit = materialise(fit, "jaccard-pairs")
-    wanted = fit.select(F.explode(F.array("u", "v")).alias("class")).distinct().join(classes, "class").select("class", "id")
+NODE = "struct<a:bigint,b:bigint>"
+
+
+def _token_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(class, tokens): the packed sets of the ``wanted`` classes, made again from one text each."""
+    ids = wanted.join(classes, "class").select("class", "id")
     texts = docs.withColumnRenamed("id", "_id")
-    chosen = wanted.join(texts, wanted["id"].eqNullSafe(texts["_id"])).select("class", "text")
+    chosen = ids.join(texts, ids["id"].eqNullSafe(texts["_id"])).select("class", "text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,58 +241,129 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
                 yield pa.RecordBatch.from_arrays([part.column("class"), pa.array(own), pa.array([s.tobytes() for s in sets], pa.binary())],
                                                  ["class", "own", "tokens"])
 
-    packed = chosen.mapInArrow(pack, "class struct<a:bigint,b:bigint>, own boolean, tokens binary").filter("own").drop("own")
+    return chosen.mapInArrow(pack, f"class {NODE}, own boolean, tokens binary").filter("own").drop("own")
+
+
+def _tokens(blob: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(blob.as_buffer(), dtype=np.uint64)
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Written: those of ``pairs`` (u, v) whose sketches allow a link."""
+    sketches = classes.select("class", "n", "sketch")
+    sketched = pairs.join(sketches.toDF("u", "u_n", "x"), "u").join(sketches.toDF("v", "v_n", "y"), "v")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A cell holds no more common shingles than either count."""
+        for batch in batches:
+            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            known = np.array([a is not None and b is not None for a, b in zip(x, y)], dtype=bool)
+            cells = [np.frombuffer(b"".join(t for t, k in zip(side, known) if k), dtype=np.uint8).reshape(-1, CELLS) for side in (x, y)]
+            most = np.full(len(x), np.iinfo(np.int64).max // 1000, dtype=np.int64)
+            most[known] = np.minimum(*cells).sum(axis=1, dtype=np.int64)
+            total = np.array(batch.column("u_n")) + np.array(batch.column("v_n"))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array((100 + threshold) * most >= threshold * total)],
+                                             ["u", "v", "fits"])
+
+    fit = sketched.select("u", "v", "u_n", "v_n", "x", "y").mapInArrow(bound, f"u {NODE}, v {NODE}, fits boolean")
+    return materialise(fit.filter("fits").select("u", "v"), "jaccard-pairs")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
+    """Written links (u, v) among the candidate ``pairs`` (u, v) of classes."""
+    fit = _possible(pairs, classes, threshold)
+    packed = _token_sets(fit.select(F.explode(F.array("u", "v")).alias("class")).distinct(), classes, docs, width)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
             for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = (np.frombuffer(t.as_buffer(), dtype=np.uint64) for t in (x, y))
+                x, y = _tokens(x), _tokens(y)
                 at = np.minimum(np.searchsorted(x, y), len(x) - 1)
                 common = int(np.count_nonzero(x[at] == y))
                 linked.append(100 * common >= threshold * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(linked, pa.bool_())], ["u", "v", "linked"])
 
-    node = "struct<a:bigint,b:bigint>"
     both = fit.join(packed.toDF("v", "y"), "v").join(packed.toDF("u", "x"), "u").select("u", "v", "x", "y")
-    return materialise(both.mapInArrow(compare, f"u {node}, v {node}, linked boolean").filter("linked")
+    return materialise(both.mapInArrow(compare, f"u {NODE}, v {NODE}, linked boolean").filter("linked")
                        .select("u", "v").distinct(), "jaccard-links")
 
 
-def _with_component(keys: DataFrame, links: DataFrame) -> DataFrame:
-    """``keys`` (key, class) with ``component``, the least class that links lead to."""
-    found = components(links, "jaccard-components").toDF("class", "component")
-    return keys.join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
+def _pairs(rows: DataFrame, threshold: int) -> DataFrame:
+    """Distinct (u, v), u < v, of rows with x and y (struct with class, n) whose sizes allow a link."""
+    sizes = 100 * F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")
+    return rows.filter(sizes & (F.col("x.class") != F.col("y.class"))) \
+        .select(F.least("x.class", "y.class").alias("u"), F.greatest("x.class", "y.class").alias("v")).distinct()
+
+
+def _block_links(groups: DataFrame, classes: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
+    """Links (u, v) between the strays of each group and all of its classes.
+
+    ``groups`` has (main, class, component); a stray's component is not ``main``.  Classes are dealt
+    into blocks of about BLOCK by a hash; every block of strays meets every block of its group in
+    a row of its own, and a block's common shingles with a stray are counted for all classes at once.
+    """
+    packed = _token_sets(groups.select("class").distinct(), classes, docs, width)
+    held = groups.groupBy("main").agg(F.count("*").alias("held"), F.count_if(F.col("component") != F.col("main")).alias("strays"))
+    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
+    stray_blocks = F.ceil(F.col("strays") / BLOCK).cast("int")
+    rows = groups.join(held, "main").join(packed, "class").withColumns({"blocks": blocks, "stray_blocks": stray_blocks})
+    one = F.struct("class", "component", "tokens").alias("one")
+    place = F.xxhash64("class")
+    everyone = rows.groupBy("main", F.pmod(place, F.col("blocks")).alias("block")).agg(F.collect_list(one).alias("all"))
+    strays = rows.filter("component <> main").groupBy("main", F.pmod(place, F.col("stray_blocks")).alias("stray_block")) \
+        .agg(F.collect_list(one).alias("strays"), F.first("blocks").alias("blocks")) \
+        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("blocks") - 1).cast("long"))))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                some, others = (batch.column(c)[i].values for c in ("strays", "all"))
+                sets = [_tokens(t) for t in others.field("tokens")]
+                sizes = np.array(list(map(len, sets)))
+                tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+                order = np.argsort(tokens, kind="stable")
+                tokens, owner = tokens[order], owner[order]
+                names, comps = others.field("class").to_pylist(), others.field("component").to_pylist()
+                out = []
+                for name, comp, mine in zip(some.field("class").to_pylist(), some.field("component").to_pylist(), some.field("tokens")):
+                    mine = _tokens(mine)
+                    first, last = np.searchsorted(tokens, mine, "left"), np.searchsorted(tokens, mine, "right")
+                    counts = last - first
+                    at = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+                    common = np.bincount(owner[at], minlength=len(sets))
+                    linked = np.flatnonzero(100 * common >= threshold * (len(mine) + sizes - common))
+                    out += [{"u": name, "v": names[j]} for j in linked.tolist() if comps[j] != comp]
+                kind = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+                yield pa.RecordBatch.from_arrays([pa.array([x["u"] for x in out], kind), pa.array([x["v"] for x in out], kind)], ["u", "v"])
+
+    both = strays.join(everyone, ["main", "block"]).select("strays", "all")
+    return both.mapInArrow(compare, f"u {NODE}, v {NODE}")
 
 
 def linked_classes(docs: DataFrame, classes: DataFrame, keys: DataFrame, width: int, threshold: int) -> DataFrame:
     """Links (u, v) that connect classes exactly as all links would."""
-    stars = keys.join(keys.groupBy("key").agg(F.min("class").alias("leader")), "key").filter("leader <> class")
-    pairs = stars.select(F.col("leader").alias("u"), F.col("class").alias("v")).distinct()
-    links = _verified(pairs, classes, docs, width, threshold)
-    keys = stars.select("key", "class")  # the leaders have met all others of their keys
-    while True:
-        marked = materialise(_with_component(keys, links), "jaccard-marked")
-        state = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                          F.count("*").alias("size"))
-        still = materialise(marked.join(state.filter("low <> high").select("key", "size"), "key"), "jaccard-open")
-        if still.isEmpty():
-            return links
-        small, large = still.filter(F.col("size") <= SMALL_KEY), still.filter(F.col("size") > SMALL_KEY)
-        members = small.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("class", "component"))).alias("m"))
-        left = members.select("m", F.posexplode("m").alias("i", "x"))
-        inner = left.select("x", F.explode(F.slice("m", F.col("i") + 2, F.lit(SMALL_KEY))).alias("y")) \
-            .filter("x.component <> y.component").select(F.col("x.class").alias("u"), F.col("y.class").alias("v"))
-        # a large key sends out more stars, one from each of LEADERS bins; then the leaders leave it
-        bins = large.groupBy("key", F.pmod(F.xxhash64("class"), F.lit(LEADERS))).agg(
-            F.min(F.struct("class", "component")).alias("l"))
-        led = materialise(bins.select("key", F.col("l.class").alias("leader"), F.col("l.component").alias("led")), "jaccard-leaders")
-        outer = large.join(led, "key").filter("class <> leader and component <> led") \
-            .select(F.least("leader", "class").alias("u"), F.greatest("leader", "class").alias("v"))
-        more = _verified(inner.unionByName(outer).distinct(), classes, docs, width, threshold)
-        links = materialise(links.unionByName(more).distinct(), "jaccard-links")
-        keys = materialise(large.select("key", "class").join(led.select("key", F.col("leader").alias("class")),
-                                                             ["key", "class"], "left_anti"), "jaccard-keys")
+    # a key's leader is its class with the fewest rare shingles: of near copies the one least edited
+    stars = keys.join(keys.groupBy("key").agg(F.min("y").alias("x")), "key").filter("x <> y")
+    links = _verified(_pairs(stars, threshold), classes, docs, width, threshold)
+    found = components(links, "jaccard-components").toDF("class", "component")
+    marked = keys.select("key", "y", "y.class").join(found, "class", "left") \
+        .select("key", "y", F.coalesce("component", "class").alias("component"))
+    marked = materialise(marked, "jaccard-marked")
+    state = marked.groupBy("key", "component").agg(F.count("*").alias("held")).groupBy("key").agg(
+        F.max(F.struct("held", "component")).alias("most"), F.sum("held").alias("size"), F.count("*").alias("different"))
+    # the leader has met all others, so a key of two classes has nothing left
+    still = materialise(marked.join(state.filter("different > 1 and size > 2")
+                                    .select("key", "size", F.col("most.component").alias("main")), "key"), "jaccard-open")
+    small, large = still.filter(F.col("size") <= SMALL_KEY), still.filter(F.col("size") > SMALL_KEY)
+    members = small.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("y", "component"))).alias("m"))
+    left = members.select("m", F.posexplode("m").alias("i", "first"))
+    inner = left.select("first", F.explode(F.slice("m", F.col("i") + 2, F.lit(SMALL_KEY))).alias("second")) \
+        .filter("first.component <> second.component").select(F.col("first.y").alias("x"), F.col("second.y").alias("y"))
+    more = _verified(_pairs(inner, threshold), classes, docs, width, threshold)
+    # large keys of one main component, which hold the same near copies again and again, are one group
+    groups = materialise(large.select("main", "y.class", "component").distinct(), "jaccard-groups")
+    return materialise(links.unionByName(more).unionByName(_block_links(groups, classes, docs, width, threshold)), "jaccard-links")
 
 
 def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
@@ -288,7 +373,7 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows, shared = describe(docs, width)
     rows = rows.withColumn("class", F.struct("a", "b")).drop("a", "b")
-    classes = materialise(rows.filter("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n")), "jaccard-classes")
+    classes = materialise(rows.filter("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "jaccard-classes")
     keys = shared_keys(docs, frequent_shingles(shared), width, threshold)
     links = linked_classes(docs, classes, keys, width, threshold)
     found = components(links, "jaccard-components").toDF("class", "component")
