@@ -25,7 +25,8 @@ component are compared, in blocks, with all of the group.  No link between diffe
 
 Scale.  Rare keys travel packed, in buckets of key values; keys of combinations, which may be hot,
 are spread without regard to the key and are counted by Spark's aggregates with map-side combine.
-Texts are shuffled only for classes with a candidate pair.
+Texts are never
+shuffled, sets only of classes with a candidate pair.
 
 Defined results: null, empty and word-less texts have empty sets and link with nothing; rows that
 repeat have one class; rows of one id with different texts are separate documents with that id; an
@@ -51,6 +52,7 @@ SMALL_KEY = 48
 BLOCK = 128               # classes that are compared at once
 SLICE = 2000              # documents handled together inside a batch
 CELLS = 256
+BITS = 1 << 26            # of the bitmap that picks texts (8 MB)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
@@ -225,23 +227,39 @@ def shared_keys(docs: DataFrame, frequent: np.ndarray, width: int, threshold: in
 NODE = "struct<a:bigint,b:bigint>"
 
 
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """BITS bits, set where the hash of an id falls: BITS / 8 bytes however many ids there are."""
+    place = F.pmod(F.xxhash64("id"), F.lit(BITS))
+    rows = ids.groupBy(F.shiftright(place, 15).alias("part")).agg(
+        F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767).cast("long"))).alias("bits")).collect()
+    table = np.zeros((BITS >> 15, 4096), dtype=np.uint8)
+    for r in rows:
+        table[r["part"]] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    return table.ravel()
+
+
 def _token_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(class, tokens): the packed sets of the ``wanted`` classes, made again from one text each."""
+    """(class, tokens): the packed sets of the ``wanted`` classes, made again from one text each.
+
+    Texts are not shuffled: a bitmap of the wanted texts' ids picks them where they are read, and the
+    few it picks wrongly fall out in the join.
+    """
     ids = wanted.join(classes, "class").select("class", "id")
-    texts = docs.withColumnRenamed("id", "_id")
-    chosen = ids.join(texts, ids["id"].eqNullSafe(texts["_id"])).select("class", "text")
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))
+    placed = docs.select(F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("place"), "text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, kind = sent.value, pa.struct([("a", pa.int64()), ("b", pa.int64())])
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                sets = [shingle_set(t.as_py(), width) for t in part.column("text")]
-                # an id may have several texts: only the class's own counts
-                own = [set_name(s) == (c["a"], c["b"]) for s, c in zip(sets, part.column("class").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("class"), pa.array(own), pa.array([s.tobytes() for s in sets], pa.binary())],
-                                                 ["class", "own", "tokens"])
-
-    return chosen.mapInArrow(pack, f"class {NODE}, own boolean, tokens binary").filter("own").drop("own")
+            place = batch.column("place").to_numpy()
+            hit = (table[place >> 3] >> (place & 7).astype(np.uint8)) & 1
+            texts = batch.column("text").filter(pa.array(hit.astype(bool)))
+            for at in range(0, len(texts), SLICE):
+                sets = [shingle_set(t.as_py(), width) for t in texts.slice(at, SLICE)]
+                names = [dict(zip(("a", "b"), set_name(s))) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(names, kind), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "tokens"])
+
+    return placed.mapInArrow(pack, f"class {NODE}, tokens binary").join(wanted.select("class"), "class", "left_semi")
 
 
 def _tokens(blob: pa.Scalar) -> np.ndarray:
