@@ -25,7 +25,8 @@ def test_code_repair_is_map_only(spark):
 
 
 def test_extraction_is_map_only(spark):
-    assert "Exchange" not in plan(ex.extract_functions(fx.fx_source_files(spark, SF001)))
+    files = spark.read.parquet(f"{SF001}/documents.parquet").selectExpr("source as path", "text")
+    assert "Exchange" not in plan(ex.extract_functions(files))
 
 
 def test_scan_prunes_columns(spark):
