@@ -17,11 +17,18 @@ on the input).
   entry on o bytes to the left and LENGTH - o to the right.  Right sides are classed by the common
   prefixes of the merged order, left sides by a sort of their own; entries that share both classes
   repeat.  All these strings contain p, so the least and the largest such o give the bytes to remove.
+* Entries whose RIGHT bytes are those of LARGE entries or more (a passage shared by many documents)
+  are not merged.  For each of their offsets the 128-bit digest of offset and LENGTH-byte string
+  goes, packed and once a chunk of a block, to a bucket, and comes back as one bit.
 
 Scale.  What is exchanged is 8 bytes for each distinct anchor key of a block, then the runs of
-repeated places only; a string with any number of copies is one entry a block.  Groups are buckets
-of keys or ranges of suffixes, not copies.  Texts are shuffled twice, by document.  All tables
-between the steps are written, so a lost executor costs its tasks only.
+repeated places only, and in large classes 16 bytes for each distinct string and offset of a chunk.
+An anchor with any number of copies is one entry a block only where its LENGTH bytes and the
+WINDOW - 1 before agree; other surroundings make other entries of the same class.  Groups are
+buckets of keys, or ranges of suffixes cut between classes, so one class that stays in the merge is
+the least range: under LARGE entries counted, and one more a block (a block reports the classes of
+which it has two), of LENGTH + WINDOW - 1 bytes at most.  Texts are shuffled twice, by document.
+The blocks are written, so a lost executor costs its tasks only.
 
 Defined results: null text is empty; texts under LENGTH bytes keep all their bytes; repeated rows
 are documents of their own, so all their bytes go if they are long enough; rows that share an id
@@ -31,6 +38,8 @@ are told apart by their text; an empty table gives an empty result; extra column
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +59,9 @@ RIGHT = LENGTH - WINDOW + 1   # bytes from an anchor on that two occurrences hav
 BLOCK_ROWS, BLOCK_BYTES = 2000, 2 << 20
 SAMPLE = 8                    # suffixes a block offers as splitters
 MAX_SAMPLE = 40_000           # of which the driver sees this many, by hash order
-SPLITTER_BYTES = 48
+LARGE = 4096                  # entries from which on a class of equal RIGHT bytes is not merged
+CHUNK = 4096                  # entries of large classes handled at once
+OFFSETS = [bytes([o]) for o in range(WINDOW)]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,9 +124,9 @@ def _anchor_blocks(docs: DataFrame, buckets: int) -> DataFrame:
     return materialise(docs.mapInArrow(run, schema).withColumn("block", F.monotonically_increasing_id()), "suffix-anchors")
 
 
-def _repeated_keys(t: pa.Table) -> pa.Table:
-    """For a bucket of keys: a bit for each key of each block, set if the key occurs twice or more."""
-    keys = [np.frombuffer(k.as_py(), dtype=np.uint64) for k in t.column("keys")]
+def _repeated_bits(t: pa.Table, kind: str) -> tuple[list[int], list[bytes]]:
+    """For each row of keys how many they are, and a bit for each, set if the key occurs twice or more."""
+    keys = [np.frombuffer(k.as_py(), dtype=kind) for k in t.column("keys")]
     sizes = [len(k) for k in keys]
     twice = np.concatenate([np.unpackbits(np.frombuffer(b.as_py(), dtype=np.uint8), count=n).astype(bool)
                             for b, n in zip(t.column("twice"), sizes)])
@@ -125,7 +136,12 @@ def _repeated_keys(t: pa.Table) -> pa.Table:
     same = ordered[1:] == ordered[:-1]
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
-    bits = [np.packbits(x).tobytes() for x in np.split(twice, np.cumsum(sizes)[:-1])]
+    return sizes, [np.packbits(x).tobytes() for x in np.split(twice, np.cumsum(sizes)[:-1])]
+
+
+def _repeated_keys(t: pa.Table) -> pa.Table:
+    """For a bucket of keys: the bits of each block's keys."""
+    sizes, bits = _repeated_bits(t, "<u8")
     return pa.table({"block": t.column("block"), "first": t.column("first"), "size": pa.array(sizes, pa.int32()),
                      "bits": pa.array(bits, pa.binary())})
 
@@ -161,13 +177,20 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
         .mapInArrow(run, f"id {id_type}, h long, places binary")
 
 
+def _class(suffix: bytes) -> int:
+    """A number for the RIGHT bytes of a suffix."""
+    return int.from_bytes(hashlib.blake2b(suffix[:RIGHT], digest_size=8).digest(), "little", signed=True)
+
+
 def _suffix_blocks(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Written, one row a block of documents with repeated anchors: for each anchor its entry, and the
-    entries as one sorted run (suffix, what stands left of it, whether it occurs twice in the block)."""
+    entries as one sorted run (suffix, what stands left of it, whether it occurs twice in the block); the
+    classes of RIGHT bytes that hold two entries or more."""
     once = found.dropDuplicates(["id", "h"]).toDF("_id", "_h", "places")
     joined = docs.join(once, docs["id"].eqNullSafe(once["_id"]) & (docs["h"] == once["_h"])).select("id", "h", "text", "places")
     id_type = docs.schema["id"].dataType.simpleString()
-    schema = f"rows array<struct<id:{id_type},h:bigint>>, counts binary, places binary, entries binary, run binary, sample array<binary>"
+    schema = (f"rows array<struct<id:{id_type},h:bigint>>, counts binary, places binary, entries binary, run binary, sample array<binary>, "
+              "classes array<struct<class:bigint,n:int>>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _blocks(batches):
@@ -192,9 +215,11 @@ def _suffix_blocks(docs: DataFrame, found: DataFrame) -> DataFrame:
             row = {"rows": [{"id": i, "h": h} for i, h in zip(batch.column("id").to_pylist(), batch.column("h").to_pylist())],
                    "counts": _pack([len(x) for x in own]), "places": _pack([p for x in own for p in x]),
                    "entries": _pack(place[numbers]), "run": pack_run(suffixes, [listed[i][1] for i in order], np.array(more)[order]),
-                   "sample": [suffixes[(2 * i + 1) * len(suffixes) // (2 * SAMPLE)][:SPLITTER_BYTES] for i in range(SAMPLE)]}
+                   "sample": [suffixes[(2 * i + 1) * len(suffixes) // (2 * SAMPLE)][:RIGHT] for i in range(SAMPLE)],
+                   "classes": [{"class": _class(x), "n": n} for x, n in Counter(x[:RIGHT] for x in suffixes).items() if n > 1]}
             types = pa.schema([("rows", pa.list_(pa.struct([("id", batch.column("id").type), ("h", pa.int64())]))),
-                               *[(c, pa.binary()) for c in ("counts", "places", "entries", "run")], ("sample", pa.list_(pa.binary()))])
+                               *[(c, pa.binary()) for c in ("counts", "places", "entries", "run")], ("sample", pa.list_(pa.binary())),
+                               ("classes", pa.list_(pa.struct([("class", pa.int64()), ("n", pa.int32())])))])
             yield pa.RecordBatch.from_pylist([row], schema=types)
 
     return materialise(joined.mapInArrow(run, schema).withColumn("block", F.monotonically_increasing_id()), "suffix-runs")
@@ -207,6 +232,120 @@ def _splitters(blocks: DataFrame, ranges: int) -> list[bytes]:
     return sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if found else []
 
 
+def _large_classes(blocks: DataFrame) -> np.ndarray:
+    """The classes of LARGE entries or more: at most one in LARGE entries, 8 bytes each."""
+    found = blocks.select(F.inline("classes")).groupBy("class").agg(F.sum("n").alias("n")).where(F.col("n") >= LARGE)
+    return np.array([r["class"] for r in found.select("class").collect()], dtype=np.int64)
+
+
+def _in_large(shared: list[int], strings: list[bytes], large: np.ndarray) -> np.ndarray:
+    """Whether each entry of a sorted run is of a large class."""
+    if not len(large):
+        return np.zeros(len(strings), dtype=bool)
+    starts = np.flatnonzero(np.array(shared) < RIGHT)
+    own = np.array([_class(strings[i]) for i in starts.tolist()], dtype=np.int64)
+    return np.repeat(np.isin(own, large), np.diff(starts, append=len(strings)))
+
+
+def _ranged_runs(blocks: DataFrame, splitters: list[bytes], large: np.ndarray) -> DataFrame:
+    """(block, part, first, run): the runs cut at the splitters, without the entries of large classes."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, blob in zip(batch.column("block").to_pylist(), batch.column("run")):
+                shared, strings, lefts, more = unpack_run(blob.as_py())
+                out = _in_large(shared, strings, large)
+                ends = [bisect_left(strings, s) for s in splitters]
+                edges = sorted({0, *ends, *(np.flatnonzero(out[1:] != out[:-1]) + 1).tolist(), len(strings)})
+                found = [(bisect_right(ends, a), a, b) for a, b in zip(edges, edges[1:]) if not out[a]]
+                runs = [pack_run(strings[a:b], lefts[a:b], more[a:b]) for _, a, b in found]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block] * len(found), pa.int64()), pa.array([i for i, _, _ in found], pa.int32()),
+                     pa.array([a for _, a, _ in found], pa.int32()), pa.array(runs, pa.binary())], ["block", "part", "first", "run"])
+
+    return blocks.select("block", "run").mapInArrow(cut, "block long, part int, first int, run binary")
+
+
+def _string_keys(run: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The LENGTH-byte strings around the entries of a run, by offset: each entry's first offset and number
+    of offsets, the distinct keys of the strings, each string's key, and whether a key occurs twice."""
+    _, suffixes, lefts, more = unpack_run(run)
+    first = np.maximum(0, LENGTH - np.array(list(map(len, suffixes)), dtype=np.int64))
+    count = np.maximum(0, np.minimum(WINDOW - 1, np.array(list(map(len, lefts)), dtype=np.int64)) - first + 1)
+    found = []
+    for left, suffix, a, n in zip(lefts, suffixes, first.tolist(), count.tolist()):
+        whole, at = left + suffix, len(left)
+        # with the offset: a string is met from each of its anchors
+        found += [hashlib.blake2b(whole[at - o:at - o + LENGTH] + OFFSETS[o], digest_size=16).digest() for o in range(a, a + n)]
+    keys, ranks = np.unique(np.array(found, dtype="S16"), return_inverse=True)
+    twice = np.bincount(ranks, weights=np.repeat(more, count), minlength=len(keys)) >= 2
+    return first, count, keys, ranks, twice
+
+
+def _repeated_strings(t: pa.Table) -> pa.Table:
+    """For a bucket of keys of strings: the bits of each chunk's keys."""
+    sizes, bits = _repeated_bits(t, "S16")
+    return pa.table({"block": t.column("block"), "chunk": t.column("chunk"), "first": t.column("first"),
+                     "size": pa.array(sizes, pa.int32()), "bits": pa.array(bits, pa.binary())})
+
+
+def _large_offsets(blocks: DataFrame, large: np.ndarray) -> DataFrame:
+    """(block, first, offsets) of the entries of large classes, as ``_merged`` gives them for the others."""
+    buckets = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, blob in zip(batch.column("block").to_pylist(), batch.column("run")):
+                shared, strings, lefts, more = unpack_run(blob.as_py())
+                at = np.flatnonzero(_in_large(shared, strings, large))
+                chunks = [at[a:a + CHUNK] for a in range(0, len(at), CHUNK)]
+                runs = [pack_run([strings[i] for i in x], [lefts[i] for i in x], more[x]) for x in chunks]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block] * len(chunks), pa.int64()), pa.array(range(len(chunks)), pa.int32()),
+                     pa.array([_pack(x) for x in chunks], pa.binary()), pa.array(runs, pa.binary())], ["block", "chunk", "at", "run"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, chunk, run in zip(batch.column("block").to_pylist(), batch.column("chunk").to_pylist(), batch.column("run")):
+                _, _, keys, _, twice = _string_keys(run.as_py())
+                # keys are in order, and so are their buckets
+                bucket = (np.frombuffer(keys.tobytes(), dtype=">u4")[::4].astype(np.int64) * buckets) >> 32
+                cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+                pairs = list(zip(cuts, [*cuts[1:], len(keys)]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block] * len(pairs), pa.int64()), pa.array([chunk] * len(pairs), pa.int32()),
+                     pa.array(bucket[cuts], pa.int32()), pa.array(cuts, pa.int32()),
+                     pa.array([keys[a:b].tobytes() for a, b in pairs], pa.binary()),
+                     pa.array([np.packbits(twice[a:b]).tobytes() for a, b in pairs], pa.binary())],
+                    ["block", "chunk", "bucket", "first", "keys", "twice"])
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                at = _unpack(row["at"])
+                first, count, keys, ranks, _ = _string_keys(row["run"])
+                known = np.zeros(len(keys), dtype=bool)
+                for part in row["bits"]:
+                    known[part["first"]:part["first"] + part["size"]] = np.unpackbits(
+                        np.frombuffer(part["bits"], dtype=np.uint8), count=part["size"])
+                hit = np.flatnonzero(known[ranks])
+                entry = np.repeat(np.arange(len(at)), count)
+                offset = (np.arange(len(entry)) - (np.cumsum(count) - count - first)[entry])[hit]
+                low, high = np.full(len(at), -1, dtype=np.int64), np.full(len(at), -1, dtype=np.int64)
+                high[entry[hit]] = offset  # the last one stays
+                low[entry[hit][::-1]] = offset[::-1]
+                cuts = np.flatnonzero(np.diff(at, prepend=-2) != 1).tolist()
+                blobs = [_squeeze(np.stack([low[a:b], high[a:b]]).astype(np.int8).tobytes()) for a, b in zip(cuts, [*cuts[1:], len(at)])]
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(cuts), pa.int64()), pa.array(at[cuts], pa.int32()),
+                                                  pa.array(blobs, pa.binary())], ["block", "first", "offsets"])
+
+    chunks = blocks.select("block", "run").mapInArrow(pick, "block long, chunk int, at binary, run binary")
+    bits = chunks.mapInArrow(deal, "block long, chunk int, bucket int, first int, keys binary, twice binary") \
+        .groupBy("bucket").applyInArrow(_repeated_strings, "block long, chunk int, first int, size int, bits binary") \
+        .groupBy("block", "chunk").agg(F.collect_list(F.struct("first", "size", "bits")).alias("bits"))
+    return chunks.join(bits, ["block", "chunk"]).mapInArrow(take, "block long, first int, offsets binary")
+
+
 def _offsets(shared: np.ndarray, rights: np.ndarray, lefts: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The least and the largest offset at which each entry's string repeats (-1: none).
 
@@ -283,23 +422,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = _suffix_blocks(docs, repeated_anchors(docs))
     splitters = _splitters(blocks, ranges)  # fewer than ``ranges`` short strings
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from bisect import bisect_left
-
-        for batch in batches:
-            for block, blob in zip(batch.column("block").to_pylist(), batch.column("run")):
-                _, strings, lefts, more = unpack_run(blob.as_py())
-                cuts = [0, *[bisect_left(strings, s) for s in splitters], len(strings)]
-                found = [(i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
-                runs = [pack_run(strings[a:b], lefts[a:b], more[a:b]) for _, a, b in found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * len(found), pa.int64()), pa.array([i for i, _, _ in found], pa.int32()),
-                     pa.array([a for _, a, _ in found], pa.int32()), pa.array(runs, pa.binary())], ["block", "part", "first", "run"])
-
-    runs = blocks.select("block", "run").mapInArrow(cut, "block long, part int, first int, run binary")
-    merged = runs.groupBy("part").applyInArrow(_merged, "block long, first int, offsets binary") \
-        .groupBy("block").agg(F.collect_list(F.struct("first", "offsets")).alias("offsets"))
+    large = _large_classes(blocks)
+    merged = _ranged_runs(blocks, splitters, large).groupBy("part").applyInArrow(_merged, "block long, first int, offsets binary")
+    if len(large):
+        merged = merged.unionByName(_large_offsets(blocks, large))
+    merged = merged.groupBy("block").agg(F.collect_list(F.struct("first", "offsets")).alias("offsets"))
     id_type = docs.schema["id"].dataType.simpleString()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +446,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.field("id"), rows.field("h"), pa.array([_pack(spans[x].ravel()) for x in held], pa.binary())],
                                                  ["id", "h", "spans"])
 
-    return blocks.drop("run", "sample").join(merged, "block").drop("block").mapInArrow(gather, f"id {id_type}, h long, spans binary")
+    return blocks.drop("run", "sample", "classes").join(merged, "block").drop("block").mapInArrow(gather, f"id {id_type}, h long, spans binary")
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

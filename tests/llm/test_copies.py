@@ -223,6 +223,40 @@ def test_removal_equals_brute_force(documents, odd_texts, monkeypatch):
     assert all(sha(bytes(r.kept)) == r.kept_sha256 for r in out)
 
 
+def test_passage_in_many_documents_is_not_one_range(documents, monkeypatch):
+    rnd = random.Random(8)
+    text = lambda n: "".join(rnd.choice("abcdefghij éß") for _ in range(n))
+    short, long, pair = text(180), text(260), text(90)  # no anchor of ``short`` has equal surroundings
+    rows = [(i, text(rnd.randint(0, 150)) + rnd.choice([short, long, long[:215], short + pair + "x" * (i % 3)])
+             + (long if i % 5 == 0 else "") + text(rnd.randint(0, 150))) for i in range(400)]
+    rows += [(1000 + i, long[:120] + text(i % 40) + long[100:] + t) for i, (_, t) in enumerate(rows[:40])] + [(7, rows[7][1])]
+    docs = documents(rows)
+    given = suffix_dedup._documents(docs, "doc_id", "text")
+    blocks = suffix_dedup._suffix_blocks(given, suffix_dedup.repeated_anchors(given))
+    monkeypatch.setattr(suffix_dedup, "LARGE", 20)
+    large = suffix_dedup._large_classes(blocks)
+    splitters = suffix_dedup._splitters(blocks, 50)
+
+    def largest_range(left_out):
+        held = Counter()
+        for r in suffix_dedup._ranged_runs(blocks, splitters, left_out).collect():
+            held[r.part] += len(lcp_merge.unpack_run(bytes(r.run))[1])
+        return max(held.values())
+
+    # a range holds the whole class if the class is merged
+    assert largest_range(large) < 50 and largest_range(large[:0]) >= 200
+    out = suffix_dedup.remove_repeats(docs).collect()
+    assert by_id([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out]) == by_id(plain_removal(rows))
+
+
+@pytest.mark.parametrize("large", [2, 10**9])
+def test_merge_and_keys_of_large_classes_agree(documents, odd_texts, monkeypatch, large):
+    monkeypatch.setattr(suffix_dedup, "LARGE", large)
+    rows = passages(9) + [(1000 + i if i is not None else None, (t or "")[:3000] if t else t) for i, t in odd_texts]
+    out = suffix_dedup.remove_repeats(documents(rows)).collect()
+    assert by_id([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out]) == by_id(plain_removal(rows))
+
+
 def test_removal_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert by_id([tuple(r) for r in queries.op10(spark, SF).collect()]) == by_id(plain_removal(rows))
