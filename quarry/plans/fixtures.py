@@ -188,7 +188,7 @@ fx_results_gaps AS (
 # ------------------------------------------------------------------ sources
 # fx_source_files: Julia files of up to 500 consecutive documents of a source.
 
-DOCS_PER_FILE = 500  # keeps every file below the size limit of A4
+DOCS_PER_FILE = 500  # no bound of the size: a tree holds files beyond the limit of A4 as pages
 
 
 def source_lines(d: F.Column, n_chars: F.Column, text: F.Column) -> list[F.Column]:

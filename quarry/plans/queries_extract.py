@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quarry.operators import extract as ex
 from quarry.plans.fixtures import fx_source_files
 from quarry.functions.text import PY_WHITESPACE
-from quarry.plans.registry import register, sql_chars, written_once
+from quarry.plans.registry import _exists, register, sql_chars, written_once
 
 _WS_SQL = sql_chars(PY_WHITESPACE)
 
@@ -114,12 +114,24 @@ def _tree_and_list(spark, sf_dir):
 
 
 def _write_tree_and_list(spark, sf_dir):
-    """Write the source files as a tree and the repository list as page files."""
+    """Write the source files as a tree and the repository list as page files.
+
+    A4 takes files below its limit only, so longer ones are written below ``pages``, as
+    pages of less than the limit; that folder is named only if there are any.
+    """
     from quarry.session import scratch_path
+    from quarry.sources.readers import FILE_SIZE_LIMIT
     from quarry.sources.writers import write_file_tree
     base = scratch_path(spark, "source-tree").replace("file:", "", 1)
     files = fx_source_files(spark, sf_dir)
-    write_file_tree(files.select("path", F.encode("text", "UTF-8").alias("content")), base + "/tree")
+    size, page, content = F.octet_length("text"), FILE_SIZE_LIMIT - 1, F.col("text").cast("binary")
+    name = lambda i: F.concat(F.lit("pages/"), "path", F.lit("/"), F.lpad(i.cast("string"), 9, "0"), F.lit(".jl"))
+    pages = F.transform(F.sequence(F.lit(0), F.ceil((size - 1) / page).cast("int") - 1),
+                        lambda i: F.struct(name(i).alias("path"), F.substring(content, i * page + 1, F.lit(page)).alias("content")))
+    whole = F.array(F.struct(F.concat(F.lit("tree/"), "path").alias("path"), content.alias("content")))
+    write_file_tree(files.select(F.inline(F.when(size < FILE_SIZE_LIMIT, whole).otherwise(pages))), base)
+    tree = spark._jvm.org.apache.hadoop.fs.Path(base + "/tree")
+    tree.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(tree)  # all files may be long
     listed = (files.select(F.concat(F.lit("repo/"), F.col("repo")).alias("name")).distinct()
               .where(F.substring_index("name", "src", -1).cast("int") % 4 != 3))
     page_no = (F.substring_index("name", "src", -1).cast("long") / 100).cast("long")
@@ -127,7 +139,31 @@ def _write_tree_and_list(spark, sf_dir):
         F.to_json(F.struct(F.collect_list(F.struct("name")).alias("items"))).alias("j"))
     write_file_tree(pages.select(F.concat(F.lit("repos_"), F.col("page").cast("string"), F.lit(".json")).alias("path"),
                                  F.encode("j", "UTF-8").alias("content")), base + "/list")
-    return base + "/tree", base + "/list"
+    return (base + "/tree", base + "/list", *([base + "/pages"] if _exists(spark, base + "/pages") else []))
+
+
+def _joined_pages(spark, root, lst, deny):
+    """``repo_dir, path, text`` of the files written as pages, each of which passes A4."""
+    from quarry.operators.repos import exclude_repos
+    from quarry.sources.readers import corpus_files, decode_text, repo_list
+    pages = corpus_files(spark, root, exclude_repos(repo_list(spark, lst), deny))
+    files = pages.groupBy("repo_dir", F.regexp_replace("path", "/[^/]*$", "").alias("file")).agg(
+        F.sort_array(F.collect_list(F.struct("path", F.col("content").cast("string").alias("content")))).alias("pages"))
+    # bytes are joined before they are decoded: a cut may be inside a character
+    return files.select("repo_dir", F.col("file").alias("path"),
+                        decode_text(F.array_join("pages.content", "").cast("binary")).alias("text"))
+
+
+def _tree_functions(spark, sf_dir):
+    """The functions of the tree's listed repositories, without one deny-listed repository."""
+    from quarry.operators.repos import EXCLUDED_REPOS
+    tree, lst, *pages = _tree_and_list(spark, sf_dir)
+    deny = spark.createDataFrame([(n,) for n in EXCLUDED_REPOS + ["repo/src5"]], "name string")
+    out = ex.extract_corpus_from_tree(spark, tree, lst, deny, keep_comments=False, keep_constraints=False)
+    for root in pages:
+        out = out.unionByName(ex.extract_functions(_joined_pages(spark, root, lst, deny), keep_comments=False,
+                                                   keep_constraints=False))
+    return out
 
 
 @register("b7_extract_corpus_tree", f"""
@@ -137,10 +173,7 @@ FROM ({expected_functions_sql(False, False)})
 WHERE CAST(split_part(repo, 'src', 2) AS INTEGER) % 4 <> 3 AND repo <> 'src5'""")
 def b7_extract_corpus_tree(spark, sf_dir):
     """Repository list pages of at most 100 names; one deny-listed repository."""
-    from quarry.operators.repos import EXCLUDED_REPOS
-    tree, lst = _tree_and_list(spark, sf_dir)
-    deny = spark.createDataFrame([(n,) for n in EXCLUDED_REPOS + ["repo/src5"]], "name string")
-    return ex.extract_corpus_from_tree(spark, tree, lst, deny, keep_comments=False, keep_constraints=False)
+    return _tree_functions(spark, sf_dir)
 
 
 @register("c8_preprocess_extracted_tree", f"""
@@ -157,16 +190,12 @@ def c8_preprocess_extracted_tree(spark, sf_dir):
     """The corpus build in one plan: repo list -> files -> text -> functions -> cleaned
     records (C8 against the benchmark prompts) -> JSON Lines -> read back."""
     from quarry.operators.preprocess import preprocess
-    from quarry.operators.repos import EXCLUDED_REPOS
     from quarry.plans.fixtures import fx_prompts
     from quarry.session import scratch_path
     from quarry.sources.readers import FUNCTION_RECORD
     from quarry.sources.writers import write_function_records
     from pyspark.sql import types as T
-    tree, lst = _tree_and_list(spark, sf_dir)
-    deny = spark.createDataFrame([(n,) for n in EXCLUDED_REPOS + ["repo/src5"]], "name string")
-    functions = ex.extract_corpus_from_tree(spark, tree, lst, deny, keep_comments=False,
-                                            keep_constraints=False)
+    functions = _tree_functions(spark, sf_dir)
     # benchmark functions of the tree's names, so that some of its functions leak
     prompts = fx_prompts(spark, sf_dir).withColumn("prompt", F.replace("prompt", F.lit("function bench_"), F.lit("function fn_")))
     cleaned = preprocess(functions.select("path", "line", *ex.FUNCTION_RECORD), prompts)

@@ -1,8 +1,18 @@
 """Function extraction on hand-written Julia source."""
 
+import os
+import sys
+
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
+import quarry.plans  # noqa: F401  (registers the queries)
 from quarry.operators import extract as ex
+from quarry.plans.registry import ORACLES, QUERIES
+
+sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 SOURCE = '''module M
 
@@ -252,3 +262,22 @@ def test_time_follows_the_lines(spark):
         _timed(spark, run(files(5000)))
         small, large = (min(_timed(spark, run(files(n))) for _ in range(2)) for n in (12_500, 50_000))
         assert large < 8 * small + 1
+
+
+@pytest.mark.parametrize("name", ["b7_extract_corpus_tree", "c8_preprocess_extracted_tree"])
+def test_tree_keeps_files_beyond_the_size_limit(spark, tmp_path, name):
+    """A text of more than 1 MiB, and a source whose texts of one id window add up to more."""
+    from oracle_check import rows_key
+    texts = {i: f"text {i} é日 " * (2000 if i % 3 else 20) for i in range(1, 600)}
+    texts[601] = "long é日 " + "ünï 日本 " * 100_000
+    rows = [(i, t, "en", "src1" if i == 601 else "src0" if i % 3 else f"src{i % 8}", len(t)) for i, t in texts.items()]
+    pq.write_table(pa.table(dict(zip(["doc_id", "text", "lang", "source", "n_chars"], map(list, zip(*rows))))), tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"item_id": [5, 6, 601], "text": ["a", "b", "c"]}), tmp_path / "benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet')")
+    df = QUERIES[name](spark, str(tmp_path))
+    want = con.execute(ORACLES[name])
+    columns = [d[0] for d in want.description]
+    got, want = [tuple(r) for r in df.select(*columns).collect()], want.fetchall()
+    assert len(got) == len(want) and rows_key(got) == rows_key(want)
