@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from quarry.llm import chat, dedup_exact, jaccard, mixing, pii, quality, suffix_dedup, token_counts, tokens, url_rules
+from quarry.llm import (
+    chat, dedup_exact, jaccard, lexical, mixing, pii, prefix_trie, quality, suffix_dedup, token_counts, tokens, toxicity, url_rules)
 from quarry.llm.common import ORACLES, QUERIES, register, table  # noqa: F401
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -168,3 +169,83 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_suffix_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
+#: CRC-32 as a fold over the bits of an id's digits; then the trie with texts as keys.
+OP11_SQL = r"""
+WITH given AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+             sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+         xor(list_reduce(list_prepend(4294967295::UBIGINT, flatten([[ord(c)::UBIGINT, 0, 0, 0, 0, 0, 0, 0] FOR c IN string_split(conv_id::VARCHAR, '')])),
+             lambda a, x: xor(xor(a, x) >> 1, 3988292384::UBIGINT * (xor(a, x) & 1))), 4294967295::UBIGINT) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM given)),
+rebuilt AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY place) AS depth, role, text FROM (
+    SELECT c.conv_id, g.place, g.role, g.text FROM convs c JOIN given g ON g.conv_id = c.base AND g.place <= c.h
+    UNION ALL SELECT c.conv_id, g.place, g.role, g.text FROM convs c JOIN given g ON g.conv_id = c.conv_id AND g.place > c.h)),
+paths AS (
+  SELECT conv_id, depth, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+         list(length(role) || ':' || role || length(text) || ':' || text) OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, []::VARCHAR[] FROM convs),
+sizes AS (SELECT conv_id, max(depth) AS size FROM paths GROUP BY conv_id),
+nodes AS (SELECT path, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM paths GROUP BY path),
+ends AS (
+  SELECT path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256
+  FROM paths JOIN sizes USING (conv_id) WHERE depth = size GROUP BY path),
+children AS (SELECT path[:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+below AS (
+  SELECT a.path, count(*) FILTER (NOT EXISTS (FROM children c WHERE c.path = b.path)) AS n_leaves, sum((b.n_convs - 1) * b.words)::BIGINT AS saved_tokens
+  FROM nodes a JOIN nodes b ON b.path[:a.depth] = a.path AND b.depth >= a.depth GROUP BY a.path)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children,
+       b.n_leaves, b.saved_tokens, coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM nodes n JOIN below b ON b.path = n.path LEFT JOIN children c ON c.path = n.path LEFT JOIN ends e ON e.path = n.path
+LEFT JOIN nodes p ON n.depth > 0 AND p.path = n.path[:n.depth - 1]
+"""
+
+
+@register("op11_prefix_trie", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("a", "b")
+
+
+TOXIC_LIMIT = 0.3
+
+
+@register("op12_toxicity")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = toxicity.held_out(F.col("doc_id"))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held))
+    scored = toxicity.score(docs, model).withColumn("n_passages", F.size("passages").cast("long"))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= TOXIC_LIMIT).cast("int").alias("predicted"), "n_passages")
+
+
+OP13_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS row_no, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+lengths AS (SELECT row_no, any_value(doc_id) AS doc_id, count(*) AS n FROM words GROUP BY row_no),
+corpus AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths),
+tfs AS (SELECT row_no, term, count(*) AS tf FROM words GROUP BY row_no, term),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tfs, corpus GROUP BY term, n_docs),
+scored AS (
+  SELECT q.item_id, t.row_no, l.doc_id,
+         sum(w.w * ((1000000000 * t.tf) // (1000 * t.tf + 8 * (10 + (90 * l.n * c.n_docs) // c.n_terms))))::BIGINT AS score
+  FROM wanted q JOIN tfs t ON t.term = q.term JOIN weights w ON w.term = q.term JOIN lengths l ON l.row_no = t.row_no, corpus c
+  GROUP BY q.item_id, t.row_no, l.doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@register("op13_lexical_search", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
