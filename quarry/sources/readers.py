@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import col_
+from quarry.sources.listing import file_manifest, reachable, read_contents
 
 REPO_LIST = T.StructType([T.StructField("items", T.ArrayType(T.StructType([
     T.StructField("name", T.StringType())])))])
@@ -64,48 +65,31 @@ def _root_uri(root: str) -> str:
     return root if ":" in root.split("/")[0] else "file:" + root
 
 
-BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
-
-
-def _listed_folders(spark: SparkSession, root: str, repos: DataFrame) -> list[str]:
-    """The folders directly below ``root`` that belong to listed repositories.
-
-    The list of repositories is metadata (names, one page file per 100), so
-    it is collected; the file system lists one level.
-    """
-    wanted = {r["d"] for r in repos.select(repo_dir_name("name").alias("d")).distinct().collect()}
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    found = base.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(base)
-    names = [f.getPath().getName() for f in found if f.isDirectory()]
-    return [f"{root.rstrip('/')}/{n}" for n in sorted(names) if n in wanted]
-
-
 def corpus_files(spark: SparkSession, root: str, repos: DataFrame | None = None,
-                 suffix: str = SOURCE_SUFFIX, limit: int = FILE_SIZE_LIMIT,
+                 suffix: str = SOURCE_SUFFIX, limit: int | None = FILE_SIZE_LIMIT,
                  with_content: bool = True) -> DataFrame:
-    """A4: source files below ``root`` by suffix, strictly smaller than ``limit``.
+    """A4: source files below ``root`` by suffix, strictly smaller than ``limit`` (None: any size).
 
     Output: ``repo_dir``, ``path`` (relative to root), ``length`` and
-    ``content`` (bytes).  ``length < limit`` is pushed into the file
-    listing, so large files are never read.  When ``repos`` (column
-    ``name``) is given, only the folders of listed repositories are listed
-    and read.  Like every Spark file source, names starting with ``.`` or
-    ``_`` are skipped.
+    ``content`` (bytes).  Tasks list the folders (``sources/listing.py``); with
+    ``repos`` (column ``name``) only those of listed repositories.  Large files
+    are left out of the manifest, so they are never read.  Like every Spark file
+    source, names starting with ``.`` or ``_`` are skipped.
+
+    A root that tasks cannot open themselves is listed and read by Spark's
+    binary-file source, and the repositories are a semi join.
     """
-    folders = [root] if repos is None else _listed_folders(spark, root, repos)
-    if folders:
-        files = (spark.read.format("binaryFile")
-                 .option("pathGlobFilter", "*" + suffix)
-                 .option("recursiveFileLookup", "true")
-                 .load(folders)
-                 .where(F.col("length") < limit))
-    else:
-        files = spark.createDataFrame([], BINARY_FILE)
+    folders = None if repos is None else repos.select(repo_dir_name("name"))
+    if reachable(root):
+        manifest = file_manifest(spark, root, folders, suffix, limit).drop("modified")
+        return read_contents(manifest, root) if with_content else manifest
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*" + suffix).option("recursiveFileLookup", "true").load(root)
+    if limit is not None:  # pushed into the listing
+        files = files.where(F.col("length") < limit)
     rel = relative_path(F.col("path"), root)
     cols = [F.substring_index(rel, "/", 1).alias("repo_dir"), rel.alias("path"), F.col("length")]
-    if with_content:
-        cols.append(F.col("content"))
-    return files.select(*cols)
+    files = files.select(*cols, *([F.col("content")] if with_content else []))
+    return files if folders is None else files.join(folders.toDF("repo_dir").distinct(), "repo_dir", "left_semi")
 
 
 def decode_text(content) -> Column:
@@ -117,7 +101,7 @@ def decode_text(content) -> Column:
 
 
 def read_source_texts(spark: SparkSession, root: str, repos: DataFrame | None = None,
-                      suffix: str = SOURCE_SUFFIX, limit: int = FILE_SIZE_LIMIT) -> DataFrame:
+                      suffix: str = SOURCE_SUFFIX, limit: int | None = FILE_SIZE_LIMIT) -> DataFrame:
     """A4 + A5: ``repo_dir, path, text`` of every corpus file."""
     files = corpus_files(spark, root, repos, suffix, limit)
     return files.select("repo_dir", "path", decode_text("content").alias("text"))

