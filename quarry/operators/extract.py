@@ -48,6 +48,8 @@ MACRO_PREFIX_RAW = rf"^([\w.]*@[\w.!]+\s+(\w*{QUOTED}\s+)?)*"
 # "@doc "text" function ..." documents the function on its own line
 INLINE_DOC = rf"^@doc\s+(\w*{QUOTED})\s+function\s"
 
+SPLIT_BYTES = 8 << 20     # files from this size on are extracted in chunks, where no limit leaves them out
+
 TRIPLE_QUOTE = '"""'
 CHAR_LITERAL = r"'(?:[^'\\]|\\.)'"
 
@@ -176,10 +178,11 @@ def _line_events(c: Column, line: Column, before: Column, doc: Column) -> Column
     return F.aggregate(c["tokens"], start, step, lambda acc: acc["events"])
 
 
-def find_functions(cls: Column) -> Column:
+def find_functions(cls: Column, stack: Column | None = None) -> Column:
     """B1 + B2 + B3: ``array<struct<hdr,end,level,doc,header,body_start>>`` for one file.
 
-    ``cls`` is ``classify_lines(lines)``.  ``hdr``/``end``/``body_start``
+    ``cls`` is ``classify_lines(lines)``; ``stack`` holds what is open before the first
+    line (nothing, unless the lines are a part of a file).  ``hdr``/``end``/``body_start``
     are 1-based line numbers; ``level`` is the number of blocks open
     around the header.  The walk emits an event where a function opens and
     one where it closes; in the order of (level, place) each opening is
@@ -188,7 +191,7 @@ def find_functions(cls: Column) -> Column:
     nothing = F.array().cast(f"array<{_OPENED}>")
     no_event = F.lit(None).cast(_OPENED)
     init = F.struct(
-        F.lit(0).alias("i"), F.lit("").alias("stack"),
+        F.lit(0).alias("i"), (F.lit("") if stack is None else stack).alias("stack"),
         F.lit(False).alias("in_str"), F.lit(False).alias("in_cmt"),
         F.lit(0).alias("str_start"), F.lit("").alias("str_kind"),
         F.lit("none").alias("prev_kind"), F.lit("").alias("prev_text"),
@@ -307,9 +310,18 @@ def extract_functions(files: DataFrame, text_col: str = "text",
     ``has_internal_comments``, ``has_constraints``.
     """
     keys = [c for c in files.columns if c != text_col]
-    per_file = files.select(*keys, classify_lines(split_newlines(F.col(text_col))).alias("_cls"))
-    with_fns = per_file.select(*keys, F.transform(find_functions(F.col("_cls")), lambda f: F.struct(
-        f["hdr"].alias("line"), f["end"].alias("end_line"), f["level"].alias("level"),
+    return functions_of_lines(files.select(*keys, split_newlines(F.col(text_col)).alias("_lines")), keys, keep_comments, keep_constraints)
+
+
+def functions_of_lines(parts: DataFrame, keys: list[str], keep_comments: bool, keep_constraints: bool,
+                       stack: Column | None = None, before: Column | None = None) -> DataFrame:
+    """:func:`extract_functions` of ``parts`` with ``keys`` and the array ``_lines``: whole files, or
+    parts of files with the ``stack`` of what is open and the number of lines ``before`` them."""
+    more = {} if stack is None else {"_stack": stack, "_before": before.cast("int")}
+    per_file = parts.select(*keys, classify_lines(F.col("_lines")).alias("_cls"), *[c.alias(n) for n, c in more.items()])
+    shift = (lambda n: n) if stack is None else (lambda n: n + F.col("_before"))
+    with_fns = per_file.select(*keys, F.transform(find_functions(F.col("_cls"), F.col("_stack") if more else None), lambda f: F.struct(
+        shift(f["hdr"]).alias("line"), shift(f["end"]).alias("end_line"), f["level"].alias("level"),
         f["doc"].alias("doc_string"), f["header"].alias("function_header"),
         body_parts(F.slice(F.col("_cls"), f["body_start"],
                            F.greatest(f["end"] - f["body_start"], F.lit(0))),
@@ -335,15 +347,21 @@ def extract_corpus(files: DataFrame, keep_comments: bool = True, keep_constraint
 
 def extract_corpus_from_tree(spark, root: str, repo_list_path: str, deny: DataFrame | None = None,
                              keep_comments: bool = True, keep_constraints: bool = True,
-                             suffix: str = ".jl", limit: int = 1024 * 1024) -> DataFrame:
+                             suffix: str = ".jl", limit: int | None = 1024 * 1024) -> DataFrame:
     """B7 end to end: A1 repo list -> A3 exclusion -> A4 files -> A5 text -> B1-B6.
 
-    One plan over all repositories: the listing is filtered by size at the
-    file index, repositories are a semi join, and extraction is map-only.
+    Tasks list the folders of the repositories and read the files below ``limit``; extraction is
+    map-only.  Without a limit, files from SPLIT_BYTES on are extracted in chunks by many tasks.
     """
     from quarry.operators.repos import exclude_repos
-    from quarry.sources.readers import read_source_texts, repo_list
+    from quarry.sources.readers import read_source_texts, repo_dir_name, repo_list
 
     repos = exclude_repos(repo_list(spark, repo_list_path), deny)
-    texts = read_source_texts(spark, root, repos, suffix=suffix, limit=limit)
-    return extract_functions(texts, "text", keep_comments, keep_constraints)
+    texts = read_source_texts(spark, root, repos, suffix=suffix, limit=SPLIT_BYTES if limit is None else limit)
+    functions = extract_functions(texts, "text", keep_comments, keep_constraints)
+    if limit is not None:
+        return functions
+    from quarry.operators.extract_split import extract_large_files
+    from quarry.sources.listing import file_manifest
+    large = file_manifest(spark, root, repos.select(repo_dir_name("name")), suffix).filter(F.col("length") >= SPLIT_BYTES)
+    return functions.unionByName(extract_large_files(spark, root, large, keep_comments, keep_constraints))

@@ -8,7 +8,7 @@ per-row transform of it), so its size grows with the table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.plans.registry import load
@@ -186,29 +186,37 @@ fx_results_gaps AS (
 
 
 # ------------------------------------------------------------------ sources
-# fx_source_files: Julia files of up to 500 consecutive documents of a source.
+# fx_source_files: Julia files of consecutive documents of a source, whole texts inside.  Documents
+# of GROUP_DOCS ids are dealt into files by their bytes, so that every file is below the limit of A4
+# (1 MiB): a file ends behind the piece that reaches FILE_BYTES, and a piece of PIECE_CHARS
+# characters has less than 480,000 bytes even if each is a line of its own.
 
-DOCS_PER_FILE = 500  # no bound of the size: a tree holds files beyond the limit of A4 as pages
+GROUP_DOCS = 500
+FILE_BYTES = 400_000
+PIECE_CHARS = 60_000
 
 
-def source_lines(d: F.Column, n_chars: F.Column, text: F.Column) -> list[F.Column]:
-    """The lines a document adds to its file (null = line absent)."""
+def source_lines(d: F.Column, piece: F.Column, n_chars: F.Column, text: F.Column) -> list[F.Column]:
+    """The lines a piece of a document adds to its file (null = absent): one function, with the whole
+    text as a string literal (odd ids) or as comment lines (even ids)."""
     as_string = F.translate(text, "\n\"\\", " '/")
+    as_comments = F.concat(F.lit("    # "), F.replace(F.translate(text, '"', "'"), F.lit("\n"), F.lit("\n    # ")))
     inner, mapped, returned = d % 6 == 0, d % 4 == 1, d % 4 == 2
+    name = F.concat(d.cast("string"), F.when(piece > 0, F.concat(F.lit("_"), piece.cast("string"))).otherwise(F.lit("")))
     return [
         (F.when(d % 4 == 0, F.concat(F.lit("# about "), d.cast("string")))
          .when(d % 4 == 1, F.concat(F.lit('"doc '), d.cast("string"), F.lit('"')))
          .when(d % 4 == 2, F.concat(F.lit("@doc "), d.cast("string")))),
-        F.concat(F.lit("function fn_"), d.cast("string"),
+        F.concat(F.lit("function fn_"), name,
                  F.when(d % 2 == 0, F.lit(" (x, y)")).otherwise(F.lit("(x, y)"))),
         F.when(d % 3 == 0, F.lit("    # note")),
         F.when(d % 5 == 0, F.lit("    @constraint(m, x)")),
         F.when(d % 2 == 1, F.concat(F.lit('    s = "'), as_string, F.lit('"'))),
-        F.when(d % 7 == 0, F.concat(F.lit("    # "), F.split(text, "\n", -1)[0])),
+        F.when(d % 2 == 0, as_comments),
         F.lit("    if x"),
         F.concat(F.lit("        y = "), n_chars.cast("string")),
         F.lit("    end"),
-        F.when(inner, F.concat(F.lit("    function inner_"), d.cast("string"), F.lit("(z)"))),
+        F.when(inner, F.concat(F.lit("    function inner_"), name, F.lit("(z)"))),
         F.when(inner, F.lit("    end")),
         F.when(mapped, F.lit("    g = map(function (z)")),
         F.when(mapped, F.lit("        z + 1")),
@@ -222,12 +230,19 @@ def source_lines(d: F.Column, n_chars: F.Column, text: F.Column) -> list[F.Colum
 
 def fx_source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    d = F.col("doc_id")
-    lines = F.array_join(F.array(*source_lines(d, F.col("n_chars"), F.col("text"))), "\n")
-    part = (d / DOCS_PER_FILE).cast("long")
-    files = docs.groupBy("source", part.alias("part")).agg(
-        F.sort_array(F.collect_list(F.struct("doc_id", lines.alias("lines")))).alias("docs"))
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("text") / PIECE_CHARS).cast("int") - 1, F.lit(0)))
+    pieces = docs.select("doc_id", "source", "n_chars", "text", F.explode(starts).alias("piece"))
+    text = F.substring(F.col("text"), F.col("piece") * PIECE_CHARS + 1, F.lit(PIECE_CHARS))
+    lines = F.array_join(F.array(*source_lines(F.col("doc_id"), F.col("piece"), F.col("n_chars"), text)), "\n")
+    group = (F.col("doc_id") / GROUP_DOCS).cast("long")
+    weight = F.octet_length(text) + 7 * (F.regexp_count(text, F.lit("\n")) + 1)
+    before = Window.partitionBy("source", "part").orderBy("doc_id", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = pieces.select("source", "doc_id", "piece", group.alias("part"), weight.cast("long").alias("weight"), lines.alias("lines")) \
+        .withColumn("file", F.floor(F.coalesce(F.sum("weight").over(before), F.lit(0)) / FILE_BYTES))
+    files = dealt.groupBy("source", "part", "file").agg(
+        F.sort_array(F.collect_list(F.struct("doc_id", "piece", "lines"))).alias("docs"))
     return files.select(
         F.col("source").alias("repo"),
-        F.concat(F.lit("repo_"), F.col("source"), F.lit("/part_"), F.col("part").cast("string"), F.lit(".jl")).alias("path"),
+        F.concat(F.lit("repo_"), F.col("source"), F.lit("/part_"), F.col("part").cast("string"), F.lit("_"),
+                 F.col("file").cast("string"), F.lit(".jl")).alias("path"),
         F.array_join(F.col("docs.lines"), "\n").alias("text"))

@@ -1,7 +1,7 @@
 """Registered queries: function extraction.
 
 The source files are derived from ``documents`` (one directory per source,
-up to 500 documents a file, whole texts inside as string literals).  The
+whole texts inside as string literals or comment lines).  The
 expected functions follow from the ids, so the oracle computes them
 directly, without reading any code.
 """
@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import extract as ex
-from quarry.plans.fixtures import fx_source_files
+from quarry.plans.fixtures import FILE_BYTES, GROUP_DOCS, PIECE_CHARS, fx_source_files
 from quarry.functions.text import PY_WHITESPACE
-from quarry.plans.registry import _exists, register, sql_chars, written_once
+from quarry.plans.registry import register, sql_chars, written_once
 
 _WS_SQL = sql_chars(PY_WHITESPACE)
 
@@ -26,10 +26,10 @@ def _body_sql(keep_comments: bool, keep_constraints: bool) -> str:
         items.append("CASE WHEN doc_id % 5 = 0 THEN '    @constraint(m, x)' END")
     items.append("CASE WHEN doc_id % 2 = 1 THEN '    s = \"' || translate(text, chr(10) || '\"' || chr(92), ' ''/') || '\"' END")
     if keep_comments:
-        items.append("CASE WHEN doc_id % 7 = 0 THEN '    # ' || string_split(text, chr(10))[1] END")
+        items.append("CASE WHEN doc_id % 2 = 0 THEN '    # ' || replace(translate(text, '\"', ''''), chr(10), chr(10) || '    # ') END")
     items += ["'    if x'", "'        y = ' || CAST(n_chars AS VARCHAR)", "'    end'"]
     items += [f"CASE WHEN doc_id % 6 = 0 THEN {x} END" for x in
-              ("'    function inner_' || CAST(doc_id AS VARCHAR) || '(z)'", "'    end'")]
+              ("'    function inner_' || name || '(z)'", "'    end'")]
     items += [f"CASE WHEN doc_id % 4 = 1 THEN '{x}' END" for x in ("    g = map(function (z)", "        z + 1", "    end, xs)")]
     items += [f"CASE WHEN doc_id % 4 = 2 THEN '{x}' END" for x in ("    return function (w)", "        w[end]", "    end")]
     return ("array_to_string(list_filter([" + ", ".join(items) + "], lambda x: x IS NOT NULL), chr(10))")
@@ -41,27 +41,34 @@ def expected_functions_sql(keep_comments: bool = True, keep_constraints: bool =
        false AS has_internal_comments, false AS has_constraints
 FROM base WHERE {when}"""
     return f"""
-WITH sizes AS (
-  SELECT doc_id, source, n_chars, text, doc_id // 500 AS part,
-         CASE WHEN doc_id % 4 = 3 THEN 0 ELSE 1 END AS doc_line,
-         (doc_id % 3 = 0)::INT + (doc_id % 5 = 0)::INT + (doc_id % 2)::INT + (doc_id % 7 = 0)::INT + 3 AS plain,
-         2 * (doc_id % 6 = 0)::INT AS inner_lines, 3 * (doc_id % 4 = 1)::INT AS mapped_lines, 3 * (doc_id % 4 = 2)::INT AS returned_lines
-  FROM documents),
+WITH pieces AS (
+  SELECT doc_id, source, n_chars, piece, substr(text, CAST(piece * {PIECE_CHARS} + 1 AS BIGINT), {PIECE_CHARS}) AS text, doc_id // {GROUP_DOCS} AS part,
+         CAST(doc_id AS VARCHAR) || CASE WHEN piece > 0 THEN '_' || CAST(piece AS VARCHAR) ELSE '' END AS name
+  FROM (SELECT *, unnest(range(CAST(greatest(ceil(length(text) / {PIECE_CHARS}), 1) AS BIGINT))) AS piece FROM documents)),
+counted AS (
+  SELECT *, length(text) - length(replace(text, chr(10), '')) + 1 AS text_lines,
+         CASE WHEN doc_id % 4 = 3 THEN 0 ELSE 1 END AS doc_line FROM pieces),
+sizes AS (
+  SELECT *, (doc_id % 3 = 0)::INT + (doc_id % 5 = 0)::INT + CASE WHEN doc_id % 2 = 0 THEN text_lines ELSE 1 END + 3 AS plain,
+         2 * (doc_id % 6 = 0)::INT AS inner_lines, 3 * (doc_id % 4 = 1)::INT AS mapped_lines, 3 * (doc_id % 4 = 2)::INT AS returned_lines,
+         CAST(coalesce(sum(strlen(text) + 7 * text_lines) OVER (
+           PARTITION BY source, part ORDER BY doc_id, piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // {FILE_BYTES} AS file
+  FROM counted),
 base AS (
-  SELECT *, 'repo_' || source || '/part_' || CAST(part AS VARCHAR) || '.jl' AS path,
+  SELECT *, 'repo_' || source || '/part_' || CAST(part AS VARCHAR) || '_' || CAST(file AS VARCHAR) || '.jl' AS path,
          plain + inner_lines + mapped_lines + returned_lines AS n_body,
          coalesce(sum(doc_line + 2 + plain + inner_lines + mapped_lines + returned_lines) OVER (
-           PARTITION BY source, part ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + doc_line + 1 AS hdr
+           PARTITION BY source, part, file ORDER BY doc_id, piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + doc_line + 1 AS hdr
   FROM sizes)
 SELECT source AS repo, path, CAST(hdr AS INTEGER) AS line, CAST(hdr + n_body + 1 AS INTEGER) AS end_line, 0 AS level,
        CASE doc_id % 4 WHEN 0 THEN '# about ' || CAST(doc_id AS VARCHAR)
                        WHEN 1 THEN '"doc ' || CAST(doc_id AS VARCHAR) || '"'
                        WHEN 2 THEN '@doc ' || CAST(doc_id AS VARCHAR) ELSE '' END AS doc_string,
-       'function fn_' || CAST(doc_id AS VARCHAR) || '(x, y)' AS function_header,
+       'function fn_' || name || '(x, y)' AS function_header,
        {_body_sql(keep_comments, keep_constraints)} AS function_body,
-       doc_id % 3 = 0 OR doc_id % 7 = 0 AS has_internal_comments, doc_id % 5 = 0 AS has_constraints
+       doc_id % 3 = 0 OR doc_id % 2 = 0 AS has_internal_comments, doc_id % 5 = 0 AS has_constraints
 FROM base
-UNION ALL {inner.format(line="hdr + plain + 1", more=1, header="'function inner_' || CAST(doc_id AS VARCHAR) || '(z)'", body="", when="inner_lines > 0")}
+UNION ALL {inner.format(line="hdr + plain + 1", more=1, header="'function inner_' || name || '(z)'", body="", when="inner_lines > 0")}
 UNION ALL {inner.format(line="hdr + plain + inner_lines + 1", more=2, header="'function (z)'", body="        z + 1", when="mapped_lines > 0")}
 UNION ALL {inner.format(line="hdr + plain + inner_lines + mapped_lines + 1", more=2, header="'function (w)'", body="        w[end]", when="returned_lines > 0")}"""
 
@@ -114,24 +121,12 @@ def _tree_and_list(spark, sf_dir):
 
 
 def _write_tree_and_list(spark, sf_dir):
-    """Write the source files as a tree and the repository list as page files.
-
-    A4 takes files below its limit only, so longer ones are written below ``pages``, as
-    pages of less than the limit; that folder is named only if there are any.
-    """
+    """Write the source files as a tree and the repository list as page files."""
     from quarry.session import scratch_path
-    from quarry.sources.readers import FILE_SIZE_LIMIT
     from quarry.sources.writers import write_file_tree
     base = scratch_path(spark, "source-tree").replace("file:", "", 1)
     files = fx_source_files(spark, sf_dir)
-    size, page, content = F.octet_length("text"), FILE_SIZE_LIMIT - 1, F.col("text").cast("binary")
-    name = lambda i: F.concat(F.lit("pages/"), "path", F.lit("/"), F.lpad(i.cast("string"), 9, "0"), F.lit(".jl"))
-    pages = F.transform(F.sequence(F.lit(0), F.ceil((size - 1) / page).cast("int") - 1),
-                        lambda i: F.struct(name(i).alias("path"), F.substring(content, i * page + 1, F.lit(page)).alias("content")))
-    whole = F.array(F.struct(F.concat(F.lit("tree/"), "path").alias("path"), content.alias("content")))
-    write_file_tree(files.select(F.inline(F.when(size < FILE_SIZE_LIMIT, whole).otherwise(pages))), base)
-    tree = spark._jvm.org.apache.hadoop.fs.Path(base + "/tree")
-    tree.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(tree)  # all files may be long
+    write_file_tree(files.select("path", F.col("text").cast("binary").alias("content")), base + "/tree")
     listed = (files.select(F.concat(F.lit("repo/"), F.col("repo")).alias("name")).distinct()
               .where(F.substring_index("name", "src", -1).cast("int") % 4 != 3))
     page_no = (F.substring_index("name", "src", -1).cast("long") / 100).cast("long")
@@ -139,31 +134,27 @@ def _write_tree_and_list(spark, sf_dir):
         F.to_json(F.struct(F.collect_list(F.struct("name")).alias("items"))).alias("j"))
     write_file_tree(pages.select(F.concat(F.lit("repos_"), F.col("page").cast("string"), F.lit(".json")).alias("path"),
                                  F.encode("j", "UTF-8").alias("content")), base + "/list")
-    return (base + "/tree", base + "/list", *([base + "/pages"] if _exists(spark, base + "/pages") else []))
+    return base + "/tree", base + "/list"
 
 
-def _joined_pages(spark, root, lst, deny):
-    """``repo_dir, path, text`` of the files written as pages, each of which passes A4."""
-    from quarry.operators.repos import exclude_repos
-    from quarry.sources.readers import corpus_files, decode_text, repo_list
-    pages = corpus_files(spark, root, exclude_repos(repo_list(spark, lst), deny))
-    files = pages.groupBy("repo_dir", F.regexp_replace("path", "/[^/]*$", "").alias("file")).agg(
-        F.sort_array(F.collect_list(F.struct("path", F.col("content").cast("string").alias("content")))).alias("pages"))
-    # bytes are joined before they are decoded: a cut may be inside a character
-    return files.select("repo_dir", F.col("file").alias("path"),
-                        decode_text(F.array_join("pages.content", "").cast("binary")).alias("text"))
+@register("b1_extract_split_files", f"""
+SELECT 'repo_' || repo AS repo_dir, path, line, end_line, level, doc_string, function_header, function_body,
+       has_internal_comments, has_constraints
+FROM ({expected_functions_sql()})""")
+def b1_extract_split_files(spark, sf_dir):
+    """The files of the tree, each in chunks of 64 KiB that are extracted apart."""
+    from quarry.operators.extract_split import extract_large_files
+    from quarry.sources.listing import file_manifest
+    tree = _tree_and_list(spark, sf_dir)[0]
+    return extract_large_files(spark, tree, file_manifest(spark, tree), chunk_bytes=1 << 16)
 
 
 def _tree_functions(spark, sf_dir):
     """The functions of the tree's listed repositories, without one deny-listed repository."""
     from quarry.operators.repos import EXCLUDED_REPOS
-    tree, lst, *pages = _tree_and_list(spark, sf_dir)
+    tree, lst = _tree_and_list(spark, sf_dir)
     deny = spark.createDataFrame([(n,) for n in EXCLUDED_REPOS + ["repo/src5"]], "name string")
-    out = ex.extract_corpus_from_tree(spark, tree, lst, deny, keep_comments=False, keep_constraints=False)
-    for root in pages:
-        out = out.unionByName(ex.extract_functions(_joined_pages(spark, root, lst, deny), keep_comments=False,
-                                                   keep_constraints=False))
-    return out
+    return ex.extract_corpus_from_tree(spark, tree, lst, deny, keep_comments=False, keep_constraints=False)
 
 
 @register("b7_extract_corpus_tree", f"""
