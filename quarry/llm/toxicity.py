@@ -65,7 +65,7 @@ def token_scores(counts: np.ndarray, texts: np.ndarray) -> tuple[list[np.ndarray
     """What scores need of ``counts`` (level, label, bucket) over ``texts`` (label): both counts of every level, and
     the share of toxic texts."""
     share = float((texts[1] + 0.5) / (texts.sum() + 1.0))
-    return [counts[level].astype(np.float64) for level in range(LEVELS)], share
+    return [counts[level] for level in range(LEVELS)], share
 
 
 def scores(tables: tuple[list[np.ndarray], float], at: list[np.ndarray]) -> np.ndarray:
@@ -73,7 +73,7 @@ def scores(tables: tuple[list[np.ndarray], float], at: list[np.ndarray]) -> np.n
     levels, share = tables
     expected = np.full(len(at[0]), share)
     for (clean, toxic), bucket in zip(levels, at):
-        seen = toxic[bucket]
+        seen = toxic[bucket].astype(np.float64)
         expected = (seen + PRIOR * expected) / (seen + clean[bucket] + PRIOR)
     return np.log(expected / (1 - expected)) - np.log(share / (1 - share)) - DRIFT
 
@@ -131,12 +131,13 @@ def _texts(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
             yield part, row, np.searchsorted(row, np.arange(part.num_rows + 1)), buckets(terms)
 
 
-def _count(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts (part, level, label, bucket) and texts (part, label) of ``docs`` (text, label, part)."""
+def _count(docs: DataFrame, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Counts (part, level, label, bucket) and texts (part, label) of ``docs`` (text, label, part); ``kind`` holds
+    their number."""
     cells = PARTS * LEVELS * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, texts = np.zeros((cells, BUCKETS), np.int32), np.zeros(PARTS * 2, np.int64)
+        counts, texts = np.zeros((cells, BUCKETS), kind), np.zeros(PARTS * 2, kind)
         for part, row, _, at in _texts(batches):
             label, fold = (part.column(c).to_numpy() for c in ("label", "part"))
             np.add.at(texts, fold * 2 + label, 1)
@@ -150,19 +151,19 @@ def _count(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         chunks = counts.reshape(-1, CHUNK)
         held = np.flatnonzero(chunks.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(number[held], -1)),
-                                          pa.array([chunks[i].tobytes() for i in held] + [texts.astype(np.int32).tobytes()], pa.binary())], ["chunk", "counts"])
+                                          pa.array([chunks[i].tobytes() for i in held] + [texts.tobytes()], pa.binary())], ["chunk", "counts"])
 
     def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c.as_buffer(), dtype=np.int32).astype(np.int64) for c in t.column("counts"))
-        return pa.table({"chunk": t.column("chunk").slice(0, 1), "counts": pa.array([total.astype(np.int32).tobytes()], pa.binary())})
+        total = sum(np.frombuffer(c.as_buffer(), dtype=kind) for c in t.column("counts"))
+        return pa.table({"chunk": t.column("chunk").slice(0, 1), "counts": pa.array([total.astype(kind).tobytes()], pa.binary())})
 
     rows = docs.mapInArrow(run, "chunk long, counts binary").groupBy("chunk").applyInArrow(add, "chunk long, counts binary").collect()
-    counts, texts = np.zeros((cells * BUCKETS // CHUNK, CHUNK), np.int32), np.zeros(PARTS * 2, np.int64)
+    counts, texts = np.zeros((cells * BUCKETS // CHUNK, CHUNK), kind), np.zeros(PARTS * 2, np.int64)
     for r in rows:  # one row a chunk of a table of fixed size
         if r["chunk"] < 0:
-            texts = np.frombuffer(bytes(r["counts"]), np.int32).astype(np.int64)
+            texts = np.frombuffer(r["counts"], kind).astype(np.int64)
         else:
-            counts[r["chunk"]] = np.frombuffer(bytes(r["counts"]), np.int32)
+            counts[r["chunk"]] = np.frombuffer(r["counts"], kind)
     return counts.reshape(PARTS, LEVELS, 2, BUCKETS), texts.reshape(PARTS, 2)
 
 
@@ -226,10 +227,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     # at most max_labelled rows of two or three numbers: a proven bound for both broadcasts
     same = F.xxhash64("text")
     once = texts.join(F.broadcast(chosen), "_id").groupBy(same.alias("same"), "label").agg(F.min("_id").alias("_id")) \
-        .select("_id", "same", "label", F.pmod(F.xxhash64(F.lit("part"), "same"), F.lit(PARTS)).cast("int").alias("part"))
+        .select("_id", "same", "label", F.pmod(F.xxhash64(F.lit("part"), "same"), F.lit(PARTS)).cast("int").alias("part")) \
+        .orderBy("same", "label").limit(max_labelled)  # ids with many texts
     known = texts.join(F.broadcast(once), (texts["_id"] == once["_id"]) & (same == once["same"])).select("text", "label", "part")
-    counts, number = _count(known)
-    model = Model(counts.sum(axis=0, dtype=np.int32), number.sum(axis=0))
+    kind = np.min_scalar_type(max_labelled)  # two bytes up to 65,535 texts
+    counts, number = _count(known, kind)
+    model = Model(counts.sum(axis=0, dtype=kind), number.sum(axis=0))
     if not model.texts.all():
         return model
     sent = docs.sparkSession.sparkContext.broadcast((counts, number))  # a table of fixed size
@@ -239,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         tables = None
         for part, _, first, at in _texts(batches):
             if tables is None:
-                tables = [token_scores(counts.sum(axis=0) - counts[p], number.sum(axis=0) - number[p]) for p in range(PARTS)]
+                tables = [token_scores(counts.sum(axis=0, dtype=counts.dtype) - counts[p], number.sum(axis=0) - number[p]) for p in range(PARTS)]
             found = []
             fold = part.column("part").to_pylist()
             for i, p in enumerate(fold):
