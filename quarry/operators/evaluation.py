@@ -1,29 +1,35 @@
 """Evaluation: result extraction, pass rates, paired tests, effect sizes.
 
 The results table is ``(model, problem, passed)`` (plus ``sample`` for
-pass@k).  Model-pair statistics are computed without a self join: one
-aggregation keyed by problem pivots the models into columns, then one
-global aggregation counts the four outcome cells of every pair with
-conditional counts.  Both aggregations combine map-side, so a problem
-or model holding a large share of rows does not load one task.
+pass@k).  Model-pair statistics count bits: problems are numbered, a
+model's outcomes on 32,768 of them are two bitmaps, and the cells of a
+pair are popcounts of bitmaps ANDed.  Models meet in blocks, a block pair
+a matrix of counts, so any number of models is one job; no results table
+is joined with itself and there is no column per model.  A problem or model
+that holds a large share of the rows is aggregated map-side before it moves.
 """
 
 from __future__ import annotations
 
 import warnings
-from itertools import combinations
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.stats import mcnemar_exact, odds_ratio, pass_at_k
 from quarry.functions.text import col_
 from quarry.operators.ordering import with_global_index
-from quarry.session import checkpoint_dir
+from quarry.session import checkpoint_dir, ship_package
 
 OK_STATUS = "OK"
-# Pairs per aggregation pass; more pairs are counted in further passes.
-PAIRS_PER_PASS = 400
+# Problems in one bitmap (what bitmap_construct_agg numbers), and models in one block.
+BITS = 32_768
+BITMAP_WORDS = 512
+MODEL_BLOCK = 64
 
 
 class IncomparableResults(ValueError):
@@ -183,89 +189,177 @@ def result_faults(results: DataFrame, models: list[str]) -> DataFrame:
     """
     spark = results.sparkSession
     own = results.where(F.col("model").isin(models))
-    counts = own.groupBy("problem").agg(*[F.count_if(F.col("model") == m).alias(f"_n{i}") for i, m in enumerate(models)])
-    per = counts.select("problem", F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"_n{i}").alias("times"))
-                                                      for i, m in enumerate(models)])))
-    wanted = spark.createDataFrame([(m,) for m in models], "model string")
-    absent = wanted.join(own.select("model").distinct(), "model", "left_anti")
-    fault = F.when(F.col("times") == 0, F.lit("gap")).otherwise(F.lit("duplicate"))
-    unequal = per.where("times <> 1").join(absent, "model", "left_anti").select("model", fault.alias("fault"), "problem", "times")
-    return absent.select("model", F.lit("absent").alias("fault"), F.lit(None).cast(results.schema["problem"].dataType).alias("problem"),
-                         F.lit(0).cast("long").alias("times")).unionByName(unequal)
-
-
-def absent_models(results: DataFrame, models: list[str]) -> list[str]:
-    """Those of ``models`` without any result, in their order."""
-    present = {r["model"] for r in results.where(F.col("model").isin(models)).select("model").distinct().collect()}
-    return [m for m in models if m not in present]
-
-
-def check_comparable(results: DataFrame, models: list[str]) -> None:
-    """Raise :class:`IncomparableResults` unless every model has one result for the same problems."""
-    faults = result_faults(results, models)
-    found = faults.groupBy("model", "fault").agg(F.count(F.lit(1)).alias("n")).orderBy("model", "fault").collect()
-    if found:
-        said = ", ".join(f"{r['model']}: " + ("absent" if r["fault"] == "absent" else f"{r['n']} {r['fault']}s") for r in found)
-        raise IncomparableResults(f"the results cannot be compared ({said})", faults)
-
-
-def _models_wide(results: DataFrame, models: list[str]) -> DataFrame:
-    """One row per problem, one outcome column per model (null when absent)."""
-    cols = [F.max(F.when(F.col("model") == m, F.col("passed").cast("int"))).alias(f"_m{i}")
-            for i, m in enumerate(models)]
-    return results.where(F.col("model").isin(models)).groupBy("problem").agg(*cols)
+    counts = own.groupBy("problem", "model").agg(F.count("*").alias("times"))
+    named = spark.createDataFrame([(m,) for m in models], "model string")
+    absent = named.join(own.select("model").distinct(), "model", "left_anti")
+    present = F.array(*[F.lit(m) for m in models])
+    gaps = counts.groupBy("problem").agg(F.collect_set("model").alias("held")) \
+        .select(F.explode(F.array_except(present, "held")).alias("model"), "problem")  # at most a row a model
+    rows = [absent.select("model", F.lit("absent").alias("fault"), F.lit(None).cast(results.schema["problem"].dataType).alias("problem"),
+                          F.lit(0).cast("long").alias("times")),
+            gaps.join(absent, "model", "left_anti").select("model", F.lit("gap").alias("fault"), "problem", F.lit(0).cast("long").alias("times")),
+            counts.where("times > 1").select("model", F.lit("duplicate").alias("fault"), "problem", "times")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def outcome_bitmaps(results: DataFrame, models: list[str]) -> DataFrame:
+    """Checkpointed (m, chunk, have, pass, twice): per model (its place in ``models``) and chunk of problems
+    the bitmaps of the problems it has and has passed, and how many it has more than once.
+
+    Problems are numbered inside buckets of their hash, so no global sort is needed; a chunk is
+    one bucket's run of BITS problems.  A problem with several results counts as passed if one did.
+    """
+    spark = results.sparkSession
+    checkpoint_dir(spark)
+    place = spark.createDataFrame([(m, i) for i, m in enumerate(models)], "model string, m int")
+    own = results.join(F.broadcast(place), "model")  # one row a model named by the caller
+    once = own.groupBy("problem", "m").agg(F.max(F.col("passed").cast("int")).alias("passed"), F.count("*").alias("times"))
+    buckets = max(1, results.count() // (max(len(models), 1) * (BITS // 2)))
+    bucketed = once.withColumn("bucket", F.pmod(F.xxhash64("problem"), F.lit(buckets)))
+    number = F.dense_rank().over(Window.partitionBy("bucket").orderBy("problem")) - 1
+    numbered = bucketed.withColumn("number", number)
+    bit = F.pmod("number", F.lit(BITS)).cast("long")
+    return numbered.groupBy("m", F.struct("bucket", F.floor(F.col("number") / BITS).alias("run")).alias("chunk")).agg(
+        F.bitmap_construct_agg(bit).alias("have"), F.bitmap_construct_agg(F.when(F.col("passed") == 1, bit)).alias("pass"),
+        F.count_if(F.col("times") > 1).alias("twice")).checkpoint()
+
+
+@dataclass(frozen=True)
+class Outcomes:
+    """The outcomes of ``models`` as bitmaps (``outcome_bitmaps``), and for each model its passed, total and twice."""
+
+    results: DataFrame
+    models: list[str]
+    bitmaps: DataFrame
+    totals: dict[str, dict]
+
+    def absent(self, models: list[str]) -> list[str]:
+        return [m for m in models if not self.totals[m]["total"]]
+
+    def check(self, models: list[str]) -> None:
+        """Raise :class:`IncomparableResults` unless each of ``models`` has one result for the same problems."""
+        places = [self.models.index(m) for m in models]
+        number = self.bitmaps.where(F.col("m").isin(places)).groupBy("chunk").agg(F.bitmap_or_agg("have").alias("any")) \
+            .agg(F.sum(F.bitmap_count("any"))).first()[0] or 0
+        said = []
+        for model in sorted(models):
+            t = self.totals[model]
+            if not t["total"]:
+                said.append(f"{model}: absent")
+                continue
+            said += [f"{model}: {t['twice']} duplicates"] * (t["twice"] > 0)
+            said += [f"{model}: {number - t['total']} gaps"] * (t["total"] < number)
+        if said:
+            raise IncomparableResults(f"the results cannot be compared ({', '.join(said)})", result_faults(self.results, models))
+
+
+def outcomes(results: DataFrame, models: list[str]) -> Outcomes:
+    """The results of ``models``, read once; what follows reads bitmaps."""
+    models = list(dict.fromkeys(models))
+    bitmaps = outcome_bitmaps(results, models)
+    rows = {r["m"]: r.asDict() for r in bitmaps.groupBy("m").agg(
+        F.sum(F.bitmap_count("pass")).alias("passed"), F.sum(F.bitmap_count("have")).alias("total"),
+        F.sum("twice").alias("twice")).collect()}  # a row a model
+    nothing = {"passed": 0, "total": 0, "twice": 0}
+    return Outcomes(results, models, bitmaps, {m: rows.get(i, nothing) for i, m in enumerate(models)})
+
+
+def _pair_counts(bitmaps: DataFrame, n_models: int, wanted: DataFrame) -> DataFrame:
+    """(i, j, n11, n10, n01, n00) of the ``wanted`` block pairs (left, right) of models, every pair of models in them.
+
+    The models of a block travel as one row a chunk.  A block pair is dealt by itself and a share of
+    the chunks; a task holds the counts of one block pair at a time.
+    """
+    spark = bitmaps.sparkSession
+    ship_package(spark)
+    blocks = bitmaps.groupBy("chunk", F.floor(F.col("m") / MODEL_BLOCK).cast("int").alias("block")) \
+        .agg(F.collect_list(F.struct("m", "have", "pass")).alias("of"))  # at most MODEL_BLOCK models of 8 KB
+    pairs = blocks.join(F.broadcast(wanted), F.col("block") == F.col("left")).select("chunk", "left", "right", F.col("of").alias("l")) \
+        .join(blocks.select("chunk", F.col("block").alias("right"), F.col("of").alias("r")), ["chunk", "right"])
+    tasks = spark.sparkContext.defaultParallelism
+    dealt = pairs.withColumn("share", F.pmod(F.xxhash64("chunk"), F.lit(tasks))) \
+        .repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "left", "right", "share") \
+        .sortWithinPartitions("left", "right").select("left", "right", "l", "r")
+
+    def bits(side: pa.StructArray, first: int, name: str) -> np.ndarray:
+        out = np.zeros((MODEL_BLOCK, BITMAP_WORDS), np.uint64)
+        for m, bitmap in zip(side.field("m").to_pylist(), side.field(name)):
+            out[m - first] = np.frombuffer(bitmap.as_buffer(), np.uint64)
+        return out
+
+    def rows(left: int, right: int, counts: np.ndarray) -> pa.RecordBatch:
+        i, j = np.meshgrid(np.arange(MODEL_BLOCK) + left * MODEL_BLOCK, np.arange(MODEL_BLOCK) + right * MODEL_BLOCK, indexing="ij")
+        real = (i < n_models) & (j < n_models)
+        names = ["i", "j", "n11", "n10", "n01", "n00"]
+        return pa.RecordBatch.from_arrays([pa.array(x[real].astype(np.int64)) for x in (i, j, *counts)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, counts = None, None
+        for batch in batches:
+            for left, right, l, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                if at != (left, right):
+                    if at is not None:
+                        yield rows(*at, counts)
+                    at, counts = (left, right), np.zeros((4, MODEL_BLOCK, MODEL_BLOCK), np.int64)
+                (lh, lp), (rh, rp) = ([bits(x.values, b * MODEL_BLOCK, n) for n in ("have", "pass")] for x, b in ((l, left), (r, right)))
+                for k in range(MODEL_BLOCK):  # n11, and what the first, the second, either may have failed
+                    for c, (a, b) in enumerate(((lp, rp), (lp, rh & ~rp), (lh & ~lp, rp), (lh & ~lp, rh & ~rp))):
+                        if a[k].any():
+                            counts[c, k] += np.bitwise_count(a[k] & b).sum(axis=1, dtype=np.int64)
+        if at is not None:
+            yield rows(*at, counts)
+
+    parts = dealt.mapInArrow(run, "i long, j long, n11 long, n10 long, n01 long, n00 long")
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n11", "n10", "n01", "n00")])
+
+
+def _named_pairs(held: Outcomes, models: list[str], pairs: list[tuple[str, str]] | None) -> DataFrame:
+    """(i, j, model_1, model_2, passed_1, total_1, passed_2, total_2) of ``pairs``, or of every pair in the models'
+    order; i and j are the places of their bitmaps."""
+    spark = held.bitmaps.sparkSession
+    side = lambda k: spark.createDataFrame(
+        [(p, held.models.index(m), m, held.totals[m]["passed"], held.totals[m]["total"]) for p, m in enumerate(models)],
+        f"p{k} long, {'ij'[k - 1]} long, model_{k} string, passed_{k} long, total_{k} long")
+    if pairs is None:
+        last = F.lit(len(models) - 1).cast("long")
+        places = spark.range(len(models) - 1).select(F.col("id").alias("p1"), F.explode(F.sequence(F.col("id") + 1, last)).alias("p2"))
+    else:
+        at = {m: p for p, m in enumerate(models)}
+        places = spark.createDataFrame([(at[a], at[b]) for a, b in pairs], "p1 long, p2 long")
+    return places.join(F.broadcast(side(1)), "p1").join(F.broadcast(side(2)), "p2").drop("p1", "p2")  # one row a model
 
 
-def pair_statistics(results: DataFrame, models: list[str],
-                    pairs: list[tuple[str, str]], strict: bool = True) -> DataFrame:
-    """Contingency, McNemar and odds ratio for each (model_1, model_2) pair.
+def pair_statistics(results: DataFrame | Outcomes, models: list[str], pairs: list[tuple[str, str]] | None = None,
+                    strict: bool = True) -> DataFrame:
+    """Contingency, McNemar and odds ratio for each (model_1, model_2) of ``pairs``, or for every pair in order.
 
     With ``strict`` the models must have one result each for the same
     problems.  Without, pairs are counted over the problems both have, and
     each model's passed and total over all of its own.
     """
-    if not pairs:
+    if not (len(models) > 1 if pairs is None else pairs):
         raise ValueError("no model pairs to compare")
+    held = results if isinstance(results, Outcomes) else outcomes(results, models)
     if strict:
-        check_comparable(results, models)
-    idx = {m: i for i, m in enumerate(models)}
-    wide = _models_wide(results, models)
-    totals = [F.count_if(F.col(f"_m{i}") == 1).alias(f"_p{i}") for i in range(len(models))] + \
-             [F.count(F.col(f"_m{i}")).alias(f"_t{i}") for i in range(len(models))]
-    chunks = [pairs[i:i + PAIRS_PER_PASS] for i in range(0, len(pairs), PAIRS_PER_PASS)]
-    if len(chunks) > 1:  # the pivot is then read by every pass
-        checkpoint_dir(results.sparkSession)
-        wide = wide.checkpoint()
-    out = None
-    for chunk in chunks:
-        aggs = list(totals)
-        rows = []
-        for j, (m1, m2) in enumerate(chunk):
-            x, y = F.col(f"_m{idx[m1]}"), F.col(f"_m{idx[m2]}")
-            aggs += [F.count_if((x == 1) & (y == 1)).alias(f"_a{j}"),
-                     F.count_if((x == 1) & (y == 0)).alias(f"_b{j}"),
-                     F.count_if((x == 0) & (y == 1)).alias(f"_c{j}"),
-                     F.count_if((x == 0) & (y == 0)).alias(f"_d{j}")]
-            rows.append(F.struct(
-                F.lit(m1).alias("model_1"), F.lit(m2).alias("model_2"),
-                F.col(f"_a{j}").alias("n11"), F.col(f"_b{j}").alias("n10"),
-                F.col(f"_c{j}").alias("n01"), F.col(f"_d{j}").alias("n00"),
-                F.col(f"_p{idx[m1]}").alias("passed_1"), F.col(f"_t{idx[m1]}").alias("total_1"),
-                F.col(f"_p{idx[m2]}").alias("passed_2"), F.col(f"_t{idx[m2]}").alias("total_2")))
-        part = wide.agg(*aggs).select(F.inline(F.array(*rows)))
-        out = part if out is None else out.unionByName(part)
+        held.check(models)
+    named = _named_pairs(held, models, pairs)
+    blocks = named.select((F.col("i") / MODEL_BLOCK).cast("int").alias("left"), (F.col("j") / MODEL_BLOCK).cast("int").alias("right")).distinct()
+    counted = named.join(_pair_counts(held.bitmaps, len(held.models), blocks), ["i", "j"], "left")
+    zero = F.lit(0).cast("long")
+    out = counted.select("model_1", "model_2", *[F.coalesce(c, zero).alias(c) for c in ("n11", "n10", "n01", "n00")],
+                         "passed_1", "total_1", "passed_2", "total_2")
     out = with_mcnemar(out)
     out = out.withColumns({"failed_1": F.col("total_1") - F.col("passed_1"),
                            "failed_2": F.col("total_2") - F.col("passed_2")})
     return with_odds_ratio(out).drop("failed_1", "failed_2")
 
 
-def compare_all_pairs(results: DataFrame, order: list[str], strict: bool = True) -> DataFrame:
+def compare_all_pairs(results: DataFrame | Outcomes, order: list[str], strict: bool = True) -> DataFrame:
     """Every unordered model pair (earlier model in ``order`` first)."""
-    return pair_statistics(results, list(order), list(combinations(order, 2)), strict)
+    return pair_statistics(results, list(order), None, strict)
 
 
-def compare_to_baseline(results: DataFrame, baseline: str, models: list[str], strict: bool = True) -> DataFrame:
+def compare_to_baseline(results: DataFrame | Outcomes, baseline: str, models: list[str], strict: bool = True) -> DataFrame:
     """Each model against one baseline.
 
     A model without results is reported (a warning) and left out; the
@@ -274,10 +368,11 @@ def compare_to_baseline(results: DataFrame, baseline: str, models: list[str], st
     comparison it re-aims.
     """
     others = [m for m in models if m != baseline]
-    if strict and (absent := absent_models(results, others)):
+    held = results if isinstance(results, Outcomes) else outcomes(results, [baseline] + others)
+    if strict and (absent := held.absent(others)):
         warnings.warn(f"no results for {', '.join(absent)}; not compared to {baseline}", stacklevel=2)
         others = [m for m in others if m not in absent]
-    stats = pair_statistics(results, [baseline] + others, [(m, baseline) for m in others], strict)
+    stats = pair_statistics(held, [baseline] + others, [(m, baseline) for m in others], strict)
     base_or = odds_ratio(F.col("passed_2"), F.col("total_2") - F.col("passed_2"),
                          F.col("passed_1"), F.col("total_1") - F.col("passed_1"))
     return stats.select(
@@ -291,14 +386,15 @@ def compare_to_baseline(results: DataFrame, baseline: str, models: list[str], st
 def evaluation_report(results: DataFrame, baseline: str, order: list[str]) -> dict[str, DataFrame]:
     """Pass rates, outcome counts, all pairs and the baseline comparison of the models that
     have results, and ``absent``, the models that have none."""
-    absent = absent_models(results, list(order))
+    held = outcomes(results, [baseline] + list(order))
+    absent = held.absent(list(order))
     order = [m for m in order if m not in absent]
     results = results.where(F.col("model").isin(list(set(order) | {baseline})))
     return {
         "pass_rates": pass_rates(results),
         "outcomes": outcome_counts(results),
-        "pairs": compare_all_pairs(results, order),
-        "vs_baseline": compare_to_baseline(results, baseline, [baseline] + list(order)),
+        "pairs": compare_all_pairs(held, order),
+        "vs_baseline": compare_to_baseline(held, baseline, [baseline] + list(order)),
         "absent": results.sparkSession.createDataFrame([(m,) for m in absent], "model string"),
     }
 

@@ -80,12 +80,34 @@ def test_pair_statistics_invariants(spark):
         assert r["n11"] + r["n10"] == r["passed_1"] and r["n11"] + r["n01"] == r["passed_2"]
 
 
-def test_pair_statistics_in_many_passes(spark, monkeypatch):
-    res = fx.fx_results(spark, SF001)
-    one_pass = {(r["model_1"], r["model_2"]): r for r in ev.compare_all_pairs(res, fx.MODEL_ORDER).collect()}
-    monkeypatch.setattr(ev, "PAIRS_PER_PASS", 2)
-    split = {(r["model_1"], r["model_2"]): r for r in ev.compare_all_pairs(res, fx.MODEL_ORDER).collect()}
-    assert one_pass == split
+def test_pair_statistics_of_many_models(spark):
+    """500 models in one job, without a column per model: blocks of models, chunks of problems."""
+    import numpy as np
+    import pandas as pd
+    n, problems = 500, 300
+    rnd = np.random.default_rng(6)
+    outcome = rnd.random((n, problems)) < rnd.random((n, 1))
+    models = [f"m{i}" for i in range(n)]
+    long = pd.DataFrame({"model": np.repeat(models, problems), "problem": np.tile(np.arange(problems), n), "passed": outcome.ravel()})
+    res = spark.createDataFrame(long)
+    got = {(r["model_1"], r["model_2"]): (r["n11"], r["n10"], r["n01"], r["n00"], r["passed_1"], r["total_2"])
+           for r in ev.pair_statistics(res, models).select("model_1", "model_2", "n11", "n10", "n01", "n00", "passed_1", "total_2").collect()}
+    assert len(got) == n * (n - 1) // 2
+    x = outcome.astype(int)
+    n11, own = x @ x.T, x.sum(axis=1)
+    for i in range(n):
+        for j in range(i + 1, n):
+            assert got[models[i], models[j]] == (n11[i, j], own[i] - n11[i, j], own[j] - n11[i, j], problems - own[i] - own[j] + n11[i, j], own[i], problems)
+
+
+def test_pair_statistics_in_blocks_and_chunks(spark, monkeypatch):
+    """Blocks of two models and many chunks count what one block and one chunk do."""
+    res = fx.fx_results_with_gaps(spark, SF001)
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    once = key(ev.compare_all_pairs(res, fx.MODEL_ORDER, strict=False))
+    monkeypatch.setattr(ev, "MODEL_BLOCK", 2)
+    monkeypatch.setattr(ev, "BITS", 64)
+    assert key(ev.compare_all_pairs(res, fx.MODEL_ORDER, strict=False)) == once
 
 
 def test_align_pairs_rejects_gaps(spark):
@@ -123,6 +145,29 @@ def test_mcnemar_against_exact_binomial(spark):
         assert p == pytest.approx(float(exact), abs=1e-9, rel=1e-9)
 
 
+def test_mcnemar_of_large_counts(spark):
+    """1e-9 of exact fractions up to 10^4 on each side; 10^8 discordant pairs without an array of that length."""
+    import time
+    from fractions import Fraction
+    from math import comb, erfc, sqrt
+    pairs = [(10_000, 9_900), (9_999, 10_000), (4_000, 5_000), (100, 9_000), (7_000, 7_001)]
+    stat, pv = stats.mcnemar_exact("n10", "n01")
+    got = [r["p"] for r in spark.createDataFrame(pairs, "n10 long, n01 long").select(pv.alias("p")).collect()]
+    for (a, b), p in zip(pairs, got):
+        n, k = a + b, min(a, b)
+        term, total = comb(n, k), 0
+        for i in range(k, -1, -1):
+            total, term = total + term, term * i // (n - i + 1)
+        exact = min(Fraction(1), 2 * Fraction(total, 2 ** n))
+        assert p == pytest.approx(float(exact), rel=1e-9, abs=1e-300)
+    large = spark.createDataFrame([(50_000_000 - d, 50_000_000 + d) for d in (0, 1, 1000, 10_000, 25_000)] * 20, "n10 long, n01 long")
+    began = time.time()
+    got = [r["p"] for r in large.select(pv.alias("p")).collect()]
+    assert time.time() - began < 60
+    for d, p in zip((0, 1, 1000, 10_000, 25_000), got):  # the normal law with a correction of half a step
+        assert p == pytest.approx(min(1.0, erfc((d - 0.5) / sqrt(5e7))), rel=1e-3)
+
+
 def test_pass_at_k_against_exact(spark):
     import random
     from fractions import Fraction
