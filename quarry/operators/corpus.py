@@ -3,21 +3,19 @@
 The reference tokenizes with a pretrained subword tokenizer; here the
 vocabulary is learned from the corpus (D4): tokens are counted with a
 map-side-combined aggregation, and the ``size`` most frequent become ids.
-Encoding and decoding look tokens up where the text is read, in the
-broadcast vocabulary, whose size is checked.
+Encoding and decoding look tokens up where the text is read, in a vocabulary
+whose size is checked (``lookup``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import col_, py_strip
+from quarry.operators.lookup import map_elements
 from quarry.operators.ordering import with_global_index
-from quarry.session import checkpoint_dir, ship_package
+from quarry.session import checkpoint_dir
 
 # Fixed values of the training setup.
 MAX_LENGTH = 1024
@@ -30,8 +28,6 @@ BASE_MODELS = ["360m", "135m", "1.7b"]
 # what a variant's suffix says: (only signatures, baseline corpus)
 VARIANT_KINDS = {"": (False, False), "_signature": (True, False), "_baseline": (False, True)}
 DIRECTORY_NAMES = {"1.7b": "1-7B"}
-# the driver and every worker hold a vocabulary up to this many bytes of tokens
-VOCAB_MAX_BYTES = 256 << 20
 
 
 def compose_text(df: DataFrame, just_signature: bool = False, out: str = "text") -> DataFrame:
@@ -106,51 +102,19 @@ def build_vocab(texts: DataFrame, size: int, text_col: str = "text") -> DataFram
     return specials.unionByName(top).checkpoint(eager=True)
 
 
-def _collected_vocab(vocab: DataFrame) -> list[tuple[str, int]]:
-    """(token, id) on the driver, once its size is known to be within VOCAB_MAX_BYTES."""
-    held = vocab.agg(F.coalesce(F.sum(F.octet_length("token") + 64), F.lit(0))).first()[0]
-    if held > VOCAB_MAX_BYTES:
-        raise ValueError(f"the vocabulary takes {held} bytes; the limit is VOCAB_MAX_BYTES")
-    return [(r["token"], r["id"]) for r in vocab.select("token", "id").collect()]
-
-
 def encode(df: DataFrame, vocab: DataFrame, text_col: str = "text",
-           max_tokens: int | None = MAX_LENGTH, out: str = "ids") -> DataFrame:
-    """``df`` with the token ids of each text (unknown tokens -> ``<unk>``), the first ``max_tokens``.
+           max_tokens: int | None = None, out: str = "ids") -> DataFrame:
+    """``df`` with the token ids of each whole text (unknown tokens -> ``<unk>``), or of its first ``max_tokens``.
 
-    Map-only: tokens are cut in the JVM and looked up in the broadcast
-    vocabulary, batch by batch; no row id is needed and rows that repeat
-    stay apart.
+    Tokens are cut in the JVM and looked up batch by batch (``map_elements``):
+    map-only up to a bound of the vocabulary's size, a join beyond.  No row
+    id is needed and rows that repeat stay apart.
     """
-    spark = df.sparkSession
-    ship_package(spark)
-    known = spark.sparkContext.broadcast(dict(_collected_vocab(vocab)))
     toks = tokenize(text_col)
     if max_tokens is not None:
         toks = F.slice(toks, 1, max_tokens)
     rest = [c for c in df.columns if c != out]
-    cut = df.select(*rest, F.coalesce(toks, F.array().cast("array<string>")).alias(out))
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = known.value.get
-        for batch in batches:
-            tokens = batch.column(out)
-            ids = pa.array([get(t, UNK_ID) for t in tokens.flatten().to_pylist()], pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _lists_like(tokens, ids)], batch.schema.names)
-
-    return cut.mapInArrow(look_up, _with_column(df.select(*rest), out, "array<int>"))
-
-
-def _lists_like(lists: pa.ListArray, values: pa.Array) -> pa.ListArray:
-    """The list array ``lists`` with other values (a slice's offsets need not start at 0)."""
-    first = lists.offsets[0].as_py() if len(lists) else 0
-    offsets = [o - first for o in lists.offsets.to_pylist()] if len(lists) else [0]
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-
-
-def _with_column(df: DataFrame, name: str, kind: str):
-    from pyspark.sql import types as T
-    return T.StructType([*df.schema.fields, T.StructField(name, T.DataType.fromDDL(kind))])
+    return map_elements(df.select(*rest, toks.alias(out)), out, vocab, "token", "id", UNK_ID)
 
 
 def pad_truncate(ids, max_length: int = MAX_LENGTH, pad: int = PAD_ID) -> tuple[Column, Column]:
@@ -184,21 +148,11 @@ def preview_tokens(corpus: DataFrame, vocab: DataFrame, n: int | None = None,
                    id_col: str = "id", sep: str = " ") -> DataFrame:
     """Decode ids back to tokens (pads included) for inspection; ``n`` rows if given.
 
-    Map-only, like :func:`encode`.
+    Looked up like the tokens of :func:`encode`.
     """
-    spark = corpus.sparkSession
-    ship_package(spark)
-    names = spark.sparkContext.broadcast({i: t for t, i in _collected_vocab(vocab)})
     rows = corpus.orderBy(id_col).limit(n) if n is not None else corpus
-    rows = rows.select(id_col, "input_ids")
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = names.value.get
-        for batch in batches:
-            texts = [sep.join([get(i, UNK_TOKEN) for i in ids or ()]) for ids in batch.column("input_ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "decoded"])
-
-    return rows.mapInArrow(look_up, _with_column(rows.select(id_col), "decoded", "string"))
+    tokens = map_elements(rows.select(id_col, F.col("input_ids").alias("decoded")), "decoded", vocab, "id", "token", UNK_TOKEN)
+    return tokens.select(id_col, F.array_join("decoded", sep).alias("decoded"))
 
 
 def variant_table() -> list[tuple[str, str, bool, bool, str]]:
@@ -207,6 +161,16 @@ def variant_table() -> list[tuple[str, str, bool, bool, str]]:
             for base in BASE_MODELS for suffix, (signature, baseline) in VARIANT_KINDS.items()]
 
 
+def require_variant(model: str, signature: bool = False, baseline: bool = False) -> str:
+    """The directory of a variant to train; an unknown base model, and signatures of the baseline corpus, are errors."""
+    if model not in BASE_MODELS:
+        raise ValueError(f"unknown model {model!r}; choose from {BASE_MODELS}")
+    for found, base, own_signature, own_baseline, directory in variant_table():
+        if (base, own_signature, own_baseline) == (model, signature, baseline):
+            return directory
+    raise ValueError("the baseline corpus is not trained on signatures only: choose signature or baseline")
+
+
 def model_variants(spark) -> DataFrame:
     """Base models x {plain, signature, baseline} with their directories."""
     return spark.createDataFrame(

@@ -52,11 +52,11 @@ vocab AS (
   WHERE rn <= {VOCAB_SIZE})"""
 
 
-def encode_sql(source: str, name: str = "enc", max_tokens: int = cp.MAX_LENGTH) -> str:
-    """``{name}(id, ids)`` for ``source(id, text)``: first ``max_tokens`` token ids."""
+def encode_sql(source: str, name: str = "enc") -> str:
+    """``{name}(id, ids)`` for ``source(id, text)``: the token ids of whole texts."""
     return f"""{name}_toks AS (
   SELECT id, unnest(tokens) AS token, unnest(generate_series(0, len(tokens) - 1)) AS pos
-  FROM (SELECT id, regexp_extract_all(text, '{PATTERN}')[1:{max_tokens}] AS tokens FROM {source})),
+  FROM (SELECT id, regexp_extract_all(text, '{PATTERN}') AS tokens FROM {source})),
 {name}_ids AS (
   SELECT t.id, list(coalesce(v.id, {cp.UNK_ID}) ORDER BY t.pos) AS ids
   FROM {name}_toks t LEFT JOIN vocab v ON v.token = t.token GROUP BY t.id),

@@ -53,12 +53,36 @@ def test_encode_keeps_rows_that_share_an_id(spark):
     assert sorted(r["decoded"] for r in names.collect()) == ["", "", "a b", "b b <unk>"]
 
 
-def test_vocabulary_beyond_its_bound_is_an_error(spark, monkeypatch):
-    df = spark.createDataFrame([(1, "a b")], "id long, text string")
+def test_vocabulary_beyond_its_bound_is_joined(spark, monkeypatch):
+    """The same ids and tokens by the join, with a token in every text, rows that repeat and null lists."""
+    from quarry.operators import lookup
+    texts = qc.texts(spark, SF001).unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "the the"), (-3, "the the")], "id long, text string"))
+    vocab = cp.build_vocab(texts, 500)
+    key = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    held = cp.encode(texts, vocab)
+    names = cp.preview_tokens(held.withColumnRenamed("ids", "input_ids"), vocab)
+    expected = key(held), key(names)
+    monkeypatch.setattr(lookup, "LOOKUP_MAX_BYTES", 10)
+    monkeypatch.setattr(lookup, "BLOCK_ROWS", 7)
+    joined = cp.encode(texts, vocab)
+    assert "CoGroup" in joined._jdf.queryExecution().toString()
+    assert (key(joined), key(cp.preview_tokens(held.withColumnRenamed("ids", "input_ids"), vocab))) == expected
+
+
+def test_whole_texts_are_encoded(spark):
+    df = spark.createDataFrame([(1, "a b " * 3000)], "id long, text string")
     vocab = cp.build_vocab(df, 2)
-    monkeypatch.setattr(cp, "VOCAB_MAX_BYTES", 10)
-    with pytest.raises(ValueError):
-        cp.encode(df, vocab)
+    assert len(cp.encode(df, vocab).first()["ids"]) == 6000
+    assert len(cp.encode(df, vocab, max_tokens=10).first()["ids"]) == 10
+
+
+def test_contradictory_variants_are_rejected():
+    assert cp.require_variant("1.7b", signature=True) == "1-7B_signature"
+    assert cp.require_variant("135m") == "135m" and cp.require_variant("360m", baseline=True) == "360m_baseline"
+    with pytest.raises(ValueError, match="unknown model"):
+        cp.require_variant("7b")
+    with pytest.raises(ValueError, match="signature or baseline"):
+        cp.require_variant("135m", signature=True, baseline=True)
 
 
 def test_training_batches(spark):
