@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gzip
 import json
-import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +12,7 @@ from pyspark.sql import types as T
 
 from quarry.functions import code
 from quarry.session import ship_package
+from quarry.sources.file_sink import write_files
 from quarry.sources.readers import read_completion_texts
 
 
@@ -77,43 +76,12 @@ def write_file_tree(df: DataFrame, root: str, path_col: str = "path",
                     content_col: str = "content", compress: str | None = None) -> int:
     """Write one file per row (bytes of ``content_col`` to ``root/path``).
 
-    Each task writes the files of its own rows; a retried task rewrites
-    the same files, so the write is idempotent.  Returns the file count.
+    Files appear when all tasks have succeeded (``sources/file_sink.py``):
+    failed or speculative attempts leave none.  Returns the file count.
     ``root`` must be a folder every executor can reach: a shared mount or
     a URI pyarrow can open (``s3://``, ``hdfs://``, ``gs://``).
     """
-    ship_package(df.sparkSession)
-    remote = "://" in root and not root.startswith("file://")
-    local_root = root.replace("file://", "").replace("file:", "")
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs = base = None
-        if remote:  # object stores and HDFS through pyarrow's file systems
-            from pyarrow import fs as pafs
-            fs, base = pafs.FileSystem.from_uri(root)
-        n = 0
-        for pdf in batches:
-            for rel, data in zip(pdf[path_col], pdf[content_col]):
-                payload = bytes(data)
-                if compress == "gzip":
-                    payload = gzip.compress(payload, mtime=0)
-                if fs is not None:
-                    full = base.rstrip("/") + "/" + rel
-                    fs.create_dir(full.rsplit("/", 1)[0], recursive=True)
-                    with fs.open_output_stream(full) as fh:
-                        fh.write(payload)
-                else:
-                    full = os.path.join(local_root, rel)
-                    os.makedirs(os.path.dirname(full), exist_ok=True)
-                    tmp = full + ".tmp-write"
-                    with open(tmp, "wb") as fh:
-                        fh.write(payload)
-                    os.replace(tmp, full)
-                n += 1
-        yield pd.DataFrame({"n": [n]})
-
-    out = df.select(path_col, content_col).mapInPandas(write, "n long")
-    return int(out.agg(F.sum("n")).collect()[0][0] or 0)
+    return write_files(df.select(F.col(path_col).alias("path"), F.col(content_col).cast("binary").alias("content")), root, compress)
 
 
 def rewrite_completions(spark: SparkSession, in_dir: str, out_dir: str) -> DataFrame:

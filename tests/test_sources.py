@@ -5,6 +5,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.sources import readers as rd
@@ -207,3 +208,43 @@ def test_files_are_read_in_shares_of_bytes(spark):
     assert sorted((r["path"], bytes(r["content"])) for r in read.collect()) == sorted((f"o_a/f{i}.jl", bytes([i]) * 10_000) for i in range(100))
     assert listing.file_manifest(spark, root + "/absent").count() == 0
     assert not listing.reachable("viewfs://store/x") and listing.reachable("file:" + root)
+
+
+def _files_below(root):
+    """The files of the tree; what stopped attempts may leave is no part of it."""
+    found = sorted(os.path.relpath(os.path.join(d, f), root) for d, _, names in os.walk(root) for f in names)
+    return [f for f in found if not f.startswith("_attempts/")]
+
+
+def test_failed_writes_publish_nothing(spark):
+    root = tempfile.mkdtemp(prefix="quarry-out-", dir="/tmp")
+    ok = spark.range(40).selectExpr("concat('a/b', id % 7, '/f', id, '.txt') AS path", "encode(cast(id AS string), 'UTF-8') AS content").repartition(5)
+    broken = ok.withColumn("content", F.when(F.col("path").endswith("f33.txt"), F.raise_error(F.lit("no"))).otherwise(F.col("content")))
+    with pytest.raises(Exception, match="no"):
+        wr.write_file_tree(broken, root)
+    assert _files_below(root) == []
+    assert wr.write_file_tree(ok, root) == 40
+    assert _files_below(root) == sorted(["_COMMITTED"] + [f"a/b{i % 7}/f{i}.txt" for i in range(40)])
+    with open(root + "/a/b5/f33.txt") as fh:
+        assert fh.read() == "33"
+    # a second write replaces its own files and leaves the others
+    assert wr.write_file_tree(ok.where("path LIKE '%f33.txt'").selectExpr("path", "encode('new', 'UTF-8') AS content"), root) == 1
+    with open(root + "/a/b5/f33.txt") as fh:
+        assert fh.read() == "new"
+    assert len(_files_below(root)) == 41
+
+
+def test_attempts_that_do_not_count_leave_no_file():
+    """Two attempts of one task write the same path; only the committed one is published."""
+    import pyarrow as pa
+    from quarry.sources.file_sink import FileTreeWriter
+    root = tempfile.mkdtemp(prefix="quarry-out-", dir="/tmp")
+    writer = FileTreeWriter({"root": root, "run": "r1"})
+    batch = lambda text: iter([pa.RecordBatch.from_arrays([pa.array(["x/y.txt"]), pa.array([text], pa.binary())], ["path", "content"])])
+    writer.write(batch(b"speculative"))
+    counted = writer.write(batch(b"counted"))
+    assert not os.path.exists(root + "/x/y.txt")
+    writer.commit([counted, None])
+    with open(root + "/x/y.txt", "rb") as fh:
+        assert fh.read() == b"counted"
+    assert _files_below(root) == ["_COMMITTED", "x/y.txt"]
