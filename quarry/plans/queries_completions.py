@@ -140,6 +140,34 @@ def e2_batch_generate(spark, sf_dir):
     return comp.batch_generate(reqs, header_echo_model)
 
 
+BUDGET = 4096  # characters of a padded batch
+
+
+def failing_model(name: str):
+    """The stand-in generator, which fails on a batch that holds the function of an id ending in 3."""
+    echo = header_echo_model(name)
+
+    def generate(prompts: list[str]) -> list[str]:
+        if max(map(len, prompts)) * len(prompts) > BUDGET and len(prompts) > 1:
+            raise ValueError("over the budget")
+        for p in prompts:
+            if "3(x, y)" in p.split("\n")[-2]:
+                raise ValueError("cannot complete " + p.split("\n")[-2])
+        return echo(prompts)
+    return generate
+
+
+@register("e2_generate_by_budget", with_ctes(FX_PROMPTS_SQL) + """
+SELECT p.id, p.prompt, m.model, CAST(p.id AS VARCHAR) LIKE '%3' AS failed,
+  CASE WHEN CAST(p.id AS VARCHAR) LIKE '%3' THEN 'Error generating: cannot complete function bench_' || p.id || '(x, y)'
+       ELSE 'function bench_' || p.id || '(x, y)' || chr(10) || '    return ' || m.model || chr(10) || 'end' END AS completion
+FROM fx_prompts p, (SELECT * FROM (VALUES ('135m'), ('360m')) AS v(model)) m""")
+def e2_generate_by_budget(spark, sf_dir):
+    """Batches within a budget; prompts that fail get their error, the others of their batch a completion."""
+    reqs = comp.generation_requests(fx_prompts(spark, sf_dir), ["135m", "360m"])
+    return comp.batch_generate(reqs, failing_model, error_col="failed", budget=BUDGET)
+
+
 # ----------------------------------------------------------------- E3 - E9
 
 @register("e3_drop_log_lines", """

@@ -248,3 +248,25 @@ def test_attempts_that_do_not_count_leave_no_file():
     with open(root + "/x/y.txt", "rb") as fh:
         assert fh.read() == b"counted"
     assert _files_below(root) == ["_COMMITTED", "x/y.txt"]
+
+
+def test_failing_prompts_lose_only_their_rows(spark):
+    from quarry.operators.completions import batch_generate, generate_each, pack
+
+    def load(_model):
+        def generate(prompts):
+            if any(p and p.startswith("bad") for p in prompts):
+                raise RuntimeError("bad prompt")
+            assert len(prompts) * max(len(p or "") for p in prompts) <= 100 or len(prompts) == 1
+            return [f"<{p}>" for p in prompts]
+        return generate
+
+    prompts = [("bad" if i % 29 == 0 else "p") + "x" * (i % 40) + str(i) for i in range(300)] + [None, "y" * 500]
+    requests = spark.createDataFrame([(p, "m") for p in prompts], "prompt string, model string")
+    rows = batch_generate(requests, load, error_col="failed", batch_size=16, budget=100, splits=3).collect()
+    assert len(rows) == len(prompts)
+    for r in rows:
+        bad = (r["prompt"] or "").startswith("bad")
+        assert r["failed"] == bad and r["completion"] == ("Error generating: bad prompt" if bad else f"<{r['prompt']}>")
+    assert [(s.start, s.stop) for s in pack([1, 1, 5, 50, 200], 3, 100)] == [(0, 3), (3, 4), (4, 5)]
+    assert generate_each(lambda ps: ps[:-1], ["a"]) == [("Error generating: 0 completions for 1 prompts", True)]
