@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import col_, py_strip
 from quarry.operators.lookup import map_elements
-from quarry.operators.ordering import with_global_index
+from quarry.operators.ordering import permuted, with_global_index
 from quarry.session import checkpoint_dir
 
 # Fixed values of the training setup.
@@ -194,6 +194,26 @@ def training_batches(df: DataFrame, model: str, order_by: list | None = None,
     })
 
 
+def training_epochs(df: DataFrame, model: str, epochs: int, seed: int = 0, order_by: list | None = None,
+                    id_col: str = "id") -> DataFrame:
+    """D10 over several epochs: every row once an epoch, each epoch in its own order.
+
+    Rows are numbered once; the order of an epoch is a permutation of the numbers
+    (``ordering.permuted``), so an epoch costs no sort and no shuffle.
+    """
+    if model not in BATCHING:
+        raise ValueError(f"no batch size is set for {model!r}; known are {sorted(BATCHING)}")
+    batch, accum = BATCHING[model]
+    indexed = with_global_index(df, order_by or [F.col(id_col)], name="row_index")
+    n = df.count()
+    each = indexed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    place = permuted(F.col("row_index"), F.lit(n), seed, F.col("epoch"))
+    return each.withColumn("position", place).withColumns({
+        "micro_batch": F.floor(F.col("position") / batch).cast("long"),
+        "step": F.floor(F.col("position") / (batch * accum)).cast("long"),
+    })
+
+
 def checkpoint_version(path) -> Column:
     return F.regexp_extract(col_(path), r"checkpoint-(\d+)", 1).try_cast("long")
 

@@ -168,6 +168,26 @@ def d10_training_batches(spark, sf_dir):
     return out.select("id", "row_index", "micro_batch", "step")
 
 
+EPOCHS, EPOCH_SEED = 3, 11
+
+
+@register("d10_training_epochs", with_ctes(*cleaned_ctes()).replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f""",
+numbered AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS row_index, count(*) OVER () AS n FROM cleaned),
+squared AS (SELECT *, CAST(ceil(sqrt(n)) AS BIGINT) AS side FROM numbered),
+walk(id, row_index, n, side, epoch, l, r, k) AS (
+  SELECT id, row_index, n, side, e.epoch, row_index // side, row_index % side, 0 FROM squared, (SELECT range AS epoch FROM range({EPOCHS})) e
+  UNION ALL
+  SELECT id, row_index, n, side, epoch, r,
+         (l + CAST('0x' || substr(md5('{EPOCH_SEED}:' || epoch || ':' || (k % 4) || ':' || r), 1, 8) AS BIGINT)) % side, k + 1
+  FROM walk WHERE NOT (k > 0 AND k % 4 = 0 AND l * side + r < n)),
+placed AS (SELECT *, l * side + r AS position FROM walk WHERE k > 0 AND k % 4 = 0 AND l * side + r < n)
+SELECT id, CAST(epoch AS INTEGER) AS epoch, CAST(position AS BIGINT) AS position, CAST(position // 4 AS BIGINT) AS micro_batch,
+       CAST(position // 8 AS BIGINT) AS step FROM placed""")
+def d10_training_epochs(spark, sf_dir):
+    out = cp.training_epochs(cleaned(spark, sf_dir).select("id"), "135m", EPOCHS, EPOCH_SEED)
+    return out.select("id", "epoch", "position", "micro_batch", "step")
+
+
 CHECKPOINTS_SQL = f"""ckpt AS (
   SELECT m.model, 'models/' || m.model || CASE WHEN l.toxic = 1 THEN '/tokenizer' ELSE
            '/checkpoint-' || CAST((l.doc_id * 37 + m.a) % 100003 AS VARCHAR) END AS path

@@ -114,3 +114,18 @@ def test_latest_checkpoint_ties_are_deterministic(spark):
     paths = spark.createDataFrame([("a", "x/checkpoint-5"), ("a", "y/checkpoint-5"), ("a", "w/checkpoint-4")],
                                   "model string, path string")
     assert cp.latest_checkpoint(paths.repartition(3)).collect()[0]["checkpoint"] == "y/checkpoint-5"
+
+
+def test_epoch_orders_are_permutations(spark):
+    from quarry.operators.ordering import permuted
+    for n in (1, 2, 3, 5, 10, 101, 961, 962, 5000):
+        rows = spark.range(n).select(*[permuted(F.col("id"), F.lit(n), seed, F.lit(epoch)).alias(f"p{seed}_{epoch}")
+                                       for seed, epoch in ((1, 0), (1, 1), (2, 0))]).toPandas()
+        for c in rows:
+            assert sorted(rows[c]) == list(range(n))
+        if n > 100:
+            assert all((rows[a] != rows[b]).mean() > 0.9 for a, b in (("p1_0", "p1_1"), ("p1_0", "p2_0")))
+            assert abs(rows["p1_0"].corr(rows.index.to_series())) < 0.2
+    epochs = cp.training_epochs(spark.range(37), "135m", 2, seed=3)
+    assert "Exchange" not in epochs.select("id", "position")._jdf.queryExecution().executedPlan().toString().split("Scan")[0].replace("BroadcastExchange", "")
+    assert epochs.groupBy("epoch", "step").count().where("count > 8").count() == 0 and epochs.count() == 74
