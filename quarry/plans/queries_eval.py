@@ -120,6 +120,22 @@ for _k in (1, 2):
     register(f"g5_pass_at_{_k}", with_ctes(FX_SAMPLES_SQL) + _pass_at_k_sql(_k))(_pass_at_k_query(_k))
 
 
+@register("g5_pass_at_2_kept_up_to_date", with_ctes(FX_SAMPLES_SQL) + _pass_at_k_sql(2))
+def g5_pass_at_2_kept_up_to_date(spark, sf_dir):
+    """Samples arrive as files, some wrong; a second batch corrects these and withdraws a file."""
+    from quarry.operators import result_store as rs
+    from quarry.session import scratch_path
+    store = scratch_path(spark, "result-store")
+    samples = fx_samples(spark, sf_dir).select(F.concat("model", F.lit("-"), F.col("problem") % 5).alias("file"), "model", "problem", "passed")
+    wrong = F.col("file").endswith("-3")
+    first = samples.withColumn("passed", F.when(wrong, ~F.col("passed")).otherwise(F.col("passed")))
+    stray = samples.where(F.col("file").endswith("-1")).withColumn("file", F.lit("stray"))
+    rs.apply_batch(first.unionByName(stray), store, 0)
+    rs.apply_batch(samples.where(wrong), store, 1, stray.select("file").distinct())
+    out = rs.pass_at_k_of_counts(rs.counts(spark, store), 2)
+    return round_doubles(out.select("model", F.lit(2).alias("k"), F.col("pass_at_2").alias("pass_at_k"), "problems", "scored"))
+
+
 @register("g6_pass_rates", with_ctes(FX_RESULTS_SQL) + """
 SELECT model, CAST(count_if(passed) AS BIGINT) AS passed, CAST(count(*) AS BIGINT) AS total,
        round(100.0 * count_if(passed) / count(*), 2) AS percent
