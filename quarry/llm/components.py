@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise
+from quarry.llm.common import discard, materialise
 
 
 def _with_minimum(edges: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     edges = materialise(edges.filter("u <> v").distinct(), name)
     before = None
     while True:
-        edges = materialise(_small_star(_large_star(edges).distinct()).filter("u <> v").distinct(), name)
+        last, edges = edges, materialise(_small_star(_large_star(edges).distinct()).filter("u <> v").distinct(), name)
+        discard(last)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges

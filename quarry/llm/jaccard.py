@@ -20,8 +20,9 @@ all others, so a key of any size gives a linear number of pairs.  Pairs fall out
 whose counts of shingles in cells of values (an upper bound of what is common), allow no link; the
 rest are verified on the sets.  Keys whose classes are then all in one component are done.  In
 others, pairs of classes of different components are still open: small keys (``SMALL_KEY``) pair
-off what is left.  Large keys with one main component are one group, whose classes outside the
-component are compared, in blocks, with all of the group.  No link between different components is lost, and none inside one is needed.
+off what is left.  Large keys with one main component are one group; the sketches of its classes
+outside the component meet, in blocks, those of all of the group, and pairs that sizes and sketches
+allow are verified.  No link between different components is lost, and none inside one is needed.
 
 Scale.  Rare keys travel packed, in buckets of key values; keys of combinations, which may be hot,
 are spread without regard to the key and are counted by Spark's aggregates with map-side combine.
@@ -42,15 +43,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise
+from quarry.llm.common import discard, materialise
 from quarry.llm.components import components
 from quarry.llm.shingles import mix, set_name, shingle_set
 
 FREQUENT = 32             # copies of a shingle in different sets, from which it counts as frequent
 MAX_FREQUENT = 1 << 20
 SMALL_KEY = 48
-BLOCK = 128               # classes that are compared at once
-SLICE = 2000              # documents handled together inside a batch
+BLOCK = 512               # classes whose sketches are compared at once
+SLICE = 1000              # documents handled together inside a batch
 CELLS = 256
 BITS = 1 << 26            # of the bitmap that picks texts (8 MB)
 
@@ -303,8 +304,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(linked, pa.bool_())], ["u", "v", "linked"])
 
     both = fit.join(packed.toDF("v", "y"), "v").join(packed.toDF("u", "x"), "u").select("u", "v", "x", "y")
-    return materialise(both.mapInArrow(compare, f"u {NODE}, v {NODE}, linked boolean").filter("linked")
-                       .select("u", "v").distinct(), "jaccard-links")
+    links = materialise(both.mapInArrow(compare, f"u {NODE}, v {NODE}, linked boolean").filter("linked")
+                        .select("u", "v").distinct(), "jaccard-links")
+    discard(fit)
+    return links
 
 
 def _pairs(rows: DataFrame, threshold: int) -> DataFrame:
@@ -314,49 +317,54 @@ def _pairs(rows: DataFrame, threshold: int) -> DataFrame:
         .select(F.least("x.class", "y.class").alias("u"), F.greatest("x.class", "y.class").alias("v")).distinct()
 
 
-def _block_links(groups: DataFrame, classes: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Links (u, v) between the strays of each group and all of its classes.
+def _block_pairs(groups: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Distinct pairs (u, v) of a stray and a class of its group, of different components, that sizes and sketches allow.
 
     ``groups`` has (main, class, component); a stray's component is not ``main``.  Classes are dealt
     into blocks of about BLOCK by a hash; every block of strays meets every block of its group in
-    a row of its own, and a block's common shingles with a stray are counted for all classes at once.
+    a row of its own.  Only sketches travel, CELLS bytes a class whatever its text's length.
     """
-    packed = _token_sets(groups.select("class").distinct(), classes, docs, width)
     held = groups.groupBy("main").agg(F.count("*").alias("held"), F.count_if(F.col("component") != F.col("main")).alias("strays"))
     blocks = F.ceil(F.col("held") / BLOCK).cast("int")
     stray_blocks = F.ceil(F.col("strays") / BLOCK).cast("int")
-    rows = groups.join(held, "main").join(packed, "class").withColumns({"blocks": blocks, "stray_blocks": stray_blocks})
-    one = F.struct("class", "component", "tokens").alias("one")
+    rows = groups.join(held, "main").join(classes.select("class", "n", "sketch"), "class") \
+        .withColumns({"blocks": blocks, "stray_blocks": stray_blocks})
+    one = F.struct("class", "component", "n", "sketch").alias("one")
     place = F.xxhash64("class")
     everyone = rows.groupBy("main", F.pmod(place, F.col("blocks")).alias("block")).agg(F.collect_list(one).alias("all"))
     strays = rows.filter("component <> main").groupBy("main", F.pmod(place, F.col("stray_blocks")).alias("stray_block")) \
         .agg(F.collect_list(one).alias("strays"), F.first("blocks").alias("blocks")) \
         .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("blocks") - 1).cast("long"))))
+    full = np.full(CELLS, 255, dtype=np.uint8).tobytes()
+
+    def side(x: pa.StructArray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """Classes, components (numbered), sizes and sketches; a set without a sketch may share anything."""
+        known = x.field("sketch").to_pylist()
+        cells = np.frombuffer(b"".join(s if s is not None else full for s in known), dtype=np.uint8).reshape(-1, CELLS)
+        names = [tuple(c.values()) for c in x.field("component").to_pylist()]
+        sizes = x.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
+        return x.field("class"), names, np.where([s is None for s in known], -1, sizes), sizes, cells
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                some, others = (batch.column(c)[i].values for c in ("strays", "all"))
-                sets = [_tokens(t) for t in others.field("tokens")]
-                sizes = np.array(list(map(len, sets)))
-                tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-                order = np.argsort(tokens, kind="stable")
-                tokens, owner = tokens[order], owner[order]
-                names, comps = others.field("class").to_pylist(), others.field("component").to_pylist()
-                out = []
-                for name, comp, mine in zip(some.field("class").to_pylist(), some.field("component").to_pylist(), some.field("tokens")):
-                    mine = _tokens(mine)
-                    first, last = np.searchsorted(tokens, mine, "left"), np.searchsorted(tokens, mine, "right")
-                    counts = last - first
-                    at = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-                    common = np.bincount(owner[at], minlength=len(sets))
-                    linked = np.flatnonzero(100 * common >= threshold * (len(mine) + sizes - common))
-                    out += [{"u": name, "v": names[j]} for j in linked.tolist() if comps[j] != comp]
-                kind = pa.struct([("a", pa.int64()), ("b", pa.int64())])
-                yield pa.RecordBatch.from_arrays([pa.array([x["u"] for x in out], kind), pa.array([x["v"] for x in out], kind)], ["u", "v"])
+                us, u_comps, u_known, u_sizes, u_cells = side(batch.column("strays")[i].values)
+                vs, v_comps, v_known, v_sizes, v_cells = side(batch.column("all")[i].values)
+                number = {c: k for k, c in enumerate(dict.fromkeys([*u_comps, *v_comps]))}
+                v_number = np.array([number[c] for c in v_comps])
+                first, second = [], []
+                for k, (comp, known, size, cells) in enumerate(zip(u_comps, u_known, u_sizes, u_cells)):
+                    near = np.flatnonzero((v_number != number[comp]) & (100 * np.minimum(v_sizes, size) >= threshold * np.maximum(v_sizes, size)))
+                    most = np.minimum(v_cells[near], cells).sum(axis=1, dtype=np.int64)
+                    most = np.where((known < 0) | (v_known[near] < 0), np.minimum(v_sizes[near], size), most)
+                    near = near[(100 + threshold) * most >= threshold * (v_sizes[near] + size)]
+                    first.append(np.full(len(near), k))
+                    second.append(near)
+                yield pa.RecordBatch.from_arrays([us.take(pa.array(np.concatenate(first))), vs.take(pa.array(np.concatenate(second)))], ["u", "v"])
 
     both = strays.join(everyone, ["main", "block"]).select("strays", "all")
-    return both.mapInArrow(compare, f"u {NODE}, v {NODE}")
+    met = both.mapInArrow(compare, f"u {NODE}, v {NODE}")
+    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def linked_classes(docs: DataFrame, classes: DataFrame, keys: DataFrame, width: int, threshold: int) -> DataFrame:
@@ -381,7 +389,9 @@ def linked_classes(docs: DataFrame, classes: DataFrame, keys: DataFrame, width:
     more = _verified(_pairs(inner, threshold), classes, docs, width, threshold)
     # large keys of one main component, which hold the same near copies again and again, are one group
     groups = materialise(large.select("main", "y.class", "component").distinct(), "jaccard-groups")
-    return materialise(links.unionByName(more).unionByName(_block_links(groups, classes, docs, width, threshold)), "jaccard-links")
+    far = _verified(_block_pairs(groups, classes, threshold), classes, docs, width, threshold)
+    discard(keys, marked, still, groups)
+    return links.unionByName(more).unionByName(far)
 
 
 def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
