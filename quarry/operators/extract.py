@@ -50,6 +50,7 @@ INLINE_DOC = rf"^@doc\s+(\w*{QUOTED})\s+function\s"
 
 SPLIT_BYTES = 8 << 20     # files from this size on are extracted in chunks, where no limit leaves them out
 
+WHOLE_COMMENT = r"\A#.*\z"
 TRIPLE_QUOTE = '"""'
 CHAR_LITERAL = r"'(?:[^'\\]|\\.)'"
 
@@ -66,7 +67,7 @@ def _count(s: Column, token: str) -> Column:
 def code_part(t: Column) -> Column:
     """A stripped line with string and char literals blanked and the comment removed."""
     blanked = F.regexp_replace(F.regexp_replace(t, QUOTED, '""'), CHAR_LITERAL, "''")
-    return py_strip(F.regexp_replace(blanked, "#.*$", ""))
+    return F.when(t.rlike(WHOLE_COMMENT), "").otherwise(py_strip(F.regexp_replace(blanked, "#.*$", "")))
 
 
 def classify_lines(lines: Column) -> Column:

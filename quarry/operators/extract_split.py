@@ -36,6 +36,7 @@ from quarry.sources.listing import open_root
 from quarry.sources.readers import decode_text
 
 CHUNK_BYTES = 1 << 20
+TASK_BYTES, TASK_CHUNKS = 16 << 20, 512   # what a task reads at most
 BLOCK = 1024              # chunks whose summaries are folded together
 _SUMMARY = "array<struct<state:int,left:string>>"
 
@@ -61,7 +62,7 @@ def read_line_chunks(manifest: DataFrame, root: str, chunk_bytes: int = CHUNK_BY
                     content = _lines_from(file, start, min(start + chunk_bytes, length), length)
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, pa.array([content], pa.binary())], [*batch.schema.names, "content"])
 
-    tasks = max(manifest.sparkSession.sparkContext.defaultParallelism, ranges.count() // 16)
+    tasks = max(manifest.sparkSession.sparkContext.defaultParallelism, -(-ranges.count() // max(1, min(TASK_CHUNKS, TASK_BYTES // chunk_bytes))))
     target = scratch_path(manifest.sparkSession, "line-chunks")
     ranges.repartition(tasks, "path", "chunk").mapInArrow(run, schema).write.parquet(target)
     read = manifest.sparkSession.read.schema(schema).parquet(target).filter(F.col("content").isNotNull())
@@ -144,6 +145,19 @@ def _lexical(state: Column, c: Column) -> Column:
     return string.cast("int") + comment.cast("int") * 2
 
 
+def _moves(c: Column) -> Column:
+    """Whether a line can change the walk's state."""
+    return (F.size(c["tokens"]) > 0) | c["odd_q"] | c["cmt_open"] | c["cmt_close"]
+
+
+def moving_lines(cls: Column) -> Column:
+    """What the cuts are found by, without the texts: the lines (from 1) that can change the state, or are code."""
+    numbered = F.transform(cls, lambda c, i: F.struct(
+        (i + 1).alias("i"), c["tokens"].alias("tokens"), c["odd_q"].alias("odd_q"), c["cmt_open"].alias("cmt_open"),
+        c["cmt_close"].alias("cmt_close"), (~c["blank"] & (c["kind"] == "code")).alias("is_code")))
+    return F.filter(numbered, lambda c: _moves(c) | c["is_code"])
+
+
 def summarize(cls: Column) -> Column:
     """What classified lines do to each of the four states: ``array<struct<state, left>>``."""
     def step(acc: Column, c: Column) -> Column:
@@ -151,7 +165,7 @@ def summarize(cls: Column) -> Column:
         left = F.when((acc["state"] == 0) & (F.size(tokens) > 0), F.aggregate(tokens, acc["left"], _reduced)).otherwise(acc["left"])
         return F.struct(_lexical(acc["state"], c).alias("state"), left.alias("left"))
 
-    return let(cls, lambda lines: F.transform(F.array(*map(F.lit, range(4))), lambda s: F.aggregate(
+    return let(F.filter(cls, _moves), lambda lines: F.transform(F.array(*map(F.lit, range(4))), lambda s: F.aggregate(
         lines, F.struct(s.alias("state"), F.lit("").alias("left")), step)))
 
 
@@ -194,23 +208,23 @@ def entry_states(summaries: DataFrame, keys: list[str]) -> DataFrame:
 
 # -------------------------------------------------------------------- cuts
 
-def _cuts(cls: Column) -> Column:
-    """``array<struct<at, stack>>``: the lines (from 1) behind which the file may be cut, and what is open there."""
+def _cuts(lines: Column) -> Column:
+    """``array<struct<at, stack>>``: the lines (from 1) behind which the file may be cut, and what is open there, from ``moving_lines``."""
     def step(acc: Column, c: Column) -> tuple[Column, Column]:
-        code, i = acc["state"] == 0, acc["i"] + 1
+        code, i = acc["state"] == 0, c["i"]
         after = F.when(code, _after_line(acc["stack"], c["tokens"])).otherwise(acc["stack"])
 
         def found(x: Column) -> Column:
             state, stack = x["state"], x["stack"]
-            cut = code & (state == 0) & ~c["blank"] & (c["kind"] == "code") & stack.rlike("^b*$")
-            return F.struct(F.struct(i.alias("i"), state.alias("state"), stack.alias("stack")).alias("next"),
+            cut = code & (state == 0) & c["is_code"] & stack.rlike("^b*$")
+            return F.struct(F.struct(state.alias("state"), stack.alias("stack")).alias("next"),
                             F.when(cut, F.array(F.struct(i.alias("at"), stack.alias("stack"))))
                             .otherwise(F.array().cast("array<struct<at:int,stack:string>>")).alias("cut"))
 
         both = let(F.struct(_lexical(acc["state"], c).alias("state"), after.alias("stack")), found)
         return both["next"], both["cut"]
 
-    return sliced_walk(cls, F.struct(F.lit(0).alias("i"), F.col("state").alias("state"), F.col("stack").alias("stack")), step,
+    return sliced_walk(lines, F.struct(F.col("state").alias("state"), F.col("stack").alias("stack")), step,
                        "struct<at:int,stack:string>", lambda _s, out: out)
 
 
@@ -223,10 +237,12 @@ def extract_split_functions(chunks: DataFrame, keep_comments: bool = True, keep_
     spark = chunks.sparkSession
     keys = [c for c in chunks.columns if c not in ("chunk", text_col)]
     lined = chunks.select(*keys, "chunk", split_newlines(F.col(text_col)).alias("_lines"))
-    summaries = _written(lined.select(*keys, "chunk", F.size("_lines").cast("long").alias("lines"), summarize(classify_lines(F.col("_lines"))).alias("summary")), "chunk-summaries")
+    found = let(classify_lines(F.col("_lines")), lambda cls: F.struct(summarize(cls).alias("summary"), moving_lines(cls).alias("moving")))
+    summaries = _written(lined.select(*keys, "chunk", F.size("_lines").cast("long").alias("lines"), F.inline(F.array(found))), "chunk-summaries")
     earlier = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     before = summaries.select(*keys, "chunk", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("before"))
-    known = lined.join(entry_states(summaries, keys), [*keys, "chunk"]).join(before, [*keys, "chunk"])
+    entered = summaries.select(*keys, "chunk", "moving").join(entry_states(summaries, keys), [*keys, "chunk"])
+    known = lined.join(entered, [*keys, "chunk"]).join(before, [*keys, "chunk"])
 
     def pieces(cuts: Column) -> Column:
         first, last = F.get(cuts, F.lit(0)), F.get(cuts, F.size(cuts) - 1)
@@ -238,7 +254,7 @@ def extract_split_functions(chunks: DataFrame, keep_comments: bool = True, keep_
             piece("head", F.lit(0), first["at"], F.col("stack")), piece("inside", first["at"], last["at"], first["stack"]),
             piece("tail", last["at"], n, last["stack"])))
 
-    parts = _written(known.select(*keys, "chunk", F.inline(let(_cuts(classify_lines(F.col("_lines"))), pieces))), "chunk-parts")
+    parts = _written(known.select(*keys, "chunk", F.inline(let(_cuts(F.col("moving")), pieces))), "chunk-parts")
     has_cut = parts.filter("kind <> 'inside'").groupBy(*keys, "chunk").agg(F.bool_or(F.col("kind") == "tail").alias("cut"))
     begun = has_cut.select(*keys, "chunk", F.coalesce(F.max(F.when(F.col("cut"), F.col("chunk"))).over(earlier), F.lit(-1)).alias("begun"))
     ends = parts.filter("kind <> 'inside'").join(begun, [*keys, "chunk"]) \
