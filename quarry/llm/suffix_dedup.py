@@ -27,8 +27,12 @@ An anchor with any number of copies is one entry a block only where its LENGTH b
 WINDOW - 1 before agree; other surroundings make other entries of the same class.  Groups are
 buckets of keys, or ranges of suffixes cut between classes, so one class that stays in the merge is
 the least range: under LARGE entries counted, and one more a block (a block reports the classes of
-which it has two), of LENGTH + WINDOW - 1 bytes at most.  Texts are shuffled twice, by document.
-The blocks are written, so a lost executor costs its tasks only.
+which it has two), of LENGTH + WINDOW - 1 bytes at most.  The others hold RANGE_ENTRIES entries on
+average, however many blocks there are: a block offers suffixes at random places of its order (at the
+same places of each block they would lie at a few points of the whole order, and the ranges between
+these would grow with the input), each for as many entries as it stands for.  Texts are shuffled
+twice, by document.  The blocks and the spans are written, so a lost executor costs its tasks only;
+what went into them is deleted, scratch and shuffle files, so the disk holds one step at a time.
 
 Defined results: null text is empty; texts under LENGTH bytes keep all their bytes; repeated rows
 are documents of their own, so all their bytes go if they are long enough; rows that share an id
@@ -49,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.anchors import anchors
-from quarry.llm.common import materialise
+from quarry.llm.common import discard, materialise
 from quarry.llm.lcp_merge import common_prefix, merge, pack_run, unpack_run
 from quarry.llm.token_counts import _pack, _spread, _squeeze, _unpack
 
@@ -57,11 +61,24 @@ LENGTH = 200
 WINDOW = 96
 RIGHT = LENGTH - WINDOW + 1   # bytes from an anchor on that two occurrences have in common at least
 BLOCK_ROWS, BLOCK_BYTES = 2000, 2 << 20
-SAMPLE = 8                    # suffixes a block offers as splitters
+SAMPLE, STRATUM = 8, 2048     # suffixes a block offers as splitters at least, entries for one of them at most
 MAX_SAMPLE = 40_000           # of which the driver sees this many, by hash order
+RANGE_ENTRIES = 100_000       # entries of a range on average, at most; a task takes some 750 bytes for each
 LARGE = 4096                  # entries from which on a class of equal RIGHT bytes is not merged
 CHUNK = 4096                  # entries of large classes handled at once
 OFFSETS = [bytes([o]) for o in range(WINDOW)]
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``materialise``d; the shuffle files of that job, which nothing else reads, are deleted."""
+    conf = df.sparkSession.conf
+    given = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        return materialise(df, name)
+    finally:
+        conf.set(CLEANUP, given)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +138,7 @@ def _anchor_blocks(docs: DataFrame, buckets: int) -> DataFrame:
                                                              ("keys", pa.binary()), ("twice", pa.binary())])))])
             yield pa.RecordBatch.from_pylist([row], schema=types)
 
-    return materialise(docs.mapInArrow(run, schema).withColumn("block", F.monotonically_increasing_id()), "suffix-anchors")
+    return _written(docs.mapInArrow(run, schema).withColumn("block", F.monotonically_increasing_id()), "suffix-anchors")
 
 
 def _repeated_bits(t: pa.Table, kind: str) -> tuple[list[int], list[bytes]]:
@@ -147,7 +164,7 @@ def _repeated_keys(t: pa.Table) -> pa.Table:
 
 
 def repeated_anchors(docs: DataFrame) -> DataFrame:
-    """(id, h, places): documents with anchors that may match, their byte places packed."""
+    """(id, h, places): documents with anchors that may match, their byte places packed; ``scratch`` is what they are read from."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = _anchor_blocks(docs, buckets)
     keys = blocks.select("block", F.inline("parts"))
@@ -173,8 +190,10 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.field("id"), rows.field("h"), pa.array([_pack(own[x]) for x in held], pa.binary())],
                                                  ["id", "h", "places"])
 
-    return blocks.drop("parts").join(bits, "block").drop("block") \
+    found = blocks.drop("parts").join(bits, "block").drop("block") \
         .mapInArrow(run, f"id {id_type}, h long, places binary")
+    found.scratch = blocks
+    return found
 
 
 def _class(suffix: bytes) -> int:
@@ -182,15 +201,23 @@ def _class(suffix: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(suffix[:RIGHT], digest_size=8).digest(), "little", signed=True)
 
 
+def _sample(suffixes: list[bytes], run: bytes) -> list[dict]:
+    """Of each of a sorted block's equal strata a suffix at random, and how many entries it stands for."""
+    strata = max(SAMPLE, -(-len(suffixes) // STRATUM))
+    seed = int.from_bytes(hashlib.blake2b(run, digest_size=8).digest(), "little")  # a task that is run again draws the same
+    places = ((np.arange(strata) + np.random.default_rng(seed).random(strata)) * len(suffixes) / strata).astype(np.int64)
+    return [{"s": suffixes[p][:RIGHT], "n": len(suffixes) / strata} for p in np.minimum(places, len(suffixes) - 1).tolist()]
+
+
 def _suffix_blocks(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Written, one row a block of documents with repeated anchors: for each anchor its entry, and the
-    entries as one sorted run (suffix, what stands left of it, whether it occurs twice in the block); the
-    classes of RIGHT bytes that hold two entries or more."""
+    entries as one sorted run (suffix, what stands left of it, whether it occurs twice in the block), how
+    many they are and a sample of them; the classes of RIGHT bytes that hold two entries or more."""
     once = found.dropDuplicates(["id", "h"]).toDF("_id", "_h", "places")
     joined = docs.join(once, docs["id"].eqNullSafe(once["_id"]) & (docs["h"] == once["_h"])).select("id", "h", "text", "places")
     id_type = docs.schema["id"].dataType.simpleString()
-    schema = (f"rows array<struct<id:{id_type},h:bigint>>, counts binary, places binary, entries binary, run binary, sample array<binary>, "
-              "classes array<struct<class:bigint,n:int>>")
+    schema = (f"rows array<struct<id:{id_type},h:bigint>>, counts binary, places binary, entries binary, run binary, n int, "
+              "sample array<struct<s:binary,n:double>>, classes array<struct<class:bigint,n:int>>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _blocks(batches):
@@ -212,24 +239,37 @@ def _suffix_blocks(docs: DataFrame, found: DataFrame) -> DataFrame:
             place = np.empty(len(order), dtype=np.int64)
             place[order] = np.arange(len(order))
             suffixes = [listed[i][0] for i in order]
+            packed = pack_run(suffixes, [listed[i][1] for i in order], np.array(more)[order])
             row = {"rows": [{"id": i, "h": h} for i, h in zip(batch.column("id").to_pylist(), batch.column("h").to_pylist())],
                    "counts": _pack([len(x) for x in own]), "places": _pack([p for x in own for p in x]),
-                   "entries": _pack(place[numbers]), "run": pack_run(suffixes, [listed[i][1] for i in order], np.array(more)[order]),
-                   "sample": [suffixes[(2 * i + 1) * len(suffixes) // (2 * SAMPLE)][:RIGHT] for i in range(SAMPLE)],
+                   "entries": _pack(place[numbers]), "run": packed, "n": len(suffixes), "sample": _sample(suffixes, packed),
                    "classes": [{"class": _class(x), "n": n} for x, n in Counter(x[:RIGHT] for x in suffixes).items() if n > 1]}
             types = pa.schema([("rows", pa.list_(pa.struct([("id", batch.column("id").type), ("h", pa.int64())]))),
-                               *[(c, pa.binary()) for c in ("counts", "places", "entries", "run")], ("sample", pa.list_(pa.binary())),
+                               *[(c, pa.binary()) for c in ("counts", "places", "entries", "run")], ("n", pa.int32()),
+                               ("sample", pa.list_(pa.struct([("s", pa.binary()), ("n", pa.float64())]))),
                                ("classes", pa.list_(pa.struct([("class", pa.int64()), ("n", pa.int32())])))])
             yield pa.RecordBatch.from_pylist([row], schema=types)
 
-    return materialise(joined.mapInArrow(run, schema).withColumn("block", F.monotonically_increasing_id()), "suffix-runs")
+    return _written(joined.mapInArrow(run, schema).withColumn("block", F.monotonically_increasing_id()), "suffix-runs")
+
+
+def _splitters(blocks: DataFrame, ranges: int, large: np.ndarray = np.empty(0, np.int64)) -> list[bytes]:
+    """Fewer than ``ranges`` strings that cut the entries into about equal ranges, without those of large classes."""
+    sample = blocks.select("block", F.posexplode("sample").alias("i", "drawn"))
+    rows = sample.orderBy(F.xxhash64("block", "i")).limit(MAX_SAMPLE).select("drawn.s", "drawn.n").collect()
+    left_out = set(large.tolist())
+    found = sorted((s, r["n"]) for r in rows if _class(s := bytes(r["s"])) not in left_out)
+    if not found:
+        return []
+    upto = np.cumsum([n for _, n in found])
+    cuts = np.searchsorted(upto, upto[-1] * np.arange(1, ranges) / ranges, side="right")
+    return sorted({found[i][0] for i in np.minimum(cuts, len(found) - 1).tolist()})
 
 
-def _splitters(blocks: DataFrame, ranges: int) -> list[bytes]:
-    sample = blocks.select("block", F.posexplode("sample").alias("i", "s"))
-    rows = sample.orderBy(F.xxhash64("block", "i")).limit(MAX_SAMPLE).select("s").collect()
-    found = sorted(bytes(r["s"]) for r in rows)
-    return sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if found else []
+def _ranges(blocks: DataFrame) -> int:
+    """As many ranges as there are shuffle partitions, more if these were too large."""
+    entries = blocks.agg(F.sum("n")).first()[0] or 0
+    return max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries // RANGE_ENTRIES))
 
 
 def _large_classes(blocks: DataFrame) -> np.ndarray:
@@ -417,12 +457,12 @@ def _spans(places: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(id, h, spans) of the documents (id, h, text) that lose bytes; spans are packed pairs."""
-    spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = _suffix_blocks(docs, repeated_anchors(docs))
-    splitters = _splitters(blocks, ranges)  # fewer than ``ranges`` short strings
+    """Written (id, h, spans) of the documents (id, h, text) that lose bytes; spans are packed pairs."""
+    found = repeated_anchors(docs)
+    blocks = _suffix_blocks(docs, found)
+    discard(found.scratch)
     large = _large_classes(blocks)
+    splitters = _splitters(blocks, _ranges(blocks), large)
     merged = _ranged_runs(blocks, splitters, large).groupBy("part").applyInArrow(_merged, "block long, first int, offsets binary")
     if len(large):
         merged = merged.unionByName(_large_offsets(blocks, large))
@@ -446,7 +486,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.field("id"), rows.field("h"), pa.array([_pack(spans[x].ravel()) for x in held], pa.binary())],
                                                  ["id", "h", "spans"])
 
-    return blocks.drop("run", "sample", "classes").join(merged, "block").drop("block").mapInArrow(gather, f"id {id_type}, h long, spans binary")
+    spans = _written(blocks.drop("run", "n", "sample", "classes").join(merged, "block").drop("block")
+                     .mapInArrow(gather, f"id {id_type}, h long, spans binary"), "suffix-spans")
+    discard(blocks)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,6 +1,8 @@
 """Exact dedup, the Jaccard join and removal of repeated byte strings, against brute force."""
 
+import os
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -249,6 +251,58 @@ def test_passage_in_many_documents_is_not_one_range(documents, monkeypatch):
     assert by_id([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out]) == by_id(plain_removal(rows))
 
 
+def test_ranges_are_even_however_many_blocks(documents, spark):
+    rnd = random.Random(10)
+    texts = ["".join(rnd.choices("abcdefghij ", k=4000)) for _ in range(500)]
+    given = suffix_dedup._documents(documents([(i, texts[i % 500]) for i in range(1000)]), "doc_id", "text")
+    confs = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)  # a block for each partition
+        blocks = suffix_dedup._suffix_blocks(given, suffix_dedup.repeated_anchors(given))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert blocks.count() == 48
+    # the blocks' entries are of one distribution: their quantiles are at about the same places of the whole order
+    splitters = suffix_dedup._splitters(blocks, 48)
+    held = Counter()
+    for r in suffix_dedup._ranged_runs(blocks, splitters, np.empty(0, np.int64)).collect():
+        held[r.part] += len(lcp_merge.unpack_run(bytes(r.run))[1])
+    assert max(held.values()) < 2.7 * sum(held.values()) / 48
+
+
+def test_splitters_cut_what_is_merged(documents, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "LARGE", 20)
+    rnd = random.Random(11)
+    text = lambda n: "".join(rnd.choices("abcdefghij ", k=n))
+    common, pairs = [text(190) for _ in range(40)], [text(600) for _ in range(100)]  # large classes, and what is merged
+    rows = [(i, "".join(common[(i * 8 + j) % 40] + text(30) for j in range(8)) + pairs[i % 100]) for i in range(200)]
+    given = suffix_dedup._documents(documents(rows), "doc_id", "text")
+    blocks = suffix_dedup._suffix_blocks(given, suffix_dedup.repeated_anchors(given))
+    large = suffix_dedup._large_classes(blocks)
+    monkeypatch.setattr(suffix_dedup, "RANGE_ENTRIES", 50)
+    ranges = suffix_dedup._ranges(blocks)
+    assert len(large) >= 20 and ranges >= blocks.agg({"n": "sum"}).first()[0] / 50
+    is_large = lambda splitters: [suffix_dedup._class(s) in large.tolist() for s in splitters]
+    assert any(is_large(suffix_dedup._splitters(blocks, ranges)))
+    assert is_large(found := suffix_dedup._splitters(blocks, ranges, large)) == [False] * len(found) and found
+
+
+def test_more_ranges_than_partitions_and_no_scratch_is_left(documents, spark, monkeypatch):
+    written = []
+    kept = suffix_dedup.materialise
+    monkeypatch.setattr(suffix_dedup, "materialise", lambda *a: written.append(kept(*a)) or written[-1])
+    monkeypatch.setattr(suffix_dedup, "RANGE_ENTRIES", 5)
+    rows = passages(12)
+    out = suffix_dedup.remove_repeats(documents(rows)).collect()
+    assert by_id([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out]) == by_id(plain_removal(rows))
+    there = [os.path.exists(re.sub("^file:/*", "/", df.written_path)) for df in written]
+    assert there == [False, False, True]  # anchors, runs, spans
+    assert spark.conf.get(suffix_dedup.CLEANUP) == "false"
+
+
 @pytest.mark.parametrize("large", [2, 10**9])
 def test_merge_and_keys_of_large_classes_agree(documents, odd_texts, monkeypatch, large):
     monkeypatch.setattr(suffix_dedup, "LARGE", large)
